@@ -33,20 +33,20 @@ RESIDUAL_FOOTERS = ("קישורים חיצוניים", "ראו גם", "הערו
 KEEP_MIN_WORDS = 12
 CAPTION_MAX_WORDS = 6
 SENTENCE_END = '.!?":'
-NBSP_CHARS = "   "
+NBSP_CHARS = "\xa0\u2007\u202f"
 INVISIBLE_CHARS = (
-    "​‌‍‎‏‪‫‬‭‮⁠﻿­"
+    "\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\ufeff\xad"
 )
 ENTITY_AUDIT_CHARS = (
-    "​‌‍‎‏‪‫‬⁠﻿­ "
+    "\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u2060\ufeff\xad\xa0"
 )
-LINE_BREAKS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85  "
+LINE_BREAKS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 # Unicode white space as a character class body (the same set for strip, split and \s).
-WS = "\t-\r\x1c-\x20\x85\xa0  -     　"
+WS = "\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WS_CHARS = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
-    "           "
-    "    　"
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
 # --- end of fixed values ----------------------------------------------------------
 
