@@ -1,0 +1,163 @@
+"""Row-wise votes over signal columns."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.answers import UNKNOWN
+
+PRED_SUFFIX = "__pred"
+SCORE_SUFFIX = "__score"
+SPLIT = -5
+NOT_UNANIMOUS = -1
+CONFIDENT_POSITIVE = 0.85
+CONFIDENT_NEGATIVE = 0.15
+
+
+def signal_columns(df: DataFrame, suffix: str = PRED_SUFFIX, prefix: str = "") -> list[str]:
+    """Column family by suffix and prefix; reads the schema only."""
+    return [c for c in df.columns if c.endswith(suffix) and c.startswith(prefix)]
+
+
+def _total(cols: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a + b, cols)
+
+
+def _filled(names: Sequence[str]) -> list[Column]:
+    return [F.coalesce(F.col(n).cast("int"), F.lit(0)) for n in names]
+
+
+def majority_label(names: Sequence[str]) -> Column:
+    """Majority of "1"/"0" strings; others are skipped, ties and no votes are unknown."""
+    ones = _total([F.when(F.col(n) == "1", 1).otherwise(0) for n in names])
+    zeros = _total([F.when(F.col(n) == "0", 1).otherwise(0) for n in names])
+    return F.when(ones > zeros, "1").when(zeros > ones, "0").otherwise(UNKNOWN)
+
+
+def weighted_majority_label(weights: dict[str, float | Column], threshold: float = 0.5) -> Column:
+    """Weight share of "1" votes against ``threshold`` (inclusive); no vote is unknown."""
+    lit = lambda w: w if isinstance(w, Column) else F.lit(float(w))
+    zero = F.lit(0.0)
+    yes = _total([F.when(F.col(n) == "1", lit(w)).otherwise(zero) for n, w in weights.items()])
+    cast = _total(
+        [F.when(F.col(n).isin("1", "0"), lit(w)).otherwise(zero) for n, w in weights.items()]
+    )
+    return F.when(cast == 0, UNKNOWN).when(yes / cast >= threshold, "1").otherwise("0")
+
+
+def soft_ensemble(names: Sequence[str], empty: float = 0.5) -> Column:
+    """Mean of the values that parse as numbers, ``empty`` if none does."""
+    values = [F.col(n).try_cast("double") for n in names]
+    n = _total([F.when(v.isNotNull(), 1).otherwise(0) for v in values])
+    s = _total([F.coalesce(v, F.lit(0.0)) for v in values])
+    return F.when(n > 0, s / n).otherwise(F.lit(empty))
+
+
+def majority_flag(names: Sequence[str]) -> Column:
+    """1 when more than half of all signals say 1; nulls count as 0."""
+    return (_total(_filled(names)) * 2 > len(names)).cast("tinyint")
+
+
+def unanimous_flag(names: Sequence[str]) -> Column:
+    """1 all positive, 0 all negative, -5 split; nulls count as 0."""
+    s = _total(_filled(names))
+    return F.when(s == len(names), 1).when(s == 0, 0).otherwise(SPLIT).cast("tinyint")
+
+
+def published_label(names: Sequence[str]) -> Column:
+    """Common value of all signals, -1 when they differ or one is missing."""
+    cols = [F.col(n).cast("int") for n in names]
+    same = reduce(lambda a, b: a & b, [cols[0] == c for c in cols[1:]])
+    return F.when(F.coalesce(same, F.lit(False)), cols[0]).otherwise(NOT_UNANIMOUS).cast("tinyint")
+
+
+def published_rows(df: DataFrame, label: str = "label") -> DataFrame:
+    return df.filter(F.col(label) >= 0)
+
+
+def positive_signals(names: Sequence[str]) -> Column:
+    return _total([F.when(F.col(n) == 1, 1).otherwise(0) for n in names])
+
+
+def mean_score(names: Sequence[str], digits: int | None = 4) -> Column:
+    """Mean of the present scores."""
+    values = [F.col(n).cast("double") for n in names]
+    n = _total([F.when(v.isNotNull(), 1).otherwise(0) for v in values])
+    mean = _total([F.coalesce(v, F.lit(0.0)) for v in values]) / F.nullif(n, F.lit(0))
+    return mean if digits is None else F.round(mean, digits)
+
+
+def vote_summary(
+    votes: DataFrame, by: Sequence[str], correct: str = "correct", threshold: float = 0.5
+) -> DataFrame:
+    """Correct and total votes per row, share (0 without votes), label = share > threshold."""
+    d = votes.groupBy(*by).agg(
+        F.coalesce(F.sum(F.col(correct).cast("long")), F.lit(0)).alias("vote_correct"),
+        F.count(correct).alias("vote_total"),
+    )
+    share = F.col("vote_correct") / F.greatest(F.col("vote_total"), F.lit(1))
+    return d.withColumn("vote_fraction", share).withColumn(
+        "cleaned_label", (F.col("vote_fraction") > threshold).cast("int")
+    )
+
+
+def long_majority(runs: DataFrame, by: Sequence[str], pred: str = "pred") -> DataFrame:
+    """Majority over long-form votes (one row per configuration)."""
+    d = runs.groupBy(*by).agg(
+        F.count(F.when(F.col(pred) == "1", 1)).alias("ones"),
+        F.count(F.when(F.col(pred) == "0", 1)).alias("zeros"),
+    )
+    label = F.when(F.col("ones") > F.col("zeros"), "1").when(F.col("zeros") > F.col("ones"), "0")
+    return d.withColumn("majority", label.otherwise(UNKNOWN))
+
+
+def long_weighted_majority(
+    runs: DataFrame,
+    weights: DataFrame,
+    config: Sequence[str],
+    by: Sequence[str],
+    pred: str = "pred",
+    threshold: float = 0.5,
+) -> DataFrame:
+    """Weighted majority with the weight of each configuration joined in."""
+    w = runs.join(weights.select(*config, "weight"), list(config))
+    valid = F.col(pred).isin("1", "0")
+    d = w.groupBy(*by).agg(
+        F.sum(F.when(F.col(pred) == "1", F.col("weight")).otherwise(0.0)).alias("__yes"),
+        F.sum(F.when(valid, F.col("weight")).otherwise(0.0)).alias("__all"),
+    )
+    share = F.col("__yes") / F.nullif(F.col("__all"), F.lit(0.0))
+    label = F.when(share.isNull(), UNKNOWN).when(share >= threshold, "1").otherwise("0")
+    return d.withColumn("weighted_majority", label).drop("__yes", "__all")
+
+
+def hard_rows(runs: DataFrame, row_id: str, pred: str, gold: str) -> DataFrame:
+    """Rows that no configuration gets right (an unknown answer is wrong)."""
+    right = F.coalesce(F.col(pred) == F.col(gold).cast("string"), F.lit(False))
+    d = runs.groupBy(row_id).agg(F.count_if(right).alias("n_correct"), F.count(F.lit(1)).alias("n_runs"))
+    return d.filter("n_correct = 0").select(row_id, "n_runs")
+
+
+def confident_mistakes(
+    df: DataFrame, scores: Sequence[str], gold: str, row_id: str, kind: str, n: int | None = None
+) -> DataFrame:
+    """Gold negatives with a very high score ("fp") or gold positives with a very low one
+    ("fn"), with the configuration that is most wrong; the first in order wins ties."""
+    cols = [F.col(c) for c in scores]
+    worst = F.greatest(*cols) if kind == "fp" else F.least(*cols)
+    name = F.coalesce(*[F.when(F.col(c) == F.col("worst_score"), F.lit(c)) for c in scores])
+    bad = (
+        (F.col(gold) == 0) & (F.col("worst_score") >= CONFIDENT_POSITIVE)
+        if kind == "fp"
+        else (F.col(gold) == 1) & (F.col("worst_score") <= CONFIDENT_NEGATIVE)
+    )
+    out = df.withColumn("worst_score", worst).filter(bad).withColumn("worst_config", name)
+    out = out.select(row_id, "worst_config", "worst_score")
+    if n is None:
+        return out
+    order = F.col("worst_score").desc() if kind == "fp" else F.col("worst_score").asc()
+    return out.orderBy(order, row_id).limit(n)
