@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import first_per_key, upper_median
+from .ranking import first_per_key, null_safe_join, upper_median
 
 COUNTS = ("tp", "fp", "fn", "tn")
 METRICS = ("f1", "accuracy", "precision", "recall")
@@ -140,7 +140,7 @@ def score_summary(df: DataFrame, score: str, by: Sequence[str], bucket: Column)
         F.min(score).alias("score_min"),
         F.max(score).alias("score_max"),
     )
-    return basic.join(upper_median(df, score, bucket, by), list(by))
+    return null_safe_join(basic, upper_median(df, score, bucket, by), by)
 
 
 def per_predicate_f1(
@@ -188,7 +188,7 @@ def class_macro_f1(df: DataFrame, pred: str, gold: str, by: Sequence[str] = ())
         F.avg(f1).alias("class_macro_f1"), F.count(F.lit(1)).alias("n_classes"), F.sum("tp").alias("__hit")
     )
     totals = pairs.groupBy(*by).agg(F.sum("__n").alias("n"))
-    joined = macro.join(totals, list(by)) if by else macro.join(totals, F.lit(True))
+    joined = null_safe_join(macro, totals, by)
     return joined.withColumn("accuracy", ratio(F.col("__hit"), F.col("n"))).drop("__hit")
 
 
