@@ -12,6 +12,7 @@ from .roc import stratified_folds
 
 MIN_PREDICATE_COUNT = 20
 SEED = 42
+WEIGHT_UNIT = 1_000_000
 
 
 def predicate_folds(df: DataFrame, row_id: str, k: int, predicate="predicate", seed=SEED) -> DataFrame:
@@ -86,32 +87,31 @@ def weighted_draws(
     Draw j is the uniform number of md5(seed|j) times the total weight; it hits the row
     whose cumulative weight interval holds it. Rows and draws are matched by weight
     segment: the weight axis is cut into equal segments, a row is sent to each segment
-    it covers and a draw to its own, so the range lookup becomes an equi-join.
+    it covers and a draw to its own, so the range lookup becomes an equi-join. Weights
+    are summed as integers (millionths), so intervals meet exactly.
     """
     d = df.withColumn("__h", hash_key(seed, *ids))
-    cum = prefix_sums(d, "__h", [weight], F.substring("__h", 1, 3), prefix="__cum_")
-    cum = cum.withColumn("__hi", F.col(f"__cum_{weight}")).withColumn(
-        "__lo", F.col("__hi") - F.col(weight)
-    )
-    total = df.agg(F.sum(weight).alias("__total"))
+    d = d.withColumn("__w", F.round(F.col(weight) * WEIGHT_UNIT).cast("long")).filter("__w > 0")
+    cum = prefix_sums(d, "__h", ["__w"], F.substring("__h", 1, 3), prefix="__cum")
+    cum = cum.withColumn("__lo", F.col("__cum__w") - F.col("__w"))
+    total = d.agg(F.sum("__w").alias("__total"))
     rows = null_safe_join(cum, total, [])
-    segment = lambda c: F.least(
-        F.floor(F.col(c) / F.col("__total") * parts), F.lit(parts - 1)
-    ).cast("int")
-    rows = rows.withColumn("__seg", F.explode(F.sequence(segment("__lo"), segment("__hi"))))
+    segment = lambda c: F.floor(c.cast("double") / F.col("__total") * parts).cast("int")
+    rows = rows.withColumn(
+        "__seg", F.explode(F.sequence(segment(F.col("__lo")), segment(F.col("__cum__w"))))
+    )
     draws = df.sparkSession.range(n).select(F.col("id").alias("draw"))
     draws = null_safe_join(draws, total, [])
-    draws = draws.withColumn("__u", uniform(seed, "draw") * F.col("__total"))
-    draws = draws.withColumn("__seg", segment("__u")).drop("__total")
-    hit = (F.col("__u") >= F.col("__lo")) & (F.col("__u") < F.col("__hi"))
-    joined = draws.join(rows, "__seg").filter(hit)
-    return joined.select("draw", *df.columns)
+    draws = draws.withColumn("__u", F.floor(uniform(seed, "draw") * F.col("__total")).cast("long"))
+    draws = draws.withColumn("__seg", segment(F.col("__u"))).drop("__total")
+    hit = (F.col("__u") >= F.col("__lo")) & (F.col("__u") < F.col("__cum__w"))
+    return draws.join(rows, "__seg").filter(hit).select("draw", *df.columns)
 
 
 def uniform(seed: int, *cols: str) -> Column:
-    """Reproducible uniform number in [0, 1) from the first 32 bits of an md5."""
-    digest = F.substring(hash_key(seed, *cols), 1, 8)
-    return F.conv(digest, 16, 10).cast("double") / F.lit(4294967296.0)
+    """Reproducible uniform number in [0, 1) from the first 52 bits of an md5."""
+    digest = F.substring(hash_key(seed, *cols), 1, 13)
+    return F.conv(digest, 16, 10).cast("double") / F.lit(float(2**52))
 
 
 def union_tagged(frames: dict[str, DataFrame | None], tag: str = "config") -> DataFrame:
