@@ -1,0 +1,365 @@
+"""Translation embeddings: training, filtered tail ranking, triple classification."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..session import cut_lineage
+from .metrics import f1_of, ratio
+from .ranking import hash_key, null_safe_join, prefix_sums, value_counts, with_totals
+from .sampling import uniform
+
+BLOCK = 2048
+ATTEMPTS = 16
+MARGIN = 6.0
+QUANTILE_STEPS = 199
+QUANTILE_RANGE = (0.01, 0.99)
+
+
+def _vectors(table: DataFrame, key: str, out: str) -> DataFrame:
+    return table.select(F.col("id").alias(key), F.col("vec").cast("array<double>").alias(out))
+
+
+def l1(a: Column, b: Column) -> Column:
+    """Sum of absolute differences of two arrays."""
+    parts = F.zip_with(a, b, lambda x, y: F.abs(x - y))
+    return F.aggregate(parts, F.lit(0.0), lambda acc, v: acc + v)
+
+
+def translated(h: Column, r: Column) -> Column:
+    return F.zip_with(h, r, lambda x, y: x + y)
+
+
+def triple_distance(triples: DataFrame, entities: DataFrame, relations: DataFrame, out="distance"):
+    """L1 distance of head + relation from the tail, per triple."""
+    d = (
+        triples.join(_vectors(entities, "h", "__h"), "h")
+        .join(_vectors(relations, "r", "__r"), "r")
+        .join(_vectors(entities, "t", "__t"), "t")
+    )
+    dist = l1(translated(F.col("__h"), F.col("__r")), F.col("__t"))
+    return d.withColumn(out, dist).drop("__h", "__r", "__t")
+
+
+def _row_l1(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return np.abs(rows - q).sum(axis=1)
+
+
+def _closer_in_block(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+    """Per query of the block: entities strictly closer than the gold tail (itself excluded)."""
+    if queries.empty or block.empty:
+        return pd.DataFrame({"q": pd.Series(dtype="int64"), "closer": pd.Series(dtype="int64")})
+    ids = block["id"].to_numpy()
+    matrix = np.stack(block["vec"].to_numpy())
+    counts = []
+    for t, qv, gold in zip(queries["t"], queries["qvec"], queries["gold_vec"]):
+        q = np.asarray(qv)
+        limit = _row_l1(np.asarray(gold)[None, :], q)[0]
+        counts.append(int(((_row_l1(matrix, q) < limit) & (ids != t)).sum()))
+    return pd.DataFrame({"q": queries["q"].to_numpy(), "closer": counts})
+
+
+def _known_closer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        if pdf.empty:
+            continue
+        q, gold, other = (np.stack(pdf[c].to_numpy()) for c in ("qvec", "gold_vec", "vec"))
+        hit = np.abs(other - q).sum(axis=1) < np.abs(gold - q).sum(axis=1)
+        yield pd.DataFrame({"q": pdf["q"].to_numpy(), "known_closer": hit.astype("int64")})
+
+
+def filtered_tail_ranks(
+    test: DataFrame, entities: DataFrame, relations: DataFrame, known: DataFrame, block: int = BLOCK
+) -> DataFrame:
+    """(q, h, r, t, rank): filtered rank of the true tail among all entities, L1 distance.
+
+    A blocked comparison: queries and entities are hashed into blocks of bounded size and
+    every (query block, entity block) cell is one small task that returns one partial
+    count per query. Query-entity pairs are never materialised as rows. Known true tails
+    are subtracted through an equi-join.
+    """
+    queries = (
+        test.join(_vectors(entities, "h", "__h"), "h")
+        .join(_vectors(relations, "r", "__r"), "r")
+        .join(_vectors(entities, "t", "gold_vec"), "t")
+        .withColumn("qvec", translated(F.col("__h"), F.col("__r")))
+        .select("q", "h", "r", "t", "qvec", "gold_vec")
+    )
+    n_q = max(1, -(-test.count() // block))
+    n_e = max(1, -(-entities.count() // block))
+    lit_blocks = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(n_q)).cast("int")).withColumn(
+        "eb", lit_blocks(n_e)
+    )
+    right = (
+        entities.select("id", F.col("vec").cast("array<double>").alias("vec"))
+        .withColumn("eb", F.pmod(F.xxhash64("id"), F.lit(n_e)).cast("int"))
+        .withColumn("qb", lit_blocks(n_q))
+    )
+    partial = (
+        left.groupBy("qb", "eb")
+        .cogroup(right.groupBy("qb", "eb"))
+        .applyInPandas(_closer_in_block, "q long, closer long")
+    )
+    closer = partial.groupBy("q").agg(F.sum("closer").alias("closer"))
+    others = known.select("h", "r", F.col("t").alias("id")).distinct()
+    pairs = (
+        queries.join(others, ["h", "r"])
+        .filter(F.col("id") != F.col("t"))
+        .join(entities.select("id", F.col("vec").cast("array<double>").alias("vec")), "id")
+    )
+    filtered = (
+        pairs.select("q", "qvec", "gold_vec", "vec")
+        .mapInPandas(_known_closer, "q long, known_closer long")
+        .groupBy("q")
+        .agg(F.sum("known_closer").alias("known_closer"))
+    )
+    rank = F.col("closer") - F.coalesce("known_closer", F.lit(0)) + 1
+    return (
+        test.join(closer, "q").join(filtered, "q", "left").select("q", "h", "r", "t", rank.alias("rank"))
+    )
+
+
+def ranking_metrics(ranks: DataFrame) -> DataFrame:
+    hits = lambda k: F.avg((F.col("rank") <= k).cast("double"))
+    return ranks.agg(
+        F.avg(1.0 / F.col("rank")).alias("mrr"),
+        hits(1).alias("hits_at_1"),
+        hits(10).alias("hits_at_10"),
+        F.count(F.lit(1)).alias("n_test"),
+    )
+
+
+def draw_entity(seed: int, n: Column, *cols: str) -> Column:
+    """Reproducible entity id in [0, n)."""
+    digest = F.substring(hash_key(seed, *cols), 1, 13)
+    return F.pmod(F.conv(digest, 16, 10).cast("long"), n)
+
+
+def corrupt_tails(
+    test: DataFrame, known: DataFrame, n_entities: int, seed: int = 43, attempts: int = ATTEMPTS
+) -> DataFrame:
+    """(q, h, r, t): one negative per test triple whose tail is no known true tail.
+
+    Draws are numbered; the first draw that survives an anti-join with the known triples
+    is taken. Rows whose draws were all known get further draws until none is left.
+    """
+    truth = known.select("h", "r", "t").distinct()
+    todo, done, start = test.select("q", "h", "r"), None, 0
+    while True:
+        tries = todo.withColumn("__k", F.explode(F.sequence(F.lit(start), F.lit(start + attempts - 1))))
+        tries = tries.withColumn("t", draw_entity(seed, F.lit(n_entities), "q", "__k"))
+        first = (
+            tries.join(truth, ["h", "r", "t"], "left_anti")
+            .groupBy("q", "h", "r")
+            .agg(F.min_by("t", "__k").alias("t"))
+        )
+        done = first if done is None else done.unionByName(first)
+        todo = todo.join(first.select("q"), "q", "left_anti")
+        if todo.isEmpty():
+            return done
+        start += attempts
+        if start > 64 * max(n_entities, 64):
+            raise ValueError("some (h, r) has every entity as a known tail")
+        done, todo = cut_lineage(done), cut_lineage(todo)
+
+
+def quantile_grid(df: DataFrame, value: str, probs: Sequence[float], bucket: Column) -> DataFrame:
+    """(prob, quantile) by linear interpolation; each distinct value only emits the
+    positions that fall on it."""
+    counts = value_counts(df, value)
+    cum = prefix_sums(counts, value, ["n"], bucket)
+    cum = with_totals(cum, counts.agg(F.sum("n").alias("__total")))
+    cells = F.array(*[F.lit(float(p)) for p in probs])
+    at = lambda p: (F.col("__total") - 1) * p
+    start, stop = F.col("cum_n") - F.col("n"), F.col("cum_n")
+    inside = lambda x: (x >= start) & (x < stop)
+    touched = F.filter(cells, lambda p: inside(F.floor(at(p))) | inside(F.ceil(at(p))))
+    hits = cum.withColumn("prob", F.explode(touched))
+    h = at(F.col("prob"))
+    lo = F.max(F.when(inside(F.floor(h)), F.col(value)))
+    hi = F.max(F.when(inside(F.ceil(h)), F.col(value)))
+    frac = F.max(h - F.floor(h))
+    return hits.groupBy("prob").agg((lo + (hi - lo) * frac).alias("quantile"))
+
+
+def classification_probs() -> list[float]:
+    low, high = QUANTILE_RANGE
+    return [low + (high - low) * i / (QUANTILE_STEPS - 1) for i in range(QUANTILE_STEPS)]
+
+
+def classify_triples(
+    positives: DataFrame, negatives: DataFrame, n_validation: int, bucket: Column | None = None
+) -> DataFrame:
+    """Distance threshold tuned on the first ``n_validation`` queries, scored on the rest.
+
+    Both inputs hold (q, distance), q = 0..n-1. Candidate thresholds are 199 quantiles of
+    the validation distances; the lowest with the best accuracy is used; a triple is
+    accepted when its distance is strictly below it.
+    """
+    both = positives.select("q", "distance", F.lit(1).alias("y")).unionByName(
+        negatives.select("q", "distance", F.lit(0).alias("y"))
+    )
+    bucket = F.floor(F.col("distance") * 16) if bucket is None else bucket
+    val = both.filter(F.col("q") < n_validation)
+    grid = quantile_grid(val, "distance", classification_probs(), bucket)
+    # 199 numbers in one row: a fixed-size array next to every row
+    packed = grid.agg(F.array_sort(F.collect_set("quantile")).alias("__grid"))
+    v = with_totals(val, packed)
+    below = F.size(F.filter("__grid", lambda t: t <= F.col("distance")))
+    bins = v.groupBy("__grid", below.alias("bin")).agg(
+        F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg")
+    )
+    # threshold number i accepts a row when the row's distance is below it: bin <= i
+    steps = bins.select("bin", "pos", "neg", F.posexplode("__grid").alias("i", "threshold"))
+    accepted = F.col("bin") <= F.col("i")
+    right = F.sum(F.when(accepted, F.col("pos")).otherwise(F.col("neg")))
+    scored = steps.groupBy("threshold").agg(right.alias("n_right"))
+    best = scored.agg(
+        F.max_by("threshold", F.struct(F.col("n_right"), -F.col("threshold"))).alias("tc_threshold")
+    )
+    test = with_totals(both.filter(F.col("q") >= n_validation), best)
+    hit = F.col("distance") < F.col("tc_threshold")
+    pos = F.col("y") == 1
+    c = test.groupBy("tc_threshold").agg(
+        F.count_if(hit & pos).alias("tp"),
+        F.count_if(hit & ~pos).alias("fp"),
+        F.count_if(~hit & pos).alias("fn"),
+        F.count_if(~hit & ~pos).alias("tn"),
+    )
+    recall, specificity = (
+        ratio(F.col("tp"), F.col("tp") + F.col("fn")),
+        ratio(F.col("tn"), F.col("fp") + F.col("tn")),
+    )
+    return c.select(
+        ((recall + specificity) / 2).alias("tc_accuracy"),
+        f1_of().alias("tc_f1"),
+        "tc_threshold",
+        (F.col("tp") + F.col("fn")).alias("tc_n_eval"),
+    )
+
+
+def initial_vectors(ids: DataFrame, dim: int, seed: int, unit: bool) -> DataFrame:
+    """(id, vec): reproducible uniform vectors, scaled to norm at most 1 for entities."""
+    parts = [uniform(seed, "id", F.lit(str(i))) * 2 - 1 for i in range(dim)]
+    bound = (6.0 / dim) ** 0.5
+    v = F.transform(F.array(*parts), lambda x: x * bound)
+    return ids.select("id", (clip_norm(v) if unit else v).alias("vec"))
+
+
+def clip_norm(v: Column, limit: float = 1.0) -> Column:
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
+    scale = F.when(norm > limit, F.lit(limit) / norm).otherwise(1.0)
+    return F.transform(v, lambda x: x * scale)
+
+
+def _summed(df: DataFrame, key: str, column: str, dim: int) -> DataFrame:
+    """Element-wise sum of vectors per key (partial sums on the map side)."""
+    sums = df.groupBy(key).agg(*[F.sum(F.col(column)[i]).alias(f"__{i}") for i in range(dim)])
+    return sums.select(F.col(key).alias("id"), F.array(*[F.col(f"__{i}") for i in range(dim)]).alias("grad"))
+
+
+def train_translation(
+    train: DataFrame,
+    entities: DataFrame,
+    relations: DataFrame,
+    n_entities: int,
+    dim: int = 128,
+    epochs: int = 5,
+    rate: float = 0.05,
+    margin: float = MARGIN,
+    seed: int = 42,
+    weight: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Margin-ranking translation embeddings by full-batch subgradient steps.
+
+    One epoch is one Spark job: each triple gets one corrupted head or tail, triples meet
+    their vectors by equi-joins, subgradients are summed per id with map-side combine,
+    and vectors move by the mean subgradient of their uses; entity norms stay within 1.
+    State is checkpointed each epoch. ``weight`` scales a triple's contribution.
+    """
+    ent = cut_lineage(initial_vectors(entities, dim, seed, True))
+    rel = cut_lineage(initial_vectors(relations, dim, seed + 1, False))
+    w = F.col(weight) if weight else F.lit(1.0)
+    base = train.select("h", "r", "t", w.cast("double").alias("w"))
+    for epoch in range(epochs):
+        draws = base.withColumns(
+            {
+                "__e": F.lit(epoch),
+                "head_side": uniform(seed, F.lit(epoch), "h", "r", "t") < 0.5,
+                "other": draw_entity(seed + 7, F.lit(n_entities), F.lit(epoch), "h", "r", "t"),
+            }
+        )
+        d = (
+            draws.join(_vectors(ent, "h", "hv"), "h")
+            .join(_vectors(rel, "r", "rv"), "r")
+            .join(_vectors(ent, "t", "tv"), "t")
+            .join(_vectors(ent, "other", "ov"), "other")
+        )
+        neg_h = F.when(F.col("head_side"), F.col("ov")).otherwise(F.col("hv"))
+        neg_t = F.when(F.col("head_side"), F.col("tv")).otherwise(F.col("ov"))
+        good = F.zip_with(translated(F.col("hv"), F.col("rv")), F.col("tv"), lambda x, y: x - y)
+        bad = F.zip_with(translated(neg_h, F.col("rv")), neg_t, lambda x, y: x - y)
+        size = lambda v: F.aggregate(v, F.lit(0.0), lambda acc, x: acc + F.abs(x))
+        sign = lambda v, k: F.transform(v, lambda x: F.signum(x) * k)
+        d = d.withColumns({"gd": good, "bd": bad})
+        d = d.filter(F.lit(margin) + size(F.col("gd")) - size(F.col("bd")) > 0)
+        d = d.withColumns({"gs": sign(F.col("gd"), F.col("w")), "bs": sign(F.col("bd"), F.col("w"))})
+        minus = lambda v: F.transform(v, lambda x: -x)
+        nh = F.when(F.col("head_side"), F.col("other")).otherwise(F.col("h"))
+        nt = F.when(F.col("head_side"), F.col("t")).otherwise(F.col("other"))
+        moves = F.array(
+            F.struct(F.col("h").alias("id"), F.col("gs").alias("g")),
+            F.struct(F.col("t").alias("id"), minus(F.col("gs")).alias("g")),
+            F.struct(nh.alias("id"), minus(F.col("bs")).alias("g")),
+            F.struct(nt.alias("id"), F.col("bs").alias("g")),
+        )
+        e_grad = _summed(d.select(F.inline(moves)), "id", "g", dim)
+        both = F.zip_with("gs", "bs", lambda x, y: x - y)
+        r_grad = _summed(d.select("r", both.alias("g")), "r", "g", dim)
+        ent = cut_lineage(_step(ent, e_grad, rate, True))
+        rel = cut_lineage(_step(rel, r_grad, rate, False))
+    return ent, rel
+
+
+def _step(table: DataFrame, grads: DataFrame, rate: float, unit: bool) -> DataFrame:
+    """Sign-normalised step: the summed subgradient is scaled to length ``rate``."""
+    norm = F.sqrt(F.aggregate("grad", F.lit(0.0), lambda acc, x: acc + x * x))
+    d = table.join(grads, "id", "left").withColumn("__n", norm)
+    moved = F.zip_with(
+        "vec", "grad", lambda x, g: x - g * F.lit(rate) / F.greatest(F.col("__n"), F.lit(1e-12))
+    )
+    v = F.when(F.col("grad").isNull(), F.col("vec")).otherwise(moved)
+    return d.select("id", (clip_norm(v) if unit else v).alias("vec"))
+
+
+def margin_loss(train: DataFrame, ent: DataFrame, rel: DataFrame, n_entities: int, margin=MARGIN, seed=5):
+    """Mean hinge loss against one corrupted tail per triple."""
+    base = train.select("h", "r", "t")
+    good = triple_distance(base, ent, rel, "gd")
+    bad = triple_distance(
+        good.withColumn("t0", F.col("t")).withColumn(
+            "t", draw_entity(seed, F.lit(n_entities), "h", "r", "t0")
+        ),
+        ent,
+        rel,
+        "bd",
+    )
+    hinge = F.greatest(F.lit(margin) + F.col("gd") - F.col("bd"), F.lit(0.0))
+    return bad.agg(F.avg(hinge).alias("loss"), F.count(F.lit(1)).alias("n"))
+
+
+def link_prediction(
+    test: DataFrame, entities: DataFrame, relations: DataFrame, known: DataFrame, n_entities: int,
+    n_test: int,
+) -> DataFrame:
+    """MRR, hits, and triple classification of one trained variant in one row."""
+    ranks = ranking_metrics(filtered_tail_ranks(test, entities, relations, known))
+    pos = triple_distance(test, entities, relations)
+    neg = triple_distance(corrupt_tails(test, known, n_entities), entities, relations)
+    return null_safe_join(ranks, classify_triples(pos, neg, n_test // 5), [])

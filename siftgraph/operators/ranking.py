@@ -9,6 +9,7 @@ over all its buckets.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,18 +23,25 @@ def hash_key(seed, *cols) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts]))
 
 
+def with_totals(df: DataFrame, totals: DataFrame) -> DataFrame:
+    """Add the columns of a one-row frame as scalar subqueries (no join)."""
+    one = totals.select(F.struct(*[F.col(c) for c in totals.columns]).alias("__t"))
+    return df.withColumn("__t", one.scalar()).select("*", "__t.*").drop("__t")
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner"):
-    """Join on ``keys`` where null matches null; the right key copies are dropped."""
+    """Join on ``keys`` where null matches null; the right key copies are dropped.
+
+    Without keys the right side is a global aggregate, i.e. one row.
+    """
+    if not keys:
+        return with_totals(left, right)
     renamed = right
     for k in keys:
         renamed = renamed.withColumnRenamed(k, f"__r_{k}")
-    cond = None
-    for k in keys:
-        c = F.col(k).eqNullSafe(F.col(f"__r_{k}"))
-        cond = c if cond is None else cond & c
-    if cond is None:
-        # one-row right side (group totals without a group key)
-        return left.join(renamed, F.lit(True), how)
+    cond = reduce(
+        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
+    )
     return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
