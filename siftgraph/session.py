@@ -26,6 +26,7 @@ def build_session(app: str = "siftgraph", master: str | None = None, **conf) ->
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
     }
     if master and master.startswith("local"):
         settings["spark.sql.shuffle.partitions"] = "8"

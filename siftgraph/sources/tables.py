@@ -19,7 +19,7 @@ PREPARED_COLUMNS = (
 )
 RELEASE_FRONT = ("docid", "title", "text", "subject", "predicate", "object")
 CODECS = ("snappy", "gzip", "zstd", "none")
-BOM = "﻿"
+BOM = "\ufeff"
 
 
 def string_schema(columns: Sequence[str]) -> T.StructType:
