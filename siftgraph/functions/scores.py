@@ -35,7 +35,7 @@ def threshold_pred(score, threshold: float, strict: bool = False) -> Column:
 
 def coerce_flag(col) -> Column:
     """Text or number to 1/0: unparseable and null count as 0, else value > 0.5."""
-    value = F.coalesce(F.expr(f"try_cast({col} AS DOUBLE)"), F.lit(0.0))
+    value = F.coalesce(_c(col).try_cast("double"), F.lit(0.0))
     return (value > 0.5).cast("int")
 
 

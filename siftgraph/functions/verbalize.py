@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixed_values as V
+from .text import WS
 
 TEMPLATE_SCHEMA = (
     "predicate string, head string, middle string, tail string, subject_first boolean"
@@ -76,7 +77,7 @@ def display_names(
 def first_sentence(col) -> Column:
     """Text up to the first white space after ``.``, ``!`` or ``?``."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.split(c, r"(?<=[.!?])(?U:\s)", 2).getItem(0)
+    return F.split(c, f"(?<=[.!?])[{WS}]", 2).getItem(0)
 
 
 def shot_pool(spark: SparkSession) -> DataFrame:

@@ -93,6 +93,17 @@ SQL = {
                  WHEN 3 THEN concat('[[a [[', subject, ']] b|', object, ']]')
                  ELSE subject END AS subject
         FROM candidates""",
+    # predicates with and without a template
+    "named": """
+        SELECT row_id, subject, object,
+               CASE kind WHEN 'STANDARD' THEN 'אב' WHEN 'MEDIUM' THEN 'חלוקה משנית'
+                         WHEN 'PROMO' THEN 'מדינה' WHEN 'LARGE' THEN 'עיסוק' ELSE kind END AS predicate
+        FROM candidates""",
+    # documents as (text, triple, statement) questions
+    "questions": """
+        SELECT doc_id, text, source AS subject, lang AS predicate, CAST(n_chars AS STRING) AS object,
+               concat(source, ' is in ', lang) AS template_relation
+        FROM {documents}""",
     "answers": """
         SELECT conv_id, turn,
                CASE (conv_id + turn) % 8

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .fixtures import Tables, with_fixtures
 
 DIGITS = 6
+TIE_DIGITS = 9  # first rounding, so that a last-bit difference cannot split a tie
 
 
 @dataclass(frozen=True)
@@ -32,7 +33,7 @@ class Check:
             if kind == "i":
                 c = c.cast("bigint")
             elif kind == "d":
-                c = F.round(c.cast("double"), DIGITS) + F.lit(0.0)
+                c = F.round(F.round(c.cast("double"), TIE_DIGITS), DIGITS) + F.lit(0.0)
             else:
                 c = c.cast("string")
             cols.append(c.alias(name))
@@ -43,7 +44,7 @@ class Check:
             return None
         casts = {
             "i": 'CAST("{0}" AS BIGINT) AS "{0}"',
-            "d": 'round(CAST("{0}" AS DOUBLE), 6) + CAST(0 AS DOUBLE) AS "{0}"',
+            "d": 'round(round(CAST("{0}" AS DOUBLE), 9), 6) + CAST(0 AS DOUBLE) AS "{0}"',
             "s": 'CAST("{0}" AS VARCHAR) AS "{0}"',
         }
         cols = ", ".join(casts[k].format(n) for n, k in self.columns)
