@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import score_checks, text_checks  # noqa: F401
+from . import join_checks, score_checks, text_checks  # noqa: F401
 from .registry import REGISTRY  # noqa: F401
