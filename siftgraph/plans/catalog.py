@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import join_checks, metric_checks, score_checks, text_checks  # noqa: F401
+from . import graph_checks, join_checks, metric_checks, score_checks, text_checks  # noqa: F401
 from .registry import REGISTRY  # noqa: F401
