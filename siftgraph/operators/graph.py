@@ -189,21 +189,26 @@ def training_variants(
     """raw, denoised, control and weighted training graphs and the shared test triples.
 
     The split is made on unique triples, so no mention of a test triple stays in any
-    training graph.
+    training graph. Mentions are aggregated to unique triples once; that table and the
+    test pick are checkpointed because every variant reads them.
     """
-    raw = unique_triples(triples)
-    denoised = unique_triples(triples.filter(F.col(accepted)))
-    picked = exact_sample(denoised, n_test, ["h", "r", "t"], seed)
-    raw_train, denoised_train = drop_triples(raw, picked), drop_triples(denoised, picked)
-    control = size_matched_control(raw_train, denoised_train, ["h", "r", "t"], seed + 1)
-    weighted = raw_train.join(triple_confidence(triples, score), ["h", "r", "t"])
-    test = shared_vocabulary_test(picked, [raw_train, denoised_train, control])
+    keys = ["h", "r", "t"]
+    unique = cut_lineage(
+        triples.groupBy(*keys).agg(
+            F.max(F.col(accepted)).alias("__ok"),
+            F.greatest(F.max(score), F.lit(MIN_CONFIDENCE)).alias("confidence"),
+        )
+    )
+    picked = cut_lineage(exact_sample(unique.filter("__ok").select(*keys), n_test, keys, seed))
+    train = cut_lineage(drop_triples(unique, picked))
+    raw, denoised = train.select(*keys), train.filter("__ok").select(*keys)
+    control = cut_lineage(size_matched_control(raw, denoised, keys, seed + 1))
     return {
-        "raw": raw_train,
-        "denoised": denoised_train,
+        "raw": raw,
+        "denoised": denoised,
         "control": control,
-        "weighted": weighted,
-        "test": test,
+        "weighted": train.select(*keys, "confidence"),
+        "test": shared_vocabulary_test(picked, [raw, denoised, control]),
     }
 
 

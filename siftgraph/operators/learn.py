@@ -62,7 +62,8 @@ def predicate_features(df: DataFrame, vocabulary: DataFrame, row_id: str, text:
     """(row_id, predicate, label, words) for rows whose predicate is in the vocabulary."""
     v = vocabulary.select("predicate", F.col("id").cast("double").alias("label"))
     body = F.concat_ws(" ", typed_pair(), F.col(text))
-    return df.join(v, "predicate").select(row_id, "predicate", "label", body.alias("body"))
+    rows = df.select(row_id, "predicate", body.alias("body"))
+    return rows.join(v, "predicate").select(row_id, "predicate", "label", "body")
 
 
 def classifier(features: int = FEATURES) -> Pipeline:

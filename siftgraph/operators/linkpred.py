@@ -205,6 +205,7 @@ def classify_triples(
     both = positives.select("q", "distance", F.lit(1).alias("y")).unionByName(
         negatives.select("q", "distance", F.lit(0).alias("y"))
     )
+    both = cut_lineage(both)  # distances are read several times below
     bucket = F.floor(F.col("distance") * 16) if bucket is None else bucket
     val = both.filter(F.col("q") < n_validation)
     grid = quantile_grid(val, "distance", classification_probs(), bucket)
@@ -212,14 +213,15 @@ def classify_triples(
     packed = grid.agg(F.array_sort(F.collect_set("quantile")).alias("__grid"))
     v = with_totals(val, packed)
     below = F.size(F.filter("__grid", lambda t: t <= F.col("distance")))
-    bins = v.groupBy("__grid", below.alias("bin")).agg(
+    bins = v.groupBy(below.alias("bin")).agg(
         F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg")
     )
     # threshold number i accepts a row when the row's distance is below it: bin <= i
-    steps = bins.select("bin", "pos", "neg", F.posexplode("__grid").alias("i", "threshold"))
+    steps = bins.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(QUANTILE_STEPS - 1))))
     accepted = F.col("bin") <= F.col("i")
     right = F.sum(F.when(accepted, F.col("pos")).otherwise(F.col("neg")))
-    scored = steps.groupBy("threshold").agg(right.alias("n_right"))
+    thresholds = packed.select(F.posexplode("__grid").alias("i", "threshold"))
+    scored = steps.groupBy("i").agg(right.alias("n_right")).join(thresholds, "i")
     best = scored.agg(
         F.max_by("threshold", F.struct(F.col("n_right"), -F.col("threshold"))).alias("tc_threshold")
     )

@@ -1,4 +1,12 @@
 """All registered queries."""
 
-from . import graph_checks, join_checks, metric_checks, score_checks, text_checks  # noqa: F401
+from . import (  # noqa: F401
+    graph_checks,
+    io_checks,
+    join_checks,
+    learn_checks,
+    metric_checks,
+    score_checks,
+    text_checks,
+)
 from .registry import REGISTRY  # noqa: F401

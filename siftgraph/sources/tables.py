@@ -112,7 +112,7 @@ def prediction_table(
         c
         for name, col in scores.items()
         for c in (
-            F.format_number(F.col(col), "0.0000").alias(f"conf_{name}"),
+            F.format_string("%.4f", F.col(col)).alias(f"conf_{name}"),
             F.when(F.col(col) >= threshold, "1").otherwise("0").alias(f"pred_{name}"),
         )
     ]
