@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -110,6 +111,9 @@ class Markup:
             "spaces": "[ \t]{2,}",
             "word": f"[^{WS}]+",
             "size": size,
+            # at least one word more than a caption has / as many as a kept remainder needs
+            "long_line": f"^(?:[^{WS}]+{s}+){{{CAPTION_MAX_WORDS}}}[^{WS}]",
+            "long_rest": f"^(?:[^{WS}]+{s}+){{{KEEP_MIN_WORDS - 1}}}[^{WS}]",
         }
 
     def residual_patterns(self, line_flag: str = "(?md)") -> dict[str, str]:
@@ -138,9 +142,22 @@ def strip(col) -> Column:
     return F.btrim(_c(col), F.lit(WS_CHARS))
 
 
+def let(col, body) -> Column:
+    """``body`` applied to a value that is computed once and may be used many times."""
+    return F.get(F.transform(F.array(_c(col)), body), F.lit(0))
+
+
+def contains_any(text: Column, parts) -> Column:
+    """Byte-wise test that is far cheaper than a regular expression on the whole text."""
+    return reduce(lambda a, b: a | b, [text.contains(p) for p in parts])
+
+
 def word_count(col) -> Column:
-    """Number of runs of non-space characters, Unicode white space."""
-    return F.regexp_count(_c(col), F.lit(f"[^{WS}]+")).cast("int")
+    """Number of runs of non-space characters, Unicode white space.
+
+    The class lists printable ASCII first, so most characters need one comparison.
+    """
+    return F.regexp_count(_c(col), F.lit(f"[!-~[^{WS}]]+")).cast("int")
 
 
 def char_count(col) -> Column:
@@ -169,7 +186,13 @@ def keep_tail_tokens(col, n: int) -> Column:
 
 def drop_invisible(col) -> Column:
     """Delete zero-width and direction marks, turn the no-break space family into a space."""
-    return F.translate(_c(col), NBSP_CHARS + INVISIBLE_CHARS, " " * len(NBSP_CHARS))
+    marks = NBSP_CHARS + INVISIBLE_CHARS
+    return let(
+        col,
+        lambda t: F.when(
+            contains_any(t, marks), F.translate(t, marks, " " * len(NBSP_CHARS))
+        ).otherwise(t),
+    )
 
 
 def cut_before(col, pattern: str) -> Column:
@@ -177,9 +200,25 @@ def cut_before(col, pattern: str) -> Column:
     return F.split(_c(col), pattern, 2).getItem(0)
 
 
+def cut_footer(col, markup: Markup = DEFAULT) -> Column:
+    """Text before the first footer header or line-initial category tag."""
+    return let(
+        col,
+        lambda t: F.when(
+            contains_any(t, ("==", markup.category)), cut_before(t, markup.patterns()["cut_v3"])
+        ).otherwise(t),
+    )
+
+
 def text_lines(col) -> Column:
     """Stripped non-blank lines."""
-    parts = F.split(_c(col), DEFAULT.patterns()["breaks"])
+    rare = [c for c in LINE_BREAKS if c != "\n"]
+    parts = let(
+        col,
+        lambda t: F.when(
+            contains_any(t, rare), F.split(t, DEFAULT.patterns()["breaks"])
+        ).otherwise(F.split(t, "\n")),
+    )
     return F.filter(F.transform(parts, strip), lambda line: line != "")
 
 
@@ -198,22 +237,23 @@ def media_remainder(line: Column, markup: Markup = DEFAULT) -> Column:
 
 
 def is_caption_candidate(line: Column, markup: Markup = DEFAULT) -> Column:
-    return (
-        (word_count(line) <= CAPTION_MAX_WORDS)
-        & ~line.rlike(markup.patterns()["section"])
-        & ~F.right(line, F.lit(1)).isin(*SENTENCE_END)
-    )
+    """Short line without sentence end that is no section header; cheapest tests first."""
+    p = markup.patterns()
+    ended = reduce(lambda a, b: a | b, [line.endswith(c) for c in SENTENCE_END])
+    return ~ended & ~line.rlike(p["long_line"]) & ~line.rlike(p["section"])
 
 
 def tag_line(line: Column, markup: Markup = DEFAULT) -> Column:
     """Line with a one-letter kind in front: M dropped media, K kept remainder,
     C possible caption, O other."""
-    rest = media_remainder(line, markup)
+    kept = let(
+        media_remainder(line, markup),
+        lambda rest: F.when(
+            rest.rlike(markup.patterns()["long_rest"]), F.concat(F.lit("K"), rest)
+        ).otherwise("M"),
+    )
     return (
-        F.when(
-            is_media_line(line, markup),
-            F.when(word_count(rest) >= KEEP_MIN_WORDS, F.concat(F.lit("K"), rest)).otherwise("M"),
-        )
+        F.when(is_media_line(line, markup), kept)
         .when(is_caption_candidate(line, markup), F.concat(F.lit("C"), line))
         .otherwise(F.concat(F.lit("O"), line))
     )
@@ -239,33 +279,51 @@ def drop_media_lines(col, markup: Markup = DEFAULT) -> Column:
     return F.substring(untagged, 2, 2_000_000_000)
 
 
+def _replaced_if(col, parts, body) -> Column:
+    """``body`` only where the text holds one of ``parts``."""
+    return let(col, lambda t: F.when(contains_any(t, parts), body(t)).otherwise(t))
+
+
 def strip_html(col) -> Column:
-    return F.regexp_replace(_c(col), DEFAULT.patterns()["html"], "")
+    return _replaced_if(
+        col, ("<",), lambda t: F.regexp_replace(t, DEFAULT.patterns()["html"], "")
+    )
 
 
 def unwrap_links(col, passes: int = 3) -> Column:
     p = DEFAULT.patterns()
-    c = _c(col)
-    for _ in range(passes):
-        c = F.regexp_replace(F.regexp_replace(c, p["link_piped"], "$1"), p["link_plain"], "$1")
-    return F.regexp_replace(c, p["link_left"], "")
+
+    def unwrap(c: Column) -> Column:
+        for _ in range(passes):
+            c = F.regexp_replace(F.regexp_replace(c, p["link_piped"], "$1"), p["link_plain"], "$1")
+        return F.regexp_replace(c, p["link_left"], "")
+
+    return _replaced_if(col, ("[[", "]]"), unwrap)
 
 
 def pipes_to_spaces(col) -> Column:
-    return F.translate(_c(col), "|", " ")
+    return F.replace(_c(col), F.lit("|"), F.lit(" "))
 
 
 def unwrap_headers(col) -> Column:
-    return F.regexp_replace(_c(col), DEFAULT.patterns()["header"], "$1")
+    return _replaced_if(
+        col, ("==",), lambda t: F.regexp_replace(t, DEFAULT.patterns()["header"], "$1")
+    )
 
 
 def strip_bullets(col, markup: Markup = DEFAULT) -> Column:
+    """Drop list bullets, then size tokens left at line starts."""
     p = markup.patterns()
-    return F.regexp_replace(F.regexp_replace(_c(col), p["bullet"], ""), p["leading_size"], "")
+    no_bullets = _replaced_if(col, ("*", "#"), lambda t: F.regexp_replace(t, p["bullet"], ""))
+    return _replaced_if(
+        no_bullets, markup.units, lambda t: F.regexp_replace(t, p["leading_size"], "")
+    )
 
 
 def collapse_spaces(col) -> Column:
-    return F.regexp_replace(_c(col), DEFAULT.patterns()["spaces"], " ")
+    return _replaced_if(
+        col, ("  ", "\t"), lambda t: F.regexp_replace(t, DEFAULT.patterns()["spaces"], " ")
+    )
 
 
 def clean(col, level: str = "v3", markup: Markup = DEFAULT) -> Column:
@@ -276,8 +334,7 @@ def clean(col, level: str = "v3", markup: Markup = DEFAULT) -> Column:
     c = F.coalesce(_c(col).cast("string"), F.lit(""))
     if level != "v3":
         return drop_blank_lines(cut_before(c, p[f"cut_{level}"]))
-    c = cut_before(drop_invisible(c), p["cut_v3"])
-    c = drop_media_lines(c, markup)
+    c = drop_media_lines(cut_footer(drop_invisible(c), markup), markup)
     c = pipes_to_spaces(unwrap_links(strip_html(c)))
     c = strip_bullets(unwrap_headers(c), markup)
     return drop_blank_lines(collapse_spaces(c))
@@ -348,7 +405,7 @@ def entity_audit(df: DataFrame, columns=ENTITY_COLUMNS) -> DataFrame:
 
 def passage_lines(df: DataFrame, key: str, text: str = "text", markup: Markup = DEFAULT) -> DataFrame:
     """Line table (key, pos, line, kind) of the media step, before captions are dropped."""
-    lines = text_lines(cut_before(drop_invisible(text), markup.patterns()["cut_v3"]))
+    lines = text_lines(cut_footer(drop_invisible(text), markup))
     exploded = df.select(key, F.posexplode(lines).alias("pos", "line"))
     return exploded.withColumn("kind", F.substring(tag_line(F.col("line"), markup), 1, 1))
 
@@ -387,11 +444,11 @@ def register_sql(spark: SparkSession, markup: Markup = DEFAULT) -> None:
     )
     words = lambda e: f"regexp_count({e}, {q(p['word'])})"
     caption = (
-        f"({words('x')} <= {CAPTION_MAX_WORDS} and not x rlike {q(p['section'])}"
-        f" and right(x, 1) not in ('.', '!', '?', '\"', ':'))"
+        f"(right(x, 1) not in ('.', '!', '?', '\"', ':')"
+        f" and not x rlike {q(p['long_line'])} and not x rlike {q(p['section'])})"
     )
     tag = (
-        f"case when {media} then case when {words(rest)} >= {KEEP_MIN_WORDS}"
+        f"case when {media} then case when {rest} rlike {q(p['long_rest'])}"
         f" then concat('K', {rest}) else 'M' end"
         f" when {caption} then concat('C', x) else concat('O', x) end"
     )

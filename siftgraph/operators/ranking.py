@@ -105,9 +105,21 @@ def prefix_sums(
     return out.drop("__b", *[f"__o_{m}" for m in measures])
 
 
-def unit_bucket(col: str, parts: int = 4096) -> Column:
-    """Monotone bucket for scores that live roughly in [-1, 1]."""
-    return F.floor(F.col(col) * parts)
+def unit_bucket(col: str, steps: int = 64, clip: int = 40) -> Column:
+    """Monotone bucket for scores in [-1, 1] that also splits the crowded ends.
+
+    Model scores pile up next to 0 and 1, where equal-width buckets would put most
+    distinct values into one task; a log-odds scale spreads both ends over thousands of
+    buckets.
+    """
+    c = F.col(col).cast("double")
+    size = F.abs(c)
+    odds = F.log(size / (1 - size))
+    level = F.greatest(F.least(odds, F.lit(float(clip))), F.lit(-float(clip)))
+    rung = F.floor(level * steps) + clip * steps + 1
+    end = 2 * clip * steps + 2
+    rung = F.when(size >= 1, F.lit(end)).when(size == 0, F.lit(0)).otherwise(rung)
+    return F.when(c.isNull(), F.lit(None)).when(c < 0, -rung).otherwise(rung)
 
 
 def value_counts(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:

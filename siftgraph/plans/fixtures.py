@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.verbalize import config_grid
+from ..session import spread
 
 BASE_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -229,6 +230,11 @@ class Tables:
             return self.base(name)
         raise AttributeError(name)
 
+    @cached_property
+    def marked(self) -> DataFrame:
+        """Marked-up passages, spread over all cores before the text work starts."""
+        return spread(self.fixture("marked"))
+
     @cached_property
     def runs(self) -> DataFrame:
         grid = config_grid(

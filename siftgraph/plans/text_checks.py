@@ -101,7 +101,7 @@ text_query("b02_clean_v2", lambda: X.clean("text", "v2"), CLEAN_V2)
 text_query("b04_drop_invisible", lambda: X.drop_invisible("text"), visible("text"))
 text_query(
     "b05_footer_cut",
-    lambda: X.cut_before(X.drop_invisible("text"), X.DEFAULT.patterns()["cut_v3"]),
+    lambda: X.cut_footer(X.drop_invisible("text")),
     cut(visible("text"), P["cut_v3"]),
 )
 text_query("b09_strip_html", lambda: X.strip_html("text"), rx("text", P["html"]))
@@ -141,7 +141,7 @@ def _(t: Tables):
 
 @check("b08_caption_drop", "doc_id:i text:s", f"{STEPS} SELECT doc_id, t AS text FROM medialess")
 def _(t: Tables):
-    cut_text = X.cut_before(X.drop_invisible("text"), X.DEFAULT.patterns()["cut_v3"])
+    cut_text = X.cut_footer(X.drop_invisible("text"))
     return t.marked.select("doc_id", X.drop_media_lines(cut_text).alias("text"))
 
 
