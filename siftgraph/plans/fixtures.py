@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from functools import cached_property
+from hashlib import md5
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,13 @@ BASE_TABLES = (
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
+# tables whose rows get CPU-heavy work; see session.spread
+SPREAD = {
+    "lineitem": ("l_orderkey", "l_partkey", "l_suppkey"),
+    "documents": ("doc_id",),
+    "conversations": ("conv_id", "turn"),
+}
+
 SQL = {
     "candidates": """
         SELECT concat_ws('-', CAST(l_orderkey AS STRING), CAST(l_partkey AS STRING),
@@ -203,10 +211,15 @@ def with_fixtures(body: str, table) -> str:
         else:
             text = f"WITH {ctes}\n{body}"
     for name in BASE_TABLES:
-        text = text.replace("{" + name + "}", table(name))
+        if "{" + name + "}" in text:
+            text = text.replace("{" + name + "}", table(name))
     return text
 
 
+# opened base tables by application, folder and name (footers are read once)
+_OPENED: dict[tuple[str, str, str], DataFrame] = {}
+
+
 class Tables:
     """Base tables and fixtures of one data folder as DataFrames."""
 
@@ -217,11 +230,21 @@ class Tables:
         return f"{self.folder}/{name}.parquet"
 
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _OPENED:
+            _OPENED[key] = self.spark.read.parquet(self.path(name))
+        return _OPENED[key]
+
+    def view(self, name: str) -> str:
+        """Temporary view of a base table; the large ones are spread over all cores."""
+        view = f"{name}_{md5(self.folder.encode()).hexdigest()[:8]}"
+        if not self.spark.catalog.tableExists(view):
+            df = self.base(name)
+            (spread(df, *SPREAD[name]) if name in SPREAD else df).createOrReplaceTempView(view)
+        return view
 
     def fixture(self, name: str) -> DataFrame:
-        text = with_fixtures(f"SELECT * FROM {name}", lambda t: f"parquet.`{self.path(t)}`")
-        return self.spark.sql(text)
+        return self.spark.sql(with_fixtures(f"SELECT * FROM {name}", self.view))
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in SQL:
@@ -230,11 +253,6 @@ class Tables:
             return self.base(name)
         raise AttributeError(name)
 
-    @cached_property
-    def marked(self) -> DataFrame:
-        """Marked-up passages, spread over all cores before the text work starts."""
-        return spread(self.fixture("marked"))
-
     @cached_property
     def runs(self) -> DataFrame:
         grid = config_grid(
@@ -256,6 +274,17 @@ class Tables:
             config.alias("config"), pred.otherwise("0").alias("pred"),
         )
 
+    @cached_property
+    def probs(self) -> DataFrame:
+        """The two models' probability pairs from one scan."""
+        pair = lambda model, e, c: F.struct(
+            F.lit(model).alias("model"),
+            F.col(e).alias("pe"),
+            F.round((1 - F.col(e)) * F.col(c), 6).alias("pc"),
+        )
+        cells = F.array(pair("alpha", "a_score", "b_score"), pair("beta", "b_score", "c_score"))
+        return self.fixture("candidates").select("row_id", "predicate", "label", F.inline(cells))
+
     def vectors(self) -> DataFrame:
         """(id, vec) of the embedding table."""
         e = self.base("embeddings")

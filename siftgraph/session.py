@@ -66,11 +66,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy row work at least one partition per core.
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give CPU-heavy row work at least one partition per core, hashed by ``keys``.
 
     Only frames with fewer partitions than cores (a small file in one row group) are
     redistributed; at scale the scan already has many splits and nothing is shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
