@@ -192,6 +192,15 @@ def write_verified(df: DataFrame, path: str, expected: int | None = None, force:
     return rows
 
 
+def write_bucketed(df: DataFrame, table: str, buckets: int, row_id: str = "row_id") -> None:
+    """Catalog table bucketed and sorted by row id.
+
+    Signal tables written with the base table's bucket count join it by row id without a
+    shuffle, however many of them are merged.
+    """
+    df.write.mode("overwrite").bucketBy(buckets, row_id).sortBy(row_id).saveAsTable(table)
+
+
 def select_present(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Listed columns that exist, in list order."""
     return df.select(*[c for c in columns if c in df.columns])
