@@ -52,6 +52,8 @@ WS_CHARS = (
 # --- end of fixed values ----------------------------------------------------------
 
 LEVELS = ("v1", "v2", "v3")
+# A word: printable ASCII is listed first, so most characters need one comparison.
+WORD = f"[!-~[^{WS}]]+"
 
 
 @dataclass(frozen=True)
@@ -153,11 +155,8 @@ def contains_any(text: Column, parts) -> Column:
 
 
 def word_count(col) -> Column:
-    """Number of runs of non-space characters, Unicode white space.
-
-    The class lists printable ASCII first, so most characters need one comparison.
-    """
-    return F.regexp_count(_c(col), F.lit(f"[!-~[^{WS}]]+")).cast("int")
+    """Number of runs of non-space characters, Unicode white space."""
+    return F.regexp_count(_c(col), F.lit(WORD)).cast("int")
 
 
 def char_count(col) -> Column:
@@ -179,7 +178,7 @@ def snippet(col, n: int = 150) -> Column:
 
 def keep_tail_tokens(col, n: int) -> Column:
     """Last ``n`` white-space tokens, joined by one space (the end of a prompt survives)."""
-    tokens = F.regexp_extract_all(_c(col), F.lit(f"([^{WS}]+)"), F.lit(1))
+    tokens = F.regexp_extract_all(_c(col), F.lit(WORD), F.lit(0))
     tail = F.slice(tokens, F.greatest(F.size(tokens) - n + 1, F.lit(1)), F.lit(n))
     return F.array_join(tail, " ")
 
@@ -410,7 +409,7 @@ def passage_lines(df: DataFrame, key: str, text: str = "text", markup: Markup =
     return exploded.withColumn("kind", F.substring(tag_line(F.col("line"), markup), 1, 1))
 
 
-def _sql_string(value: str) -> str:
+def sql_string(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
@@ -419,7 +418,7 @@ def register_sql(spark: SparkSession, markup: Markup = DEFAULT) -> None:
 
     They are SQL expressions, so Catalyst inlines them; nothing leaves the JVM.
     """
-    p, q = markup.patterns(), _sql_string
+    p, q = markup.patterns(), sql_string
 
     def body_lines(expr: str) -> str:
         parts = f"split({expr}, {q(p['breaks'])})"

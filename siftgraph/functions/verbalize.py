@@ -8,11 +8,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixed_values as V
-from .text import WS
+from .text import WS, sql_string
 
-TEMPLATE_SCHEMA = (
-    "predicate string, head string, middle string, tail string, subject_first boolean"
-)
+TEMPLATE_COLUMNS = ("predicate", "head", "middle", "tail", "subject_first")
+
+
+def literal_table(spark: SparkSession, rows: list[tuple], columns) -> DataFrame:
+    """Small constant table as SQL VALUES: a local relation with exact statistics."""
+
+    def lit(v) -> str:
+        if v is None:
+            return "NULL"
+        return sql_string(v) if isinstance(v, str) else str(v)
+
+    body = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {body} AS t({', '.join(columns)})")
 
 
 def fill(template: str, values: dict[str, Column]) -> Column:
@@ -34,7 +44,7 @@ def template_table(spark: SparkSession, templates: dict[str, str] = V.PREDICATE_
         if {first, second} != {"subject", "object"}:
             raise ValueError(f"template of {predicate!r} needs both holes once")
         rows.append((predicate, head, middle, tail, first == "subject"))
-    return spark.createDataFrame(rows, TEMPLATE_SCHEMA)
+    return literal_table(spark, rows, TEMPLATE_COLUMNS)
 
 
 def template_relation(
@@ -68,7 +78,7 @@ def display_names(
     """Map names through a (name, display) table, keeping the name where none is listed."""
     if names is None:
         rows = list(V.PREDICATE_NAMES_EN.items())
-        names = F.broadcast(df.sparkSession.createDataFrame(rows, "name string, display string"))
+        names = F.broadcast(literal_table(df.sparkSession, rows, ("name", "display")))
     n = names.select(F.col("name").alias("__n"), F.col("display").alias("__d"))
     joined = df.join(n, F.col(column) == F.col("__n"), "left")
     return joined.withColumn(out, F.coalesce("__d", column)).drop("__n", "__d")
@@ -88,8 +98,7 @@ def shot_pool(spark: SparkSession) -> DataFrame:
         for i, variants in enumerate(V.SHOT_POOL)
         for (lang, form), entry in variants.items()
     ]
-    schema = "idx int, lang string, relation_form string, " + ", ".join(f"{f} string" for f in fields)
-    return spark.createDataFrame(rows, schema)
+    return literal_table(spark, rows, ("idx", "lang", "relation_form", *fields))
 
 
 def select_shots(pool: DataFrame, n_shot: int, lang: str, form: str) -> DataFrame:

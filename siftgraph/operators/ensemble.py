@@ -115,7 +115,7 @@ def long_majority(runs: DataFrame, by: Sequence[str], pred: str = "pred") -> Dat
     return d.withColumn("majority", label.otherwise(UNKNOWN))
 
 
-def long_weighted_majority(
+def long_votes(
     runs: DataFrame,
     weights: DataFrame,
     config: Sequence[str],
@@ -123,16 +123,26 @@ def long_weighted_majority(
     pred: str = "pred",
     threshold: float = 0.5,
 ) -> DataFrame:
-    """Weighted majority with the weight of each configuration joined in."""
+    """Plain and weighted majority of the configurations listed in ``weights``, in one pass.
+
+    The weight table has one row per configuration; rows of other configurations are
+    dropped by the join.
+    """
     w = runs.join(weights.select(*config, "weight"), list(config))
-    valid = F.col(pred).isin("1", "0")
+    yes, no = F.col(pred) == "1", F.col(pred) == "0"
+    weight_of = lambda test: F.sum(F.when(test, F.col("weight")).otherwise(0.0))
     d = w.groupBy(*by).agg(
-        F.sum(F.when(F.col(pred) == "1", F.col("weight")).otherwise(0.0)).alias("__yes"),
-        F.sum(F.when(valid, F.col("weight")).otherwise(0.0)).alias("__all"),
+        F.count_if(yes).alias("ones"),
+        F.count_if(no).alias("zeros"),
+        weight_of(yes).alias("__yes"),
+        weight_of(yes | no).alias("__all"),
     )
+    plain = F.when(F.col("ones") > F.col("zeros"), "1").when(F.col("zeros") > F.col("ones"), "0")
     share = F.col("__yes") / F.nullif(F.col("__all"), F.lit(0.0))
-    label = F.when(share.isNull(), UNKNOWN).when(share >= threshold, "1").otherwise("0")
-    return d.withColumn("weighted_majority", label).drop("__yes", "__all")
+    weighted = F.when(share.isNull(), UNKNOWN).when(share >= threshold, "1").otherwise("0")
+    return d.withColumns(
+        {"majority": plain.otherwise(UNKNOWN), "weighted_majority": weighted}
+    ).drop("__yes", "__all")
 
 
 def hard_rows(runs: DataFrame, row_id: str, pred: str, gold: str) -> DataFrame:

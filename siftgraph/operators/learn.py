@@ -11,7 +11,7 @@ from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import WS
+from ..functions.text import WORD, WS
 from ..functions.verbalize import typed_pair
 from .ensemble import vote_summary
 from .metrics import class_macro_f1, hard_label_metrics
@@ -25,7 +25,7 @@ def hypothesis_overlap(hypothesis, text) -> Column:
 
     def tokens(c):
         c = F.col(c) if isinstance(c, str) else c
-        return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(f"([^{WS}]+)"), F.lit(1)))
+        return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0)))
 
     h = tokens(hypothesis)
     shared = F.size(F.array_intersect(h, tokens(text))).cast("double")

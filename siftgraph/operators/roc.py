@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .metrics import best_threshold, binned_counts, f1_of, ratio, sweep_from_bins, with_ratios
+from .metrics import best_threshold, f1_of, ratio, score_bin, sweep_from_bins, with_ratios
 from .ranking import hash_key, null_safe_join, ordered_rank, prefix_sums, unit_bucket
 
 CV_FOLDS = 5
@@ -24,8 +24,12 @@ def score_counts(df: DataFrame, score: str, gold: str, by: Sequence[str] = ()) -
 
 def roc_points(df, score, gold, by: Sequence[str] = (), bucket: Column | None = None) -> DataFrame:
     """Cumulative counts and rates at each distinct score taken as an inclusive threshold."""
+    return points_from_counts(score_counts(df, score, gold, by), by, bucket)
+
+
+def points_from_counts(counts: DataFrame, by: Sequence[str] = (), bucket: Column | None = None):
+    """ROC points of (by, score, pos, neg) counts."""
     by = list(by)
-    counts = score_counts(df, score, gold, by)
     bucket = unit_bucket("score") if bucket is None else bucket
     cum = prefix_sums(counts, "score", ["pos", "neg"], bucket, by, descending=True)
     totals = counts.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
@@ -45,7 +49,10 @@ def roc_points(df, score, gold, by: Sequence[str] = (), bucket: Column | None =
 
 def auc(df, score, gold, by: Sequence[str] = (), bucket: Column | None = None) -> DataFrame:
     """Mann-Whitney AUC: each negative counts the positives above it and half its ties."""
-    points = roc_points(df, score, gold, by, bucket)
+    return auc_from_points(roc_points(df, score, gold, by, bucket), by)
+
+
+def auc_from_points(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     above = F.col("tp") - F.col("pos")
     wins = F.sum(F.col("neg") * (above + F.col("pos") / 2.0))
     pairs = F.max("n_pos").cast("double") * F.max("n_neg")
@@ -94,8 +101,16 @@ def fold_thresholds(
 
     Train counts are totals minus the fold's own counts, so the data is read once.
     """
+    return thresholds_from_counts(score_counts(folded, score, gold, [*by, "fold"]), grid, by)
+
+
+def thresholds_from_counts(counts: DataFrame, grid: Sequence[float], by: Sequence[str] = ()):
+    """Fold thresholds of (by, fold, score, pos, neg) counts."""
     by = list(by)
-    held = sweep_from_bins(binned_counts(folded, score, gold, grid, [*by, "fold"]), grid, [*by, "fold"])
+    bins = counts.groupBy(*by, "fold", score_bin(F.col("score"), grid).alias("bin")).agg(
+        F.sum(F.col("pos") + F.col("neg")).alias("n"), F.sum("pos").alias("pos")
+    )
+    held = sweep_from_bins(bins, grid, [*by, "fold"])
     total = held.groupBy(*by, "threshold").agg(*[F.sum(c).alias(f"t_{c}") for c in ("tp", "fp", "fn", "tn")])
     both = null_safe_join(held, total, [*by, "threshold"])
     train = both.withColumn(
@@ -118,8 +133,10 @@ def cross_validated_threshold(
 ) -> DataFrame:
     """Mean and population deviation of held-out F1, mean threshold, mean fold AUC."""
     by = list(by)
-    folds = fold_thresholds(folded, score, gold, grid, by)
-    aucs = auc(folded, score, gold, [*by, "fold"])
+    # one aggregated table feeds thresholds and curves, so the rows are read once
+    counts = score_counts(folded, score, gold, [*by, "fold"])
+    folds = thresholds_from_counts(counts, grid, by)
+    aucs = auc_from_points(points_from_counts(counts, [*by, "fold"]), [*by, "fold"])
     d = null_safe_join(folds, aucs, [*by, "fold"])
     return d.groupBy(*by).agg(
         F.avg("fold_f1").alias("cv_mean_f1"),

@@ -14,6 +14,7 @@ from .metrics import (
     best_per_group,
     best_threshold,
     confusion,
+    f1_of,
     hard_label_metrics,
     metrics_at_threshold,
     predicate_macro_f1,
@@ -108,11 +109,12 @@ def predicate_matrix(
     runs: DataFrame, config: str, predicate: str, min_n: int = 5, top: int = 10, pred="pred", gold="label"
 ) -> DataFrame:
     """Per-predicate F1 of the ``top`` configurations by F1, long form with the mean."""
-    overall = hard_label_metrics(runs, [config], pred, gold)
-    best = overall.orderBy(F.col("f1").desc(), config).limit(top).select(config)
-    cells = hard_label_metrics(runs.join(best, config, "left_semi"), [config, predicate], pred, gold)
+    cells = hard_label_metrics(runs, [config, predicate], pred, gold)
+    overall = cells.groupBy(config).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    best = overall.orderBy(f1_of().desc(), config).limit(top).select(config)
     n = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
-    return cells.withColumn("n", n).filter(F.col("n") >= min_n).select(predicate, config, "n", "f1")
+    picked = cells.join(best, config, "left_semi").withColumn("n", n).filter(F.col("n") >= min_n)
+    return picked.select(predicate, config, "n", "f1")
 
 
 def predicate_difficulty(matrix: DataFrame, predicate: str, easiest: bool, n: int = 10) -> DataFrame:

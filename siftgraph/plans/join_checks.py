@@ -430,10 +430,7 @@ def best_configs(t: Tables):
                CASE WHEN coalesce(wn, 0) = 0 THEN 'unknown' WHEN wy / wn >= 0.5 THEN '1' ELSE '0' END AS weighted_majority FROM agg""",
 )
 def _(t: Tables):
-    best = best_configs(t)
-    picked = t.runs.join(best.select("config"), "config", "left_semi")
-    weighted = G.long_weighted_majority(picked, best, ["config"], ["row_id"])
-    return G.long_majority(picked, ["row_id"]).join(weighted, "row_id")
+    return G.long_votes(t.runs, best_configs(t), ["config"], ["row_id"])
 
 
 @check(
