@@ -216,7 +216,7 @@ def with_fixtures(body: str, table) -> str:
     return text
 
 
-# opened base tables by application, folder and name (footers are read once)
+# opened base tables by session, folder and name (footers are read once)
 _OPENED: dict[tuple[str, str, str], DataFrame] = {}
 
 
@@ -230,7 +230,7 @@ class Tables:
         return f"{self.folder}/{name}.parquet"
 
     def base(self, name: str) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        key = (self.spark._jsparkSession.sessionUUID(), self.folder, name)
         if key not in _OPENED:
             _OPENED[key] = self.spark.read.parquet(self.path(name))
         return _OPENED[key]
