@@ -31,7 +31,8 @@ SPREAD = {
 SQL = {
     "candidates": """
         SELECT concat_ws('-', CAST(l_orderkey AS STRING), CAST(l_partkey AS STRING),
-                         CAST(l_suppkey AS STRING)) AS row_id,
+                         CAST(l_suppkey AS STRING), CAST(l_linenumber AS STRING),
+                         CAST(CAST(l_quantity AS INT) AS STRING)) AS row_id,
                l_orderkey AS docid, c_name AS subject, p_brand AS predicate, s_name AS object,
                p_type AS kind, sn.n_name AS place, cn.n_name AS home,
                l_linenumber AS linenumber, l_quantity AS quantity, l_shipdate AS shipdate,
