@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +41,26 @@ def build_session(app: str = "siftgraph", master: str | None = None, **conf) ->
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application.
+
+    Python workers then import it wherever the driver was started from.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_siftgraph_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    folder = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
+    target = Path(folder) / f"{package.name}.zip"
+    target.write_bytes(packed.getvalue())
+    context.addPyFile(str(target))
+    context._siftgraph_shipped = True
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for cut lineages: the cluster's setting, else a test folder.
 
