@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import rlz
+from . import language_mixture, nbsvm, near_dedup, rlz
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,3 +60,61 @@ def op1_rlz_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Words of every document that no earlier 20-word window repeats."""
     kept = rlz.remove_copies(table(spark, folder, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query(
+    "op9_superminhash_near_dedup",
+    sql="""
+    WITH RECURSIVE d AS (
+        SELECT doc_id, list_filter(string_split_regex(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w
+        FROM documents
+    ),
+    s AS (
+        SELECT DISTINCT doc_id, md5(array_to_string(list_slice(w, i, i + 4), ' ')) AS k
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+    ),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    sets AS (SELECT doc_id, n, md5(string_agg(k, '' ORDER BY k)) AS h FROM s JOIN n USING (doc_id) GROUP BY ALL),
+    cls AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY h) AS rep FROM sets),
+    r AS (SELECT s.doc_id, k FROM s JOIN cls USING (doc_id) WHERE cls.doc_id = rep),
+    both_ AS (
+        SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM r a JOIN r b ON a.k = b.k AND a.doc_id < b.doc_id
+        GROUP BY ALL
+    ),
+    link AS (
+        SELECT a, b FROM both_ JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+        WHERE 100 * i >= 75 * (na.n + nb.n - i)
+    ),
+    e AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+    reach AS (
+        SELECT DISTINCT a AS x, a AS y FROM e
+        UNION
+        SELECT reach.x, e.b FROM reach JOIN e ON reach.y = e.a
+    ),
+    comp AS (SELECT x, min(y) AS c FROM reach GROUP BY x)
+    SELECT d.doc_id, coalesce(cls.n, 0) AS n_shingles, coalesce(c, rep, d.doc_id) AS component_id,
+        d.doc_id = coalesce(c, rep, d.doc_id) AS kept, coalesce(rep, d.doc_id) AS class_id
+    FROM d LEFT JOIN cls USING (doc_id) LEFT JOIN comp ON comp.x = cls.rep""",
+)
+def op9_superminhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate group of every document."""
+    return near_dedup.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op3_language_mixture")
+def op3_language_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """Language and language shares of every document, learned from two thirds of the ids."""
+    docs = table(spark, folder, "documents")
+    fold = language_mixture.remainder("doc_id", 3)
+    return language_mixture.identify(docs, docs.filter(fold != 1), fold == 1)
+
+
+@query("op4_nbsvm_quality")
+def op4_nbsvm_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document, learned from the labels of two thirds of the ids."""
+    docs = table(spark, folder, "documents")
+    fold = language_mixture.remainder("doc_id", 3)
+    labels = table(spark, folder, "labels").filter(fold != 1).select("doc_id", F.col("quality").alias("label"))
+    return nbsvm.classify(docs, labels, fold == 1)

@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,7 +77,7 @@ def _copies(key: np.ndarray, tag: np.ndarray) -> np.ndarray:
 
 def _index_slice(batch: pa.RecordBatch, window: int, gram: int) -> pa.RecordBatch | None:
     """Anchor rows of one slice, without windows that repeat inside it, and its own factors."""
-    order = pa.compute.sort_indices(batch, sort_keys=[("doc", "ascending"), ("crc", "ascending")])
+    order = pc.sort_indices(batch, sort_keys=[("doc", "ascending"), ("crc", "ascending")])
     batch = batch.take(order)
     doc = batch.column("doc").to_numpy()
     crc = batch.column("crc").to_numpy()

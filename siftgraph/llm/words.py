@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE_BYTES = 4 << 20  # text bytes handled at once; one longer document is handled alone
 LONG_WORD = 128  # bytes; longer words are hashed one by one
@@ -55,7 +56,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = SLICE_BYTES
     """Cut batches so that each holds about ``size`` bytes of ``text``, on row borders."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
-        lengths = pa.compute.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+        lengths = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(lengths, dtype=np.int64)
         start = 0
         while start < batch.num_rows:
