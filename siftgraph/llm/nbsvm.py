@@ -1,9 +1,9 @@
-"""Quality classifier: naive Bayes support vectors over byte trigrams.
+"""Quality classifier: naive Bayes support vectors over n-gram indicators.
 
-Trigram indicators of a text are scaled by the smoothed log-count ratio of the two classes
-and by the row's length; a linear hinge-loss model is fitted to them by dual coordinate
-descent, and its margins are turned into probabilities by a logistic curve fitted on rows
-the descent did not see.
+Indicators are hashed byte trigrams, and which share of the words repeats the word one,
+two or three places before (a repeated n-gram, whatever its words). They are scaled by the smoothed log-count ratio of the two classes and by the row's length; a
+linear hinge-loss model is fitted to them by dual coordinate descent, and its margins are
+turned into probabilities by a logistic curve fitted on rows the descent did not see.
 
 Scale: the fit takes at most ``FIT_ROWS`` labelled rows, those with the smallest hash of
 their id; their ids are joined to the texts by a broadcast of that many rows, so no text is
@@ -24,9 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import flat, slices
+from .words import flat, hash_words, slices, split_words
 
-BUCKETS = 1 << 16
+GRAMS = 1 << 16  # hashed byte trigrams
+LAGS = (1, 2, 3)  # a word equal to the one 1, 2 or 3 before: repeated word n-grams of any word
+SHARES = 8  # indicators per lag, one for each eighth of the words
+BUCKETS = GRAMS + len(LAGS) * SHARES
 FIT_ROWS = 16_000
 CALIBRATE = 5  # every fifth row is kept for the curve
 EPOCHS = 12
@@ -36,9 +39,10 @@ DOCS_AT_ONCE = 256
 
 
 def indicators(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct trigram buckets of every text, as one array with offsets."""
+    """Distinct buckets of every text, as one array with offsets."""
     data, offsets = flat(column)
     n = len(offsets) - 1
+    repeats = _repeats(column)
     found, sizes = [], np.zeros(n, np.int64)
     for lo in range(0, n, DOCS_AT_ONCE):
         hi = min(n, lo + DOCS_AT_ONCE)
@@ -54,6 +58,9 @@ def indicators(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         doc = np.repeat(np.arange(hi - lo), np.diff(at))
         seen = np.zeros((hi - lo) * BUCKETS, bool)
         seen[doc * BUCKETS + (code >> np.uint32(16))] = True
+        for k, eighth in enumerate(repeats[:, lo:hi]):
+            some = np.flatnonzero(eighth)
+            seen[some * BUCKETS + GRAMS + k * SHARES + eighth[some] - 1] = True
         keys = np.flatnonzero(seen)
         found.append((keys % BUCKETS).astype(np.int32))
         sizes[lo:hi] = np.bincount(keys // BUCKETS, minlength=hi - lo)
@@ -61,6 +68,19 @@ def indicators(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return joined, np.concatenate([[0], np.cumsum(sizes)])
 
 
+def _repeats(column: pa.Array) -> np.ndarray:
+    """Per lag and text: 0 without a repeat, else the eighth its share of the words falls in (1..8)."""
+    words = split_words(column)
+    h, doc = hash_words(words), words.document()
+    out = np.zeros((len(LAGS), len(column)), np.int64)
+    for k, lag in enumerate(LAGS):
+        again = (h[lag:] == h[:-lag]) & (doc[lag:] == doc[:-lag])
+        n = np.bincount(doc[lag:][again], minlength=len(column))
+        share = np.ceil(n * SHARES / np.maximum(words.counts, 1)).astype(np.int64)
+        out[k] = np.minimum(share, SHARES)
+    return out
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "text"):
         values, offsets = indicators(part.column("text"))

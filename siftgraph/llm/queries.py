@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_mixture, nbsvm, near_dedup, rlz
+from . import decontaminate, gru_lm, hilbert, language_mixture, lz_fingerprint, nbsvm, near_dedup, raking, rlz, token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,10 +23,60 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+def default_tokenizer() -> str:
+    """The public vocabulary file of this installation; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def raking_sql(sweeps: int = 24) -> str:
+    """Checking SQL of the raking: a fixed number of sweeps over the cells, each a window."""
+    powers = raking.FLATTEN
+    goals = ", ".join(
+        f"pow(sum(tokens) OVER (PARTITION BY {d}), {p}) AS g_{d}, sum(tokens) OVER (PARTITION BY {d}) AS t_{d}"
+        for d, p in powers.items()
+    )
+    # a category's goal is repeated in each of its cells, so its share is taken once per cell share
+    scaled = ", ".join(f"g_{d} * total / sum(g_{d} * tokens / nullif(t_{d}, 0)) OVER () AS goal_{d}" for d in powers)
+    steps = "w0 AS (SELECT *, CAST(tokens AS DOUBLE) AS w FROM goals)"
+    k = 0
+    for _ in range(sweeps):
+        for d in powers:
+            steps += (
+                f", w{k + 1} AS MATERIALIZED (SELECT * REPLACE (coalesce(w * goal_{d} / "
+                f"nullif(sum(w) OVER (PARTITION BY {d}), 0), w) AS w) FROM w{k})"
+            )
+            k += 1
+    return f"""
+    WITH d AS (
+        SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang,
+            CASE WHEN contains(text, ' | ') THEN 'table' WHEN contains(text, '!!') THEN 'shout'
+                WHEN contains(text, 'Licensed under') THEN 'licence'
+                WHEN regexp_matches(coalesce(text, ''), '[0-9]{{3}}') THEN 'data' ELSE 'prose' END AS topic,
+            len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS n_tokens,
+            CAST(('0x' || substr(md5('0|' || doc_id || '|' || md5(coalesce(text, ''))), 1, 13)) AS BIGINT) / pow(16, 13) AS u
+        FROM documents
+    ),
+    cells AS (SELECT source, lang, topic, sum(n_tokens) AS tokens FROM d GROUP BY ALL),
+    sums AS (SELECT *, {goals}, sum(tokens) OVER () AS total FROM cells),
+    goals AS (SELECT *, {scaled} FROM sums),
+    {steps},
+    f AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN w / tokens END AS weight FROM w{k}),
+    p AS (
+        SELECT source, lang, topic, coalesce(weight, (SELECT min(weight) FROM f WHERE weight > 0)) AS weight,
+            coalesce(weight, (SELECT min(weight) FROM f WHERE weight > 0)) / (SELECT max(weight) FROM f) AS prob
+        FROM f
+    )
+    SELECT doc_id, source, lang, topic, CAST(n_tokens AS BIGINT) AS n_tokens, round(weight, 6) AS weight,
+        round(prob, 6) AS probability, u < prob AS selected
+    FROM d JOIN p USING (source, lang, topic)"""
+
+
 WORDS_SQL = """
     SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w
     FROM documents"""
@@ -118,3 +168,41 @@ def op4_nbsvm_quality(spark: SparkSession, folder: str) -> DataFrame:
     fold = language_mixture.remainder("doc_id", 3)
     labels = table(spark, folder, "labels").filter(fold != 1).select("doc_id", F.col("quality").alias("label"))
     return nbsvm.classify(docs, labels, fold == 1)
+
+
+@query("op5_lz_fingerprint")
+def op5_lz_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint of every document, against its edited text and the next document."""
+    return lz_fingerprint.edited_fingerprints(table(spark, folder, "documents"))
+
+
+@query("op10_token_output")
+def op10_token_output(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's place in the token files, read back from them."""
+    return token_output.encode_and_index(table(spark, folder, "documents"), default_tokenizer())
+
+
+@query("op6_raked_mixture", sql=raking_sql())
+def op6_raked_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """Calibrated drawing probability of every document, and whether it is drawn."""
+    drawn = raking.draw(table(spark, folder, "documents"))
+    return drawn.withColumns({c: F.round(c, 6) for c in ("weight", "probability")})
+
+
+@query("op2_hilbert_shards")
+def op2_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """Shard and place in it of every document, in Hilbert order of its metadata."""
+    return hilbert.shard(table(spark, folder, "documents"))
+
+
+@query("op8_simhash_decontamination")
+def op8_simhash_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Every benchmark item found in a document, with its best window."""
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op7_gru_language_model")
+def op7_gru_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probability of every document under a unigram base and a recurrent model."""
+    docs = table(spark, folder, "documents")
+    return gru_lm.score(docs, language_mixture.remainder("doc_id", 7) == 2)
