@@ -34,7 +34,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def raking_sql(sweeps: int = 24) -> str:
+def raking_sql(sweeps: int = 16) -> str:
     """Checking SQL of the raking: a fixed number of sweeps over the cells, each a window."""
     powers = raking.FLATTEN
     goals = ", ".join(

@@ -20,15 +20,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
 DIMENSIONS = ("source", "lang", "topic")
 FLATTEN = {"source": 0.7, "lang": 0.7, "topic": 1.0}  # target share is the observed one to this power
-MAX_SWEEPS = 40
-TOLERANCE = 1e-10  # largest relative error of a margin
+MAX_SWEEPS = 48
+SWEEPS_PER_JOB = 8
+TOLERANCE = 1e-9  # largest relative error of a margin
 BROADCAST_CELLS = 100_000
 NONE = "(none)"
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -92,28 +93,45 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], max_sweeps: int = M
     for d in DIMENSIONS:
         present = targets[d].join(cells.filter("tokens > 0").select(d).distinct(), d, "left_semi").filter("share > 0")
         scale = present.agg(F.sum("share")).first()[0] or 1.0
-        goal = present.select(d, (F.col("share") * (total / scale)).alias("goal"))
+        goal = present.select(d, (F.col("share") * (total / scale)).alias(f"goal_{d}"))
         wanted[d] = _small(cut_lineage(goal))
     fit = cells.withColumn("w", F.col("tokens").cast("double"))
     for d in DIMENSIONS:  # categories without a target
-        fit = fit.join(wanted[d], d, "left").withColumn("w", F.when(F.col("goal").isNotNull(), F.col("w")).otherwise(0.0)).drop("goal")
+        fit = fit.join(wanted[d], d, "left").withColumn("w", F.when(F.col(f"goal_{d}").isNotNull(), F.col("w")).otherwise(0.0))
+    goals = {d: f"goal_{d}" for d in DIMENSIONS}
     fit = cut_lineage(fit)
-    few = fit.count() <= BROADCAST_CELLS
-    for _ in range(max_sweeps):
-        worst = F.lit(0.0)
-        for d in DIMENSIONS:
-            sums = fit.groupBy(d).agg(F.sum("w").alias("have")).join(wanted[d], d)
-            ratio = F.when(F.col("have") > 0, F.col("goal") / F.col("have")).otherwise(1.0)
-            step = sums.select(d, ratio.alias("ratio"))
-            fit = fit.join(F.broadcast(step) if few else step, d, "left").withColumns(
-                {"w": F.col("w") * F.coalesce("ratio", F.lit(1.0)), f"off_{d}": F.abs(F.coalesce("ratio", F.lit(1.0)) - 1)}
-            ).drop("ratio")
-            worst = F.greatest(worst, F.col(f"off_{d}"))
-        fit = cut_lineage(fit.withColumn("off", worst).drop(*[f"off_{d}" for d in DIMENSIONS]))
+    sweep, per_job = (_sweep_in_one, SWEEPS_PER_JOB) if fit.count() <= BROADCAST_CELLS else (_sweep_by_joins, 1)
+    for _ in range(-(-max_sweeps // per_job)):
+        for _ in range(per_job):
+            fit = sweep(fit, goals)
+        fit = cut_lineage(fit)
         if (fit.agg(F.max("off")).first()[0] or 0.0) <= TOLERANCE:
             break
-        fit = fit.drop("off")
-    return fit.drop("off")
+    return fit.drop("off", *goals.values())
+
+
+def _scaled(fit: DataFrame, goal: str, have: Column) -> DataFrame:
+    ratio = F.when(have > 0, F.col(goal) / have).otherwise(1.0)
+    return fit.withColumn("ratio", F.coalesce(ratio, F.lit(1.0))).withColumns(
+        {"w": F.col("w") * F.col("ratio"), "off": F.greatest("off", F.abs(F.col("ratio") - 1))}
+    ).drop("ratio")
+
+
+def _sweep_in_one(fit: DataFrame, goals: Mapping[str, str]) -> DataFrame:
+    """One sweep over at most BROADCAST_CELLS cells: windows in one task, no shuffle between them."""
+    fit = fit.coalesce(1).withColumn("off", F.lit(0.0))
+    for d, goal in goals.items():
+        fit = _scaled(fit.withColumn("have", F.sum("w").over(Window.partitionBy(d))), goal, F.col("have")).drop("have")
+    return fit
+
+
+def _sweep_by_joins(fit: DataFrame, goals: Mapping[str, str]) -> DataFrame:
+    """One sweep over any number of cells: pre-aggregated margin sums joined back."""
+    fit = fit.withColumn("off", F.lit(0.0))
+    for d, goal in goals.items():
+        sums = fit.groupBy(d).agg(F.sum("w").alias("have"))
+        fit = cut_lineage(_scaled(fit.join(sums, d, "left"), goal, F.col("have")).drop("have"))
+    return fit
 
 
 def calibrated(rows: DataFrame, powers: Mapping[str, float] = FLATTEN, targets: Mapping[str, DataFrame] | None = None) -> DataFrame:
