@@ -43,6 +43,7 @@ BANDS = 40  # the other places only sharpen the estimate
 LIKELY = 0.67  # share of equal signature places below which a pair is not verified
 PERCENT = 75
 MEMBERS = 256  # texts verified per group against one hub
+SIGN_BYTES = 1 << 20  # text bytes signed at once; a permutation takes M bytes per open shingle
 FIRST = -(2**63)
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -131,7 +132,7 @@ def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _describe(size: int, m: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SIGN_BYTES):
             sets, offsets = shingle_sets(part.column("text"), size)
             yield pa.RecordBatch.from_arrays(
                 [
