@@ -225,3 +225,19 @@ def identify(docs: DataFrame, train: DataFrame, held_out=None) -> DataFrame:
         F.col("doc_id").cast("bigint").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text")
     )
     return rows.mapInArrow(_predict(langs, model), SCHEMA)
+
+
+LEAST_SHARE = 0.5
+
+
+def keep_identified(docs: DataFrame, train: DataFrame, least: float = LEAST_SHARE) -> DataFrame:
+    """Rows of ``docs`` with letters and one language of at least that share, with their own columns."""
+    langs, model = learn(train)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            share = mixtures(part.column("text"), model)
+            sure = share.max(axis=1) >= least if len(langs) else np.zeros(part.num_rows, bool)
+            yield part.filter(pa.array(sure))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -356,3 +356,16 @@ def _likely(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     a = sigs.select(F.col("rep").alias("hub"), F.col("sig").alias("sig_a"))
     b = sigs.select("rep", F.col("sig").alias("sig_b"))
     return pairs.join(a, "hub").join(b, "rep").select("hub", "rep", "sig_a", "sig_b").mapInArrow(_alike, PAIR)
+
+
+def keep_first(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Rows of ``docs`` that name their group, with their own columns.
+
+    Of identical rows (same id and text) one stays; rows without a word all stay.
+    """
+    kept = near_duplicates(docs, size, percent).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    stay = docs.join(kept, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__kept")), "left_semi")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    again = Window.partitionBy("doc_id", F.crc32(text.cast("binary"))).orderBy(F.lit(0))
+    numbered = stay.withColumn("__again", F.row_number().over(again))
+    return numbered.filter((F.col("__again") == 1) | ~text.rlike("[^\\x20\\x09-\\x0D]")).select(*docs.columns)
