@@ -2,16 +2,15 @@
 
 F1 depends only on the confusion cells, so a replicate of n rows drawn with replacement
 is one multinomial draw over the cells: the cost per replicate does not depend on the
-corpus. Counts are aggregated in the JVM; replicates are drawn in Arrow batches spread
-over (group, chunk) tasks and summarised by Spark.
+corpus. Replicates are rows; all draws are md5 numbers and expressions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Sequence
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,20 +19,40 @@ from .ranking import first_per_key, null_safe_join
 
 N_BOOT = 10_000
 SEED = 42
-CHUNK = 1_000
 LOW, HIGH = 0.025, 0.975
 
 
-def _f1_rows(tp, fp, fn):
-    den = 2 * tp + fp + fn
-    return np.where(den > 0, 2 * tp / np.maximum(den, 1), 0.0)
+def _replicates(counts: DataFrame, n_boot: int) -> DataFrame:
+    """One row per (group, replicate ``__b``), spread over tasks."""
+    reps = counts.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    return reps.repartition("__b")
 
 
-def _spread(cells: DataFrame, by: Sequence[str], n_boot: int, chunk: int) -> DataFrame:
-    """One row per (group, chunk of replicates), spread over tasks."""
-    n_chunks = -(-n_boot // chunk)
-    tasks = cells.withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))))
-    return tasks.repartition(*by, "__chunk")
+def _normal(seed: int, k: int) -> Column:
+    """Standard normal number of (seed, replicate, k): Box-Muller on two halves of an md5."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("__b").cast("string"), F.lit(str(k))))
+    part = lambda at: F.conv(F.substring(digest, at, 13), 16, 10).cast("double")
+    radius = F.sqrt(-2 * F.log((part(1) + 1) / float(2**52)))
+    return radius * F.cos(part(14) / float(2**52) * (2 * math.pi))
+
+
+def multinomial(reps: DataFrame, cells: Sequence[str], seed: int, prefix: str = "b_") -> DataFrame:
+    """Adds resampled counts of ``cells``: conditional binomials, each a rounded normal number.
+
+    The cost does not depend on the counts. For a few dozen rows the normal form is coarse;
+    :func:`bootstrap_f1_by_draw` draws every row.
+    """
+    total = reduce(lambda a, b: a + b, [F.col(c) for c in cells])
+    out = reps.withColumns({"__left": total.cast("double"), "__rest": total.cast("double")})
+    for k, c in enumerate(cells[:-1]):
+        share = F.when(F.col("__rest") > 0, F.col(c) / F.col("__rest")).otherwise(0.0)
+        mean = F.col("__left") * share
+        drawn = F.round(mean + _normal(seed, k) * F.sqrt(mean * F.greatest(1 - share, F.lit(0.0))))
+        out = out.withColumn(f"{prefix}{c}", F.least(F.greatest(drawn, F.lit(0.0)), F.col("__left")))
+        out = out.withColumns(
+            {"__left": F.col("__left") - F.col(f"{prefix}{c}"), "__rest": F.col("__rest") - F.col(c)}
+        )
+    return out.withColumn(f"{prefix}{cells[-1]}", F.col("__left")).drop("__left", "__rest")
 
 
 def bootstrap_f1(
@@ -43,27 +62,12 @@ def bootstrap_f1(
     by: Sequence[str] = (),
     n_boot: int = N_BOOT,
     seed: int = SEED,
-    chunk: int = CHUNK,
 ) -> DataFrame:
     """Point F1, 2.5 and 97.5 percentiles and half-width per group."""
     by = list(by)
     counts = df.groupBy(*by).agg(*confusion_aggs(pred, gold))
-    tasks = _spread(counts, by, n_boot, chunk)
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.to_dict("records"):
-                cells = np.array([row["tp"], row["fp"], row["fn"], row["tn"]], dtype=np.float64)
-                n = int(cells.sum())
-                rng = np.random.default_rng([seed, row["__chunk"]])
-                size = min(chunk, n_boot - row["__chunk"] * chunk)
-                m = rng.multinomial(n, cells / n, size=size) if n else np.zeros((size, 4), int)
-                out = {c: [row[c]] * size for c in by}
-                yield pd.DataFrame({**out, "__f1": _f1_rows(m[:, 0], m[:, 1], m[:, 2])})
-
-    fields = [f for f in tasks.schema.fields if f.name in by]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["__f1 double"])
-    draws = tasks.mapInPandas(draw, schema)
+    reps = multinomial(_replicates(counts, n_boot), ["tp", "fp", "fn", "tn"], seed)
+    draws = reps.select(*by, f1_of("b_tp", "b_fp", "b_fn").alias("__f1"))
     return _interval(counts.withColumn("f1", f1_of()), draws, by)
 
 
@@ -81,7 +85,8 @@ def _interval(points: DataFrame, draws: DataFrame, by: Sequence[str]) -> DataFra
 def draw_index(seed: int, n: Column, b: str = "__b", j: str = "__j") -> Column:
     """Reproducible uniform draw in [0, n): md5 of seed, replicate and draw number."""
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(b).cast("string"), F.col(j).cast("string")))
-    return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), n)
+    share = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
+    return F.floor(share * n).cast("long")
 
 
 def _draw_rows(counts: DataFrame, n: Column, n_boot: int) -> DataFrame:
@@ -134,45 +139,21 @@ def pair_counts(df: DataFrame, gold: Column, a: Column, b: Column, by: Sequence[
     )
 
 
-def _pair_f1(counts: np.ndarray, second: bool) -> np.ndarray:
-    hit = (lambda g, a, b: b) if second else (lambda g, a, b: a)
-    bits = [(int(n[1]), int(n[2]), int(n[3])) for n in PAIR_CELLS]
-    total = lambda test: counts[:, [i for i, t in enumerate(bits) if test(*t)]].sum(axis=1)
-    tp = total(lambda g, a, b: g == 1 and hit(g, a, b) == 1)
-    fp = total(lambda g, a, b: g == 0 and hit(g, a, b) == 1)
-    fn = total(lambda g, a, b: g == 1 and hit(g, a, b) == 0)
-    return _f1_rows(tp, fp, fn)
+def _pair_difference() -> Column:
+    c = lambda *names: sum((F.col(f"b_{n}") for n in names[1:]), F.col(f"b_{names[0]}"))
+    f1_a = f1_of(c("c110", "c111"), c("c010", "c011"), c("c100", "c101"))
+    f1_b = f1_of(c("c101", "c111"), c("c001", "c011"), c("c100", "c110"))
+    return f1_a - f1_b
 
 
 def paired_bootstrap(
-    df: DataFrame,
-    gold: Column,
-    a: Column,
-    b: Column,
-    by: Sequence[str] = (),
-    n_boot: int = N_BOOT,
-    seed: int = SEED,
-    chunk: int = CHUNK,
+    df: DataFrame, gold: Column, a: Column, b: Column, by: Sequence[str] = (), n_boot: int = N_BOOT, seed: int = SEED
 ) -> DataFrame:
     """F1(a) - F1(b) on the same resamples: mean, 2.5/97.5 percentiles, share above zero."""
     by = list(by)
     counts = pair_counts(df, gold, a, b, by)
-    tasks = _spread(counts, by, n_boot, chunk)
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.to_dict("records"):
-                cells = np.array([row[c] for c in PAIR_CELLS], dtype=np.float64)
-                n = int(cells.sum())
-                rng = np.random.default_rng([seed, row["__chunk"]])
-                size = min(chunk, n_boot - row["__chunk"] * chunk)
-                m = rng.multinomial(n, cells / n, size=size) if n else np.zeros((size, 8), int)
-                out = {c: [row[c]] * size for c in by}
-                yield pd.DataFrame({**out, "__d": _pair_f1(m, False) - _pair_f1(m, True)})
-
-    fields = [f for f in tasks.schema.fields if f.name in by]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["__d double"])
-    return summarise_differences(tasks.mapInPandas(draw, schema), by)
+    reps = multinomial(_replicates(counts, n_boot), PAIR_CELLS, seed)
+    return summarise_differences(reps.select(*by, _pair_difference().alias("__d")), by)
 
 
 def paired_bootstrap_by_draw(
@@ -194,10 +175,7 @@ def paired_bootstrap_by_draw(
     reps = d.groupBy(*by, "__b").agg(
         *[F.count_if(test).alias(f"b_{name}") for name, test in inside.items()]
     )
-    c = lambda *names: sum((F.col(f"b_{n}") for n in names[1:]), F.col(f"b_{names[0]}"))
-    f1_a = f1_of(c("c110", "c111"), c("c010", "c011"), c("c100", "c101"))
-    f1_b = f1_of(c("c101", "c111"), c("c001", "c011"), c("c100", "c110"))
-    return summarise_differences(reps.select(*by, (f1_a - f1_b).alias("__d")), by)
+    return summarise_differences(reps.select(*by, _pair_difference().alias("__d")), by)
 
 
 def summarise_differences(draws: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -255,11 +255,18 @@ def swap_counts(swapped: DataFrame) -> DataFrame:
 
 
 def resume_columns(base: DataFrame, earlier: DataFrame, row_id: str = "row_id") -> DataFrame:
-    """Bring over only the columns ``base`` lacks, if both tables hold equally many rows."""
+    """Bring over only the columns ``base`` lacks, if both tables hold equally many rows.
+
+    ``resume_status`` says what was done: ``merged``, ``nothing new`` or ``row counts differ``
+    (then no column is taken).
+    """
     new = [c for c in earlier.columns if c not in base.columns]
-    if not new or base.count() != earlier.count():
-        return base
-    return base.join(earlier.select(row_id, *new), row_id, "left")
+    if not new:
+        return base.withColumn("resume_status", F.lit("nothing new"))
+    if base.count() != earlier.count():
+        return base.withColumn("resume_status", F.lit("row counts differ"))
+    merged = base.join(earlier.select(row_id, *new), row_id, "left")
+    return merged.withColumn("resume_status", F.lit("merged"))
 
 
 def join_predictions(

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import first_per_key, hash_key, null_safe_join, ordered_rank, prefix_sums
+from .ranking import HASH_DIGITS, first_per_key, hash_key, null_safe_join, prefix_sums, with_totals
 from .roc import stratified_folds
 
 MIN_PREDICATE_COUNT = 20
 SEED = 42
 WEIGHT_UNIT = 1_000_000
+PER_SEGMENT = 64
 
 
 def predicate_folds(df: DataFrame, row_id: str, k: int, predicate="predicate", seed=SEED) -> DataFrame:
@@ -60,17 +61,37 @@ def exact_sample(
 ) -> DataFrame:
     """Uniform sample without replacement of exactly min(n, pool) rows.
 
-    The n rows with the smallest md5 keys are found by bucketed ranks, so neither a
-    global sort nor a one-task limit is needed. ``n`` may be a one-row frame with column
-    ``n`` (a size only known at run time).
+    The sample is every row up to the n-th in md5 order of its ids, which must be unique.
+    That row is found from ids alone: bucket totals say which bucket holds it, and only
+    that bucket is ranked. Rows are then kept by comparing with it, so no other column is
+    ever shuffled. ``n`` may be a one-row frame with column ``n`` (a size only known at run
+    time).
     """
     pool = df if pool_filter is None else df.filter(pool_filter)
-    ranked = ordered_rank(pool.withColumn("__h", hash_key(seed, *ids)), "__h", ids, name="__rank")
+    key = F.struct(hash_key(seed, *ids).alias("__md5"), *[F.col(c) for c in ids])
+    last = _nth_key(pool.select(key.alias("__key")), n)
+    kept = with_totals(pool, last)
+    inside = F.when(F.col("__all"), F.lit(True)).otherwise(F.coalesce(key <= F.col("__last"), F.lit(False)))
+    return kept.filter(inside).drop("__last", "__all")
+
+
+def _nth_key(keys: DataFrame, n: int | DataFrame) -> DataFrame:
+    """One row: the n-th smallest ``__key`` (null if there is none), and whether all are wanted."""
+    d = keys.withColumn("__b", F.substring("__key.__md5", 1, HASH_DIGITS))
+    totals = d.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
+    running = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # few buckets
+    upto = totals.withColumn("__upto", F.sum("__n").over(running))
     if isinstance(n, DataFrame):
-        size = n.select(F.col("n").alias("__size"))
-        kept = null_safe_join(ranked, size, []).filter(F.col("__rank") < F.col("__size"))
-        return kept.drop("__h", "__rank", "__size")
-    return ranked.filter(F.col("__rank") < n).drop("__h", "__rank")
+        upto = with_totals(upto, n.select(F.col("n").cast("long").alias("__size")))
+    else:
+        upto = upto.withColumn("__size", F.lit(n).cast("long"))
+    room = F.col("__size") - F.col("__upto") + F.col("__n")
+    edge = upto.filter((room >= 1) & (room <= F.col("__n"))).select("__b", room.alias("__room"))
+    place = F.row_number().over(Window.partitionBy("__b").orderBy("__key"))
+    found = d.join(F.broadcast(edge), "__b").withColumn("__place", place).filter(F.col("__place") == F.col("__room"))
+    last = found.agg(F.max("__key").alias("__last"))
+    every = upto.agg(F.coalesce(F.max(F.col("__upto")) <= F.max("__size"), F.lit(True)).alias("__all"))
+    return with_totals(last, every)
 
 
 def size_matched_control(raw: DataFrame, target: DataFrame, ids: Sequence[str], seed: int = SEED):
@@ -80,7 +101,7 @@ def size_matched_control(raw: DataFrame, target: DataFrame, ids: Sequence[str],
 
 
 def weighted_draws(
-    df: DataFrame, weight: str, n: int, ids: Sequence[str], seed: int = SEED, parts: int = 1024
+    df: DataFrame, weight: str, n: int, ids: Sequence[str], seed: int = SEED, parts: int | None = None
 ) -> DataFrame:
     """``n`` draws with replacement, probability proportional to ``weight``.
 
@@ -88,10 +109,13 @@ def weighted_draws(
     whose cumulative weight interval holds it. Rows and draws are matched by weight
     segment: the weight axis is cut into equal segments, a row is sent to each segment
     it covers and a draw to its own, so the range lookup becomes an equi-join. Weights
-    are summed as integers (millionths), so intervals meet exactly.
+    are summed as integers (millionths), so intervals meet exactly; a positive weight
+    counts as one millionth at least, so every row can be drawn. The number of segments
+    grows with the draws, so that one holds about ``PER_SEGMENT`` of them.
     """
-    d = df.withColumn("__h", hash_key(seed, *ids))
-    d = d.withColumn("__w", F.round(F.col(weight) * WEIGHT_UNIT).cast("long")).filter("__w > 0")
+    parts = parts or max(1, -(-n // PER_SEGMENT))
+    d = df.filter(F.col(weight) > 0).withColumn("__h", hash_key(seed, *ids))
+    d = d.withColumn("__w", F.greatest(F.round(F.col(weight) * WEIGHT_UNIT).cast("long"), F.lit(1)))
     cum = prefix_sums(d, "__h", ["__w"], F.substring("__h", 1, 3), prefix="__cum")
     cum = cum.withColumn("__lo", F.col("__cum__w") - F.col("__w"))
     total = d.agg(F.sum("__w").alias("__total"))

@@ -357,7 +357,7 @@ def annotated_predicates(df: DataFrame, predicate: str, manual: str) -> DataFram
 def baseline_table(df: DataFrame, score: str, gold: str, by: Sequence[str], predicate: str, min_n: int = 10):
     """Fixed-rule filter (score > 0.75) against its best threshold, per group.
 
-    Both rows carry precision, recall, F1, accuracy and predicate-macro F1.
+    Both rows carry precision, recall, F1 with its interval, accuracy and predicate-macro F1.
     """
     by = list(by)
     fixed = metrics_at_threshold(df, score, gold, BASELINE_THRESHOLD, by, strict=True)
@@ -369,7 +369,8 @@ def baseline_table(df: DataFrame, score: str, gold: str, by: Sequence[str], pred
     labelled = null_safe_join(df, rows.select(*by, "mode", "threshold"), by)
     p, g = F.col(score) > F.col("threshold"), F.col(gold) == 1
     macro = predicate_macro_f1(labelled, p, g, [*by, "mode"], predicate, min_n)
-    return null_safe_join(rows, macro, [*by, "mode"])
+    ci = bootstrap_f1(labelled, p, g, [*by, "mode"]).select(*by, "mode", "ci_lo", "ci_hi")
+    return null_safe_join(null_safe_join(rows, macro, [*by, "mode"]), ci, [*by, "mode"])
 
 
 def best_row_per_model(metrics: DataFrame, model: str, metric: str, ties: Sequence[str]) -> DataFrame:
@@ -383,12 +384,16 @@ def seed_summary(results: DataFrame, variant: str, metrics: Sequence[str]) -> Da
 
 
 def token_totals(calls: DataFrame, prices: DataFrame, by: Sequence[str], model: str = "model") -> DataFrame:
-    """Token sums and cost per configuration; prices per million tokens joined by model."""
+    """Token sums and cost per configuration; prices per million tokens joined by model.
+
+    Models without a price keep their tokens, with null cost and ``priced`` false.
+    """
     sums = calls.groupBy(*dict.fromkeys([*by, model])).agg(
         F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out")
     )
     cost = (F.col("tokens_in") * F.col("price_in") + F.col("tokens_out") * F.col("price_out")) / 1e6
-    return sums.join(prices, model).withColumn("cost", cost).drop("price_in", "price_out")
+    known = sums.join(prices, model, "left").withColumns({"cost": cost, "priced": F.col("price_in").isNotNull()})
+    return known.drop("price_in", "price_out")
 
 
 def throughput(runs: DataFrame, by: Sequence[str], rows: str = "n_rows", seconds: str = "seconds"):

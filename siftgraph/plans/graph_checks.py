@@ -84,12 +84,12 @@ def _(t: Tables):
     return K.size_matched_control(t.signals, accepted, ["row_id"])
 
 
-LABELS_SQL = """(SELECT predicate FROM candidates GROUP BY 1 HAVING count(*) >= 2400
+LABELS_SQL = """(SELECT predicate FROM candidates GROUP BY 1 HAVING count(*) >= 20
     INTERSECT SELECT predicate FROM gold WHERE label = 1)"""
 
 
 def label_names(t: Tables):
-    return K.label_set(t.candidates, t.gold.filter("label = 1"), 2400)
+    return K.label_set(t.candidates, t.gold.filter("label = 1"), 20)
 
 
 @check(
@@ -104,7 +104,7 @@ def _(t: Tables):
 @check(
     "k10_weighted_draws",
     "draw:i row_id:s",
-    """WITH w AS (SELECT row_id, CAST(round(a_score * 1000000) AS BIGINT) AS w FROM candidates),
+    """WITH w AS (SELECT row_id, greatest(CAST(round(a_score * 1000000) AS BIGINT), 1) AS w FROM candidates WHERE a_score > 0),
         c AS (SELECT row_id, sum(w) OVER (ORDER BY md5('42|' || row_id) ROWS UNBOUNDED PRECEDING) AS hi, w FROM w WHERE w > 0),
         d AS (SELECT range AS draw, CAST(floor(('0x' || substr(md5('42|' || range), 1, 13))::BIGINT / 4503599627370496e0
                  * (SELECT sum(w) FROM w)::DOUBLE) AS BIGINT) AS u FROM range((SELECT count(*) FROM candidates)))
@@ -140,7 +140,7 @@ def _(t: Tables):
 
 VOCAB_SQL = """WITH g AS (SELECT concat(predicate, CASE WHEN linenumber >= 6 THEN '+' ELSE '' END) AS predicate, row_id
                           FROM candidates WHERE quantity = 7),
-    f AS (SELECT predicate, row_number() OVER (ORDER BY predicate) - 1 AS id FROM candidates GROUP BY 1 HAVING count(*) >= 2400),
+    f AS (SELECT predicate, row_number() OVER (ORDER BY predicate) - 1 AS id FROM candidates GROUP BY 1 HAVING count(*) >= 20),
     x AS (SELECT predicate, min(row_id) AS first FROM g WHERE predicate NOT IN (SELECT predicate FROM f) GROUP BY 1)
     SELECT predicate, id, 0 AS gold_only FROM f UNION ALL
     SELECT predicate, (SELECT count(*) FROM f) + row_number() OVER (ORDER BY first, predicate) - 1, 1 FROM x"""
@@ -149,7 +149,7 @@ VOCAB_SQL = """WITH g AS (SELECT concat(predicate, CASE WHEN linenumber >= 6 THE
 def vocabulary(t: Tables):
     mark = F.when(F.col("linenumber") >= 6, "+").otherwise("")
     gold = t.candidates.filter("quantity = 7").withColumn("predicate", F.concat("predicate", mark))
-    return K.predicate_vocabulary(t.candidates, gold, "row_id", 2400)
+    return K.predicate_vocabulary(t.candidates, gold, "row_id", 20)
 
 
 @check("k13_predicate_vocabulary", "predicate:s id:i gold_only:i", VOCAB_SQL)

@@ -232,8 +232,8 @@ def _(t: Tables):
 
 @check(
     "e13_resume_columns",
-    "row_id:s label:i alpha__score:d",
-    "SELECT row_id, label, alpha__score FROM signals",
+    "row_id:s label:i alpha__score:d resume_status:s",
+    "SELECT row_id, label, alpha__score, 'merged' AS resume_status FROM signals",
 )
 def _(t: Tables):
     earlier = t.signals.select("row_id", F.lit(9).alias("label"), "alpha__score")
@@ -243,7 +243,7 @@ def _(t: Tables):
 @check(
     "e14_prediction_join",
     "id:s gold:s mappable:i n:i",
-    """SELECT CAST(conv_id AS VARCHAR) AS id, role AS gold, (text LIKE 'E%') AS mappable, count(*) AS n
+    """SELECT CAST(conv_id AS VARCHAR) AS id, role AS gold, (trim(split_part(text, '.', 1)) IN ('The', 'Of')) AS mappable, count(*) AS n
        FROM (SELECT c.conv_id, c.turn, c.text, g.role FROM {conversations} c
              JOIN (SELECT conv_id, turn, role FROM {conversations} WHERE role <> 'user') g
                ON c.conv_id = g.conv_id AND c.turn = g.turn) GROUP BY ALL""",
@@ -252,8 +252,9 @@ def _(t: Tables):
     ident = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     c = t.conversations.withColumn("id", ident)
     gold = c.select("id", F.when(F.col("role") != "user", F.col("role")).otherwise("").alias("gold"))
-    preds = c.select("id", F.substring("text", 1, 1).alias("prediction"))
-    j = J.join_predictions(preds, gold, ["E"])
+    # the whole answer is parsed: its first sentence is the predicted label
+    preds = c.select("id", F.trim(F.split_part("text", F.lit("."), F.lit(1))).alias("prediction"))
+    j = J.join_predictions(preds, gold, ["The", "Of"])
     return j.groupBy(F.substring_index("id", "/", 1).alias("id"), "gold", "mappable").agg(
         F.count(F.lit(1)).alias("n")
     )

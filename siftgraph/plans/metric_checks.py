@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
@@ -101,16 +103,16 @@ PRED_SQL = f"""c AS (SELECT config, predicate, count(*) AS n, avg(label) AS pos_
 @check(
     "h07_per_predicate_f1",
     "config:s predicate:s n:i pos_rate:d f1:d",
-    f"WITH {PRED_SQL} SELECT config, predicate, n, pos_rate, f1 FROM per WHERE n >= 2400",
+    f"WITH {PRED_SQL} SELECT config, predicate, n, pos_rate, f1 FROM per WHERE n >= 10",
 )
 def _(t: Tables):
-    return M.per_predicate_f1(t.runs, F.col("pred") == "1", F.col("label") == 1, ["config"], min_n=2400)
+    return M.per_predicate_f1(t.runs, F.col("pred") == "1", F.col("label") == 1, ["config"], min_n=10)
 
 
 @check(
     "h08_predicate_macro_f1",
     "config:s macro_all:d macro_large:d macro_none:s",
-    f"""WITH {PRED_SQL} SELECT config, avg(f1) AS macro_all, avg(f1) FILTER (WHERE n >= 2400) AS macro_large,
+    f"""WITH {PRED_SQL} SELECT config, avg(f1) AS macro_all, coalesce(avg(f1) FILTER (WHERE n >= 10), 'NaN'::DOUBLE) AS macro_large,
         'NaN' AS macro_none FROM per GROUP BY 1""",
 )
 def _(t: Tables):
@@ -119,7 +121,7 @@ def _(t: Tables):
         "macro_f1", name
     )
     none = macro(10**9, "m").select("config", F.col("m").cast("string").alias("macro_none"))
-    return macro(1, "macro_all").join(macro(2400, "macro_large"), "config").join(none, "config")
+    return macro(1, "macro_all").join(macro(10, "macro_large"), "config").join(none, "config")
 
 
 @check(
@@ -149,7 +151,7 @@ def draws_sql(groups: str, n_boot: int = BOOT) -> str:
     """CTEs from ``cells`` (group columns, tp, fp, fn, tn) to ``ci`` (point, percentiles)."""
     return f"""sized AS (SELECT *, tp + fp + fn + tn AS size FROM cells),
     reps AS (SELECT s.*, b.range AS b FROM sized s, range({n_boot}) b),
-    draws AS (SELECT reps.*, ('0x' || substr(md5('42|' || reps.b || '|' || j.range), 1, 8))::BIGINT % size AS u
+    draws AS (SELECT reps.*, CAST(floor(('0x' || substr(md5('42|' || reps.b || '|' || j.range), 1, 13))::BIGINT / 4503599627370496e0 * size) AS BIGINT) AS u
               FROM reps, LATERAL (SELECT unnest(range(size)) AS range) j),
     stats AS (SELECT {groups} b, count(*) FILTER (WHERE u < tp) AS btp,
                      count(*) FILTER (WHERE u >= tp AND u < tp + fp) AS bfp,
@@ -158,6 +160,43 @@ def draws_sql(groups: str, n_boot: int = BOOT) -> str:
     q AS (SELECT {groups} quantile_cont(f1, 0.025) AS ci_lo, quantile_cont(f1, 0.975) AS ci_hi FROM f GROUP BY ALL)"""
 
 
+def normal_draws_sql(cells: list[str], groups: str, n_boot: int = 10_000) -> str:
+    """CTEs from ``cells`` (group columns and cell counts) to ``reps`` with b_ columns, as the cell bootstrap."""
+    total = " + ".join(cells)
+    out = f"""r0 AS MATERIALIZED (SELECT {groups} {', '.join(cells)}, b.range AS b, CAST({total} AS DOUBLE) AS lft, CAST({total} AS DOUBLE) AS rst
+        FROM cells, range({n_boot}) b)"""
+    part = lambda k, at: f"CAST(('0x' || substr(md5('42|' || b || '|{k}'), {at}, 13)) AS BIGINT)"
+    for k, c in enumerate(cells[:-1]):
+        z = f"sqrt(-2 * ln(({part(k, 1)} + 1) / 4503599627370496e0)) * cos({part(k, 14)} / 4503599627370496e0 * {2 * math.pi!r})"
+        share = f"(CASE WHEN rst > 0 THEN {c} / rst ELSE 0 END)"
+        drawn = f"round(lft * {share} + {z} * sqrt(lft * {share} * greatest(1 - {share}, 0)))"
+        out += f""", d{k} AS (SELECT *, least(greatest({drawn}, 0), lft) AS b_{c} FROM r{k}),
+        r{k + 1} AS MATERIALIZED (SELECT * REPLACE (lft - b_{c} AS lft, rst - {c} AS rst) FROM d{k})"""
+    return out + f", reps AS (SELECT *, lft AS b_{cells[-1]} FROM r{len(cells) - 1})"
+
+
+def interval_sql(groups: str, n_boot: int = 10_000) -> str:
+    """From ``cells`` with tp, fp, fn, tn to ``q`` (group columns, ci_lo, ci_hi)."""
+    return f"""{normal_draws_sql(['tp', 'fp', 'fn', 'tn'], groups, n_boot)},
+    f AS (SELECT {groups} CASE WHEN 2 * b_tp + b_fp + b_fn = 0 THEN 0 ELSE 2.0e0 * b_tp / (2 * b_tp + b_fp + b_fn) END AS f1 FROM reps),
+    q AS (SELECT {groups} quantile_cont(f1, 0.025) AS ci_lo, quantile_cont(f1, 0.975) AS ci_hi FROM f GROUP BY ALL)"""
+
+
+PAIR_SQL = ", ".join(f"count(*) FILTER (WHERE g = {n[1]} AND a = {n[2]} AND b = {n[3]}) AS {n}" for n in BS.PAIR_CELLS)
+
+
+def difference_sql(groups: str) -> str:
+    """From ``cells`` with the eight pair cells to ``d`` (group columns, d)."""
+    f1 = lambda tp, fp, fn: f"(CASE WHEN 2 * ({tp}) + {fp} + {fn} = 0 THEN 0 ELSE 2.0e0 * ({tp}) / (2 * ({tp}) + {fp} + {fn}) END)"
+    a = f1("b_c110 + b_c111", "b_c010 + b_c011", "b_c100 + b_c101")
+    b = f1("b_c101 + b_c111", "b_c001 + b_c011", "b_c100 + b_c110")
+    return f"{normal_draws_sql(list(BS.PAIR_CELLS), groups)}, d AS (SELECT {groups} {a} - {b} AS d FROM reps)"
+
+
+DIFFERENCE_SQL = """avg(d) AS mean_diff, quantile_cont(d, 0.025) AS lo95, quantile_cont(d, 0.975) AS hi95,
+        avg(CASE WHEN d > 0 THEN 1.0 ELSE 0.0 END) AS p_a_better"""
+
+
 PASSAGE_LONG = """long AS (SELECT doc_id, predicate, label, toxic, text, 'long' AS signal, s_long >= 0.3 AS p FROM passages
     UNION ALL SELECT doc_id, predicate, label, toxic, text, 'short' AS signal, s_short >= 0.3 AS p FROM passages)"""
 
@@ -187,7 +226,12 @@ def _(t: Tables):
     )
 
 
-@check("h10_bootstrap_ci", "config:s f1:d ci_lo:d ci_hi:d ci_halfwidth:d")
+@check(
+    "h10_bootstrap_ci",
+    "config:s f1:d ci_lo:d ci_hi:d ci_halfwidth:d",
+    f"""WITH cells AS (SELECT config, {RUN_CONF} FROM runs GROUP BY 1), {interval_sql('config,')}
+        SELECT c.config, {F1_ROW} AS f1, ci_lo, ci_hi, (ci_hi - ci_lo) / 2 AS ci_halfwidth FROM cells c JOIN q ON c.config = q.config""",
+)
 def _(t: Tables):
     return BS.bootstrap_f1(t.runs, F.col("pred") == "1", F.col("label") == 1, ["config"])
 
@@ -196,7 +240,7 @@ PAIR_DRAWS = f"""w AS (SELECT label, s_long >= 0.3 AS a, s_short >= 0.3 AS b FRO
     cell AS (SELECT label * 4 + CASE WHEN a THEN 2 ELSE 0 END + CASE WHEN b THEN 1 ELSE 0 END AS c, count(*) AS k FROM w GROUP BY 1),
     every AS (SELECT range AS c, coalesce(k, 0) AS k FROM range(8) LEFT JOIN cell ON cell.c = range.range),
     cum AS (SELECT c, sum(k) OVER (ORDER BY c) - k AS lo, sum(k) OVER (ORDER BY c) AS hi, (SELECT sum(k) FROM every) AS size FROM every),
-    draws AS (SELECT b.range AS b, ('0x' || substr(md5('42|' || b.range || '|' || j.range), 1, 8))::BIGINT % (SELECT max(size) FROM cum) AS u
+    draws AS (SELECT b.range AS b, CAST(floor(('0x' || substr(md5('42|' || b.range || '|' || j.range), 1, 13))::BIGINT / 4503599627370496e0 * (SELECT max(size) FROM cum)) AS BIGINT) AS u
               FROM range({BOOT}) b, range((SELECT max(size)::BIGINT FROM cum)) j),
     hits AS (SELECT b, c, count(*) AS k FROM draws JOIN cum ON u >= lo AND u < hi GROUP BY ALL),
     per AS (SELECT b, sum(k) FILTER (WHERE c IN (6, 7)) AS atp, sum(k) FILTER (WHERE c IN (2, 3)) AS afp, sum(k) FILTER (WHERE c IN (4, 5)) AS afn,
@@ -219,14 +263,30 @@ def _(t: Tables):
     )
 
 
-@check("h11_paired_bootstrap_cells", "mean_diff:d lo95:d hi95:d p_a_better:d")
+@check(
+    "h11_paired_bootstrap_cells",
+    "mean_diff:d lo95:d hi95:d p_a_better:d",
+    f"""WITH w AS (SELECT label AS g, CAST(a_score >= 0.3 AS INT) AS a, CAST(b_score >= 0.5 AS INT) AS b FROM candidates),
+        cells AS (SELECT {PAIR_SQL} FROM w), {difference_sql('')} SELECT {DIFFERENCE_SQL} FROM d""",
+)
 def _(t: Tables):
     return BS.paired_bootstrap(
         t.candidates, F.col("label") == 1, F.col("a_score") >= 0.3, F.col("b_score") >= 0.5
     )
 
 
-@check("h12_best_against_next", "best:s versus:s mean_diff:d lo95:d hi95:d p_a_better:d significant:i")
+@check(
+    "h12_best_against_next",
+    "best:s versus:s mean_diff:d lo95:d hi95:d p_a_better:d significant:i",
+    f"""WITH c AS (SELECT config, {RUN_CONF} FROM runs GROUP BY 1), m AS (SELECT config, {F1_SQL} AS f1 FROM c),
+        top AS (SELECT config, row_number() OVER (ORDER BY f1 DESC, config) AS rn FROM m QUALIFY rn <= 6),
+        w AS (SELECT x.config AS best, y.config AS versus, CAST(x.label = 1 AS INT) AS g, CAST(x.pred = '1' AS INT) AS a, CAST(y.pred = '1' AS INT) AS b
+              FROM runs x JOIN runs y ON x.row_id = y.row_id WHERE x.config = (SELECT config FROM top WHERE rn = 1)
+              AND y.config IN (SELECT config FROM top WHERE rn > 1)),
+        cells AS (SELECT best, versus, {PAIR_SQL} FROM w GROUP BY ALL), {difference_sql('best, versus,')},
+        s AS (SELECT best, versus, {DIFFERENCE_SQL} FROM d GROUP BY ALL)
+        SELECT *, (lo95 > 0 OR hi95 < 0) AS significant FROM s""",
+)
 def _(t: Tables):
     m = M.hard_label_metrics(t.runs, ["config"])
     return BS.best_against_next(t.runs, m, "row_id", "config")
@@ -390,7 +450,7 @@ def _(t: Tables):
     f"""WITH {PASSAGE_LONG}, parts AS (SELECT *, {WORD_BIN} AS bucket FROM long UNION ALL SELECT *, 'ALL' FROM long),
         cells AS (SELECT signal, bucket, count(*) AS n, avg(label) AS pos_rate, {sql_confusion('p', 'label = 1')} FROM parts
                   GROUP BY signal, bucket HAVING count(*) >= 10 OR bucket = 'ALL'),
-        {draws_sql('signal, bucket,', 100)}
+        {interval_sql('signal, bucket,')}
         SELECT c.signal, c.bucket, n, pos_rate, {F1_ROW} AS f1, ci_lo, ci_hi
         FROM cells c JOIN q ON c.signal = q.signal AND c.bucket = q.bucket""",
 )
@@ -399,8 +459,7 @@ def _(t: Tables):
 
     return S.f1_by_words(
         passage_signals(t), F.col("p"), F.col("label") == 1, word_count("text"), ["signal"],
-        interval=BS.bootstrap_f1_by_draw, n_boot=100,
-    )
+    )
 
 
 @check(
@@ -674,16 +733,17 @@ PUBLISHED = f"""rel AS (SELECT label AS gold, subset, {LABEL_SQL} AS l FROM sign
 
 @check(
     "h40_published_quality",
-    "part:s n:i covered:i coverage:d precision:d recall:d f1:d n_pos_in_release:i n_neg_in_release:i",
+    "part:s n:i covered:i coverage:d precision:d recall:d f1:d ci_lo:d ci_hi:d n_pos_in_release:i n_neg_in_release:i",
     f"""WITH {PUBLISHED}, c AS (SELECT part, count(*) AS n, count(*) FILTER (WHERE l >= 0) AS covered,
             count(*) FILTER (WHERE l = 1) AS n_pos_in_release, count(*) FILTER (WHERE l = 0) AS n_neg_in_release,
             count(*) FILTER (WHERE l = 1 AND gold = 1) AS tp, count(*) FILTER (WHERE l = 1 AND gold = 0) AS fp,
-            count(*) FILTER (WHERE l = 0 AND gold = 1) AS fn, count(*) FILTER (WHERE l = 0 AND gold = 0) AS tn FROM parts GROUP BY 1)
-        SELECT *, {sql_div('covered', 'n')} AS coverage, {RATIOS_SQL} FROM c""",
+            count(*) FILTER (WHERE l = 0 AND gold = 1) AS fn, count(*) FILTER (WHERE l = 0 AND gold = 0) AS tn FROM parts GROUP BY 1),
+        cells AS (SELECT part, tp, fp, fn, tn FROM c), {interval_sql('part,')}
+        SELECT c.*, {sql_div('covered', 'n')} AS coverage, {RATIOS_SQL}, ci_lo, ci_hi FROM c JOIN q ON c.part = q.part""",
 )
 def _(t: Tables):
     d = t.signals.withColumn("published", G.published_label(PREDS))
-    return S.published_quality(d, "published", "label", "subset", n_boot=1000)
+    return S.published_quality(d, "published", "label", "subset")
 
 
 SIGNAL_LONG = "WITH " + VOTES_SQL + ", long AS (" + " UNION ALL ".join(
@@ -707,14 +767,16 @@ def _(t: Tables):
 
 @check(
     "h41_signal_table",
-    "signal:s f1:d macro_f1:d pos_rate:d",
+    "signal:s f1:d ci_lo:d ci_hi:d macro_f1:d pos_rate:d",
     f"""{SIGNAL_LONG}, c AS (SELECT signal, predicate, count(*) AS n, {sql_confusion('p', 'label = 1')} FROM long GROUP BY ALL),
-        m AS (SELECT signal, avg({F1_SQL}) FILTER (WHERE n >= 10) AS macro_f1 FROM c GROUP BY 1),
-        a AS (SELECT signal, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, sum(tn) AS tn FROM c GROUP BY 1)
-        SELECT a.signal, {F1_SQL} AS f1, macro_f1, {sql_div('tp + fp', N_SQL)} AS pos_rate FROM a JOIN m ON a.signal = m.signal""",
+        m AS (SELECT signal, coalesce(avg({F1_SQL}) FILTER (WHERE n >= 10), 'NaN'::DOUBLE) AS macro_f1 FROM c GROUP BY 1),
+        a AS (SELECT signal, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, sum(tn) AS tn FROM c GROUP BY 1),
+        cells AS (SELECT * FROM a), {interval_sql('signal,')}
+        SELECT a.signal, {F1_SQL} AS f1, ci_lo, ci_hi, macro_f1, {sql_div('tp + fp', N_SQL)} AS pos_rate
+        FROM a JOIN m ON a.signal = m.signal JOIN q ON a.signal = q.signal""",
 )
 def _(t: Tables):
-    return S.signal_table(consensus(t), ALL_PREDS, "label", "predicate", n_boot=1000)
+    return S.signal_table(consensus(t), ALL_PREDS, "label", "predicate")
 
 
 @check(
@@ -771,14 +833,16 @@ def _(t: Tables):
 
 @check(
     "h44_baseline_table",
-    f"model:s mode:s threshold:d {METRIC_COLUMNS} macro_f1:d",
+    f"model:s mode:s threshold:d {METRIC_COLUMNS} ci_lo:d ci_hi:d macro_f1:d",
     f"""WITH g(threshold) AS (VALUES {values(S.BASELINE_GRID)}, (CAST(0.75 AS DOUBLE))),
         c AS (SELECT model, threshold, predicate, {sql_confusion('pe > threshold', 'label = 1')} FROM probs CROSS JOIN (SELECT DISTINCT threshold FROM g) GROUP BY ALL),
-        m AS (SELECT model, threshold, avg({F1_SQL}) FILTER (WHERE {N_SQL} >= 10) AS macro_f1 FROM c GROUP BY ALL),
+        m AS (SELECT model, threshold, coalesce(avg({F1_SQL}) FILTER (WHERE {N_SQL} >= 10), 'NaN'::DOUBLE) AS macro_f1 FROM c GROUP BY ALL),
         a AS (SELECT model, threshold, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, sum(tn) AS tn FROM c GROUP BY ALL),
         f AS (SELECT a.*, {RATIOS_SQL}, macro_f1 FROM a JOIN m ON a.model = m.model AND a.threshold = m.threshold),
-        r AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY round(f1, 12) DESC, threshold) AS rn FROM f)
-        SELECT *, 'as-published' AS mode FROM r WHERE threshold = 0.75 UNION ALL SELECT *, 'best-threshold' FROM r WHERE rn = 1""",
+        r AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY round(f1, 12) DESC, threshold) AS rn FROM f),
+        u AS (SELECT *, 'as-published' AS mode FROM r WHERE threshold = 0.75 UNION ALL SELECT *, 'best-threshold' FROM r WHERE rn = 1),
+        cells AS (SELECT model, mode, tp, fp, fn, tn FROM u), {interval_sql('model, mode,').replace('f AS (', 'fs AS (').replace('FROM f GROUP', 'FROM fs GROUP')}
+        SELECT u.*, ci_lo, ci_hi FROM u JOIN q ON u.model = q.model AND u.mode = q.mode""",
 )
 def _(t: Tables):
     return S.baseline_table(t.probs, "pe", "label", ["model"], "predicate")
@@ -786,13 +850,14 @@ def _(t: Tables):
 
 @check(
     "h45_regrade_on_swapped_labels",
-    "config:s f1:d macro_f1:d",
+    "config:s f1:d ci_lo:d ci_hi:d macro_f1:d",
     f"""WITH n AS (SELECT docid, predicate, object, arg_max(1 - label, row_id) AS new_label FROM candidates WHERE a_score >= 0.9 GROUP BY ALL),
         s AS (SELECT c.row_id, coalesce(n.new_label, c.label) AS gold FROM candidates c
               LEFT JOIN n ON c.docid = n.docid AND c.predicate = n.predicate AND c.object = n.object),
         c AS (SELECT config, predicate, {sql_confusion("pred = '1'", 'gold = 1')} FROM runs JOIN s ON runs.row_id = s.row_id GROUP BY ALL),
-        m AS (SELECT config, avg({F1_SQL}) FILTER (WHERE {N_SQL} >= 10) AS macro_f1, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM c GROUP BY 1)
-        SELECT config, {F1_SQL} AS f1, macro_f1 FROM m""",
+        m AS (SELECT config, coalesce(avg({F1_SQL}) FILTER (WHERE {N_SQL} >= 10), 'NaN'::DOUBLE) AS macro_f1, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, sum(tn) AS tn FROM c GROUP BY 1),
+        cells AS (SELECT config, tp, fp, fn, tn FROM m), {interval_sql('config,')}
+        SELECT m.config, {F1_SQL} AS f1, ci_lo, ci_hi, macro_f1 FROM m JOIN q ON m.config = q.config""",
 )
 def _(t: Tables):
     from ..operators.joins import swap_labels
@@ -801,7 +866,7 @@ def _(t: Tables):
     gold = swap_labels(t.candidates, new).select("row_id", F.col("label").alias("gold"))
     runs = t.runs.join(gold, "row_id")
     p, g = F.col("pred") == "1", F.col("gold") == 1
-    f1 = M.confusion(runs, p, g, ["config"]).select("config", "f1")
+    f1 = BS.bootstrap_f1(runs, p, g, ["config"])
     return f1.join(M.predicate_macro_f1(runs, p, g, ["config"], min_n=10), "config")
 
 
@@ -830,11 +895,12 @@ def _(t: Tables):
 
 @check(
     "h48_token_totals",
-    "model:s tokens_in:i tokens_out:i cost:d",
+    "model:s tokens_in:i tokens_out:i cost:d priced:i",
     """WITH p(model, price_in, price_out) AS (VALUES """
     + ", ".join(f"('{m}', {a}e0, {b}e0)" for m, (a, b) in zip(("view", "click", "error"), V.TOKEN_PRICES))
     + """), s AS (SELECT event_type AS model, sum(length(props)) AS tokens_in, sum(user_id) AS tokens_out FROM {events} GROUP BY 1)
-        SELECT s.model, tokens_in, tokens_out, (tokens_in * price_in + tokens_out * price_out) / 1000000 AS cost FROM s JOIN p ON s.model = p.model""",
+        SELECT s.model, tokens_in, tokens_out, (tokens_in * price_in + tokens_out * price_out) / 1000000 AS cost, price_in IS NOT NULL AS priced
+        FROM s LEFT JOIN p ON s.model = p.model""",
 )
 def _(t: Tables):
     calls = t.events.select(
