@@ -10,9 +10,9 @@ metadata column is read without the ids of the rest.
 Scale: texts are range-partitioned by doc_id once and encoded in a stream; positions come
 from one sum per file and a running sum inside it, over narrow columns only.
 
-Within a slice every distinct white-space word is encoded once. The vocabulary splits at
-white space before merging, so ids are those of the whole text (tested); for a tokenizer
-that does not, pass ``by_word=False``.
+Every distinct white-space word is encoded once per Python worker, without the marks at its
+end if the vocabulary always splits there. It splits at white space before merging, so ids
+are those of the whole text (tested); for a tokenizer that does not, pass ``by_word=False``.
 
 Defined cases: null and empty texts have the end id alone; a null doc_id comes first;
 repeated ids follow each other in the order of their texts' crc32; an empty table writes
@@ -36,56 +36,115 @@ from .words import Words, hash_words, slices, split_words
 END = 2
 ROW_GROUP = 16 << 20  # bytes
 PAGE_ROWS = 2_000
-KNOWN_WORDS = 200_000  # encoded words kept per Python worker
+KNOWN_WORDS = 2_000_000  # encoded words kept per Python worker, about 40 bytes each
 OWN = ("doc_id", "part", "crc", "n_tokens", "ids")
 FIRST = -(2**63)
 
-_tokenizers: dict = {}
-_known: dict[bytes, np.ndarray] = {}
+_loaded: dict = {}
 
 
-def _tokenizer(path: str, special_as_text: bool):
-    if (path, special_as_text) not in _tokenizers:
+class WordEncoder:
+    """Ids of words, each encoded once per Python worker and then looked up by its hash."""
+
+    def __init__(self, path: str, special_as_text: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = special_as_text
-        _tokenizers[path, special_as_text] = t
-        _known.clear()
-    return _tokenizers[path, special_as_text]
-
-
-def _encode_words(tokenizer, words: list[bytes]) -> list[np.ndarray]:
-    new = [w for w in words if w not in _known]
-    if len(_known) + len(new) > KNOWN_WORDS:
-        _known.clear()
-        new = words
-    for w, e in zip(new, tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-        _known[w] = np.array(e.ids, np.int32)
-    return [_known[w] for w in words]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = special_as_text
+        one = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        self.lower = one("A") == one("a")
+        self.marks = one("ab,!") == one("ab") + one(",!")  # splits between a letter and a mark
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a word
+        for token, i in self.tokenizer.get_vocab().items():
+            self.last[i] = token.endswith("</w>")
+        self.forget()
+
+    def forget(self) -> None:
+        self.hashes, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def _plain(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _new(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, joined ids). Words of letters alone are encoded many at a time: each ends
+        with the only word-ending id it has."""
+        simple = [k for k, w in enumerate(words) if w.isalpha()] if self.last.any() else []
+        sizes, rows = np.zeros(len(words), np.int64), [None] * len(words)
+        for lo in range(0, len(simple), 512):
+            some = simple[lo : lo + 512]
+            ids = np.array(self._plain([" ".join(words[k] for k in some)])[0], np.int32)
+            stops = np.flatnonzero(self.last[ids]) + 1
+            if len(stops) == len(some):
+                for k, a, b in zip(some, [0, *stops[:-1]], stops, strict=True):
+                    rows[k] = ids[a:b]
+        rest = [k for k, r in enumerate(rows) if r is None]
+        for k, ids in zip(rest, self._plain([words[k] for k in rest]), strict=True):
+            rows[k] = np.array(ids, np.int32)
+        sizes[:] = [len(r) for r in rows]
+        return sizes, np.concatenate([np.zeros(0, np.int32), *rows])
+
+    def look_up(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``ids``, number of ids) of every word."""
+        found, first, which = np.unique(hash_words(words), return_index=True, return_inverse=True)
+        if len(self.hashes) + len(found) > KNOWN_WORDS:
+            self.forget()
+        new = ~np.isin(found, self.hashes, assume_unique=True)
+        if new.any():
+            raw = words.data.tobytes()
+            sizes, ids = self._new([raw[words.starts[i] : words.ends[i]].decode() for i in first[new]])
+            hashes = np.concatenate([self.hashes, found[new]])
+            order = np.argsort(hashes, kind="stable")
+            at = np.concatenate([self.at, len(self.ids) + np.cumsum(sizes) - sizes])
+            self.hashes, self.at = hashes[order], at[order]
+            self.sizes = np.concatenate([self.sizes, sizes])[order]
+            self.ids = np.concatenate([self.ids, ids])
+        place = np.searchsorted(self.hashes, found)
+        return self.at[place][which], self.sizes[place][which]
+
+
+_MARK = np.zeros(256, bool)
+_MARK[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = True
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[c for c in range(128) if chr(c).isalnum()]] = True
+
+
+def part_marks(words: Words) -> Words:
+    """Cuts the marks (no apostrophe) off the end of words of Latin letters or digits."""
+    cut = words.ends.copy()
+    for _ in range(8):
+        cut -= (cut > words.starts) & _MARK[words.data[cut - 1]]
+    before = np.maximum(cut - 1, words.starts)
+    byte, lead = words.data[before], words.data[np.maximum(before - 1, 0)]
+    latin = (lead == 0xC3) & (byte >= 0x80) & (byte != 0x97) & (byte != 0xB7) & (before > words.starts)
+    two = (cut > words.starts) & (cut < words.ends) & (_ALNUM[byte] | latin)
+    pieces = 1 + two.astype(np.int64)
+    at = np.cumsum(pieces) - pieces
+    starts, ends = np.repeat(words.starts, pieces), np.repeat(words.ends, pieces)
+    ends[at[two]] = cut[two]
+    starts[at[two] + 1] = cut[two]
+    return Words(words.data, starts, ends, np.concatenate([[0], np.cumsum(pieces)])[words.first])
 
 
 def encode(column: pa.Array, path: str, end: int = END, special_as_text: bool = True, by_word: bool = True):
     """(ids of all texts, each followed by ``end``; offsets per text)."""
-    tokenizer = _tokenizer(path, special_as_text)
+    if (path, special_as_text) not in _loaded:
+        _loaded[path, special_as_text] = WordEncoder(path, special_as_text)
+    encoder = _loaded[path, special_as_text]
     if not by_word:
-        found = tokenizer.encode_batch_fast([x or "" for x in column.to_pylist()], add_special_tokens=False)
-        rows = [np.array([*e.ids, end], np.int32) for e in found]
+        rows = [np.array([*ids, end], np.int32) for ids in encoder._plain([x or "" for x in column.to_pylist()])]
         sizes = np.array([len(r) for r in rows], np.int64)
         return np.concatenate([np.zeros(0, np.int32), *rows]), np.concatenate([[0], np.cumsum(sizes)])
-    words: Words = split_words(column)
-    _, at, which = np.unique(hash_words(words), return_index=True, return_inverse=True)
-    raw = words.data.tobytes()
-    pieces = _encode_words(tokenizer, [raw[words.starts[i] : words.ends[i]] for i in at])
-    pieces.append(np.array([end], np.int32))
-    sizes = np.array([len(p) for p in pieces], np.int64)
-    begin = np.cumsum(sizes) - sizes
-    flat_ids = np.concatenate(pieces)
-    order = np.insert(which, words.first[1:], len(pieces) - 1)  # an end after each text's words
-    take = sizes[order]
+    words = split_words(column, lower=encoder.lower)
+    words = part_marks(words) if encoder.marks and len(words.starts) else words
+    at, sizes = encoder.look_up(words)
+    # an end after each text's words
+    begin = np.insert(at, words.first[1:], len(encoder.ids))
+    take = np.insert(sizes, words.first[1:], 1)
     stops = np.cumsum(take)
-    ids = flat_ids[np.repeat(begin[order] - (stops - take), take) + np.arange(stops[-1] if len(stops) else 0)]
+    source = np.append(encoder.ids, np.int32(end))
+    ids = source[np.repeat(begin - (stops - take), take) + np.arange(stops[-1] if len(stops) else 0)]
     ends = words.first[1:] + np.arange(1, len(words.first))  # words and ends up to each text
     return ids, np.concatenate([[0], stops[ends - 1]]) if len(ends) else np.zeros(1, np.int64)
 
