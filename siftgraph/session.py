@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+SPREAD_BYTES = 64 << 20
 
 
 def build_session(app: str = "siftgraph", master: str | None = None, **conf) -> SparkSession:
@@ -28,6 +29,7 @@ def build_session(app: str = "siftgraph", master: str | None = None, **conf) ->
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }
@@ -90,10 +92,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give CPU-heavy row work at least one partition per core, hashed by ``keys``.
+    """Give CPU-heavy row work on a small file at least one partition per core.
 
-    Only frames with fewer partitions than cores (a small file in one row group) are
-    redistributed; at scale the scan already has many splits and nothing is shuffled.
+    Only scans of at most ``SPREAD_BYTES`` with fewer partitions than cores (a file in one
+    row group) are redistributed by ``keys``; anything larger is read as it lies.
     """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > SPREAD_BYTES:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

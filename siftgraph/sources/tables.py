@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,11 +29,14 @@ def string_schema(columns: Sequence[str]) -> T.StructType:
 def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
     """All-string CSV: header, doubled quotes, multi-line cells; empty cells are "".
 
-    A byte order mark in front of the first header name is removed.
+    A byte order mark in front of the first header name is removed. A malformed record
+    fails the read. Cells may span lines, so a file is one task: keep large tables in many
+    files.
     """
     reader = (
         spark.read.option("header", True)
         .option("multiLine", True)
+        .option("mode", "FAILFAST")
         .option("quote", '"')
         .option("escape", '"')
         .option("encoding", "UTF-8")
@@ -140,9 +143,10 @@ def convert_csv_to_parquet(spark: SparkSession, source: str, target: str, codec:
     """CSV to parquet; fails unless the row count survives the round trip."""
     if codec not in CODECS:
         raise ValueError(f"unknown codec {codec!r}")
-    df = read_csv(spark, source)
+    read = Observation("csv rows")
+    df = read_csv(spark, source).observe(read, F.count(F.lit(1)).alias("rows"))
     df.write.mode("overwrite").option("compression", codec).parquet(target)
-    n_in, n_out = df.count(), spark.read.parquet(target).count()
+    n_in, n_out = read.get["rows"], spark.read.parquet(target).count()
     if n_in != n_out:
         raise RuntimeError(f"row counts differ: {n_in} read, {n_out} written")
     return n_out
