@@ -5,19 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import NaiveBayes
-from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
+from pyspark.ml.feature import CountVectorizer, HashingTF, RegexTokenizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import WORD, WS
 from ..functions.verbalize import typed_pair
+from ..session import cut_lineage
 from .ensemble import vote_summary
 from .metrics import class_macro_f1, hard_label_metrics
 from .sampling import capped_sample, label_set, other_splits, predicate_folds, train_split
 
 FEATURES = 1 << 14
+FOLD_COUNTS = (3, 5, 7, 10)
 
 
 def hypothesis_overlap(hypothesis, text) -> Column:
@@ -66,16 +68,30 @@ def predicate_features(df: DataFrame, vocabulary: DataFrame, row_id: str, text:
     return rows.join(v, "predicate").select(row_id, "predicate", "label", "body")
 
 
-def classifier(features: int = FEATURES) -> Pipeline:
-    """Bag-of-words predicate classifier, trained and applied in the JVM."""
-    return Pipeline(
-        stages=[
-            RegexTokenizer(inputCol="body", outputCol="tokens", pattern=f"[{WS}]+"),
-            HashingTF(inputCol="tokens", outputCol="tf", numFeatures=features),
-            IDF(inputCol="tf", outputCol="features"),
-            NaiveBayes(labelCol="label", featuresCol="features"),
-        ]
-    )
+def feature_table(
+    rows: DataFrame, row_id: str, hashed: int | None = FEATURES, vocabulary_size: int = 1 << 18
+) -> tuple[DataFrame, PipelineModel]:
+    """Word counts of the rows of :func:`predicate_features`, stored once, and their encoder.
+
+    ``hashed`` buckets of hashed words, or None for an explicit vocabulary (the most
+    frequent ``vocabulary_size`` words). Every k, fold and model reads the stored table.
+    """
+    tokens = RegexTokenizer(inputCol="body", outputCol="tokens", pattern=f"[{WS}]+")
+    if hashed:
+        counts = HashingTF(inputCol="tokens", outputCol="features", numFeatures=hashed)
+    else:
+        counts = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=vocabulary_size)
+    encoder = Pipeline(stages=[tokens, counts]).fit(rows)
+    return cut_lineage(encode_rows(rows, encoder, row_id)), encoder
+
+
+def encode_rows(rows: DataFrame, encoder: PipelineModel, row_id: str) -> DataFrame:
+    return encoder.transform(rows).select(row_id, "predicate", "label", "features")
+
+
+def classifier() -> NaiveBayes:
+    """Multinomial naive Bayes on word counts, trained and applied in the JVM."""
+    return NaiveBayes(labelCol="label", featuresCol="features", smoothing=1.0)
 
 
 def cross_train_votes(
@@ -83,10 +99,12 @@ def cross_train_votes(
 ) -> tuple[DataFrame, DataFrame | None]:
     """Votes of k models, each trained on one fold and applied to all other folds.
 
-    Returns long votes (row_id, fold, voter, correct) of the corpus, k - 1 per row, and of
-    the gold rows, k per row. The loop runs over folds only.
+    ``features`` and ``gold`` are stored feature tables. Folds are ranked from ids alone,
+    joined and stored. Returns long votes (row_id, fold, voter, correct) of the corpus, k - 1
+    per row, and of the gold rows, k per row. The loop runs over folds only.
     """
-    folded = predicate_folds(features, row_id, k, "predicate", seed)
+    folds = predicate_folds(features.select(row_id, "predicate"), row_id, k, "predicate", seed)
+    folded = cut_lineage(features.join(folds.select(row_id, "fold"), row_id))
     votes, gold_votes = None, None
     for i in range(k):
         fitted = (model or classifier()).fit(train_split(folded, i))
@@ -102,13 +120,15 @@ def cross_train_votes(
 
 
 def cross_train_denoise(
-    df: DataFrame, vocabulary: DataFrame, row_id: str, k: int, text: str = "text", seed: int = 42
+    df: DataFrame, vocabulary: DataFrame, row_id: str, k: int, text: str = "text", seed: int = 42,
+    hashed: int | None = FEATURES,
 ) -> DataFrame:
     """Vote counts, share and cleaned label per corpus row.
 
     Rows outside the vocabulary have no vote, hence share 0 and label 0.
     """
-    votes, _ = cross_train_votes(predicate_features(df, vocabulary, row_id, text), row_id, k, seed=seed)
+    features, _ = feature_table(predicate_features(df, vocabulary, row_id, text), row_id, hashed)
+    votes, _ = cross_train_votes(features, row_id, k, seed=seed)
     summary = vote_summary(votes, [row_id])
     out = df.select(row_id, "predicate").join(summary, row_id, "left")
     zero = {"vote_correct": 0, "vote_total": 0, "vote_fraction": 0.0, "cleaned_label": 0}
@@ -116,29 +136,34 @@ def cross_train_denoise(
 
 
 def cross_train_sweep(
-    df: DataFrame, gold: DataFrame, vocabulary: DataFrame, row_id: str, ks: Sequence[int], label: str,
-    text: str = "text",
+    df: DataFrame, gold: DataFrame, vocabulary: DataFrame, row_id: str, label: str,
+    ks: Sequence[int] = FOLD_COUNTS, models: dict | None = None, text: str = "text", hashed: int | None = FEATURES,
 ) -> DataFrame:
-    """Per k: metrics of each fold model and of the vote (share > 0.5) on gold rows."""
+    """Per model and k: metrics of each fold model and of the vote (share > 0.5) on gold rows.
+
+    ``models`` names unfitted estimators; the features are stored once for all of them.
+    """
     out = None
-    features = predicate_features(df, vocabulary, row_id, text)
-    gold_features = predicate_features(gold, vocabulary, row_id, text)
+    features, encoder = feature_table(predicate_features(df, vocabulary, row_id, text), row_id, hashed)
+    gold_features = cut_lineage(encode_rows(predicate_features(gold, vocabulary, row_id, text), encoder, row_id))
     truth = gold.select(row_id, F.col(label).cast("int").alias("label_true"))
-    for k in ks:
-        _, votes = cross_train_votes(features, row_id, k, gold_features)
-        single = votes.select(row_id, F.concat(F.lit("fold_"), F.col("voter").cast("string")).alias("member"), F.col("correct").cast("string").alias("pred"))
-        ens = vote_summary(votes, [row_id]).select(
-            row_id, F.lit("ensemble").alias("member"), F.col("cleaned_label").cast("string").alias("pred")
-        )
-        m = hard_label_metrics(single.unionByName(ens).join(truth, row_id), ["member"], "pred", "label_true")
-        m = m.withColumn("k", F.lit(k))
-        out = m if out is None else out.unionByName(m)
+    for name, model in (models or {"bayes": classifier()}).items():
+        for k in ks:
+            _, votes = cross_train_votes(features, row_id, k, gold_features, model=model)
+            member = F.concat(F.lit("fold_"), F.col("voter").cast("string")).alias("member")
+            single = votes.select(row_id, member, F.col("correct").cast("string").alias("pred"))
+            ens = vote_summary(votes, [row_id]).select(
+                row_id, F.lit("ensemble").alias("member"), F.col("cleaned_label").cast("string").alias("pred")
+            )
+            m = hard_label_metrics(single.unionByName(ens).join(truth, row_id), ["member"], "pred", "label_true")
+            m = m.withColumns({"model": F.lit(name), "k": F.lit(k)})
+            out = m if out is None else out.unionByName(m)
     return out
 
 
 def training_pilot(
     arms: dict[str, DataFrame], labels_from: str, evaluation: DataFrame, row_id: str, n_train: int,
-    min_class: int, text: str = "text", seed: int = 42,
+    min_class: int, text: str = "text", seed: int = 42, hashed: int | None = FEATURES,
 ) -> DataFrame:
     """Size-matched comparison of training sets: one predicate classifier per arm.
 
@@ -149,12 +174,13 @@ def training_pilot(
     from .graph import dense_ids
 
     vocabulary = dense_ids(labels, "predicate").select("predicate", "id")
-    ev = predicate_features(evaluation, vocabulary, row_id, text)
+    ev = cut_lineage(predicate_features(evaluation, vocabulary, row_id, text))
     out = None
     for name, pool in arms.items():
         sample = capped_sample(pool, vocabulary, n_train, [row_id], seed)
-        fitted = classifier().fit(predicate_features(sample, vocabulary, row_id, text))
-        scored = fitted.transform(ev).select(F.col("label"), F.col("prediction"))
+        train, encoder = feature_table(predicate_features(sample, vocabulary, row_id, text), row_id, hashed)
+        fitted = classifier().fit(train)
+        scored = fitted.transform(encode_rows(ev, encoder, row_id)).select("label", "prediction")
         m = class_macro_f1(scored, "prediction", "label").withColumn("arm", F.lit(name))
         out = m if out is None else out.unionByName(m)
     return out

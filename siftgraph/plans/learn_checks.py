@@ -27,9 +27,42 @@ def language_ids(t: Tables):
     return GR.dense_ids(names, "predicate").select("predicate", "id")
 
 
-@check("m01_cross_train_votes", "doc_id:i predicate:s vote_correct:i vote_total:i vote_fraction:d cleaned_label:i")
+BODY_SQL = "concat(source, ' |  ', text)"
+
+
+def bayes_sql(ks: tuple[int, ...]) -> str:
+    """CTEs to ``votes`` (k, doc_id, fold, voter, correct): multinomial naive Bayes by counts.
+
+    An unseen word has count 0 and, with smoothing 1, adds log 1 = 0, so only words met in
+    training are joined.
+    """
+    return f"""tok AS (SELECT doc_id, lang AS y, unnest(list_filter(string_split_regex(lower({BODY_SQL}), '[ \\n\\t\\r]+'), lambda x: x <> '')) AS w
+        FROM {{documents}}),
+    tf AS (SELECT doc_id, y, w, count(*) AS n FROM tok GROUP BY ALL),
+    size AS (SELECT doc_id, any_value(y) AS y, sum(n) AS n FROM tf GROUP BY 1),
+    f AS (SELECT k, doc_id, lang AS y, (row_number() OVER (PARTITION BY k, lang ORDER BY md5('42|' || doc_id), doc_id) - 1) % k AS fold
+          FROM {{documents}}, (SELECT unnest([{', '.join(map(str, ks))}]) AS k)),
+    cnt AS (SELECT k, fold, tf.y, w, sum(n) AS c FROM tf JOIN f USING (doc_id) GROUP BY ALL),
+    tot AS (SELECT k, fold, y, sum(c) AS t FROM cnt GROUP BY ALL),
+    pri AS (SELECT k, fold, y, count(*) AS m FROM f GROUP BY ALL),
+    base AS (SELECT k, fold, y, ln((m + 1) / (sum(m) OVER (PARTITION BY k, fold) + count(*) OVER (PARTITION BY k, fold))::DOUBLE) AS prior,
+                    ln(t + (SELECT count(DISTINCT w) FROM tf)) AS denom FROM pri JOIN tot USING (k, fold, y)),
+    met AS (SELECT k, fold, doc_id, cnt.y, sum(n * ln(c + 1)) AS s FROM tf JOIN cnt USING (w) GROUP BY ALL),
+    scored AS (SELECT b.k, b.fold AS voter, z.doc_id, b.y, z.y AS truth, prior + coalesce(s, 0) - z.n * denom AS score
+               FROM base b CROSS JOIN size z LEFT JOIN met ON met.k = b.k AND met.fold = b.fold AND met.doc_id = z.doc_id AND met.y = b.y),
+    best AS (SELECT k, voter, doc_id, any_value(truth) AS truth, arg_max(y, score) AS got FROM scored GROUP BY ALL),
+    votes AS (SELECT k, doc_id, voter, CAST(got = truth AS INT) AS correct, truth FROM best)"""
+
+
+@check(
+    "m01_cross_train_votes",
+    "doc_id:i predicate:s vote_correct:i vote_total:i vote_fraction:d cleaned_label:i",
+    f"""WITH {bayes_sql((3,))}, own AS (SELECT v.* FROM votes v JOIN f USING (k, doc_id) WHERE fold <> voter),
+        s AS (SELECT doc_id, any_value(truth) AS predicate, sum(correct) AS vote_correct, count(*) AS vote_total FROM own GROUP BY 1)
+        SELECT *, vote_correct / vote_total::DOUBLE AS vote_fraction, CAST(vote_correct / vote_total::DOUBLE > 0.5 AS INT) AS cleaned_label FROM s""",
+)
 def _(t: Tables):
-    return LE.cross_train_denoise(language_rows(t), language_ids(t), "doc_id", 3)
+    return LE.cross_train_denoise(language_rows(t), language_ids(t), "doc_id", 3, hashed=None)
 
 
 @check(
@@ -54,10 +87,18 @@ def _(t: Tables):
     return LE.predicate_features(language_rows(t), vocab, "doc_id")
 
 
-@check("m03_cross_train_sweep", "k:i member:s tp:i fp:i fn:i tn:i f1:d")
+@check(
+    "m03_cross_train_sweep",
+    "model:s k:i member:s tp:i fp:i fn:i tn:i f1:d",
+    f"""WITH {bayes_sql(LE.FOLD_COUNTS)}, g AS (SELECT v.*, quality FROM votes v JOIN {{labels}} USING (doc_id)),
+        single AS (SELECT k, 'fold_' || voter AS member, correct AS p, quality FROM g),
+        ens AS (SELECT k, 'ensemble' AS member, CAST(avg(correct) > 0.5 AS INT) AS p, any_value(quality) AS quality FROM g GROUP BY k, doc_id),
+        c AS (SELECT k, member, {sql_confusion('p = 1', 'quality = 1')} FROM (SELECT * FROM single UNION ALL SELECT * FROM ens) GROUP BY ALL)
+        SELECT 'bayes' AS model, *, {F1_SQL} AS f1 FROM c""",
+)
 def _(t: Tables):
     gold = language_rows(t).join(t.labels.select("doc_id", F.col("quality").alias("label")), "doc_id")
-    return LE.cross_train_sweep(language_rows(t), gold, language_ids(t), "doc_id", [2, 3], "label")
+    return LE.cross_train_sweep(language_rows(t), gold, language_ids(t), "doc_id", "label", hashed=None)
 
 
 @check("m04_training_pilot", "arm:s class_macro_f1:d n_classes:i n:i accuracy:d")
