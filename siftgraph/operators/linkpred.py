@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -14,7 +14,7 @@ from .metrics import f1_of, ratio
 from .ranking import hash_key, null_safe_join, prefix_sums, value_counts, with_totals
 from .sampling import uniform
 
-BLOCK = 2048
+BLOCK = 1 << 16  # entities a task holds as one matrix
 ATTEMPTS = 16
 MARGIN = 6.0
 QUANTILE_STEPS = 199
@@ -46,31 +46,56 @@ def triple_distance(triples: DataFrame, entities: DataFrame, relations: DataFram
     return d.withColumn(out, dist).drop("__h", "__r", "__t")
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Equally long list values as one 2-d array."""
+    return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
+
+
 def _row_l1(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.abs(rows - q).sum(axis=1)
 
 
-def _closer_in_block(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-    """Per query of the block: entities strictly closer than the gold tail (itself excluded)."""
-    if queries.empty or block.empty:
-        return pd.DataFrame({"q": pd.Series(dtype="int64"), "closer": pd.Series(dtype="int64")})
-    ids = block["id"].to_numpy()
-    matrix = np.stack(block["vec"].to_numpy())
-    counts = []
-    for t, qv, gold in zip(queries["t"], queries["qvec"], queries["gold_vec"]):
-        q = np.asarray(qv)
-        limit = _row_l1(np.asarray(gold)[None, :], q)[0]
-        counts.append(int(((_row_l1(matrix, q) < limit) & (ids != t)).sum()))
-    return pd.DataFrame({"q": queries["q"].to_numpy(), "closer": counts})
+def _measured(df: DataFrame, keep: Sequence[str], a: str, b: str) -> DataFrame:
+    """Columns ``keep`` and ``dist``, the L1 distance of two vectors, summed as in the blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            if part.num_rows:
+                dist = _row_l1(_matrix(part.column(a)), _matrix(part.column(b)))
+                columns = [part.column(c) for c in keep]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(dist)], names=[*keep, "dist"])
 
+    types = dict(df.dtypes)
+    return df.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in keep) + ", dist double")
 
-def _known_closer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        if pdf.empty:
-            continue
-        q, gold, other = (np.stack(pdf[c].to_numpy()) for c in ("qvec", "gold_vec", "vec"))
-        hit = np.abs(other - q).sum(axis=1) < np.abs(gold - q).sum(axis=1)
-        yield pd.DataFrame({"q": pdf["q"].to_numpy(), "known_closer": hit.astype("int64")})
+
+def _closer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by (block, query): a block's entities, then all queries.
+
+    One partial count per query of a block: its entities strictly closer than the true tail.
+    """
+    block, held, matrix = None, [], None
+    for part in batches:
+        blocks, asks = part.column("eb").to_numpy(), part.column("query").to_numpy(zero_copy_only=False)
+        edges = np.flatnonzero((np.diff(blocks) != 0) | (asks[1:] != asks[:-1])) + 1
+        ids, counts = [], []
+        for a, b in zip([0, *edges], [*edges, len(blocks)], strict=True):
+            if a == b:
+                continue
+            some = part.slice(a, b - a)
+            if blocks[a] != block:
+                block, held, matrix = blocks[a], [], None
+            if not asks[a]:
+                held.append(_matrix(some.column("vec")))
+                continue
+            matrix = np.concatenate(held) if matrix is None and held else matrix
+            if matrix is None:
+                continue
+            limits = some.column("dist").to_numpy()
+            for q, vec, limit in zip(some.column("id").to_pylist(), _matrix(some.column("vec")), limits, strict=True):
+                ids.append(q)
+                counts.append(int((_row_l1(matrix, vec) < limit).sum()))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts, pa.int64())], names=["q", "closer"])
 
 
 def filtered_tail_ranks(
@@ -78,10 +103,9 @@ def filtered_tail_ranks(
 ) -> DataFrame:
     """(q, h, r, t, rank): filtered rank of the true tail among all entities, L1 distance.
 
-    A blocked comparison: queries and entities are hashed into blocks of bounded size and
-    every (query block, entity block) cell is one small task that returns one partial
-    count per query. Query-entity pairs are never materialised as rows. Known true tails
-    are subtracted through an equi-join.
+    Entities are hashed into large blocks and move once; only the queries are copied, one
+    row per block, and stream past it. Known true tails are measured once per (h, r), not
+    per query: a running count along the distance says how many are closer.
     """
     queries = (
         test.join(_vectors(entities, "h", "__h"), "h")
@@ -90,38 +114,28 @@ def filtered_tail_ranks(
         .withColumn("qvec", translated(F.col("__h"), F.col("__r")))
         .select("q", "h", "r", "t", "qvec", "gold_vec")
     )
-    n_q = max(1, -(-test.count() // block))
+    limits = cut_lineage(_measured(queries, ["q", "h", "r", "t", "qvec"], "qvec", "gold_vec"))
     n_e = max(1, -(-entities.count() // block))
-    lit_blocks = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(n_q)).cast("int")).withColumn(
-        "eb", lit_blocks(n_e)
-    )
-    right = (
-        entities.select("id", F.col("vec").cast("array<double>").alias("vec"))
-        .withColumn("eb", F.pmod(F.xxhash64("id"), F.lit(n_e)).cast("int"))
-        .withColumn("qb", lit_blocks(n_q))
-    )
-    partial = (
-        left.groupBy("qb", "eb")
-        .cogroup(right.groupBy("qb", "eb"))
-        .applyInPandas(_closer_in_block, "q long, closer long")
-    )
-    closer = partial.groupBy("q").agg(F.sum("closer").alias("closer"))
+    vec = F.col("vec").cast("array<double>").alias("vec")
+    place = F.pmod(F.xxhash64("id"), F.lit(n_e)).cast("int").alias("eb")
+    right = entities.select(place, F.lit(False).alias("query"), F.col("id").cast("long").alias("id"), vec, F.lit(0.0).alias("dist"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(n_e - 1))).alias("eb")
+    left = limits.select(every, F.lit(True).alias("query"), F.col("q").cast("long").alias("id"), F.col("qvec").alias("vec"), "dist")
+    cells = right.unionByName(left).repartition("eb").sortWithinPartitions("eb", "query")
+    closer = cells.mapInArrow(_closer, "q long, closer long").groupBy("q").agg(F.sum("closer").alias("closer"))
+
+    pairs = limits.select("h", "r", "qvec").dropDuplicates(["h", "r"])
     others = known.select("h", "r", F.col("t").alias("id")).distinct()
-    pairs = (
-        queries.join(others, ["h", "r"])
-        .filter(F.col("id") != F.col("t"))
-        .join(entities.select("id", F.col("vec").cast("array<double>").alias("vec")), "id")
-    )
-    filtered = (
-        pairs.select("q", "qvec", "gold_vec", "vec")
-        .mapInPandas(_known_closer, "q long, known_closer long")
-        .groupBy("q")
-        .agg(F.sum("known_closer").alias("known_closer"))
-    )
+    tails = others.join(pairs, ["h", "r"]).join(entities.select("id", vec), "id")
+    at = _measured(tails, ["h", "r"], "qvec", "vec").withColumn("n", F.lit(1))
+    at = at.unionByName(limits.select("h", "r", "dist", F.lit(0).alias("n")))
+    before = Window.partitionBy("h", "r").orderBy("dist").rowsBetween(Window.unboundedPreceding, -1)
+    nearer = at.groupBy("h", "r", "dist").agg(F.sum("n").alias("n")).withColumn("known_closer", F.sum("n").over(before))
     rank = F.col("closer") - F.coalesce("known_closer", F.lit(0)) + 1
     return (
-        test.join(closer, "q").join(filtered, "q", "left").select("q", "h", "r", "t", rank.alias("rank"))
+        limits.join(closer, "q")
+        .join(nearer.drop("n"), ["h", "r", "dist"], "left")
+        .select("q", "h", "r", "t", rank.alias("rank"))
     )
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .metrics import best_threshold, f1_of, ratio, score_bin, sweep_from_bins, with_ratios
 from .ranking import hash_key, null_safe_join, ordered_rank, prefix_sums, unit_bucket
 
@@ -133,8 +134,8 @@ def cross_validated_threshold(
 ) -> DataFrame:
     """Mean and population deviation of held-out F1, mean threshold, mean fold AUC."""
     by = list(by)
-    # one aggregated table feeds thresholds and curves, so the rows are read once
-    counts = score_counts(folded, score, gold, [*by, "fold"])
+    # one stored table of distinct scores feeds thresholds and curves, so the rows are read once
+    counts = cut_lineage(score_counts(folded, score, gold, [*by, "fold"]))
     folds = thresholds_from_counts(counts, grid, by)
     aucs = auc_from_points(points_from_counts(counts, [*by, "fold"]), [*by, "fold"])
     d = null_safe_join(folds, aucs, [*by, "fold"])
