@@ -8,13 +8,13 @@ inside a shard, most row groups.
 The curve is a state machine: ``2 ** BITS`` steps of a table of (state, corner) that is
 built from the Gray-code rule. Law ``rows``: shard sizes differ by one row at most.
 
-Scale: only narrow rows are shuffled, by range of (index, id), and ranks are the running
+Scale: only narrow rows are shuffled, by range of (index, crc32, id), and ranks are the running
 count inside a range partition plus one total per partition. Everything is DataFrame
 expressions. ``write_shards`` moves the texts once, to their shard.
 
 Defined cases: null texts have size 8 and crc32 0; null source or language come first in
-their dimension; ties on the curve go by doc_id (null first), then by the text's crc32;
-repeated rows are neighbours; an empty table gives an empty result. Only the columns named
+their dimension; ties on the curve go by the text's crc32, so equal texts are neighbours,
+then by doc_id (null first); an empty table gives an empty result. Only the columns named
 here are read.
 """
 
@@ -124,8 +124,8 @@ def described(docs: DataFrame, bits: int = BITS) -> DataFrame:
 def shard(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, curve, source and lang per document."""
     rows = described(docs, bits)
-    order = [F.col("curve"), F.col("doc_id").asc_nulls_first(), F.col("text_crc32")]
-    placed = ranked(rows, order, "rank", ["curve", "doc_id"])
+    order = [F.col("curve"), F.col("text_crc32"), F.col("doc_id").asc_nulls_first()]
+    placed = ranked(rows, order, "rank", ["curve", "text_crc32", "doc_id"])
     n = docs.count()
     least, more = divmod(n, shards)
     border = more * (least + 1)
