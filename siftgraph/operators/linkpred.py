@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .metrics import f1_of, ratio
 from .ranking import hash_key, null_safe_join, prefix_sums, value_counts, with_totals
-from .sampling import uniform
+from .sampling import uniform, weighted_draws
 
 BLOCK = 1 << 16  # entities a task holds as one matrix
 ATTEMPTS = 16
@@ -297,18 +297,21 @@ def train_translation(
     One epoch is one Spark job: each triple gets one corrupted head or tail, triples meet
     their vectors by equi-joins, subgradients are summed per id with map-side combine,
     and vectors move by the mean subgradient of their uses; entity norms stay within 1.
-    State is checkpointed each epoch. ``weight`` scales a triple's contribution.
+    State is checkpointed each epoch. With ``weight`` an epoch trains on as many triples,
+    drawn with replacement in proportion to it.
     """
     ent = cut_lineage(initial_vectors(entities, dim, seed, True))
     rel = cut_lineage(initial_vectors(relations, dim, seed + 1, False))
-    w = F.col(weight) if weight else F.lit(1.0)
-    base = train.select("h", "r", "t", w.cast("double").alias("w"))
+    base = train.select("h", "r", "t", *([F.col(weight).cast("double").alias("w")] if weight else []))
+    size_of_epoch = base.count() if weight else 0
+    key = ["h", "r", "t", *(["draw"] if weight else [])]
     for epoch in range(epochs):
-        draws = base.withColumns(
+        rows = weighted_draws(base, "w", size_of_epoch, ["h", "r", "t"], seed + epoch) if weight else base
+        draws = rows.withColumns(
             {
                 "__e": F.lit(epoch),
-                "head_side": uniform(seed, F.lit(epoch), "h", "r", "t") < 0.5,
-                "other": draw_entity(seed + 7, F.lit(n_entities), F.lit(epoch), "h", "r", "t"),
+                "head_side": uniform(seed, F.lit(epoch), *key) < 0.5,
+                "other": draw_entity(seed + 7, F.lit(n_entities), F.lit(epoch), *key),
             }
         )
         d = (
@@ -322,10 +325,10 @@ def train_translation(
         good = F.zip_with(translated(F.col("hv"), F.col("rv")), F.col("tv"), lambda x, y: x - y)
         bad = F.zip_with(translated(neg_h, F.col("rv")), neg_t, lambda x, y: x - y)
         size = lambda v: F.aggregate(v, F.lit(0.0), lambda acc, x: acc + F.abs(x))
-        sign = lambda v, k: F.transform(v, lambda x: F.signum(x) * k)
+        sign = lambda v: F.transform(v, lambda x: F.signum(x))
         d = d.withColumns({"gd": good, "bd": bad})
         d = d.filter(F.lit(margin) + size(F.col("gd")) - size(F.col("bd")) > 0)
-        d = d.withColumns({"gs": sign(F.col("gd"), F.col("w")), "bs": sign(F.col("bd"), F.col("w"))})
+        d = d.withColumns({"gs": sign(F.col("gd")), "bs": sign(F.col("bd"))})
         minus = lambda v: F.transform(v, lambda x: -x)
         nh = F.when(F.col("head_side"), F.col("other")).otherwise(F.col("h"))
         nt = F.when(F.col("head_side"), F.col("t")).otherwise(F.col("other"))
