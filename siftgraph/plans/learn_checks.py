@@ -101,13 +101,40 @@ def _(t: Tables):
     return LE.cross_train_sweep(language_rows(t), gold, language_ids(t), "doc_id", "label", hashed=None)
 
 
-@check("m04_training_pilot", "arm:s class_macro_f1:d n_classes:i n:i accuracy:d")
+PILOT_SQL = f"""WITH tok AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower({BODY_SQL}), '[ \\n\\t\\r]+'), lambda x: x <> '')) AS w FROM {{documents}}),
+    tf AS (SELECT doc_id, w, count(*) AS n FROM tok GROUP BY ALL),
+    ev AS (SELECT doc_id, lang AS y FROM {{documents}} WHERE doc_id IN (SELECT doc_id FROM {{labels}} WHERE quality = 1)),
+    pool AS (SELECT doc_id, lang AS y, length(text) AS len FROM {{documents}} WHERE doc_id NOT IN (SELECT doc_id FROM {{labels}})),
+    lab AS (SELECT y FROM pool WHERE len >= 500 GROUP BY 1 HAVING count(*) >= 5 INTERSECT SELECT y FROM ev),
+    arms AS (SELECT 'raw' AS arm, doc_id, y FROM pool UNION ALL SELECT 'denoised', doc_id, y FROM pool WHERE len >= 500),
+    tr AS (SELECT arm, doc_id, y FROM arms WHERE y IN (SELECT y FROM lab)
+           QUALIFY row_number() OVER (PARTITION BY arm ORDER BY md5('42|' || doc_id)) <= 200),
+    cnt AS (SELECT arm, y, w, sum(n) AS c FROM tf JOIN tr USING (doc_id) GROUP BY ALL),
+    voc AS (SELECT DISTINCT arm, w FROM cnt),
+    base AS (SELECT arm, y, ln((m + 1) / (sum(m) OVER (PARTITION BY arm) + count(*) OVER (PARTITION BY arm))::DOUBLE) AS prior, ln(t + v) AS denom
+             FROM (SELECT arm, y, count(*) AS m FROM tr GROUP BY ALL) JOIN (SELECT arm, y, sum(c) AS t FROM cnt GROUP BY ALL) USING (arm, y)
+             JOIN (SELECT arm, count(*) AS v FROM voc GROUP BY 1) USING (arm)),
+    known AS (SELECT arm, doc_id, sum(n) AS n FROM tf JOIN ev USING (doc_id) JOIN voc USING (w) GROUP BY ALL),
+    met AS (SELECT arm, doc_id, cnt.y, sum(n * ln(c + 1)) AS s FROM tf JOIN ev USING (doc_id) JOIN cnt USING (w) GROUP BY ALL),
+    scored AS (SELECT b.arm, ev.doc_id, ev.y AS truth, b.y, prior + coalesce(s, 0) - coalesce(known.n, 0) * denom AS score
+               FROM base b CROSS JOIN ev LEFT JOIN known ON known.arm = b.arm AND known.doc_id = ev.doc_id
+               LEFT JOIN met ON met.arm = b.arm AND met.doc_id = ev.doc_id AND met.y = b.y WHERE ev.y IN (SELECT y FROM lab)),
+    got AS (SELECT arm, doc_id, any_value(truth) AS g, arg_max(y, score) AS p FROM scored GROUP BY ALL),
+    cls AS (SELECT arm, p AS k FROM got UNION SELECT arm, g FROM got),
+    per AS (SELECT c.arm, k, count(*) FILTER (WHERE p = k AND g = k) AS tp, count(*) FILTER (WHERE (p = k) <> (g = k)) AS err
+            FROM cls c JOIN got USING (arm) GROUP BY ALL)
+    SELECT per.arm, avg(CASE WHEN 2 * tp + err = 0 THEN 0 ELSE 2e0 * tp / (2 * tp + err) END) AS class_macro_f1, count(*) AS n_classes,
+        any_value(n) AS n, any_value(acc) AS accuracy
+    FROM per JOIN (SELECT arm, count(*) AS n, avg(CAST(p = g AS INT)) AS acc FROM got GROUP BY 1) USING (arm) GROUP BY per.arm"""
+
+
+@check("m04_training_pilot", "arm:s class_macro_f1:d n_classes:i n:i accuracy:d", PILOT_SQL)
 def _(t: Tables):
     rows = language_rows(t)
     gold = rows.join(t.labels.filter("quality = 1").select("doc_id"), "doc_id", "left_semi")
     pool = rows.join(t.labels.select("doc_id"), "doc_id", "left_anti")
     arms = {"raw": pool, "denoised": pool.filter(F.length("text") >= 500)}
-    return LE.training_pilot(arms, "denoised", gold, "doc_id", 200, 5)
+    return LE.training_pilot(arms, "denoised", gold, "doc_id", 200, 5, hashed=None)
 
 
 @check("m05_native_scorer", "doc_id:i score:d", OVERLAP)
