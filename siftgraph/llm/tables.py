@@ -39,15 +39,19 @@ def block_borders(docs: DataFrame, bytes_each: int = BLOCK_BYTES) -> list[int]:
     return sorted({int(x) for x in cuts})
 
 
+def block_numbers(ids: pa.Array, cuts: np.ndarray) -> np.ndarray:
+    return np.searchsorted(cuts, ids.fill_null(FIRST).to_numpy(), side="right").astype(np.int32)
+
+
 def _deal(borders: list[int], copies: dict[int, list[int]] | None):
     cuts = np.array(borders, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").fill_null(FIRST).to_numpy()
-            block = np.searchsorted(cuts, ids, side="right")
+            block = block_numbers(batch.column("doc_id"), cuts)
             names = [*batch.schema.names, "block", "ahead"]
-            own = [*batch.columns, pa.array(block.astype(np.int32)), pa.array(np.zeros(len(ids), bool))]
+            own = [*batch.columns, pa.array(block), pa.array(np.zeros(len(ids), bool))]
             yield pa.RecordBatch.from_arrays(own, names=names)
             if copies is None:
                 continue
