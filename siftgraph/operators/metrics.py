@@ -209,11 +209,18 @@ def mean_by(metrics: DataFrame, axis: str, metric: str = "f1") -> DataFrame:
     )
 
 
-def best_per_metric(metrics: DataFrame, config: Sequence[str], names=METRICS) -> DataFrame:
-    """Best configuration for each metric; the smallest configuration wins ties."""
+def run_ordinal(config: str, order: Sequence[str]) -> Column:
+    """Place of a configuration in the order the runs were made."""
+    return F.array_position(F.array(*map(F.lit, order)), F.col(config))
+
+
+def best_per_metric(metrics: DataFrame, config: Sequence[str], names=METRICS, ordinal: str | None = None) -> DataFrame:
+    """Best configuration for each metric; the first run wins ties (``ordinal``), else the smallest name."""
     cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in names])
-    long = metrics.select(*config, F.inline(cells))
-    return first_per_key(long, ["metric"], [F.col("value").desc(), *config])
+    ties = [ordinal] if ordinal else list(config)
+    long = metrics.select(*config, *([ordinal] if ordinal else []), F.inline(cells))
+    best = first_per_key(long, ["metric"], [F.col("value").desc(), *ties])
+    return best.drop(ordinal) if ordinal else best
 
 
 def rank_configs(

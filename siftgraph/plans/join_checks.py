@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import clean, word_count
 from ..operators import ensemble as G
 from ..operators import joins as J
-from .fixtures import Tables
+from .fixtures import CONFIG_NAMES, Tables
 from .registry import F1_SQL, METRIC_COLUMNS, RATIOS_SQL, check, sql_confusion
 from .text_checks import CLEAN_V3, words
 
@@ -409,14 +409,15 @@ def _(t: Tables):
 
 CONFIG_F1 = f"""conf AS (SELECT model, config, {sql_confusion("pred = '1'", 'label = 1')} FROM runs GROUP BY ALL),
     scored AS (SELECT model, config, {F1_SQL} AS f1 FROM conf),
-    best AS (SELECT model, arg_max(config, (round(f1, 12), config)) AS config, max(f1) AS weight FROM scored GROUP BY model)"""
+    best AS (SELECT model, arg_max(config, (round(f1, 12), -list_position({CONFIG_NAMES}, config))) AS config, max(f1) AS weight FROM scored GROUP BY model)"""
 
 
 def best_configs(t: Tables):
-    from ..operators.metrics import best_per_group, hard_label_metrics
+    from ..operators.metrics import best_per_group, hard_label_metrics, run_ordinal
 
     m = hard_label_metrics(t.runs, ["model", "config"])
-    best = best_per_group(m.withColumn("key", F.round("f1", 12)), ["model"], [F.col("config").desc()], "key")
+    m = m.withColumns({"key": F.round("f1", 12), "ordinal": run_ordinal("config", CONFIG_NAMES)})
+    best = best_per_group(m, ["model"], ["ordinal"], "key")
     return best.select("model", "config", F.col("f1").alias("weight"))
 
 

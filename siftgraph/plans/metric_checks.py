@@ -566,12 +566,15 @@ def _(t: Tables):
     "metric:s config:s value:d",
     f"""WITH {CONFIG_SQL}, l AS ("""
     + " UNION ALL ".join(f"SELECT '{m}' AS metric, config, {m} AS value FROM ms" for m in M.METRICS)
-    + """), r AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY round(value, 12) DESC, config) AS rn FROM l)
+    + """), r AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY round(value, 12) DESC, list_position("""
+    + str(CONFIG_NAMES)
+    + """, config)) AS rn FROM l)
         SELECT metric, config, value FROM r WHERE rn = 1""",
 )
 def _(t: Tables):
     m = config_metrics(t)
-    return M.best_per_metric(m.withColumns({k: F.round(k, 12) for k in M.METRICS}), ["config"])
+    m = m.withColumns({k: F.round(k, 12) for k in M.METRICS} | {"ordinal": M.run_ordinal("config", CONFIG_NAMES)})
+    return M.best_per_metric(m, ["config"], ordinal="ordinal")
 
 
 @check(
