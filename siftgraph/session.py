@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 SPREAD_BYTES = 64 << 20
+ARROW_BYTES = 4 << 20
 
 
 def build_session(app: str = "siftgraph", master: str | None = None, **conf) -> SparkSession:
@@ -46,8 +47,10 @@ def build_session(app: str = "siftgraph", master: str | None = None, **conf) ->
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors once per application.
 
-    Python workers then import it wherever the driver was started from.
+    Python workers then import it wherever the driver was started from. Arrow batches are
+    bounded in bytes, because texts are long and both the JVM and the worker hold a batch.
     """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     context = spark.sparkContext
     if getattr(context, "_siftgraph_shipped", False):
         return
