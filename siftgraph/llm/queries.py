@@ -195,10 +195,55 @@ def op2_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
     return hilbert.shard(table(spark, folder, "documents"))
 
 
-@query("op8_simhash_decontamination")
+LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def shingled_sql(table_name: str, key: str, words: str, parts: str) -> str:
+    """CTEs ``words`` (key, w) and ``parts`` (key, p, k): lower-case words and 5-word shingles by place."""
+    return f"""{words} AS (
+        SELECT {key}, list_filter(string_split_regex({LOWER_SQL}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM {table_name}
+    ),
+    {parts} AS (
+        SELECT {key}, i - 1 AS p, md5(array_to_string(list_slice(w, i, i + 4), ' ')) AS k
+        FROM (SELECT {key}, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM {words} WHERE len(w) > 0)
+    )"""
+
+
+@query(
+    "op8_simhash_decontamination",
+    sql=f"""
+    WITH {shingled_sql('documents', 'doc_id', 'd', 's')}, {shingled_sql('benchmark', 'item_id', 'b', 'bs')},
+    bc AS (SELECT item_id, k, count(*) AS n FROM bs GROUP BY ALL),
+    size AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY 1),
+    hits AS (SELECT DISTINCT doc_id, item_id, p FROM s JOIN bc USING (k)),
+    geo AS (
+        SELECT DISTINCT doc_id, item_id, least(len(b.w), len(d.w)) AS n_words,
+            greatest(least(len(b.w), len(d.w)) - 4, 1) AS width, greatest(len(d.w) - 4, 1) AS places
+        FROM hits JOIN d USING (doc_id) JOIN b USING (item_id)
+    ),
+    cand AS (
+        SELECT DISTINCT doc_id, item_id, n_words, width,
+            unnest(range(greatest(p - width + 1, 0), least(p, places - width) + 1)) AS st
+        FROM hits JOIN geo USING (doc_id, item_id)
+    ),
+    cnt AS (
+        SELECT c.doc_id, c.item_id, c.st, c.n_words, c.width, s.k, count(*) AS n
+        FROM cand c JOIN s ON s.doc_id = c.doc_id AND s.p >= st AND s.p < st + width GROUP BY ALL
+    ),
+    low AS (
+        SELECT doc_id, item_id, st, n_words, width, sum(least(cnt.n, bc.n)) AS low FROM cnt JOIN bc USING (item_id, k) GROUP BY ALL
+    ),
+    alike AS (
+        SELECT doc_id, item_id, st, n_words, low / (width + n_item - low)::DOUBLE AS similarity FROM low JOIN size USING (item_id)
+        WHERE 100 * low >= 75 * (width + n_item - low)
+    )
+    SELECT doc_id, item_id, CAST(st AS BIGINT) AS start, CAST(n_words AS BIGINT) AS n_words, round(similarity, 9) AS similarity
+    FROM alike QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, st) = 1""",
+)
 def op8_simhash_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Every benchmark item found in a document, with its best window."""
-    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    found = decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "n_words", F.round("similarity", 9).alias("similarity"))
 
 
 @query("op7_gru_language_model")
