@@ -190,6 +190,8 @@ def brute_leaks(rows, items):
                 return c
 
             want = bag(q)
+            if not bag(d).keys() & want.keys() and length >= 5:
+                continue  # no window shares a shingle
             for s in range(len(d) - length + 1):
                 have = bag(d[s : s + length]) if length >= 5 or len(d) < 5 else {}
                 low = sum(min(have.get(x, 0), want.get(x, 0)) for x in have.keys() | want.keys())
