@@ -1,19 +1,23 @@
 """Substring dedup by relative Lempel-Ziv factoring.
 
-Every document is factored greedily against an index of all documents. The index is cut
-into blocks by anchor: a window of 20 words is filed under the smallest hash of its
-6-word grams, so two equal windows always meet in one block and a document only visits
-the blocks that can hold a match. A factor is a maximal run of windows that copy one
-earlier place; windows across factor borders are looked up like all others, so every
-repeated window is found, whatever the parse.
+Every window of 20 words is looked up in an index of all documents. The index is cut
+into blocks by anchor: a window is filed under the smallest hash of its 6-word grams, so
+two equal windows always meet in one block and a document only visits the blocks that can
+hold a match. Anchor hits that copy one place are then joined left and right into factors:
+a factor is a maximal run of windows whose sources are consecutive too. There is no greedy
+cursor: windows across factor borders are looked up like all others, because each repeated
+window is to go, and a parse that jumps over them would keep some. A window's source is the
+first copy in its slice or, between slices, the first in the block, not the longest match.
 
 Scale: a map task first removes repeats inside its own slice, so a passage sent by every
 document is sent once per slice; a row carries all windows of one anchor, about one row
 per eight words, and only factors travel on. Blocks are read as a sorted stream, so
-memory does not depend on how often an anchor occurs. Texts are shuffled once, to meet
-their factors.
+what a block holds is one entry per distinct window of the current anchor. Texts are
+shuffled once, to meet their factors.
 
-Windows are compared by a 64-bit anchor hash and an independent 32-bit window hash.
+Windows are compared by an independent 64-bit window hash besides their anchor, of which 64
+bits are compared inside a slice and 32 between slices. Removal needs the copied windows only,
+so it takes the runs of each anchor as they are; ``factors`` joins them.
 
 Defined cases: null, empty and shorter texts have no window; rows with the same doc_id
 and different texts are documents ordered by the crc32 of their text; identical rows have
@@ -29,7 +33,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .words import hash_words, mix, slices, split_words, window_hash
@@ -38,7 +42,7 @@ WINDOW = 20  # words
 GRAM = 6  # words of an anchor gram
 FIRST = -(2**63)  # stands for a null doc_id
 
-INDEX_SCHEMA = "key bigint, doc bigint, at bigint, local boolean, load binary"
+INDEX_SCHEMA = "key int, doc bigint, at bigint, local boolean, load binary"
 FACTOR_SCHEMA = "doc bigint, crc bigint, start int, n int, src_doc bigint, src_crc bigint, src_start int"
 _FACTOR = np.dtype(
     [("n", "<i4"), ("src_doc", "<i8"), ("src_at", "<i8")]
@@ -65,7 +69,7 @@ def _runs(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _copies(key: np.ndarray, tag: np.ndarray) -> np.ndarray:
     """For each window the index of the first equal one before it, or itself."""
-    order = np.argsort(mix(key ^ (tag.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))), kind="stable")
+    order = np.argsort(mix(key ^ (tag * np.uint64(0x9E3779B97F4A7C15))), kind="stable")
     k, t = key[order], tag[order]
     new = np.ones(len(order), bool)
     new[1:] = (k[1:] != k[:-1]) | (t[1:] != t[:-1])
@@ -93,7 +97,7 @@ def _index_slice(batch: pa.RecordBatch, window: int, gram: int) -> pa.RecordBatc
     grams = window_hash(h, gram)
     anchor = _smallest(grams, window - gram + 1)[place]
     key = grams[anchor]
-    tag = (window_hash(h, window, 0xA0761D6478BD642F)[place] >> np.uint64(32)).astype(np.uint32)
+    tag = window_hash(h, window, 0xA0761D6478BD642F)[place]
     source = _copies(key, tag)
     # identical rows are one document here: a window is no copy of itself
     copied = (source != np.arange(total)) & ~(
@@ -105,12 +109,12 @@ def _index_slice(batch: pa.RecordBatch, window: int, gram: int) -> pa.RecordBatc
     new[1:] = ~joined | np.where(copied[1:], np.diff(source) != 1, anchor[1:] != anchor[:-1])
     begin, length = _runs(new)
     local = copied[begin]
-    # windows of the anchors, four bytes each
+    # windows of the anchors, eight bytes each
     own = begin[~local]
     lengths = length[~local]
     sent = ~np.repeat(local, length)
     tags = tag[sent].tobytes()
-    offsets = np.concatenate([[0], np.cumsum(lengths * 4)])
+    offsets = np.concatenate([[0], np.cumsum(lengths * 8)])
     load = pa.Array.from_buffers(
         pa.binary(), len(own), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(tags)]
     )
@@ -128,7 +132,7 @@ def _index_slice(batch: pa.RecordBatch, window: int, gram: int) -> pa.RecordBatc
     keys = np.concatenate([key[own], mix(at[mine].astype(np.uint64) ^ doc[d[mine]].astype(np.uint64))])
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(keys.view(np.int64)),
+            pa.array((keys >> np.uint64(32)).astype(np.uint32).view(np.int32)),
             pa.array(doc[d[rows]]),
             pa.array(at[rows]),
             pa.array(np.arange(len(rows)) >= len(own)),
@@ -165,12 +169,12 @@ def _factor_batch(doc, at, n, src_doc, src_at) -> pa.RecordBatch:
 
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Factors of windows with an earlier copy; rows come sorted by (key, doc, at)."""
+    """Runs of windows with an earlier copy, per anchor; rows come sorted by (key, doc, at)."""
     empty = np.zeros(0, np.int64)
-    seen = (empty.astype(np.uint64), empty.astype(np.uint32), empty, empty)  # firsts of the last key
+    seen = (empty.astype(np.uint64), empty.astype(np.uint64), empty, empty)  # firsts of the last key
     for batch in batches:
         local = batch.column("local").to_numpy(zero_copy_only=False)
-        key = batch.column("key").to_numpy().view(np.uint64)
+        key = batch.column("key").to_numpy().view(np.uint32).astype(np.uint64)
         doc, at = batch.column("doc").to_numpy(), batch.column("at").to_numpy()
         if local.any():
             raw, _ = flat_load(batch.column("load"), local)
@@ -189,8 +193,8 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = np.zeros(len(local), bool)
         keep[rows[twice]] = True
         raw, lengths = flat_load(batch.column("load"), keep)
-        tags = np.frombuffer(raw, np.uint32)
-        sizes = lengths // 4
+        tags = np.frombuffer(raw, np.uint64)
+        sizes = lengths // 8
         r = np.repeat(np.flatnonzero(keep), sizes)
         step = np.arange(len(r)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         olds = len(seen[0])
@@ -231,12 +235,35 @@ def flat_load(column: pa.Array, keep: np.ndarray) -> tuple[bytes, np.ndarray]:
 def factors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc, crc, start, n, src_doc, src_crc, src_start): ``n`` windows from word ``start`` on
     copy those from ``src_start`` on of an earlier document, or of the same one further up."""
+    return _joined(_copied(docs, window, gram))
+
+
+def _copied(docs: DataFrame, window: int, gram: int) -> DataFrame:
+    """Runs of copied windows, cut where the anchor changes; columns of :func:`factors`."""
     texts = _keyed(docs).select("doc", "crc", "text").filter(F.col("text").isNotNull())
     index = texts.mapInArrow(_index(window, gram), INDEX_SCHEMA)
     blocks = index.repartition("key").sortWithinPartitions("key", "doc", "at")
     return blocks.mapInArrow(_match, FACTOR_SCHEMA)
 
 
+def _joined(runs: DataFrame) -> DataFrame:
+    """Runs that touch or overlap and copy the same place as one factor."""
+    ident = ["doc", "crc", "src_doc", "src_crc"]
+    line = [*ident, (F.col("src_start") - F.col("start")).alias("ahead")]
+    along = Window.partitionBy(*ident, "ahead").orderBy("start")
+    before = F.max("stop").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    marked = (
+        runs.select(*line, "start", (F.col("start") + F.col("n")).alias("stop"))
+        .withColumn("new", F.when(F.col("start") <= before, 0).otherwise(1))
+        .withColumn("factor", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    )
+    whole = marked.groupBy(*ident, "ahead", "factor").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return whole.select(
+        "doc", "crc", "start", (F.col("stop") - F.col("start")).alias("n"), "src_doc", "src_crc",
+        (F.col("start") + F.col("ahead")).alias("src_start"),
+    )
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(FIRST)).alias("doc"),
@@ -273,7 +300,7 @@ def _keep(window: int):
 
 def remove_copies(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words of every document, joined by one space."""
-    spans = factors(docs, window, gram).groupBy("doc", "crc").agg(
+    spans = _copied(docs, window, gram).groupBy("doc", "crc").agg(
         F.collect_list(F.struct("start", "n")).alias("spans")  # at most one per word of the document
     )
     joined = _keyed(docs).join(spans, ["doc", "crc"], "left").select("doc_id", "text", "spans")

@@ -55,6 +55,34 @@ def test_rlz_random_and_empty(spark, nothing):
     assert rlz.remove_copies(nothing).collect() == []
 
 
+def test_rlz_windows_that_agree_in_half_a_hash(spark, monkeypatch):
+    # two texts without a common window: all window hashes agree in the upper 32 bits
+    real = rlz.window_hash
+
+    def halved(h, n, *base):
+        return real(h, n, *base) & np.uint64(0xFFFFFFFF) if base else real(h, n)
+
+    monkeypatch.setattr(rlz, "window_hash", halved)
+    line = [f"w{i}" for i in range(6)]
+    texts = [" ".join([f"{c}{i}" for i in range(14)] + line + [f"{c}{i}" for i in range(14, 28)]) for c in "ab"]
+    part = rlz.pa.RecordBatch.from_pydict({"doc": [1, 2], "crc": [1, 2], "text": texts})
+    index = rlz._index_slice(part, 20, 6)
+    assert not any(index.column("local").to_pylist())
+    order = rlz.pc.sort_indices(index, sort_keys=[(c, "ascending") for c in ("key", "doc", "at")])
+    assert sum(out.num_rows for out in rlz._match(iter([index.take(order)]))) == 0
+
+
+def test_rlz_factors_are_maximal(spark):
+    # one long copy crosses many anchors and is one factor
+    rng = random.Random(3)
+    text = [f"v{rng.randrange(10**6)}" for _ in range(300)]
+    rows = [(1, " ".join(text)), (2, " ".join(["x", "y", *text[20:280], "z"]))]
+    for parts in (1, 2):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts, "doc_id")
+        got = [(r.doc, r.start, r.n, r.src_doc, r.src_start) for r in rlz.factors(docs).collect()]
+        assert got == [(2, 2, 241, 1, 20)]
+
+
 def brute_components(rows):
     nodes = {}
     for i, t, *_ in rows:
