@@ -11,8 +11,10 @@
    verified too, so a link is not lost because it misses the bucket's smallest class.
 
 With 40 bands of 4, a pair at similarity 0.75 shares no band with probability 3e-7. The
-estimate from all 192 places has a standard deviation below 0.02 there, so the test at 0.67
-errs for about one in 1e5 pairs that lie exactly at the border, and for none far above it.
+estimate from all 192 places has there a standard deviation of 0.022 for unions of 100
+shingles and 0.031, the binomial one, for large unions. The test at 0.55 drops such a pair
+with at most 8e-10 (binomial tail), far below the banding, whatever the set sizes; set sizes
+alone exclude a pair exactly where the smaller set is less than 0.75 of the larger.
 
 Scale: texts are shuffled once and only those with a partner candidate are kept; a class
 that many others pair with is split over salted groups of ``MEMBERS``; all joins are on
@@ -40,7 +42,7 @@ SHINGLE = 5  # words
 M = 192  # signature length
 BAND = 4
 BANDS = 40  # the other places only sharpen the estimate
-LIKELY = 0.67  # share of equal signature places below which a pair is not verified
+DEVIATIONS = 6.4  # below the asked similarity, in binomial standard deviations: not verified
 PERCENT = 75
 MEMBERS = 256  # texts verified per group against one hub
 SIGN_BYTES = 1 << 20  # text bytes signed at once; a permutation takes M bytes per open shingle
@@ -52,6 +54,12 @@ _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _HALF = np.uint64(32)
 
 
+def least_alike(percent: int = PERCENT, m: int = M) -> float:
+    """Share of equal signature places below which a pair is not verified: 0.55 for 75 and 192."""
+    p = percent / 100
+    return p - DEVIATIONS * (p * (1 - p) / m) ** 0.5
+
+
 def _draw(seed: np.ndarray, j: int, m: int) -> tuple[np.ndarray, np.ndarray]:
     """Step ``j`` of every element: the slot it swaps with (j..m-1), and its value (rank, uniform)."""
     x = mix(seed + np.uint64(int(_STEP) * (j + 1) % (1 << 64)))
@@ -169,15 +177,19 @@ def _signatures(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _alike(least: float):
     """Pairs whose signatures agree often enough."""
-    for part in batches:
-        if part.num_rows:
-            near = (_signatures(part.column("sig_a")) == _signatures(part.column("sig_b"))).mean(axis=1) >= LIKELY
-            yield part.select(["hub", "rep"]).filter(pa.array(near))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            if part.num_rows:
+                near = (_signatures(part.column("sig_a")) == _signatures(part.column("sig_b"))).mean(axis=1) >= least
+                yield part.select(["hub", "rep"]).filter(pa.array(near))
+
+    return run
 
 
-def _across(width: int):
+def _across(width: int, percent: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Likely pairs across groups of one bucket; rows come sorted by (key, n, rep).
 
@@ -194,12 +206,12 @@ def _across(width: int):
                 if key[i] != now:
                     now, lo, hi = key[i], 0, 0
                     meta, sigs = np.zeros((64, 3), np.int64), np.zeros((64, sig.shape[1]), np.uint16)
-                while lo < hi and 100 * meta[lo, 0] < PERCENT * n[i]:
+                while lo < hi and 100 * meta[lo, 0] < percent * n[i]:
                     lo += 1
                 other = lo + np.flatnonzero(meta[lo:hi, 1] != comp[i])
                 if len(other):
                     same = sigs[other] == sig[i]
-                    near = np.flatnonzero(same.mean(axis=1) >= LIKELY)
+                    near = np.flatnonzero(same.mean(axis=1) >= least)
                     shared = same[near, : band[i] * width].reshape(len(near), band[i], width).all(axis=2).any(axis=1)
                     for k in meta[other[near[~shared]], 2].tolist():
                         left.append(min(k, int(rep[i])))
@@ -308,7 +320,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     shared = stored(shared, "buckets")
     sigs = reps.select("rep", "n", "sig")
     pairs = shared.filter("hub <> rep").select("hub", "rep").distinct()
-    pairs = _likely(pairs, sigs)
+    pairs = _likely(pairs, sigs, percent, least_alike(percent, m))
     pairs = stored(pairs, "pairs")
     wanted = shared.select(F.col("rep").alias("doc")).distinct()
     texts = stored(
@@ -328,7 +340,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         .select("key", "band", "n", "comp", "rep", "sig")
         .repartition("key")
         .sortWithinPartitions("key", "n", "rep")
-        .mapInArrow(_across(band), PAIR)
+        .mapInArrow(_across(band, percent, least_alike(percent, m)), PAIR)
         .join(pairs, ["hub", "rep"], "left_anti")
     )
     rest = stored(rest, "rest")
@@ -352,10 +364,13 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     )
 
 
-def _likely(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    a = sigs.select(F.col("rep").alias("hub"), F.col("sig").alias("sig_a"))
-    b = sigs.select("rep", F.col("sig").alias("sig_b"))
-    return pairs.join(a, "hub").join(b, "rep").select("hub", "rep", "sig_a", "sig_b").mapInArrow(_alike, PAIR)
+def _likely(pairs: DataFrame, sigs: DataFrame, percent: int, least: float) -> DataFrame:
+    """Pairs that the set sizes allow and whose signatures agree often enough."""
+    a = sigs.select(F.col("rep").alias("hub"), F.col("sig").alias("sig_a"), F.col("n").alias("n_a"))
+    b = sigs.select("rep", F.col("sig").alias("sig_b"), "n")
+    fits = 100 * F.least("n_a", "n") >= percent * F.greatest("n_a", "n")
+    placed = pairs.join(a, "hub").join(b, "rep").filter(fits)
+    return placed.select("hub", "rep", "sig_a", "sig_b").mapInArrow(_alike(least), PAIR)
 
 
 def keep_first(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

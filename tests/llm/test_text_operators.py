@@ -135,6 +135,21 @@ def test_near_duplicates_group_of_variants(spark, nothing):
     assert {r.doc_id for r in kept.collect()} == set(got.values()) and kept.columns == docs.columns
 
 
+def test_large_pairs_at_the_border_are_verified():
+    # sets of 1,750 with 1,500 in common: similarity 0.75; all go on to the exact test
+    rng, pairs, n = np.random.default_rng(11), 600, 1750
+    sigs = {"sig_a": [], "sig_b": []}
+    for _ in range(pairs // 50):
+        pool = rng.integers(0, 2**64, (50, 2000), dtype=np.uint64)
+        for name, part in (("sig_a", pool[:, :n]), ("sig_b", pool[:, 2000 - n :])):
+            sigs[name] += [x.tobytes() for x in near_dedup.superminhash(part.ravel(), np.arange(51) * n)]
+    batch = near_dedup.pa.RecordBatch.from_pydict({"hub": list(range(pairs)), "rep": list(range(pairs)), **sigs})
+    assert near_dedup.least_alike() == 0.55
+    agree = [(near_dedup._signatures(batch.column(c))) for c in ("sig_a", "sig_b")]
+    assert ((agree[0] == agree[1]).mean(axis=1) < 0.67).any()  # the threshold that lost such pairs
+    assert sum(out.num_rows for out in near_dedup._alike(near_dedup.least_alike())([batch])) == pairs
+
+
 def test_superminhash_matches_the_definition():
     rng = np.random.default_rng(3)
     elements = rng.integers(0, 2**63, 40).astype(np.uint64)
