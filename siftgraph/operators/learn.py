@@ -119,16 +119,78 @@ def cross_train_votes(
     return votes, gold_votes
 
 
+def word_counts(rows: DataFrame, row_id: str) -> DataFrame:
+    """(row_id, word, n): lower-case words of the rows of :func:`predicate_features`, stored once."""
+    words = rows.select(row_id, F.explode(F.split(F.lower("body"), f"[{WS}]+")).alias("word")).filter("word <> ''")
+    return cut_lineage(words.groupBy(row_id, "word").agg(F.count(F.lit(1)).alias("n")))
+
+
+def counted_votes(
+    rows: DataFrame, words: DataFrame, row_id: str, k: int,
+    gold: DataFrame | None = None, gold_words: DataFrame | None = None, seed: int = 42,
+) -> tuple[DataFrame, DataFrame | None]:
+    """:func:`cross_train_votes` of multinomial naive Bayes over all words of the corpus.
+
+    Counts per (fold, label, word) are one aggregate and meet the rows' words in a join, so
+    no vocabulary is cut or collected. A word without a count adds log 1 = 0 with smoothing
+    1; words outside the corpus are not read.
+    """
+    folds = predicate_folds(rows.select(row_id, "predicate"), row_id, k, "predicate", seed).select(row_id, "fold")
+    folded = cut_lineage(rows.select(row_id, "predicate", "label").join(folds, row_id))
+    voter = folded.select(row_id, "label", F.col("fold").cast("int").alias("voter"))
+    counts = cut_lineage(words.join(voter, row_id).groupBy("voter", "label", "word").agg(F.sum("n").alias("c")))
+    docs = voter.groupBy("voter", "label").agg(F.count(F.lit(1)).alias("m"))
+    every = docs.groupBy("voter").agg((F.sum("m") + F.count(F.lit(1))).alias("every"))
+    totals = counts.groupBy("voter", "label").agg(F.sum("c").alias("t"))
+    base = docs.join(every, "voter").join(totals, ["voter", "label"], "left").crossJoin(
+        counts.agg(F.count_distinct("word").alias("v"))
+    )
+    base = cut_lineage(
+        base.select(
+            "voter",
+            F.col("label").alias("guess"),
+            F.log((F.col("m") + 1) / F.col("every")).alias("prior"),
+            F.log((F.coalesce("t", F.lit(0)) + F.col("v")).cast("double")).alias("denom"),
+        )
+    )
+
+    def vote(data: DataFrame, own: DataFrame) -> DataFrame:
+        sizes = own.groupBy(row_id).agg(F.sum("n").alias("size"))
+        met = own.join(counts.withColumnRenamed("label", "guess"), "word").groupBy(row_id, "voter", "guess").agg(
+            F.sum(F.col("n") * F.log(F.col("c") + 1.0)).alias("s")
+        )
+        scored = data.crossJoin(base).filter("fold IS NULL OR fold <> voter").join(sizes, row_id, "left").join(
+            met, [row_id, "voter", "guess"], "left"
+        )
+        zero = F.lit(0)
+        score = F.col("prior") + F.coalesce("s", zero) - F.coalesce("size", zero) * F.col("denom")
+        best = F.max_by("guess", F.struct(score, -F.col("guess")))
+        got = scored.groupBy(row_id, "predicate", "fold", "label", "voter").agg(best.alias("prediction"))
+        correct = (F.col("prediction") == F.col("label")).cast("int").alias("correct")
+        return got.select(row_id, "predicate", "fold", "voter", correct)
+
+    votes = vote(folded, words)
+    if gold is None:
+        return votes, None
+    known = gold_words.join(counts.select("word").distinct(), "word", "left_semi")
+    asked = gold.select(row_id, "predicate", "label", F.lit(None).cast("int").alias("fold"))
+    return votes, vote(asked, known).select(row_id, "voter", "correct")
+
+
 def cross_train_denoise(
     df: DataFrame, vocabulary: DataFrame, row_id: str, k: int, text: str = "text", seed: int = 42,
     hashed: int | None = FEATURES,
 ) -> DataFrame:
     """Vote counts, share and cleaned label per corpus row.
 
-    Rows outside the vocabulary have no vote, hence share 0 and label 0.
+    Rows outside the vocabulary have no vote, hence share 0 and label 0. Without ``hashed``
+    all words count.
     """
-    features, _ = feature_table(predicate_features(df, vocabulary, row_id, text), row_id, hashed)
-    votes, _ = cross_train_votes(features, row_id, k, seed=seed)
+    rows = predicate_features(df, vocabulary, row_id, text)
+    if hashed:
+        votes, _ = cross_train_votes(feature_table(rows, row_id, hashed)[0], row_id, k, seed=seed)
+    else:
+        votes, _ = counted_votes(rows, word_counts(rows, row_id), row_id, k, seed=seed)
     summary = vote_summary(votes, [row_id])
     out = df.select(row_id, "predicate").join(summary, row_id, "left")
     zero = {"vote_correct": 0, "vote_total": 0, "vote_fraction": 0.0, "cleaned_label": 0}
@@ -141,15 +203,24 @@ def cross_train_sweep(
 ) -> DataFrame:
     """Per model and k: metrics of each fold model and of the vote (share > 0.5) on gold rows.
 
-    ``models`` names unfitted estimators; the features are stored once for all of them.
+    ``models`` names unfitted estimators; the features are stored once for all of them. With
+    neither ``models`` nor ``hashed``, naive Bayes counts all words.
     """
     out = None
-    features, encoder = feature_table(predicate_features(df, vocabulary, row_id, text), row_id, hashed)
-    gold_features = cut_lineage(encode_rows(predicate_features(gold, vocabulary, row_id, text), encoder, row_id))
+    rows, gold_rows = (predicate_features(x, vocabulary, row_id, text) for x in (df, gold))
+    counted = not hashed and not models
+    if counted:
+        words, gold_words = word_counts(rows, row_id), word_counts(gold_rows, row_id)
+    else:
+        features, encoder = feature_table(rows, row_id, hashed)
+        gold_features = cut_lineage(encode_rows(gold_rows, encoder, row_id))
     truth = gold.select(row_id, F.col(label).cast("int").alias("label_true"))
     for name, model in (models or {"bayes": classifier()}).items():
         for k in ks:
-            _, votes = cross_train_votes(features, row_id, k, gold_features, model=model)
+            if counted:
+                _, votes = counted_votes(rows, words, row_id, k, gold_rows, gold_words)
+            else:
+                _, votes = cross_train_votes(features, row_id, k, gold_features, model=model)
             member = F.concat(F.lit("fold_"), F.col("voter").cast("string")).alias("member")
             single = votes.select(row_id, member, F.col("correct").cast("string").alias("pred"))
             ens = vote_summary(votes, [row_id]).select(
