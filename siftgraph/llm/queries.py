@@ -16,6 +16,7 @@ from . import (
     lz_fingerprint,
     nbsvm,
     near_dedup,
+    page_wrappers,
     periodic_runs,
     raking,
     rlz,
@@ -266,6 +267,14 @@ def op7_gru_language_model(spark: SparkSession, folder: str) -> DataFrame:
     return gru_lm.score(docs, language_mixture.remainder("doc_id", 7) == 2)
 
 
+@query("op11_page_wrappers")
+def op11_page_wrappers(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page, by the wrapper of its host."""
+    return page_wrappers.extract(table(spark, folder, "pages")).select(
+        "page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars")
+    )
+
+
 @query("op12_periodic_runs")
 def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Periodic runs of every document, in a tenth of them planted, and the text without their repeats."""
