@@ -7,13 +7,14 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import NaiveBayes
-from pyspark.ml.feature import CountVectorizer, HashingTF, RegexTokenizer
+from pyspark.ml.feature import HashingTF, RegexTokenizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import WORD, WS
 from ..functions.verbalize import typed_pair
 from ..session import cut_lineage
+from .bayes import fit, predict, word_counts
 from .ensemble import vote_summary
 from .metrics import class_macro_f1, hard_label_metrics
 from .sampling import capped_sample, label_set, other_splits, predicate_folds, train_split
@@ -68,19 +69,13 @@ def predicate_features(df: DataFrame, vocabulary: DataFrame, row_id: str, text:
     return rows.join(v, "predicate").select(row_id, "predicate", "label", "body")
 
 
-def feature_table(
-    rows: DataFrame, row_id: str, hashed: int | None = FEATURES, vocabulary_size: int = 1 << 18
-) -> tuple[DataFrame, PipelineModel]:
-    """Word counts of the rows of :func:`predicate_features`, stored once, and their encoder.
+def feature_table(rows: DataFrame, row_id: str, hashed: int = FEATURES) -> tuple[DataFrame, PipelineModel]:
+    """Word counts of the rows of :func:`predicate_features` in ``hashed`` buckets, stored once, and their encoder.
 
-    ``hashed`` buckets of hashed words, or None for an explicit vocabulary (the most
-    frequent ``vocabulary_size`` words). Every k, fold and model reads the stored table.
+    Every k, fold and model reads the stored table.
     """
     tokens = RegexTokenizer(inputCol="body", outputCol="tokens", pattern=f"[{WS}]+")
-    if hashed:
-        counts = HashingTF(inputCol="tokens", outputCol="features", numFeatures=hashed)
-    else:
-        counts = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=vocabulary_size)
+    counts = HashingTF(inputCol="tokens", outputCol="features", numFeatures=hashed)
     encoder = Pipeline(stages=[tokens, counts]).fit(rows)
     return cut_lineage(encode_rows(rows, encoder, row_id)), encoder
 
@@ -119,60 +114,29 @@ def cross_train_votes(
     return votes, gold_votes
 
 
-def word_counts(rows: DataFrame, row_id: str) -> DataFrame:
-    """(row_id, word, n): lower-case words of the rows of :func:`predicate_features`, stored once."""
-    words = rows.select(row_id, F.explode(F.split(F.lower("body"), f"[{WS}]+")).alias("word")).filter("word <> ''")
-    return cut_lineage(words.groupBy(row_id, "word").agg(F.count(F.lit(1)).alias("n")))
-
-
 def counted_votes(
     rows: DataFrame, words: DataFrame, row_id: str, k: int,
     gold: DataFrame | None = None, gold_words: DataFrame | None = None, seed: int = 42,
 ) -> tuple[DataFrame, DataFrame | None]:
-    """:func:`cross_train_votes` of multinomial naive Bayes over all words of the corpus.
+    """:func:`cross_train_votes` of naive Bayes over all words of the corpus (:mod:`.bayes`).
 
-    Counts per (fold, label, word) are one aggregate and meet the rows' words in a join, so
-    no vocabulary is cut or collected. A word without a count adds log 1 = 0 with smoothing
-    1; words outside the corpus are not read.
+    Words outside the corpus are not read.
     """
     folds = predicate_folds(rows.select(row_id, "predicate"), row_id, k, "predicate", seed).select(row_id, "fold")
     folded = cut_lineage(rows.select(row_id, "predicate", "label").join(folds, row_id))
-    voter = folded.select(row_id, "label", F.col("fold").cast("int").alias("voter"))
-    counts = cut_lineage(words.join(voter, row_id).groupBy("voter", "label", "word").agg(F.sum("n").alias("c")))
-    docs = voter.groupBy("voter", "label").agg(F.count(F.lit(1)).alias("m"))
-    every = docs.groupBy("voter").agg((F.sum("m") + F.count(F.lit(1))).alias("every"))
-    totals = counts.groupBy("voter", "label").agg(F.sum("c").alias("t"))
-    base = docs.join(every, "voter").join(totals, ["voter", "label"], "left").crossJoin(
-        counts.agg(F.count_distinct("word").alias("v"))
-    )
-    base = cut_lineage(
-        base.select(
-            "voter",
-            F.col("label").alias("guess"),
-            F.log((F.col("m") + 1) / F.col("every")).alias("prior"),
-            F.log((F.coalesce("t", F.lit(0)) + F.col("v")).cast("double")).alias("denom"),
-        )
-    )
+    model, vocabulary = fit(words, folded.select(row_id, "label", F.col("fold").alias("voter")), row_id)
 
     def vote(data: DataFrame, own: DataFrame) -> DataFrame:
-        sizes = own.groupBy(row_id).agg(F.sum("n").alias("size"))
-        met = own.join(counts.withColumnRenamed("label", "guess"), "word").groupBy(row_id, "voter", "guess").agg(
-            F.sum(F.col("n") * F.log(F.col("c") + 1.0)).alias("s")
-        )
-        scored = data.crossJoin(base).filter("fold IS NULL OR fold <> voter").join(sizes, row_id, "left").join(
-            met, [row_id, "voter", "guess"], "left"
-        )
-        zero = F.lit(0)
-        score = F.col("prior") + F.coalesce("s", zero) - F.coalesce("size", zero) * F.col("denom")
-        best = F.max_by("guess", F.struct(score, -F.col("guess")))
-        got = scored.groupBy(row_id, "predicate", "fold", "label", "voter").agg(best.alias("prediction"))
+        asked = data.withColumn("voter", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+        asked = asked.filter(F.col("fold").isNull() | (F.col("fold") != F.col("voter")))
+        got = asked.join(predict(model, asked, own, row_id), [row_id, "voter"])
         correct = (F.col("prediction") == F.col("label")).cast("int").alias("correct")
         return got.select(row_id, "predicate", "fold", "voter", correct)
 
     votes = vote(folded, words)
     if gold is None:
         return votes, None
-    known = gold_words.join(counts.select("word").distinct(), "word", "left_semi")
+    known = gold_words.join(vocabulary, "word", "left_semi")
     asked = gold.select(row_id, "predicate", "label", F.lit(None).cast("int").alias("fold"))
     return votes, vote(asked, known).select(row_id, "voter", "correct")
 
@@ -212,7 +176,7 @@ def cross_train_sweep(
     if counted:
         words, gold_words = word_counts(rows, row_id), word_counts(gold_rows, row_id)
     else:
-        features, encoder = feature_table(rows, row_id, hashed)
+        features, encoder = feature_table(rows, row_id, hashed or FEATURES)
         gold_features = cut_lineage(encode_rows(gold_rows, encoder, row_id))
     truth = gold.select(row_id, F.col(label).cast("int").alias("label_true"))
     for name, model in (models or {"bayes": classifier()}).items():
@@ -239,19 +203,28 @@ def training_pilot(
     """Size-matched comparison of training sets: one predicate classifier per arm.
 
     Labels are predicates frequent in arm ``labels_from`` and present in the evaluation
-    rows; each arm trains on min(n_train, pool) rows.
+    rows; each arm trains on min(n_train, pool) rows. Without ``hashed`` all words count.
     """
     labels = label_set(arms[labels_from], evaluation, min_class)
     from .graph import dense_ids
 
     vocabulary = dense_ids(labels, "predicate").select("predicate", "id")
     ev = cut_lineage(predicate_features(evaluation, vocabulary, row_id, text))
+    ev_words = None if hashed else word_counts(ev, row_id)
     out = None
     for name, pool in arms.items():
         sample = capped_sample(pool, vocabulary, n_train, [row_id], seed)
-        train, encoder = feature_table(predicate_features(sample, vocabulary, row_id, text), row_id, hashed)
-        fitted = classifier().fit(train)
-        scored = fitted.transform(encode_rows(ev, encoder, row_id)).select("label", "prediction")
+        rows = predicate_features(sample, vocabulary, row_id, text)
+        if hashed:
+            train, encoder = feature_table(rows, row_id, hashed)
+            fitted = classifier().fit(train)
+            scored = fitted.transform(encode_rows(ev, encoder, row_id)).select("label", "prediction")
+        else:
+            rows = cut_lineage(rows)
+            model, words = fit(word_counts(rows, row_id), rows.withColumn("voter", F.lit(0)), row_id)
+            known = ev_words.join(words, "word", "left_semi")
+            asked = ev.select(row_id, "label", F.lit(0).alias("voter"))
+            scored = asked.join(predict(model, asked, known, row_id), row_id).select("label", "prediction")
         m = class_macro_f1(scored, "prediction", "label").withColumn("arm", F.lit(name))
         out = m if out is None else out.unionByName(m)
     return out
