@@ -115,30 +115,36 @@ def cross_train_votes(
 
 
 def counted_votes(
-    rows: DataFrame, words: DataFrame, row_id: str, k: int,
+    rows: DataFrame, words: DataFrame, row_id: str, ks: Sequence[int],
     gold: DataFrame | None = None, gold_words: DataFrame | None = None, seed: int = 42,
-) -> tuple[DataFrame, DataFrame | None]:
-    """:func:`cross_train_votes` of naive Bayes over all words of the corpus (:mod:`.bayes`).
+) -> DataFrame:
+    """(row_id, k, voter, correct): :func:`cross_train_votes` of naive Bayes over all words (:mod:`.bayes`).
 
-    Words outside the corpus are not read.
+    Votes on the ``gold`` rows if they are given, else on the rows of the other folds. All k
+    are trained and applied together. Words outside the corpus are not read.
     """
-    folds = predicate_folds(rows.select(row_id, "predicate"), row_id, k, "predicate", seed).select(row_id, "fold")
-    folded = cut_lineage(rows.select(row_id, "predicate", "label").join(folds, row_id))
-    model, vocabulary = fit(words, folded.select(row_id, "label", F.col("fold").alias("voter")), row_id)
-
-    def vote(data: DataFrame, own: DataFrame) -> DataFrame:
-        asked = data.withColumn("voter", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-        asked = asked.filter(F.col("fold").isNull() | (F.col("fold") != F.col("voter")))
-        got = asked.join(predict(model, asked, own, row_id), [row_id, "voter"])
-        correct = (F.col("prediction") == F.col("label")).cast("int").alias("correct")
-        return got.select(row_id, "predicate", "fold", "voter", correct)
-
-    votes = vote(folded, words)
+    folded = None
+    for k in ks:
+        folds = predicate_folds(rows.select(row_id, "predicate"), row_id, k, "predicate", seed)
+        folds = folds.select(row_id, F.lit(k).alias("k"), F.col("fold").cast("int").alias("fold"))
+        folded = folds if folded is None else folded.unionByName(folds)
+    folded = cut_lineage(folded.join(rows.select(row_id, "label"), row_id).withColumn("code", _voter_code("fold")))
+    model, vocabulary = fit(words, folded.select(row_id, "label", F.col("code").alias("voter")), row_id)
+    voter = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("fold")
     if gold is None:
-        return votes, None
-    known = gold_words.join(vocabulary, "word", "left_semi")
-    asked = gold.select(row_id, "predicate", "label", F.lit(None).cast("int").alias("fold"))
-    return votes, vote(asked, known).select(row_id, "voter", "correct")
+        own, asked = words, folded.withColumnRenamed("fold", "own").select(row_id, "label", "k", "own", voter).filter("own <> fold")
+    else:
+        own = gold_words.join(vocabulary, "word", "left_semi")
+        every = F.explode(F.array(*[F.lit(k) for k in ks])).alias("k")
+        asked = gold.select(row_id, "label", every).select(row_id, "label", "k", voter)
+    asked = asked.withColumn("voter", _voter_code("fold"))
+    got = asked.join(predict(model, asked, own, row_id), [row_id, "voter"])
+    correct = (F.col("prediction") == F.col("label")).cast("int").alias("correct")
+    return got.select(row_id, "k", F.col("fold").alias("voter"), correct)
+
+
+def _voter_code(fold: str) -> Column:
+    return F.shiftleft("k", 16) + F.col(fold)
 
 
 def cross_train_denoise(
@@ -154,7 +160,7 @@ def cross_train_denoise(
     if hashed:
         votes, _ = cross_train_votes(feature_table(rows, row_id, hashed)[0], row_id, k, seed=seed)
     else:
-        votes, _ = counted_votes(rows, word_counts(rows, row_id), row_id, k, seed=seed)
+        votes = counted_votes(rows, word_counts(rows, row_id), row_id, [k], seed=seed)
     summary = vote_summary(votes, [row_id])
     out = df.select(row_id, "predicate").join(summary, row_id, "left")
     zero = {"vote_correct": 0, "vote_total": 0, "vote_fraction": 0.0, "cleaned_label": 0}
@@ -170,30 +176,32 @@ def cross_train_sweep(
     ``models`` names unfitted estimators; the features are stored once for all of them. With
     neither ``models`` nor ``hashed``, naive Bayes counts all words.
     """
-    out = None
     rows, gold_rows = (predicate_features(x, vocabulary, row_id, text) for x in (df, gold))
-    counted = not hashed and not models
-    if counted:
-        words, gold_words = word_counts(rows, row_id), word_counts(gold_rows, row_id)
-    else:
-        features, encoder = feature_table(rows, row_id, hashed or FEATURES)
-        gold_features = cut_lineage(encode_rows(gold_rows, encoder, row_id))
     truth = gold.select(row_id, F.col(label).cast("int").alias("label_true"))
+    if not hashed and not models:
+        words, gold_words = word_counts(rows, row_id), word_counts(gold_rows, row_id)
+        votes = counted_votes(rows, words, row_id, ks, gold_rows, gold_words)
+        return _sweep_metrics(votes.withColumn("model", F.lit("bayes")), truth, row_id)
+    features, encoder = feature_table(rows, row_id, hashed or FEATURES)
+    gold_features = cut_lineage(encode_rows(gold_rows, encoder, row_id))
+    out = None
     for name, model in (models or {"bayes": classifier()}).items():
         for k in ks:
-            if counted:
-                _, votes = counted_votes(rows, words, row_id, k, gold_rows, gold_words)
-            else:
-                _, votes = cross_train_votes(features, row_id, k, gold_features, model=model)
-            member = F.concat(F.lit("fold_"), F.col("voter").cast("string")).alias("member")
-            single = votes.select(row_id, member, F.col("correct").cast("string").alias("pred"))
-            ens = vote_summary(votes, [row_id]).select(
-                row_id, F.lit("ensemble").alias("member"), F.col("cleaned_label").cast("string").alias("pred")
-            )
-            m = hard_label_metrics(single.unionByName(ens).join(truth, row_id), ["member"], "pred", "label_true")
-            m = m.withColumns({"model": F.lit(name), "k": F.lit(k)})
-            out = m if out is None else out.unionByName(m)
-    return out
+            _, votes = cross_train_votes(features, row_id, k, gold_features, model=model)
+            votes = votes.withColumns({"model": F.lit(name), "k": F.lit(k)})
+            out = votes if out is None else out.unionByName(votes)
+    return _sweep_metrics(out, truth, row_id)
+
+
+def _sweep_metrics(votes: DataFrame, truth: DataFrame, row_id: str) -> DataFrame:
+    """Metrics per (model, k, member): every fold model and the vote, from one pass over the votes."""
+    run = ["model", "k"]
+    member = F.concat(F.lit("fold_"), F.col("voter").cast("string")).alias("member")
+    single = votes.select(row_id, *run, member, F.col("correct").cast("string").alias("pred"))
+    ens = vote_summary(votes, [row_id, *run]).select(
+        row_id, *run, F.lit("ensemble").alias("member"), F.col("cleaned_label").cast("string").alias("pred")
+    )
+    return hard_label_metrics(single.unionByName(ens).join(truth, row_id), [*run, "member"], "pred", "label_true")
 
 
 def training_pilot(
