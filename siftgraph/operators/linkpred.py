@@ -15,6 +15,10 @@ from .ranking import hash_key, null_safe_join, prefix_sums, value_counts, with_t
 from .sampling import uniform, weighted_draws
 
 BLOCK = 1 << 16  # entities a task holds as one matrix
+TILE = 1 << 16  # queries of a task
+LEAST_TILE = 256  # queries of a task where there are cores without work
+PAIRS = 1 << 21  # bounds held at once
+DISTANCES = 1 << 13  # distances measured at once
 ATTEMPTS = 16
 MARGIN = 6.0
 QUANTILE_STEPS = 199
@@ -69,43 +73,96 @@ def _measured(df: DataFrame, keep: Sequence[str], a: str, b: str) -> DataFrame:
     return df.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in keep) + ", dist double")
 
 
-def _closer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (block, query): a block's entities, then all queries.
+class EntityBlock:
+    """Entities of a block in cells around pivots, for exact counts that mostly need no distance.
 
-    One partial count per query of a block: its entities strictly closer than the true tail.
+    With p the pivot of an entity e, the triangle inequality bounds the distance of a query q:
+    |d(q, p) - d(e, p)| <= d(q, e) <= d(q, p) + d(e, p). A cell whose nearest point is too far
+    is skipped, one whose farthest point is near enough is counted whole, and in the others
+    only entities that the bounds leave open are measured.
     """
-    block, held, matrix = None, [], None
+
+    def __init__(self, vectors: np.ndarray):
+        n = len(vectors)
+        k = max(1, int(n**0.5))
+        pivots = vectors[:: max(1, n // k)]
+        near = np.full(n, np.inf)
+        cell = np.zeros(n, np.int64)
+        for i, p in enumerate(pivots):
+            d = _row_l1(vectors, p)
+            closer = d < near
+            near[closer], cell[closer] = d[closer], i
+        order = np.lexsort((near, cell))
+        self.pivots, self.vectors, self.near = pivots, vectors[order], near[order]
+        self.first = np.searchsorted(cell[order], np.arange(len(pivots) + 1))
+        self.size = np.diff(self.first)
+        ends = np.maximum(self.first[1:] - 1, 0)
+        self.radius = np.where(self.size > 0, self.near[ends], 0.0)
+
+    def closer(self, queries: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per query: entities strictly closer than its limit, and how many were measured."""
+        count, measured = np.zeros(len(queries), np.int64), np.zeros(len(queries), np.int64)
+        for c in np.flatnonzero(self.size).tolist():
+            to_pivot = _row_l1(queries, self.pivots[c])
+            slack = 1e-9 * (1.0 + to_pivot + limits)  # rounding never decides
+            count[to_pivot + self.radius[c] < limits - slack] += self.size[c]
+            open_ = np.flatnonzero(
+                (to_pivot + self.radius[c] >= limits - slack) & (to_pivot - self.radius[c] <= limits + slack)
+            )
+            near = self.near[self.first[c] : self.first[c + 1]]
+            rows = max(1, PAIRS // len(near))
+            for i in range(0, len(open_), rows):
+                q = open_[i : i + rows]
+                d, limit, s = to_pivot[q, None], limits[q, None], slack[q, None]
+                sure = d + near < limit - s
+                asked, of = np.nonzero(~sure & (np.abs(d - near) <= limit + s))
+                count[q] += sure.sum(axis=1)
+                measured[q] += np.bincount(asked, minlength=len(q))
+                for j in range(0, len(asked), DISTANCES):
+                    a, e = q[asked[j : j + DISTANCES]], of[j : j + DISTANCES] + self.first[c]
+                    hit = np.abs(self.vectors[e] - queries[a]).sum(axis=1) < limits[a]
+                    np.add.at(count, a[hit], 1)
+        return count, measured
+
+
+def _closer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by (block, tile, query): a block's entities, then the queries of a tile."""
+    key, held, block = None, [], None
     for part in batches:
-        blocks, asks = part.column("eb").to_numpy(), part.column("query").to_numpy(zero_copy_only=False)
-        edges = np.flatnonzero((np.diff(blocks) != 0) | (asks[1:] != asks[:-1])) + 1
-        ids, counts = [], []
-        for a, b in zip([0, *edges], [*edges, len(blocks)], strict=True):
+        place = np.stack([part.column(c).to_numpy() for c in ("eb", "tile")])
+        asks = part.column("query").to_numpy(zero_copy_only=False)
+        new = (np.diff(place, axis=1) != 0).any(axis=0) | (asks[1:] != asks[:-1])
+        edges = np.flatnonzero(new) + 1
+        for a, b in zip([0, *edges], [*edges, len(asks)], strict=True):
             if a == b:
                 continue
             some = part.slice(a, b - a)
-            if blocks[a] != block:
-                block, held, matrix = blocks[a], [], None
+            if (here := tuple(place[:, a])) != key:
+                key, held, block = here, [], None
             if not asks[a]:
                 held.append(_matrix(some.column("vec")))
                 continue
-            matrix = np.concatenate(held) if matrix is None and held else matrix
-            if matrix is None:
-                continue
-            limits = some.column("dist").to_numpy()
-            for q, vec, limit in zip(some.column("id").to_pylist(), _matrix(some.column("vec")), limits, strict=True):
-                ids.append(q)
-                counts.append(int((_row_l1(matrix, vec) < limit).sum()))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts, pa.int64())], names=["q", "closer"])
+            if block is None:
+                if not held:
+                    continue
+                block, held = EntityBlock(np.concatenate(held)), []
+            count, measured = block.closer(_matrix(some.column("vec")), some.column("dist").to_numpy())
+            yield pa.RecordBatch.from_arrays(
+                [some.column("id"), pa.array(count), pa.array(measured), pa.array(np.full(b - a, len(block.vectors)))],
+                names=["q", "closer", "measured", "candidates"],
+            )
 
 
 def filtered_tail_ranks(
-    test: DataFrame, entities: DataFrame, relations: DataFrame, known: DataFrame, block: int = BLOCK
+    test: DataFrame, entities: DataFrame, relations: DataFrame, known: DataFrame, block: int = BLOCK, tile: int = TILE,
+    work: bool = False,
 ) -> DataFrame:
     """(q, h, r, t, rank): filtered rank of the true tail among all entities, L1 distance.
 
-    Entities are hashed into large blocks and move once; only the queries are copied, one
-    row per block, and stream past it. Known true tails are measured once per (h, r), not
-    per query: a running count along the distance says how many are closer.
+    Entities are hashed into blocks, queries into tiles; a task takes one block and one tile,
+    and :class:`EntityBlock` leaves out most distances. Known true tails are measured once
+    per (h, r), not per query: a running count along the distance says how many are closer.
+    ``work`` adds the number of measured and of all candidates of each query.
     """
     queries = (
         test.join(_vectors(entities, "h", "__h"), "h")
@@ -115,14 +172,22 @@ def filtered_tail_ranks(
         .select("q", "h", "r", "t", "qvec", "gold_vec")
     )
     limits = cut_lineage(_measured(queries, ["q", "h", "r", "t", "qvec"], "qvec", "gold_vec"))
-    n_e = max(1, -(-entities.count() // block))
+    n_e, n_q = max(1, -(-entities.count() // block)), limits.count()
+    cores = test.sparkSession.sparkContext.defaultParallelism
+    tiles = max(1, -(-n_q // tile), min(-(-cores // n_e), n_q // LEAST_TILE))
     vec = F.col("vec").cast("array<double>").alias("vec")
-    place = F.pmod(F.xxhash64("id"), F.lit(n_e)).cast("int").alias("eb")
-    right = entities.select(place, F.lit(False).alias("query"), F.col("id").cast("long").alias("id"), vec, F.lit(0.0).alias("dist"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(n_e - 1))).alias("eb")
-    left = limits.select(every, F.lit(True).alias("query"), F.col("q").cast("long").alias("id"), F.col("qvec").alias("vec"), "dist")
-    cells = right.unionByName(left).repartition("eb").sortWithinPartitions("eb", "query")
-    closer = cells.mapInArrow(_closer, "q long, closer long").groupBy("q").agg(F.sum("closer").alias("closer"))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    right = entities.select(
+        dealt("id", n_e).alias("eb"), F.lit(False).alias("query"), F.col("id").cast("long").alias("id"), vec, F.lit(0.0).alias("dist")
+    ).withColumn("tile", every(tiles))
+    left = limits.select(
+        every(n_e).alias("eb"), F.lit(True).alias("query"), F.col("q").cast("long").alias("id"), F.col("qvec").alias("vec"), "dist"
+    ).withColumn("tile", dealt("id", tiles))
+    cells = right.unionByName(left).repartition(n_e * tiles, "eb", "tile").sortWithinPartitions("eb", "tile", "query", "id")
+    counts = cells.mapInArrow(_closer, "q long, closer long, measured long, candidates long")
+    sums = ["closer", "measured", "candidates"] if work else ["closer"]
+    closer = counts.groupBy("q").agg(*[F.sum(c).alias(c) for c in sums])
 
     pairs = limits.select("h", "r", "qvec").dropDuplicates(["h", "r"])
     others = known.select("h", "r", F.col("t").alias("id")).distinct()
@@ -135,7 +200,7 @@ def filtered_tail_ranks(
     return (
         limits.join(closer, "q")
         .join(nearer.drop("n"), ["h", "r", "dist"], "left")
-        .select("q", "h", "r", "t", rank.alias("rank"))
+        .select("q", "h", "r", "t", rank.alias("rank"), *sums[1:])
     )
 
 

@@ -209,11 +209,40 @@ def test_tail_ranks_brute_force(spark):
     d = spark.createDataFrame(triples, "q long, h long, r long, t long")
     k = spark.createDataFrame(sorted(known), "h long, r long, t long")
     vec = lambda m: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, vec array<double>")
-    got = {x.q: x["rank"] for x in L.filtered_tail_ranks(d, vec(e), vec(r), k, block=16).collect()}
-    for q, h, x, t in triples:
-        dist = np.abs(e - (e[h] + r[x])).sum(axis=1)
-        others = [j for j in range(60) if j != t and (h, x, j) not in known]
-        assert got[q] == 1 + sum(dist[j] < dist[t] for j in others)
+    for block, tile in ((16, 1000), (16, 7), (1000, 20)):
+        got = {x.q: x["rank"] for x in L.filtered_tail_ranks(d, vec(e), vec(r), k, block, tile).collect()}
+        for q, h, x, t in triples:
+            dist = np.abs(e - (e[h] + r[x])).sum(axis=1)
+            others = [j for j in range(60) if j != t and (h, x, j) not in known]
+            assert got[q] == 1 + sum(dist[j] < dist[t] for j in others)
+
+
+def test_entity_block_counts_without_measuring():
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(20, 16)) * 8
+    e = centres[rng.integers(20, size=3000)] + rng.normal(size=(3000, 16)) * 0.2
+    e[:40] = e[40]  # ties with the limit
+    q = e[rng.integers(3000, size=50)] + rng.normal(size=(50, 16)) * 0.1
+    q[0] = e[40]
+    dist = np.abs(q[:, None] - e[None]).sum(axis=2)
+    limits = np.array([dist[i, rng.integers(3000)] for i in range(50)])
+    limits[:3] = 0.0, dist[1].max() + 1, dist[2, 40]
+    count, measured = L.EntityBlock(e).closer(q, limits)
+    assert count.tolist() == (dist < limits[:, None]).sum(axis=1).tolist()
+    assert measured.sum() < 0.25 * dist.size
+    one = L.EntityBlock(e[:1])
+    assert one.closer(q, limits)[0].tolist() == (dist[:, 0] < limits).tolist()
+
+
+def test_tail_ranks_report_their_work(spark):
+    rng = np.random.default_rng(9)
+    e = rng.normal(size=(6, 8))[rng.integers(6, size=500)] * 9 + rng.normal(size=(500, 8)) * 0.01
+    vec = lambda m: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, vec array<double>")
+    test = spark.createDataFrame([(q, q, 0, (q * 7) % 500) for q in range(60)], "q long, h long, r long, t long")
+    known = test.select("h", "r", "t")
+    got = L.filtered_tail_ranks(test, vec(e), vec(np.zeros((1, 8))), known, block=100, work=True)
+    total = got.agg(F.sum("measured").alias("m"), F.sum("candidates").alias("c"), F.count(F.lit(1)).alias("n")).first()
+    assert (total.c, total.n) == (60 * 500, 60) and total.m < 0.6 * total.c
 
 
 def test_corruption_keeps_trying(spark):
