@@ -9,10 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..session import cut_lineage
+from .embedding import BATCH, MARGIN, train_on_grid
 from .metrics import f1_of, ratio
 from .ranking import hash_key, null_safe_join, prefix_sums, value_counts, with_totals
-from .sampling import uniform, weighted_draws
 
 BLOCK = 1 << 16  # entities a task holds as one matrix
 TILE = 1 << 16  # queries of a task
@@ -20,7 +21,6 @@ LEAST_TILE = 256  # queries of a task where there are cores without work
 PAIRS = 1 << 21  # bounds held at once
 DISTANCES = 1 << 13  # distances measured at once
 ATTEMPTS = 16
-MARGIN = 6.0
 QUANTILE_STEPS = 199
 QUANTILE_RANGE = (0.01, 0.99)
 
@@ -325,24 +325,24 @@ def classify_triples(
     )
 
 
-def initial_vectors(ids: DataFrame, dim: int, seed: int, unit: bool) -> DataFrame:
-    """(id, vec): reproducible uniform vectors, scaled to norm at most 1 for entities."""
-    parts = [uniform(seed, "id", F.lit(str(i))) * 2 - 1 for i in range(dim)]
-    bound = (6.0 / dim) ** 0.5
-    v = F.transform(F.array(*parts), lambda x: x * bound)
-    return ids.select("id", (clip_norm(v) if unit else v).alias("vec"))
+def initial_vectors(ids: DataFrame, n: int, dim: int, seed: int, unit: bool) -> DataFrame:
+    """(id, vec): reproducible uniform vectors within sqrt(6 / (n + dim)), entities with norm at most 1."""
+    bound = (6.0 / (n + dim)) ** 0.5
+    draw = lambda i: F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("id").cast("long"), i), 11)
+    v = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: draw(i) * (2 * bound / 2.0**53) - bound)
+    drawn = ids.select("id", v.alias("vec"))
+    return drawn.withColumn("vec", clip_norm(F.col("vec"))) if unit else drawn
 
 
 def clip_norm(v: Column, limit: float = 1.0) -> Column:
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
-    scale = F.when(norm > limit, F.lit(limit) / norm).otherwise(1.0)
-    return F.transform(v, lambda x: x * scale)
+    """Vector scaled to norm at most ``limit``; vector and norm are computed once."""
 
+    def scaled(x: Column) -> Column:
+        norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda acc, y: acc + y * y))
+        factor = F.when(norm > limit, F.lit(limit) / norm).otherwise(1.0)
+        return let(factor, lambda f: F.transform(x, lambda y: y * f))
 
-def _summed(df: DataFrame, key: str, column: str, dim: int) -> DataFrame:
-    """Element-wise sum of vectors per key (partial sums on the map side)."""
-    sums = df.groupBy(key).agg(*[F.sum(F.col(column)[i]).alias(f"__{i}") for i in range(dim)])
-    return sums.select(F.col(key).alias("id"), F.array(*[F.col(f"__{i}") for i in range(dim)]).alias("grad"))
+    return let(v, scaled)
 
 
 def train_translation(
@@ -351,77 +351,21 @@ def train_translation(
     relations: DataFrame,
     n_entities: int,
     dim: int = 128,
-    epochs: int = 5,
-    rate: float = 0.05,
+    epochs: int = 50,
+    rate: float = 1e-3,
     margin: float = MARGIN,
     seed: int = 42,
     weight: str | None = None,
+    batch: int = BATCH,
+    buckets: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Margin-ranking translation embeddings by full-batch subgradient steps.
-
-    One epoch is one Spark job: each triple gets one corrupted head or tail, triples meet
-    their vectors by equi-joins, subgradients are summed per id with map-side combine,
-    and vectors move by the mean subgradient of their uses; entity norms stay within 1.
-    State is checkpointed each epoch. With ``weight`` an epoch trains on as many triples,
-    drawn with replacement in proportion to it.
-    """
-    ent = cut_lineage(initial_vectors(entities, dim, seed, True))
-    rel = cut_lineage(initial_vectors(relations, dim, seed + 1, False))
-    base = train.select("h", "r", "t", *([F.col(weight).cast("double").alias("w")] if weight else []))
-    size_of_epoch = base.count() if weight else 0
-    key = ["h", "r", "t", *(["draw"] if weight else [])]
-    for epoch in range(epochs):
-        rows = weighted_draws(base, "w", size_of_epoch, ["h", "r", "t"], seed + epoch) if weight else base
-        draws = rows.withColumns(
-            {
-                "__e": F.lit(epoch),
-                "head_side": uniform(seed, F.lit(epoch), *key) < 0.5,
-                "other": draw_entity(seed + 7, F.lit(n_entities), F.lit(epoch), *key),
-            }
-        )
-        d = (
-            draws.join(_vectors(ent, "h", "hv"), "h")
-            .join(_vectors(rel, "r", "rv"), "r")
-            .join(_vectors(ent, "t", "tv"), "t")
-            .join(_vectors(ent, "other", "ov"), "other")
-        )
-        neg_h = F.when(F.col("head_side"), F.col("ov")).otherwise(F.col("hv"))
-        neg_t = F.when(F.col("head_side"), F.col("tv")).otherwise(F.col("ov"))
-        good = F.zip_with(translated(F.col("hv"), F.col("rv")), F.col("tv"), lambda x, y: x - y)
-        bad = F.zip_with(translated(neg_h, F.col("rv")), neg_t, lambda x, y: x - y)
-        size = lambda v: F.aggregate(v, F.lit(0.0), lambda acc, x: acc + F.abs(x))
-        sign = lambda v: F.transform(v, lambda x: F.signum(x))
-        d = d.withColumns({"gd": good, "bd": bad})
-        d = d.filter(F.lit(margin) + size(F.col("gd")) - size(F.col("bd")) > 0)
-        d = d.withColumns({"gs": sign(F.col("gd")), "bs": sign(F.col("bd"))})
-        minus = lambda v: F.transform(v, lambda x: -x)
-        nh = F.when(F.col("head_side"), F.col("other")).otherwise(F.col("h"))
-        nt = F.when(F.col("head_side"), F.col("t")).otherwise(F.col("other"))
-        moves = F.array(
-            F.struct(F.col("h").alias("id"), F.col("gs").alias("g")),
-            F.struct(F.col("t").alias("id"), minus(F.col("gs")).alias("g")),
-            F.struct(nh.alias("id"), minus(F.col("bs")).alias("g")),
-            F.struct(nt.alias("id"), F.col("bs").alias("g")),
-        )
-        e_grad = _summed(d.select(F.inline(moves)), "id", "g", dim)
-        both = F.zip_with("gs", "bs", lambda x, y: x - y)
-        r_grad = _summed(d.select("r", both.alias("g")), "r", "g", dim)
-        ent = cut_lineage(_step(ent, e_grad, rate, True))
-        rel = cut_lineage(_step(rel, r_grad, rate, False))
+    """Margin-ranking translation embeddings of entities and relations, by :func:`.embedding.train_on_grid`."""
+    ent = cut_lineage(initial_vectors(entities, n_entities, dim, seed, True))
+    rel = cut_lineage(initial_vectors(relations, relations.count(), dim, seed + 1, False))
+    ent, rel, _ = train_on_grid(train, ent, rel, epochs, dim, rate, margin, batch, seed, weight, buckets)
     return ent, rel
 
 
-def _step(table: DataFrame, grads: DataFrame, rate: float, unit: bool) -> DataFrame:
-    """Sign-normalised step: the summed subgradient is scaled to length ``rate``."""
-    norm = F.sqrt(F.aggregate("grad", F.lit(0.0), lambda acc, x: acc + x * x))
-    d = table.join(grads, "id", "left").withColumn("__n", norm)
-    moved = F.zip_with(
-        "vec", "grad", lambda x, g: x - g * F.lit(rate) / F.greatest(F.col("__n"), F.lit(1e-12))
-    )
-    v = F.when(F.col("grad").isNull(), F.col("vec")).otherwise(moved)
-    return d.select("id", (clip_norm(v) if unit else v).alias("vec"))
-
-
 def margin_loss(train: DataFrame, ent: DataFrame, rel: DataFrame, n_entities: int, margin=MARGIN, seed=5):
     """Mean hinge loss against one corrupted tail per triple."""
     base = train.select("h", "r", "t")

@@ -6,6 +6,7 @@ import io
 import os
 import tempfile
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -94,6 +95,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def narrow_batches(spark: SparkSession):
+    """For jobs run inside on many small rows: Arrow batches are bounded in rows alone.
+
+    The bound in bytes is looked up for every row, which costs more than a small row itself.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(2**31 - 1))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give CPU-heavy row work on a small file at least one partition per core.
 

@@ -263,7 +263,7 @@ def test_training_lowers_the_loss(spark):
         e, r = L.train_translation(train, ents, rels, 12, dim=8, epochs=epochs, rate=0.3)
         loss.append(L.margin_loss(train, e, r, 12).first()["loss"])
     norms = e.select(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("n"))
-    assert loss[1] < loss[0] and norms.filter("n > 1 + 1e-9").count() == 0
+    assert loss[1] < loss[0] and norms.filter("n > 1 + 1e-6").count() == 0  # single precision
 
 
 def test_empty_denominators(spark):
