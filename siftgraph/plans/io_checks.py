@@ -258,6 +258,22 @@ def _(t: Tables):
     return t.spark.read.parquet(sink)
 
 
+@check("n02_streaming_first_wins", "row_id:s docid:i subject:s predicate:s object:s a_score:d", KEPT_SQL)
+def _(t: Tables):
+    # the arrival time has nothing to do with the order that decides
+    when = F.timestamp_seconds(F.pmod(F.xxhash64("row_id"), F.lit(3600)))
+    rows = t.repeated.withColumn("seen", when)
+    end = rows.limit(1).withColumns({"docid": F.lit(-1).cast("bigint"), "seen": F.lit("2100-01-01").cast("timestamp")})
+    source, sink, state = arriving(t, rows, "in"), scratch(t, "out"), scratch(t, "state")
+    for part in (None, end):  # a last row moves the watermark past all others
+        if part is not None:
+            part.select(*rows.columns).write.mode("append").parquet(source)
+        stream = N.read_arriving(t.spark, source, rows.schema, files_per_trigger=2)
+        fresh = N.first_wins_stream(stream, plain_gold(t), ["row_id"], "seen", "2 hours")
+        N.write_available(fresh, sink, state).awaitTermination()
+    return t.spark.read.parquet(sink).filter("docid <> -1")
+
+
 @check(
     "n03_streaming_progress",
     "rows:i kept:i dropped:i",

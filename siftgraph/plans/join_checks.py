@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.answers import normalise_prediction
 from ..functions.text import clean, word_count
 from ..operators import ensemble as G
 from ..operators import joins as J
@@ -242,20 +243,21 @@ def _(t: Tables):
 
 @check(
     "e14_prediction_join",
-    "id:s gold:s mappable:i n:i",
-    """SELECT CAST(conv_id AS VARCHAR) AS id, role AS gold, (trim(split_part(text, '.', 1)) IN ('The', 'Of')) AS mappable, count(*) AS n
-       FROM (SELECT c.conv_id, c.turn, c.text, g.role FROM {conversations} c
-             JOIN (SELECT conv_id, turn, role FROM {conversations} WHERE role <> 'user') g
+    "id:s gold:s label:s mappable:i n:i",
+    """SELECT CAST(conv_id AS VARCHAR) AS id, role AS gold, label, label IS NOT NULL AS mappable, count(*) AS n
+       FROM (SELECT c.conv_id, g.role, CASE WHEN contains(c.text, 'the') THEN 'the' WHEN contains(c.text, 'of') THEN 'of' END AS label
+             FROM {conversations} c JOIN (SELECT conv_id, turn, role FROM {conversations} WHERE role <> 'user') g
                ON c.conv_id = g.conv_id AND c.turn = g.turn) GROUP BY ALL""",
 )
 def _(t: Tables):
     ident = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     c = t.conversations.withColumn("id", ident)
     gold = c.select("id", F.when(F.col("role") != "user", F.col("role")).otherwise("").alias("gold"))
-    # the whole answer is parsed: its first sentence is the predicted label
-    preds = c.select("id", F.trim(F.split_part("text", F.lit("."), F.lit(1))).alias("prediction"))
-    j = J.join_predictions(preds, gold, ["The", "Of"])
-    return j.groupBy(F.substring_index("id", "/", 1).alias("id"), "gold", "mappable").agg(
+    # whole answers are parsed: some name a label, the others stay as they are and do not map
+    labels = ["the", "of"]
+    preds = c.select("id", normalise_prediction("text", labels).alias("prediction"))
+    j = J.join_predictions(preds, gold, labels).withColumn("label", F.when(F.col("mappable"), F.col("prediction")))
+    return j.groupBy(F.substring_index("id", "/", 1).alias("id"), "gold", "label", "mappable").agg(
         F.count(F.lit(1)).alias("n")
     )
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import graph as GR
 from ..operators import learn as LE
 from ..operators.metrics import hard_label_metrics
+from ..session import checkpoint_root
+from ..sources.score_sink import ScoreSink
 from .fixtures import Tables
 from .registry import F1_SQL, check, sql_confusion
 
@@ -151,6 +155,18 @@ def _(t: Tables):
     return LE.remaining_rows(t.documents, t.labels, "doc_id").select("doc_id")
 
 
+@check("m06_resumed_scores", "doc_id:i score:d", "SELECT doc_id, length(text) - length(replace(text, ' ', '')) AS score FROM {documents}")
+def _(t: Tables):
+    def load():
+        return lambda pdf: pdf["text"].str.count(" ")
+
+    path = f"{checkpoint_root(t.spark)}/scores-{uuid.uuid4().hex}"
+    # a run that ends after one of three chunks, and one that goes on
+    for most in (1, None):
+        ScoreSink.open(t.documents, path, "doc_id", ["text"], 3).run(load, ["text"], most)
+    return ScoreSink.open(t.documents, path, "doc_id", ["text"], 3).scores()
+
+
 @check(
     "m07_run_quality",
     "run:s n_folds:i reason:s accepted:i",

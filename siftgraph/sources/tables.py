@@ -152,7 +152,8 @@ def convert_csv_to_parquet(spark: SparkSession, source: str, target: str, codec:
     return n_out
 
 
-def _fs(spark: SparkSession, path: str):
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of any store that Spark can reach."""
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
@@ -160,8 +161,8 @@ def _fs(spark: SparkSession, path: str):
 
 def recorded_rows(spark: SparkSession, path: str) -> int | None:
     """Row count of the manifest next to a finished table, None if it is not finished."""
-    fs, manifest = _fs(spark, path + ".done")
-    _, table = _fs(spark, path)
+    fs, manifest = hadoop_path(spark, path + ".done")
+    _, table = hadoop_path(spark, path)
     if not (fs.exists(manifest) and fs.exists(table)):
         return None
     try:
@@ -184,8 +185,8 @@ def write_verified(df: DataFrame, path: str, expected: int | None = None, force:
     rows = spark.read.parquet(partial).count()
     if expected is not None and rows != expected:
         raise RuntimeError(f"{rows} rows written, {expected} expected")
-    fs, target = _fs(spark, path)
-    _, source = _fs(spark, partial)
+    fs, target = hadoop_path(spark, path)
+    _, source = hadoop_path(spark, partial)
     if fs.exists(target):
         fs.delete(target, True)
     if not fs.rename(source, target):

@@ -4,9 +4,13 @@ import math
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from siftgraph.operators import bayes
+from siftgraph.operators.sampling import first_wins
+from siftgraph.sources.score_sink import ScoreSink
+from siftgraph.streaming.incremental import first_wins_stream, read_arriving, write_available
 
 
 def plain_bayes(trained, asked):
@@ -75,3 +79,78 @@ def test_blocked_bayes_moves_a_frequent_word_once_a_block(spark, monkeypatch):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     assert plan.join(rows, "id").filter("prediction <> label").count() == 0
     assert {len(r.labels) for r in model.filter("word = 'all'").collect()} == {2}
+
+
+def counting():
+    """A loader that is sent to the workers by value."""
+
+    def load():
+        return lambda pdf: pdf["text"].str.count(" ")
+
+    return load
+
+
+def test_score_sink_survives_every_kind_of_cut(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "a " * (i % 5)) for i in range(300)], "id long, text string")
+    path, spaces = str(tmp_path / "sink"), counting()
+
+    def failing():
+        return lambda pdf: 1 / 0
+
+    sink = ScoreSink.open(rows, path, "id", ["text"], 7)
+    assert sink.scores().count() == 0 and sink.committed() == {}
+    assert sink.run(spaces, ["text"], most=2) == sum(sink.committed().values())
+    with pytest.raises(Exception):  # noqa: B017
+        sink.run(failing, ["text"])
+    assert len(sink.committed()) == 2
+    # a chunk whose scores were written, but not committed: they are not read and not kept
+    left = tmp_path / "sink" / "scores" / "chunk=2"
+    spark.createDataFrame([(1, 99.0)], "id long, score double").write.mode("overwrite").parquet(str(left))
+    first = set(sink.scores().collect())
+    again = ScoreSink.open(rows.limit(0), path, "id", ["text"], 7)  # the rows were staged before
+    assert first == set(again.scores().collect())
+    again.run(spaces, ["text"])
+    got = again.scores().collect()
+    assert sorted((r.id, r.score) for r in got) == [(i, float(i % 5)) for i in range(300)]
+    assert again.run(failing, ["text"]) == 0  # nothing is left to score
+    with pytest.raises(ValueError):
+        ScoreSink.open(rows, path, "id", ["text"], 8)
+
+
+def test_score_sink_checks_the_scorer(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "a b") for i in range(20)], "id long, text string")
+    sink = ScoreSink.open(rows, str(tmp_path / "s"), "id", ["text"], 2)
+
+    def short():
+        return lambda pdf: pdf["text"].str.count(" ").iloc[:0]
+
+    with pytest.raises(Exception):  # noqa: B017
+        sink.run(short, ["text"])
+    assert sink.scores().count() == 0
+    empty = ScoreSink.open(rows.limit(0), str(tmp_path / "e"), "id", ["text"], 1)
+    assert empty.scores().count() == 0
+
+
+def test_first_wins_stream_in_any_order(spark, tmp_path):
+    rng = random.Random(3)
+    keys = ["docid", "subject", "predicate", "object"]
+    rows = []
+    for i in range(400):
+        key = 0 if rng.random() < 0.33 else rng.randrange(60)
+        rows.append((i, key, "s", "p", None if key == 7 else "o", f"payload {i}", 1000 + rng.randrange(3000)))
+    schema = "n long, docid long, subject string, predicate string, object string, extra string, at long"
+    rng.shuffle(rows)
+    gold = spark.createDataFrame([(3, "s", "p", "o")], "docid long, subject string, predicate string, object string")
+    source, sink, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    end = [(10**6, -1, "s", "p", "o", "end", 10**9)]
+    for k, part in enumerate([rows[i::5] for i in range(5)] + [end]):
+        df = spark.createDataFrame(part, schema).withColumn("at", F.timestamp_seconds("at"))
+        df.coalesce(1).write.mode("append").parquet(source)
+        stream = read_arriving(spark, source, df.schema, files_per_trigger=1)
+        write_available(first_wins_stream(stream, gold, ["n"], "at", "2 hours"), sink, state).awaitTermination()
+        if k == 4:
+            assert spark.read.schema(df.schema).parquet(sink).count() == 0  # the watermark has passed no session
+    got = {(r.docid, r.object): (r.n, r.extra) for r in spark.read.parquet(sink).filter("docid >= 0").collect()}
+    batch = first_wins(spark.createDataFrame(rows, schema).join(gold, keys, "left_anti"), keys, "n")
+    assert got == {(r.docid, r.object): (r.n, r.extra) for r in batch.collect()}
+    assert spark.read.parquet(sink).filter("docid >= 0").count() == len(got)
