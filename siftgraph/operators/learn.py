@@ -51,7 +51,10 @@ def score_pairs(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = load()
         for pdf in batches:
-            yield pd.DataFrame({row_id: pdf[row_id], "score": scorer(pdf).astype("float64")})
+            scores = scorer(pdf).astype("float64")
+            if len(scores) != len(pdf):
+                raise ValueError(f"{len(scores)} scores for {len(pdf)} rows")
+            yield pd.DataFrame({row_id: pdf[row_id], "score": scores})
 
     return data.mapInPandas(run, f"`{row_id}` {id_type}, score double")
 
