@@ -12,7 +12,7 @@ from .roc import stratified_folds
 
 MIN_PREDICATE_COUNT = 20
 SEED = 42
-WEIGHT_UNIT = 1_000_000
+WEIGHT_BITS = 30  # twice: a weight is kept to 2^-60 of the largest
 PER_SEGMENT = 64
 
 
@@ -105,17 +105,19 @@ def weighted_draws(
 ) -> DataFrame:
     """``n`` draws with replacement, probability proportional to ``weight``.
 
-    Draw j is the uniform number of md5(seed|j) times the total weight; it hits the row
+    Draw j is a 104-bit integer of md5(seed|j) modulo the total weight; it hits the row
     whose cumulative weight interval holds it. Rows and draws are matched by weight
     segment: the weight axis is cut into equal segments, a row is sent to each segment
     it covers and a draw to its own, so the range lookup becomes an equi-join. Weights
-    are summed as integers (millionths), so intervals meet exactly; a positive weight
-    counts as one millionth at least, so every row can be drawn. The number of segments
-    grows with the draws, so that one holds about ``PER_SEGMENT`` of them.
+    are fixed-point integers relative to the largest (2^-60 of it is the unit and the
+    least), their sums 128-bit decimals, so intervals meet exactly and small weights keep
+    their ratios whatever the scale. The number of segments grows with the draws, so that
+    one holds about ``PER_SEGMENT`` of them.
     """
     parts = parts or max(1, -(-n // PER_SEGMENT))
     d = df.filter(F.col(weight) > 0).withColumn("__h", hash_key(seed, *ids))
-    d = d.withColumn("__w", F.greatest(F.round(F.col(weight) * WEIGHT_UNIT).cast("long"), F.lit(1)))
+    d = with_totals(d, d.agg(F.max(F.col(weight).cast("double")).alias("__max")))
+    d = d.withColumn("__w", fixed_point(F.col(weight).cast("double") / F.col("__max"))).drop("__max")
     cum = prefix_sums(d, "__h", ["__w"], F.substring("__h", 1, 3), prefix="__cum")
     cum = cum.withColumn("__lo", F.col("__cum__w") - F.col("__w"))
     total = d.agg(F.sum("__w").alias("__total"))
@@ -126,12 +128,27 @@ def weighted_draws(
     )
     draws = df.sparkSession.range(n).select(F.col("id").alias("draw"))
     draws = null_safe_join(draws, total, [])
-    draws = draws.withColumn("__u", F.floor(uniform(seed, "draw") * F.col("__total")).cast("long"))
+    draws = draws.withColumn("__u", wide_draw(seed, "draw") % F.col("__total"))
     draws = draws.withColumn("__seg", segment(F.col("__u"))).drop("__total")
     hit = (F.col("__u") >= F.col("__lo")) & (F.col("__u") < F.col("__cum__w"))
     return draws.join(rows, "__seg").filter(hit).select("draw", *df.columns)
 
 
+def fixed_point(share: Column) -> Column:
+    """A number in (0, 1] as an integer of 2^-60, at least 1; halves are exact, nothing is rounded twice."""
+    scale = float(1 << WEIGHT_BITS)
+    high = share * scale
+    low = F.floor((high - F.floor(high)) * scale)
+    return F.greatest(F.floor(high) * (1 << WEIGHT_BITS) + low, F.lit(1)).cast("decimal(20,0)")
+
+
+def wide_draw(seed: int, *cols: str) -> Column:
+    """Reproducible integer below 2^104: the first 26 digits of an md5."""
+    digest = hash_key(seed, *cols)
+    part = lambda at: F.conv(F.substring(digest, at, 13), 16, 10).cast("decimal(16,0)")
+    return (part(1) * F.lit(1 << 52).cast("decimal(16,0)") + part(14)).cast("decimal(38,0)")
+
+
 def uniform(seed: int, *cols: str) -> Column:
     """Reproducible uniform number in [0, 1) from the first 52 bits of an md5."""
     digest = F.substring(hash_key(seed, *cols), 1, 13)

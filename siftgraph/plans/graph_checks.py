@@ -105,10 +105,12 @@ def _(t: Tables):
 @check(
     "k10_weighted_draws",
     "draw:i row_id:s",
-    """WITH w AS (SELECT row_id, greatest(CAST(round(a_score * 1000000) AS BIGINT), 1) AS w FROM candidates WHERE a_score > 0),
-        c AS (SELECT row_id, sum(w) OVER (ORDER BY md5('42|' || row_id) ROWS UNBOUNDED PRECEDING) AS hi, w FROM w WHERE w > 0),
-        d AS (SELECT range AS draw, CAST(floor(('0x' || substr(md5('42|' || range), 1, 13))::BIGINT / 4503599627370496e0
-                 * (SELECT sum(w) FROM w)::DOUBLE) AS BIGINT) AS u FROM range((SELECT count(*) FROM candidates)))
+    """WITH x AS (SELECT row_id, a_score / (SELECT max(a_score) FROM candidates) * 1073741824e0 AS x FROM candidates WHERE a_score > 0),
+        w AS (SELECT row_id, greatest(CAST(floor(x) AS BIGINT) * 1073741824 + CAST(floor((x - floor(x)) * 1073741824e0) AS BIGINT), 1) AS w FROM x),
+        c AS (SELECT row_id, sum(w) OVER (ORDER BY md5('42|' || row_id) ROWS UNBOUNDED PRECEDING) AS hi, w FROM w),
+        d AS (SELECT range AS draw, (('0x' || substr(md5('42|' || range), 1, 13))::BIGINT::HUGEINT * 4503599627370496
+                 + ('0x' || substr(md5('42|' || range), 14, 13))::BIGINT::HUGEINT) % (SELECT sum(w) FROM w) AS u
+              FROM range((SELECT count(*) FROM candidates)))
         SELECT draw, row_id FROM d JOIN c ON u < hi AND u >= hi - w""",
 )
 def _(t: Tables):

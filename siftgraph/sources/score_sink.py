@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.learn import Scorer, score_pairs
 from .tables import hadoop_path
@@ -49,6 +50,7 @@ class ScoreSink:
     path: str
     row_id: str
     chunks: int
+    schema: T.StructType
 
     @staticmethod
     def open(df: DataFrame, path: str, row_id: str, columns: Sequence[str], chunks: int) -> ScoreSink:
@@ -65,11 +67,11 @@ class ScoreSink:
             rows.repartition("chunk", F.pmod(F.xxhash64(F.col(row_id), F.lit(1)), F.lit(64))).write.mode(
                 "overwrite"
             ).partitionBy("chunk").parquet(f"{path}/rows")
-            plan = {"row_id": row_id, "chunks": chunks}
+            plan = {"row_id": row_id, "chunks": chunks, "schema": rows.schema.jsonValue()}
             _write_text(spark, f"{path}/plan.json", json.dumps(plan))
         if (plan["row_id"], plan["chunks"]) != (row_id, chunks):
             raise ValueError(f"the sink was made with {plan}")
-        return ScoreSink(spark, path, row_id, chunks)
+        return ScoreSink(spark, path, row_id, chunks, T.StructType.fromJson(plan["schema"]))
 
     def committed(self) -> dict[int, int]:
         """{chunk: rows} of the chunks whose scores are complete."""
@@ -87,8 +89,8 @@ class ScoreSink:
         """Score what is not committed yet, at most ``most`` chunks; returns the rows added."""
         done, added = self.committed(), 0
         todo = [k for k in range(self.chunks) if k not in done]
-        source = self.spark.read.parquet(f"{self.path}/rows")
-        kind = dict(source.dtypes)[self.row_id]
+        source = self.spark.read.schema(self.schema).parquet(f"{self.path}/rows")
+        kind = self.schema[self.row_id].dataType.simpleString()
         for k in todo[:most]:
             out = f"{self.path}/scores/chunk={k}"
             fs, target = hadoop_path(self.spark, out)
@@ -106,6 +108,6 @@ class ScoreSink:
         """(row_id, score) of the committed chunks."""
         done = self.committed()
         if not done:
-            kind = dict(self.spark.read.parquet(f"{self.path}/rows").dtypes)[self.row_id]
+            kind = self.schema[self.row_id].dataType.simpleString()
             return self.spark.createDataFrame([], f"`{self.row_id}` {kind}, score double")
         return self.spark.read.parquet(*[f"{self.path}/scores/chunk={k}" for k in sorted(done)])

@@ -121,6 +121,18 @@ def test_weighted_draws_hit_once_and_in_proportion(spark):
     assert abs(got.filter("row_id = 0").count() / 4000 - 0.5) < 0.04
 
 
+def test_small_weights_keep_their_ratio(spark):
+    rows = [(i, w * 1e-9) for i, w in enumerate([1.0, 2.0, 5.0, 0.0, -1.0])] + [(5, None)]
+    d = spark.createDataFrame(rows, "row_id long, w double")
+    got = dict(S.weighted_draws(d, "w", 8000, ["row_id"]).groupBy("row_id").count().collect())
+    assert got.keys() == {0, 1, 2} and sum(got.values()) == 8000
+    assert all(abs(got[i] / 8000 - w / 8) < 0.02 for i, w in enumerate([1, 2, 5]))
+    # beside a huge weight, a small one is neither raised nor lost
+    two = spark.createDataFrame([(0, 1e9), (1, 1.0)], "row_id long, w double")
+    shares = {r.row_id: int(r.f) for r in two.select("row_id", S.fixed_point(F.col("w") / 1e9).alias("f")).collect()}
+    assert shares == {0: 1 << 60, 1: pytest.approx((1 << 60) / 1e9, rel=1e-9)}
+
+
 def test_withhold_first_wins_on_hot_key(spark):
     rows = [(f"{i:05d}", 1, "s", "p", "hot" if i % 3 else f"o{i}") for i in range(900)]
     d = spark.createDataFrame(rows, "row_id string, docid int, subject string, predicate string, object string")
