@@ -6,8 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.text import WS
 from ..operators import graph as GR
 from ..operators import learn as LE
+from ..operators.feature_cache import cached_features
 from ..operators.metrics import hard_label_metrics
 from ..session import checkpoint_root
 from ..sources.score_sink import ScoreSink
@@ -91,6 +93,29 @@ def _(t: Tables):
     return LE.predicate_features(language_rows(t), vocab, "doc_id")
 
 
+@check(
+    "m02_feature_cache",
+    "doc_id:i n_words:i n_distinct:i generation:i encoded:i",
+    f"""WITH w AS (SELECT doc_id, lang, list_filter(string_split_regex(lower({BODY_SQL}), '[ \\n\\t\\r]+'), lambda x: x <> '') AS w FROM {{documents}})
+        SELECT doc_id, len(w) AS n_words, len(list_distinct(w)) AS n_distinct, CASE WHEN lang = 'fr' THEN 2 ELSE 1 END AS generation,
+               (SELECT count(*) FROM {{documents}} WHERE lang = 'fr') AS encoded FROM w""",
+)
+def _(t: Tables):
+    rows = LE.predicate_features(language_rows(t), language_ids(t), "doc_id")
+
+    def encode(df):
+        words = F.filter(F.split(F.lower("body"), f"[{WS}]+"), lambda w: w != "")
+        counted = df.withColumn("words", words)
+        return counted.withColumns({"n_words": F.size("words"), "n_distinct": F.size(F.array_distinct("words"))}).drop("words")
+
+    name = f"features_{uuid.uuid4().hex}"
+    args = (name, "doc_id", "body", "word counts", encode, 8, f"{checkpoint_root(t.spark)}/{name}")
+    # the second run meets the rows of one more language
+    cached_features(rows.filter("predicate <> 'fr'"), *args)
+    found, encoded = cached_features(rows, *args)
+    return found.withColumn("encoded", F.lit(encoded))
+
+
 @check(
     "m03_cross_train_sweep",
     "model:s k:i member:s tp:i fp:i fn:i tn:i f1:d",

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftgraph.operators import bayes
+from siftgraph.operators.feature_cache import cached_features, compact
 from siftgraph.operators.sampling import first_wins
 from siftgraph.sources.score_sink import ScoreSink
 from siftgraph.streaming.incremental import first_wins_stream, read_arriving, write_available
@@ -154,3 +155,28 @@ def test_first_wins_stream_in_any_order(spark, tmp_path):
     batch = first_wins(spark.createDataFrame(rows, schema).join(gold, keys, "left_anti"), keys, "n")
     assert got == {(r.docid, r.object): (r.n, r.extra) for r in batch.collect()}
     assert spark.read.parquet(sink).filter("docid >= 0").count() == len(got)
+
+
+def test_feature_cache_encodes_what_changed(spark, tmp_path):
+    rows = [(i, f"text of {i % 7}") for i in range(50)] + [(50, None), (51, "")]
+    make = lambda rs: spark.createDataFrame(rs, "id long, body string")
+    encode = lambda df: df.withColumn("size", F.length("body"))
+    for name in ("cache_a", "cache_b"):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    run = lambda rs, by="v1": cached_features(make(rs), "cache_a", "id", "body", by, encode, 4, str(tmp_path / "a"))
+    try:
+        found, n = run(rows)
+        assert n == 52 and {(r.id, r.body, r["size"]) for r in found.collect()} == {(i, t, None if t is None else len(t)) for i, t in rows}
+        assert run(rows)[1] == 0
+        changed = [(i, "another" if i == 3 else t) for i, t in rows]
+        found, n = run(changed)
+        assert n == 1 and {r["size"] for r in found.filter("id = 3").collect()} == {7} and found.count() == 52
+        assert run(rows)[1] == 0  # the earlier text is still there
+        assert run([*changed, (60, "x"), (60, "x")])[1] == 1  # a repeated row is encoded once
+        assert run(changed, "v2")[1] == 52
+        compact("cache_a", make(changed), "id", "body", "v2", "cache_b", 4, str(tmp_path / "b"))
+        assert spark.table("cache_b").count() == 52
+        assert run([])[1] == 0
+    finally:
+        for name in ("cache_a", "cache_b"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
