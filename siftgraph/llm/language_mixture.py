@@ -184,18 +184,25 @@ def _has_letter(column: pa.Array) -> np.ndarray:
 SCHEMA = "doc_id bigint, held_out boolean, lang_pred string, score double, languages array<string>, shares array<double>"
 
 
+def decided(text: pa.Array, langs: list[str], model: np.ndarray) -> np.ndarray:
+    """Language shares of every text; all 0 where the language is ``und``."""
+    share = mixtures(text, model)
+    known = _has_letter(text) & (len(langs) > 0)
+    lost = known & (share.sum(axis=1) == 0)  # letters the trigrams do not see
+    share[~known] = 0
+    if len(langs):
+        share[lost, 0] = 1
+    return share
+
+
 def _predict(langs: list[str], model: np.ndarray):
     names = np.array([*langs, "und"], dtype=object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             text = part.column("text")
-            share = mixtures(text, model)
-            known = _has_letter(text) & (len(langs) > 0)
-            lost = known & (share.sum(axis=1) == 0)  # letters the trigrams do not see
-            share[~known] = 0
-            if len(langs):
-                share[lost, 0] = 1
+            share = decided(text, langs, model)
+            known = share.sum(axis=1) > 0
             best = np.where(known, share.argmax(axis=1) if len(langs) else 0, len(langs))
             value = np.clip(share.max(axis=1), 0, 1) if len(langs) else np.zeros(len(known))
             used = [[(langs[j], float(row[j])) for j in np.argsort(-row, kind="stable") if row[j] > 0] for row in share]
@@ -236,7 +243,7 @@ def keep_identified(docs: DataFrame, train: DataFrame, least: float = LEAST_SHAR
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            share = mixtures(part.column("text"), model)
+            share = decided(part.column("text"), langs, model)
             sure = share.max(axis=1) >= least if len(langs) else np.zeros(part.num_rows, bool)
             yield part.filter(pa.array(sure))
 

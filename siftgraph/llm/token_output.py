@@ -13,6 +13,8 @@ from one sum per file and a running sum inside it, over narrow columns only.
 Every distinct white-space word is encoded once per Python worker, without the marks at its
 end if the vocabulary always splits there. It splits at white space before merging, so ids
 are those of the whole text (tested); for a tokenizer that does not, pass ``by_word=False``.
+Words are looked up by 64-bit hashes, which are not confirmed. Texts that name a special token
+go to the tokenizer whole, as it is set up; ``special_as_text`` reads such names as plain text.
 
 Defined cases: null and empty texts have the end id alone; a null doc_id comes first;
 repeated ids follow each other in the order of their texts' crc32; an empty table writes
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .tables import shared_folder
-from .words import Words, hash_words, slices, split_words
+from .words import Words, flat, hash_words, slices, split_words
 
 END = 2
 ROW_GROUP = 16 << 20  # bytes
@@ -52,6 +54,8 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.whole = [] if special_as_text else [t.content.lower().encode() for t in added if t.content]
         one = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
         self.lower = one("A") == one("a")
         self.marks = one("ab,!") == one("ab") + one(",!")  # splits between a letter and a mark
@@ -127,15 +131,37 @@ def part_marks(words: Words) -> Words:
     return Words(words.data, starts, ends, np.concatenate([[0], np.cumsum(pieces)])[words.first])
 
 
-def encode(column: pa.Array, path: str, end: int = END, special_as_text: bool = True, by_word: bool = True):
+def _named(column: pa.Array, names: list[bytes]) -> np.ndarray:
+    """Which texts hold one of the names in upper or lower case; one search of the joined bytes if none does."""
+    found = np.zeros(len(column), bool)
+    raw = flat(column)[0].tobytes().lower() if names else b""
+    if any(n in raw for n in names):
+        for i, text in enumerate(column.to_pylist()):
+            low = (text or "").lower().encode()
+            found[i] = any(n in low for n in names)
+    return found
+
+
+def _joined(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.array([len(r) for r in rows], np.int64)
+    return np.concatenate([np.zeros(0, np.int32), *rows]), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def encode(column: pa.Array, path: str, end: int = END, special_as_text: bool = False, by_word: bool = True):
     """(ids of all texts, each followed by ``end``; offsets per text)."""
     if (path, special_as_text) not in _loaded:
         _loaded[path, special_as_text] = WordEncoder(path, special_as_text)
     encoder = _loaded[path, special_as_text]
     if not by_word:
-        rows = [np.array([*ids, end], np.int32) for ids in encoder._plain([x or "" for x in column.to_pylist()])]
-        sizes = np.array([len(r) for r in rows], np.int64)
-        return np.concatenate([np.zeros(0, np.int32), *rows]), np.concatenate([[0], np.cumsum(sizes)])
+        return _joined([np.array([*ids, end], np.int32) for ids in encoder._plain([x or "" for x in column.to_pylist()])])
+    if (named := _named(column, encoder.whole)).any():
+        # texts that name a token of the vocabulary in any case are encoded whole, the others by word
+        others = pa.array([None if n else t for t, n in zip(column.to_pylist(), named, strict=True)], column.type)
+        ids, offsets = encode(others, path, end, special_as_text)
+        rows = np.split(ids, offsets[1:-1])
+        for i in np.flatnonzero(named):
+            rows[i] = np.array([*encoder._plain([column[i].as_py()])[0], end], np.int32)
+        return _joined(rows)
     words = split_words(column, lower=encoder.lower)
     words = part_marks(words) if encoder.marks and len(words.starts) else words
     at, sizes = encoder.look_up(words)
@@ -169,7 +195,7 @@ def write_tokens(
     tokenizer: str,
     end: int = END,
     metadata: Sequence[str] = (),
-    special_as_text: bool = True,
+    special_as_text: bool = False,
     by_word: bool = True,
     row_group: int = ROW_GROUP,
 ) -> None:

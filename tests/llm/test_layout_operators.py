@@ -86,9 +86,9 @@ def test_drawing(docs, awkward, nothing):
 def test_ids_are_those_of_the_whole_text(spark, awkward, small):
     path = default_tokenizer()
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     texts = [t for _, t, *_ in awkward] + [r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     texts += ["á b c d\x1ce\u0085f", "I'll we'VE 's 't", "İΣ ẞ", "<|endoftext|>x <|startoftext|>"]
+    texts += ["hello <|endoftext|> world", "<|EndOfText|>", "a<|startoftext|>b", "<|endoftext", "|>", None, ""]
     for by_word in (True, False):
         ids, offsets = token_output.encode(pa.array(texts, pa.string()), path, by_word=by_word)
         for t, a, b in zip(texts, offsets[:-1], offsets[1:]):
@@ -101,7 +101,6 @@ def test_token_files(spark, docs, awkward, nothing):
     back = token_output.token_index(spark, target).collect()
     rows = sorted(awkward, key=lambda r: (r[0] is not None, r[0] or 0, zlib.crc32((r[1] or "").encode())))
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     start, want = 0, []
     for i, t, *_ in rows:
         ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4")

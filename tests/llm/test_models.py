@@ -37,6 +37,18 @@ def test_language_edges(docs, awkward, nothing):
     assert kept.columns == docs.columns and not blank & {r.doc_id for r in kept.collect()}
 
 
+def test_language_stage_decides_as_the_query(spark):
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog", "en"), ("der Hund und die Katze", "de")] * 20)]
+    rows += [(100 + i, t, "en") for i, t in enumerate(["12 \u2013 34", "\u20ac 5 \u20ac", "\u4e2d\u6587", "!!", "\U0001f600", "a", None, ""])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    train = docs.filter("doc_id < 100")
+    got = language_mixture.identify(docs, train).collect()
+    und = {r.doc_id for r in got if r.lang_pred == "und"}
+    assert und == {100, 101, 103, 104, 106, 107}
+    sure = {r.doc_id for r in got if r.lang_pred != "und" and r.score >= language_mixture.LEAST_SHARE}
+    assert {r.doc_id for r in language_mixture.keep_identified(docs, train).collect()} == sure
+
+
 def test_mixture_finds_shares():
     rng = np.random.default_rng(0)
     kind = np.repeat([0, 1, 2], [600, 300, 0])
