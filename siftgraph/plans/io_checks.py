@@ -11,6 +11,7 @@ from ..functions.verbalize import chat_messages
 from ..operators.learn import hypothesis_overlap
 from ..session import checkpoint_root
 from ..sources import tables as T
+from ..sources.csv_split import read_csv_split
 from ..streaming import incremental as N
 from .fixtures import Tables
 from .graph_checks import EDGES_SQL, VOCAB_SQL, edges, vocabulary
@@ -44,6 +45,21 @@ def _(t: Tables):
     return T.read_csv(t.spark, path, DOC_COLUMNS)
 
 
+@check(
+    "a01_csv_split_scan",
+    "doc_id:i lang:s source:s text:s",
+    """SELECT doc_id, CASE WHEN lang = 'de' THEN '' ELSE lang END AS lang, source,
+              replace(text, '. ', '.' || chr(10)) || ' "q"' AS text FROM {documents}""",
+)
+def _(t: Tables):
+    # one file, cells that span lines, read in as many ranges as the session cuts
+    path = scratch(t, "csv")
+    lines = F.concat(F.replace("text", F.lit(". "), F.lit(".\n")), F.lit(' "q"'))
+    lang = F.when(F.col("lang") == "de", "").otherwise(F.col("lang"))
+    T.write_csv(t.documents.withColumns({"text": lines, "lang": lang}).coalesce(1), path, DOC_COLUMNS)
+    return read_csv_split(t.spark, path, DOC_COLUMNS)
+
+
 @check("a02_csv_to_parquet", "doc_id:i text:s rows:i", "SELECT doc_id, text, (SELECT count(*) FROM {documents}) AS rows FROM {documents}")
 def _(t: Tables):
     source, target = scratch(t, "csv"), scratch(t, "parquet")
