@@ -29,11 +29,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .tables import shared_folder
-from .words import Words, flat, hash_words, slices, split_words
+from .words import Words, hash_words, slices, split_words
 
 END = 2
 ROW_GROUP = 16 << 20  # bytes
@@ -55,7 +56,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
         added = self.tokenizer.get_added_tokens_decoder().values()
-        self.whole = [] if special_as_text else [t.content.lower().encode() for t in added if t.content]
+        self.whole = [] if special_as_text else [t.content for t in added if t.content]
         one = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
         self.lower = one("A") == one("a")
         self.marks = one("ab,!") == one("ab") + one(",!")  # splits between a letter and a mark
@@ -131,14 +132,11 @@ def part_marks(words: Words) -> Words:
     return Words(words.data, starts, ends, np.concatenate([[0], np.cumsum(pieces)])[words.first])
 
 
-def _named(column: pa.Array, names: list[bytes]) -> np.ndarray:
-    """Which texts hold one of the names in upper or lower case; one search of the joined bytes if none does."""
+def _named(column: pa.Array, names: list[str]) -> np.ndarray:
+    """Which texts hold one of the names in upper or lower case."""
     found = np.zeros(len(column), bool)
-    raw = flat(column)[0].tobytes().lower() if names else b""
-    if any(n in raw for n in names):
-        for i, text in enumerate(column.to_pylist()):
-            low = (text or "").lower().encode()
-            found[i] = any(n in low for n in names)
+    for name in names:
+        found |= pc.match_substring(column, name, ignore_case=True).fill_null(False).to_numpy(zero_copy_only=False)
     return found
 
 
