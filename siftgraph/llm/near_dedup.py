@@ -6,9 +6,10 @@
 2. Bands of the signature file the classes into buckets. In each bucket every class is
    paired with the smallest one; the signatures drop clearly different pairs and the full
    shingle sets decide the rest.
-3. Union-find (per partition, then star contraction) groups the links. Buckets that still
-   hold several groups are compared again across groups by signature, and those pairs are
-   verified too, so a link is not lost because it misses the bucket's smallest class.
+3. Union-find (per partition, then star contraction) groups the links. Classes of buckets
+   that still hold several groups are filed under their rarest shingles (prefix filter), and
+   pairs across groups that meet there are verified too, so a link is not lost because it
+   misses the bucket's smallest class.
 
 With 40 bands of 4, a pair at similarity 0.75 shares no band with probability 3e-7. The
 estimate from all 192 places has there a standard deviation of 0.022 for unions of 100
@@ -18,7 +19,8 @@ alone exclude a pair exactly where the smaller set is less than 0.75 of the larg
 
 Scale: texts are shuffled once and only those with a partner candidate are kept; a class
 that many others pair with is split over salted groups of ``MEMBERS``; all joins are on
-ids; links stay distributed.
+ids or shingles; links stay distributed. Shingles are counted and posted only for classes of
+buckets that are still mixed; no bucket is held in one task.
 
 Defined cases: null, empty and blank texts have an empty set and no link; fewer words than
 a shingle make one shingle; rows with one doc_id are one node; a null doc_id comes
@@ -189,44 +191,65 @@ def _alike(least: float):
     return run
 
 
-def _across(width: int, percent: int, least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Likely pairs across groups of one bucket; rows come sorted by (key, n, rep).
+def _filed(size: int):
+    """One row per shingle of each text: (shingle, doc, mark of the set, set size)."""
 
-        A class is compared with those before it whose sizes allow the similarity. A pair is
-        reported in the first band it shares only.
-        """
-        now, lo, hi = None, 0, 0
-        meta = sigs = None  # (n, comp, rep) and signatures of the bucket so far
-        for part in batches:
-            n, comp, rep, key, band = (part.column(c).to_numpy() for c in ("n", "comp", "rep", "key", "band"))
-            sig = _signatures(part.column("sig"))
-            left, right = [], []
-            for i in range(part.num_rows):
-                if key[i] != now:
-                    now, lo, hi = key[i], 0, 0
-                    meta, sigs = np.zeros((64, 3), np.int64), np.zeros((64, sig.shape[1]), np.uint16)
-                while lo < hi and 100 * meta[lo, 0] < percent * n[i]:
-                    lo += 1
-                other = lo + np.flatnonzero(meta[lo:hi, 1] != comp[i])
-                if len(other):
-                    same = sigs[other] == sig[i]
-                    near = np.flatnonzero(same.mean(axis=1) >= least)
-                    shared = same[near, : band[i] * width].reshape(len(near), band[i], width).all(axis=2).any(axis=1)
-                    for k in meta[other[near[~shared]], 2].tolist():
-                        left.append(min(k, int(rep[i])))
-                        right.append(max(k, int(rep[i])))
-                if hi == len(meta):
-                    meta, sigs = np.concatenate([meta, meta]), np.concatenate([sigs, sigs])
-                meta[hi], sigs[hi] = (n[i], comp[i], rep[i]), sig[i]
-                hi += 1
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", SIGN_BYTES):
+            sets, offsets = shingle_sets(part.column("text"), size)
+            sizes = np.diff(offsets)
+            spread = lambda values: pa.array(np.repeat(values, sizes))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["hub", "rep"]
+                [
+                    pa.array(sets.view(np.int64)),
+                    spread(part.column("doc").to_numpy()),
+                    spread(_sums(mix(sets), offsets)),
+                    spread(sizes),
+                ],
+                names=["shingle", "doc", "mark", "n"],
             )
 
     return run
 
 
+def across_groups(texts: DataFrame, groups: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(hub, rep): every pair from different groups that its full sets may still link.
+
+    Prefix filter: shingles are ordered by how many of these texts hold them, rarest first.
+    Sets of x and y shingles with the asked similarity share at least
+    ``o = percent / (100 + percent) * (x + y)``, so the first shared one lies at a place of at
+    most ``x - o`` and ``y - o``. Texts that share a template but have enough shingles of their
+    own meet nowhere. A posting pairs the rows outside its largest group with all rows, so the
+    members of one group are never paired with each other. Shingles found once are counted,
+    not sent on. ``texts`` has (doc, text), ``groups`` (rep, comp).
+    """
+    members = texts.join(groups.select(F.col("rep").alias("doc")), "doc", "left_semi")
+    filed = stored(members.mapInArrow(_filed(size), "shingle bigint, doc bigint, mark bigint, n bigint"), "filed")
+    often = filed.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    rarest_last = Window.partitionBy("doc", "mark").orderBy(F.col("df").desc(), F.col("shingle").desc())
+    placed = filed.join(often, "shingle").withColumn("place", F.col("n") - F.row_number().over(rarest_last))
+    prefix = placed.filter(100 * F.col("place") <= (100 - percent) * F.col("n"))
+    posted = prefix.join(groups.withColumnRenamed("rep", "doc"), "doc").select("shingle", "doc", "comp", "n", "place")
+    posted = stored(posted, "postings")
+    counts = posted.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("k"))
+    largest = counts.groupBy("shingle").agg(
+        F.max(F.struct("k", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")
+    )
+    shared = largest.filter("comps > 1").select("shingle", F.col("top.comp").alias("main"))
+    few = posted.join(shared, "shingle").filter("comp <> main").select(*(F.col(c).alias(f"few_{c}") for c in [*posted.columns, "main"]))
+    least = percent * (F.col("n") + F.col("few_n"))
+    fits = lambda n, place: (100 + percent) * (F.col(n) - F.col(place)) >= least
+    met = few.join(
+        posted,
+        (F.col("shingle") == F.col("few_shingle"))
+        & (F.col("comp") != F.col("few_comp"))
+        & ((F.col("comp") == F.col("few_main")) | (F.col("few_doc") < F.col("doc")))
+        & fits("n", "place")
+        & fits("few_n", "few_place"),
+    )
+    return met.select(F.least("doc", "few_doc").alias("hub"), F.greatest("doc", "few_doc").alias("rep")).distinct()
+
+
 def _verify(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by (hub, salt, member); the hub itself is member false."""
@@ -331,19 +354,12 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 
     # buckets with several groups: pairs that the smallest class does not decide
     placed = shared.filter("k > 2").join(grouped, F.col("rep") == F.col("node"), "left").select(
-        "key", "rep", "band", F.coalesce("component", "rep").alias("comp")
+        "key", "rep", F.coalesce("component", "rep").alias("comp")
     )
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
-    rest = (
-        placed.join(mixed.select("key"), "key")
-        .join(sigs, "rep")
-        .select("key", "band", "n", "comp", "rep", "sig")
-        .repartition("key")
-        .sortWithinPartitions("key", "n", "rep")
-        .mapInArrow(_across(band, percent, least_alike(percent, m)), PAIR)
-        .join(pairs, ["hub", "rep"], "left_anti")
-    )
-    rest = stored(rest, "rest")
+    open_ = stored(placed.join(mixed.select("key"), "key").select("rep", "comp").distinct(), "open")
+    rest = across_groups(texts, open_, size, percent).join(pairs, ["hub", "rep"], "left_anti")
+    rest = stored(_likely(rest, sigs, percent, least_alike(percent, m)), "rest")
     if not rest.isEmpty():
         links = links.unionByName(stored(_verified(texts, rest, size, percent), "more_links"))
         grouped = group_links(links)

@@ -135,6 +135,40 @@ def test_near_duplicates_group_of_variants(spark, nothing):
     assert {r.doc_id for r in kept.collect()} == set(got.values()) and kept.columns == docs.columns
 
 
+def test_pairs_across_groups_miss_no_link(spark):
+    """A template with 8 to 30 % own words, sets of unequal size, and one large group."""
+    rng = random.Random(8)
+    template = prose(rng, 160).split()
+    rows = []
+    for i in range(60):
+        own = rng.randint(8, 30) * 160 // 100
+        at, more = rng.randint(0, 160 - own), rng.choice([0, 0, 15, 40])
+        rows.append((i, " ".join([*template[:at], *(f"own{i}x{k}" for k in range(own)), *template[at + own :], *prose(rng, more).split()])))
+    rows += [(100 + i, " ".join([*template[:20], f"n{i}", *template[21:]])) for i in range(30)]
+    comp = {i: i if i < 100 else 100 for i, _ in rows}
+    sets = {i: sets_of(t) for i, t in rows}
+    linked = {
+        (a, b)
+        for a in sets
+        for b in sets
+        if a < b and comp[a] != comp[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
+    }
+    texts = spark.createDataFrame(rows, "doc bigint, text string").repartition(4)
+    groups = spark.createDataFrame(list(comp.items()), "rep bigint, comp bigint")
+    got = [(r.hub, r.rep) for r in near_dedup.across_groups(texts, groups).collect()]
+    assert len(got) == len(set(got)) and linked and linked <= set(got)
+    assert all(comp[a] != comp[b] for a, b in got)
+
+
+def test_template_with_own_words_pairs_nothing(spark):
+    rng = random.Random(9)
+    template = prose(rng, 100)
+    rows = [(i, template + " " + " ".join(f"own{i}x{k}" for k in range(20))) for i in range(300)]
+    texts = spark.createDataFrame(rows, "doc bigint, text string").repartition(4)
+    groups = texts.select("doc", "doc").toDF("rep", "comp")
+    assert near_dedup.across_groups(texts, groups).isEmpty()
+
+
 def test_large_pairs_at_the_border_are_verified():
     # sets of 1,750 with 1,500 in common: similarity 0.75; all go on to the exact test
     rng, pairs, n = np.random.default_rng(11), 600, 1750
