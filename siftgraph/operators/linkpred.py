@@ -20,6 +20,9 @@ TILE = 1 << 16  # queries of a task
 LEAST_TILE = 256  # queries of a task where there are cores without work
 PAIRS = 1 << 21  # bounds held at once
 DISTANCES = 1 << 13  # distances measured at once
+SCREENED = 1 << 16  # distances in single precision at once
+DENSE = 0.25  # share of open pairs from which all pairs of a cell are screened
+SINGLE = 1e30  # larger components are not screened in single precision
 ATTEMPTS = 16
 QUANTILE_STEPS = 199
 QUANTILE_RANGE = (0.01, 0.99)
@@ -73,13 +76,25 @@ def _measured(df: DataFrame, keep: Sequence[str], a: str, b: str) -> DataFrame:
     return df.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in keep) + ", dist double")
 
 
+def _screened(queries: np.ndarray, entities: np.ndarray) -> np.ndarray:
+    """L1 distances in single precision, of columns of ``queries`` from columns of ``entities``."""
+    total = np.zeros((queries.shape[1], entities.shape[1]), np.float32)
+    part = np.empty_like(total)
+    for q, e in zip(queries, entities, strict=True):
+        np.subtract(q[:, None], e[None, :], out=part)
+        np.abs(part, out=part)
+        total += part
+    return total
+
+
 class EntityBlock:
     """Entities of a block in cells around pivots, for exact counts that mostly need no distance.
 
     With p the pivot of an entity e, the triangle inequality bounds the distance of a query q:
     |d(q, p) - d(e, p)| <= d(q, e) <= d(q, p) + d(e, p). A cell whose nearest point is too far
     is skipped, one whose farthest point is near enough is counted whole, and in the others
-    only entities that the bounds leave open are measured.
+    only entities that the bounds leave open are measured. Where they leave many open, single
+    precision decides first, and double precision what lies within its error of the limit.
     """
 
     def __init__(self, vectors: np.ndarray):
@@ -98,10 +113,17 @@ class EntityBlock:
         self.size = np.diff(self.first)
         ends = np.maximum(self.first[1:] - 1, 0)
         self.radius = np.where(self.size > 0, self.near[ends], 0.0)
+        most = np.abs(vectors).max(initial=0.0)
+        self.single = np.ascontiguousarray(self.vectors.T, np.float32) if most < SINGLE else None
+        self.reach = np.abs(vectors).sum(axis=1).max(initial=0.0)
 
     def closer(self, queries: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Per query: entities strictly closer than its limit, and how many were measured."""
         count, measured = np.zeros(len(queries), np.int64), np.zeros(len(queries), np.int64)
+        dim = queries.shape[1]
+        single = self.single is not None and np.abs(queries).max(initial=0.0) < SINGLE
+        asking = np.ascontiguousarray(queries.T, np.float32) if single else None
+        error = 2.0**-22 * (dim + 4) * (limits + np.abs(queries).sum(axis=1) + self.reach) + 1e-30
         for c in np.flatnonzero(self.size).tolist():
             to_pivot = _row_l1(queries, self.pivots[c])
             slack = 1e-9 * (1.0 + to_pivot + limits)  # rounding never decides
@@ -115,9 +137,18 @@ class EntityBlock:
                 q = open_[i : i + rows]
                 d, limit, s = to_pivot[q, None], limits[q, None], slack[q, None]
                 sure = d + near < limit - s
-                asked, of = np.nonzero(~sure & (np.abs(d - near) <= limit + s))
+                left = ~sure & (np.abs(d - near) <= limit + s)
                 count[q] += sure.sum(axis=1)
-                measured[q] += np.bincount(asked, minlength=len(q))
+                measured[q] += left.sum(axis=1)
+                if single and left.sum() >= DENSE * left.size:
+                    step = max(1, SCREENED // len(near))
+                    for j in range(0, len(q), step):
+                        a = q[j : j + step]
+                        dist = _screened(asking[:, a], self.single[:, self.first[c] : self.first[c + 1]])
+                        inside = left[j : j + step] & (dist < (limits[a] - error[a])[:, None])
+                        count[a] += inside.sum(axis=1)
+                        left[j : j + step] &= ~inside & (dist <= (limits[a] + error[a])[:, None])
+                asked, of = np.nonzero(left)
                 for j in range(0, len(asked), DISTANCES):
                     a, e = q[asked[j : j + DISTANCES]], of[j : j + DISTANCES] + self.first[c]
                     hit = np.abs(self.vectors[e] - queries[a]).sum(axis=1) < limits[a]
