@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.text import WORD, WS
 from ..functions.verbalize import typed_pair
 from ..session import cut_lineage
-from .bayes import fit, predict, word_counts
+from .bayes import fit, packed_counts, predict
 from .ensemble import vote_summary
 from .metrics import class_macro_f1, hard_label_metrics
 from .sampling import capped_sample, label_set, other_splits, predicate_folds, train_split
@@ -132,12 +132,12 @@ def counted_votes(
         folds = folds.select(row_id, F.lit(k).alias("k"), F.col("fold").cast("int").alias("fold"))
         folded = folds if folded is None else folded.unionByName(folds)
     folded = cut_lineage(folded.join(rows.select(row_id, "label"), row_id).withColumn("code", _voter_code("fold")))
-    model, vocabulary = fit(words, folded.select(row_id, "label", F.col("code").alias("voter")), row_id)
+    model, _ = fit(words, folded.select(row_id, "label", F.col("code").alias("voter")), row_id)
     voter = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("fold")
     if gold is None:
         own, asked = words, folded.withColumnRenamed("fold", "own").select(row_id, "label", "k", "own", voter).filter("own <> fold")
     else:
-        own = gold_words.join(vocabulary, "word", "left_semi")
+        own = gold_words
         every = F.explode(F.array(*[F.lit(k) for k in ks])).alias("k")
         asked = gold.select(row_id, "label", every).select(row_id, "label", "k", voter)
     asked = asked.withColumn("voter", _voter_code("fold"))
@@ -163,7 +163,7 @@ def cross_train_denoise(
     if hashed:
         votes, _ = cross_train_votes(feature_table(rows, row_id, hashed)[0], row_id, k, seed=seed)
     else:
-        votes = counted_votes(rows, word_counts(rows, row_id), row_id, [k], seed=seed)
+        votes = counted_votes(rows, packed_counts(rows, row_id), row_id, [k], seed=seed)
     summary = vote_summary(votes, [row_id])
     out = df.select(row_id, "predicate").join(summary, row_id, "left")
     zero = {"vote_correct": 0, "vote_total": 0, "vote_fraction": 0.0, "cleaned_label": 0}
@@ -182,7 +182,7 @@ def cross_train_sweep(
     rows, gold_rows = (predicate_features(x, vocabulary, row_id, text) for x in (df, gold))
     truth = gold.select(row_id, F.col(label).cast("int").alias("label_true"))
     if not hashed and not models:
-        words, gold_words = word_counts(rows, row_id), word_counts(gold_rows, row_id)
+        words, gold_words = packed_counts(rows, row_id), packed_counts(gold_rows, row_id)
         votes = counted_votes(rows, words, row_id, ks, gold_rows, gold_words)
         return _sweep_metrics(votes.withColumn("model", F.lit("bayes")), truth, row_id)
     features, encoder = feature_table(rows, row_id, hashed or FEATURES)
@@ -221,7 +221,7 @@ def training_pilot(
 
     vocabulary = dense_ids(labels, "predicate").select("predicate", "id")
     ev = cut_lineage(predicate_features(evaluation, vocabulary, row_id, text))
-    ev_words = None if hashed else word_counts(ev, row_id)
+    ev_words = None if hashed else packed_counts(ev, row_id)
     out = None
     for name, pool in arms.items():
         sample = capped_sample(pool, vocabulary, n_train, [row_id], seed)
@@ -232,10 +232,9 @@ def training_pilot(
             scored = fitted.transform(encode_rows(ev, encoder, row_id)).select("label", "prediction")
         else:
             rows = cut_lineage(rows)
-            model, words = fit(word_counts(rows, row_id), rows.withColumn("voter", F.lit(0)), row_id)
-            known = ev_words.join(words, "word", "left_semi")
+            model, _ = fit(packed_counts(rows, row_id), rows.withColumn("voter", F.lit(0)), row_id)
             asked = ev.select(row_id, "label", F.lit(0).alias("voter"))
-            scored = asked.join(predict(model, asked, known, row_id), row_id).select("label", "prediction")
+            scored = asked.join(predict(model, asked, ev_words, row_id), row_id).select("label", "prediction")
         m = class_macro_f1(scored, "prediction", "label").withColumn("arm", F.lit(name))
         out = m if out is None else out.unionByName(m)
     return out

@@ -1,5 +1,7 @@
 """Work that grows with the tables: what a query moves, holds and asks of one task."""
 
+import re
+
 import numpy as np
 
 from siftgraph.operators import linkpred as L
@@ -34,3 +36,23 @@ def test_screening_in_single_precision_never_decides_near_the_limit():
         count, _ = L.EntityBlock(b).closer(a, limits)
         exact = [sum(np.abs(b - x).sum(axis=1) < m) for x, m in zip(a, limits, strict=True)]
         assert count.tolist() == exact
+
+
+def test_bayes_moves_words_once_for_all_voters(spark):
+    """25 voters receive the words of a row and the cells of a word in one row each."""
+    from pyspark.sql import functions as F
+
+    from siftgraph.operators import bayes
+
+    rows = spark.range(60).selectExpr("id", "cast(id % 2 AS int) AS label", "concat('b a b w', id) AS body", "explode(sequence(0, 24)) AS voter")
+    texts = rows.filter("voter = 0").drop("voter")
+    packed = bayes.packed_counts(texts.unionByName(texts.limit(1).withColumns({"id": F.lit(99).cast("long"), "body": F.lit("  ")})), "id")
+    got = {r.id: dict(zip(r.words, r.ns, strict=True)) for r in packed.collect()}
+    assert got[7] == {"a": 1, "b": 2, "w7": 1} and got[99] == {}
+    assert "Exchange hashpartitioning(id" not in bayes.word_counts(texts, "id")._jdf.queryExecution().executedPlan().toString()
+    model, _ = bayes.fit(packed, rows, "id")
+    assert model.count() == model.select("word").distinct().count() == 64
+    out = bayes.predict(model, rows.select("id", "voter"), packed, "id")
+    assert out.count() == 60 * 25
+    dealt = re.findall(r"hashpartitioning\(block#\d+,([^)]*)\)", out._jdf.queryExecution().executedPlan().toString())
+    assert dealt and not any("voter" in keys for keys in dealt)
