@@ -56,3 +56,43 @@ def test_bayes_moves_words_once_for_all_voters(spark):
     assert out.count() == 60 * 25
     dealt = re.findall(r"hashpartitioning\(block#\d+,([^)]*)\)", out._jdf.queryExecution().executedPlan().toString())
     assert dealt and not any("voter" in keys for keys in dealt)
+
+
+def test_arriving_files_grow_with_the_scanned_tables(spark, small, monkeypatch, tmp_path):
+    """No task writes a fixed share of all rows, and a trigger still takes half of the files."""
+    from siftgraph.plans import io_checks
+    from siftgraph.plans.fixtures import Tables
+
+    t = Tables(spark, small)
+    monkeypatch.setattr(io_checks, "scratch", lambda t, name: str(tmp_path / name))
+    few, half = io_checks.arriving(t, t.documents, "few")
+    assert len(spark.read.parquet(few).inputFiles()) == 4 and half == 2
+    monkeypatch.setattr(io_checks, "ARRIVING_BYTES", io_checks.scanned_bytes(t.documents) // 9)
+    many, half = io_checks.arriving(t, t.documents, "many")
+    assert len(spark.read.parquet(many).inputFiles()) >= 9 and half >= 5
+
+
+def test_csv_for_split_scan_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    from siftgraph.plans import io_checks
+    from siftgraph.plans.catalog import REGISTRY
+
+    rows = spark.range(40).selectExpr("id AS doc_id", "'fr' AS lang", "'s' AS source", "concat('a. b', id) AS text", "1 AS n_chars")
+    rows.repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    old = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 27))
+    monkeypatch.setattr(io_checks, "scratch", lambda t, name: str(tmp_path / name))
+    try:
+        got = REGISTRY["a01_csv_split_scan"].run(spark, str(tmp_path))
+        assert sorted(r.text for r in got.collect()) == sorted(f'a.\nb{i} "q"' for i in range(40))
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", old)
+    assert len(list((tmp_path / "csv").glob("part-*.csv"))) >= 5
+
+
+def test_stream_state_is_not_on_the_heap(spark):
+    from siftgraph.streaming.incremental import withhold_and_dedupe_stream
+
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    stream = spark.readStream.format("rate").load().selectExpr("value AS docid", "timestamp")
+    withhold_and_dedupe_stream(stream, spark.range(1).selectExpr("id AS docid"), ["docid"])
+    assert "RocksDB" in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
