@@ -52,11 +52,11 @@ def _(t: Tables):
               replace(text, '. ', '.' || chr(10)) || ' "q"' AS text FROM {documents}""",
 )
 def _(t: Tables):
-    # one file, cells that span lines, read in as many ranges as the session cuts
+    # files of any size, cells that span lines, read in as many ranges as the session cuts
     path = scratch(t, "csv")
     lines = F.concat(F.replace("text", F.lit(". "), F.lit(".\n")), F.lit(' "q"'))
     lang = F.when(F.col("lang") == "de", "").otherwise(F.col("lang"))
-    T.write_csv(t.documents.withColumns({"text": lines, "lang": lang}).coalesce(1), path, DOC_COLUMNS)
+    T.write_csv(t.documents.withColumns({"text": lines, "lang": lang}), path, DOC_COLUMNS)
     return read_csv_split(t.spark, path, DOC_COLUMNS)
 
 
