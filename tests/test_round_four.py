@@ -96,3 +96,21 @@ def test_stream_state_is_not_on_the_heap(spark):
     stream = spark.readStream.format("rate").load().selectExpr("value AS docid", "timestamp")
     withhold_and_dedupe_stream(stream, spark.range(1).selectExpr("id AS docid"), ["docid"])
     assert "RocksDB" in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_margin_loss_moves_no_vector_with_a_triple(spark):
+    rng = np.random.default_rng(8)
+    e, r = rng.normal(size=(40, 6)), rng.normal(size=(3, 6))
+    vec = lambda m: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, vec array<double>")
+    triples = [(int(a), int(b), int(c)) for a, b, c in zip(rng.integers(40, size=90), rng.integers(3, size=90), rng.integers(40, size=90), strict=True)]
+    triples += triples[:5]  # copies count
+    d = spark.createDataFrame(triples, "h long, r long, t long")
+    bad = {(x.h, x.r, x.t): x.c for x in d.distinct().withColumn("c", L.draw_entity(5, L.F.lit(40), "h", "r", "t")).collect()}
+    dist = lambda h, x, t: np.abs(e[h] + r[x] - e[t]).sum()
+    want = np.mean([max(6.0 + dist(h, x, t) - dist(h, x, bad[h, x, t]), 0.0) for h, x, t in triples])
+    for block in (L.BLOCK, 9):
+        out = L.margin_loss(d, vec(e), vec(r), 40, block=block)
+        got = out.first()
+        assert got.n == 95 and abs(got.loss - want) < 1e-9
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 1  # relations with the cells that use them
