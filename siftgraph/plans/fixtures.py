@@ -256,8 +256,12 @@ class Tables:
 
     @cached_property
     def runs(self) -> DataFrame:
+        return self.runs_of(self.fixture("candidates"))
+
+    def runs_of(self, candidates: DataFrame) -> DataFrame:
+        """Runs of the given candidates: what is joined to a row before is not joined to each of its runs."""
         grid = config_grid(
-            self.fixture("candidates"),
+            candidates,
             {"model": list(MODELS), "form": list(FORMS), "shot": list(SHOTS)},
         )
         base, score = F.lit(None).cast("double"), F.lit(None).cast("double")

@@ -114,3 +114,10 @@ def test_margin_loss_moves_no_vector_with_a_triple(spark):
         assert got.n == 95 and abs(got.loss - want) < 1e-9
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join Inner") == 1  # relations with the cells that use them
+
+
+def test_regrading_joins_rows_not_their_runs(spark, small):
+    from siftgraph.plans.catalog import REGISTRY
+
+    plan = REGISTRY["h45_regrade_on_swapped_labels"].run(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "(row_id" not in " ".join(x for x in plan.splitlines() if "Join" in x)
