@@ -10,10 +10,12 @@ complete document.
 
 Scale: counts cover every training token: one row per (word, block of documents), summed in
 one shuffle and sent back to the blocks that hold the word, so no vocabulary is broadcast;
-the texts are shuffled once, to their block, and read as a stream. Only the ``HEAD`` most
-frequent tokens and the class totals reach the driver. The network is trained in parallel on
-shards of ``SHARD_TOKENS`` from one document in ``ONE_IN``, so that training grows with the
-corpus and no shard does; weights are averaged by Spark after each round.
+the texts are shuffled once, to their block, and become two bytes a token there, which are
+stored. Only the ``HEAD`` most frequent tokens and the class totals reach the driver. The
+network learns from every token of every training document, in parallel on shards of about
+``SHARD_TOKENS``, so that training grows with the corpus and no shard does; weights are
+averaged by Spark after each round, and each round reads its own part of the documents (a
+corpus below ``LEAST_TOKENS`` a round is read whole in every round).
 
 Defined cases: null counts as empty text, which is the end token alone; a null doc_id is
 scored, neither held out nor learned from; without training documents all tokens are unknown
@@ -27,11 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import block_borders, block_numbers, deal_rows, stored
-from .words import hash_words, slices, split_words
+from .words import flat, hash_words, mix, slices, split_words
 
 HEAD = 1024  # tokens with a softmax of their own
 PER_CLASS = 32
@@ -39,11 +42,12 @@ HEAD_CLASSES = HEAD // PER_CLASS
 TAILS = 33  # tail classes: last byte modulo 32, and one for the end token when it is rare
 CLASSES = HEAD_CLASSES + TAILS
 HIDDEN = 32
-WINDOW = 16  # steps of truncated backpropagation, and of one scoring step
+WINDOW = 16  # steps of truncated backpropagation
+TOGETHER = 16_384  # states whose probabilities are taken at once
 STREAMS = 64
-ONE_IN = 16  # documents the network is trained on
-SHARD_TOKENS = 1_000_000
-LEAST_TOKENS = 1_500_000  # a smaller sample is read again, up to MOST_PASSES times
+STEPS = 1000  # of training in a large shard
+SHARD_TOKENS = 4_000_000
+LEAST_TOKENS = 1_500_000  # of a round; a smaller corpus is read again, up to MOST_PASSES times
 MOST_PASSES = 24
 ROUNDS = 2
 RATE = 3e-3
@@ -52,6 +56,7 @@ SLICE = 1 << 20  # text bytes handled at once
 BLOCK_BYTES = 16 << 20
 DISTINCT = 500_000  # words counted in a task before they are sent
 END = np.uint64(0x5BD1E9955BD1E995)  # stands for the end token among word hashes
+ID = np.dtype("<i2")  # of a token
 
 Weights = dict[str, np.ndarray]
 
@@ -78,14 +83,17 @@ def _counts(batches: Iterator[pa.RecordBatch], cuts: np.ndarray) -> Iterator[pa.
     held: list[np.ndarray] = []
     size = 0
 
-    def merged() -> np.ndarray:
-        rows = np.concatenate(held)
-        order = np.lexsort((rows["word"], rows["block"]))
+    def merged(parts: list[np.ndarray]) -> np.ndarray:
+        rows = np.concatenate(parts)
+        if not len(rows):
+            return rows
+        order = np.argsort(mix(rows["word"] ^ (rows["block"].astype(np.uint64) << np.uint64(40))))
         rows = rows[order]
         new = np.ones(len(rows), bool)
         new[1:] = (rows["word"][1:] != rows["word"][:-1]) | (rows["block"][1:] != rows["block"][:-1])
-        out = rows[new]
-        out["n"] = np.add.reduceat(rows["n"], np.flatnonzero(new)) if len(rows) else out["n"]
+        at = np.flatnonzero(new)
+        out = rows[at]
+        out["n"] = np.add.reduceat(rows["n"], at)
         return out
 
     def batch(rows: np.ndarray) -> pa.RecordBatch:
@@ -101,14 +109,16 @@ def _counts(batches: Iterator[pa.RecordBatch], cuts: np.ndarray) -> Iterator[pa.
         rows["word"], rows["tail"] = hashes, tail
         rows["block"] = np.repeat(block_numbers(part.column("doc_id"), cuts), sizes)
         rows["n"] = np.repeat(part.column("learn").to_numpy(zero_copy_only=False).astype(np.int64), sizes)
-        held.append(rows)
-        held = [merged()]
-        size = len(held[0])
+        held.append(merged([rows]))
+        size += len(held[-1])
         if size > DISTINCT:
-            yield batch(held[0])
-            held, size = [], 0
+            held = [merged(held)]
+            size = len(held[0])
+            if 2 * size > DISTINCT:
+                yield batch(held[0])
+                held, size = [], 0
     if held:
-        yield batch(held[0])
+        yield batch(merged(held))
 
 
 def counted(docs: DataFrame, borders: list[int]) -> DataFrame:
@@ -118,7 +128,9 @@ def counted(docs: DataFrame, borders: list[int]) -> DataFrame:
     """
     rows = docs.select("doc_id", "learn", "text").mapInArrow(_count_task(borders), "word bigint, block int, tail smallint, n bigint")
     by_word = Window.partitionBy("word")
-    return rows.select(
+    # dealt by word alone, so that neither the sums per block nor the windows move them again
+    each = rows.repartition("word").groupBy("word", "block").agg(F.first("tail").alias("tail"), F.sum("n").alias("n"))
+    return each.select(
         "word",
         "block",
         "tail",
@@ -198,7 +210,9 @@ def first_weights(vocab: Vocabulary) -> Weights:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    x = np.exp(-x)
+    x += 1
+    return np.divide(1, x, out=x)
 
 
 def step(w: Weights, h: np.ndarray, ids: np.ndarray):
@@ -207,13 +221,27 @@ def step(w: Weights, h: np.ndarray, ids: np.ndarray):
     k = HIDDEN
     zr = _sigmoid(gx[:, : 2 * k] + gh[:, : 2 * k])
     z, r, hn = zr[:, :k], zr[:, k:], gh[:, 2 * k :]
-    n = np.tanh(gx[:, 2 * k :] + r * hn)
-    return n + z * (h - n), (h, z, r, hn, n)
-
-
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+    n = r * hn
+    n += gx[:, 2 * k :]
+    np.tanh(n, out=n)
+    out = h - n
+    out *= z
+    out += n
+    return out, (h, z, r, hn, n)
+
+
+def _picked(x: np.ndarray, at: np.ndarray, slope: bool) -> np.ndarray:
+    """Log softmax of ``x`` at one column a row; with ``slope`` ``x`` becomes softmax minus that column."""
+    rows = np.arange(len(x))
+    x -= x.max(axis=1, keepdims=True)
+    out = x[rows, at]
+    np.exp(x, out=x)
+    total = x.sum(axis=1, keepdims=True)
+    out -= np.log(total[:, 0])
+    if slope:
+        x /= total
+        x[rows, at] -= 1
+    return out
 
 
 def log_probability(w: Weights, h: np.ndarray, ids: np.ndarray, slope: bool = False):
@@ -222,71 +250,84 @@ def log_probability(w: Weights, h: np.ndarray, ids: np.ndarray, slope: bool = Fa
     With ``slope``: also the gradients of the summed negative log probability.
     """
     kind = classes(ids)
-    rows = np.arange(len(ids))
-    logp = _log_softmax(h @ w["wc"] + w["bc"])
-    out = logp[rows, kind]
+    order = np.argsort(kind.astype(np.int8), kind="stable")
+    borders = np.searchsorted(kind[order], np.arange(HEAD_CLASSES + 1))
+    h, ids, kind = h[order], ids[order], kind[order]
+    d = h @ w["wc"]
+    d += w["bc"]
+    found = _picked(d, kind, slope)
     grad: Weights = {}
     dh = None
     if slope:
-        d = np.exp(logp)
-        d[rows, kind] -= 1
         grad["wc"], grad["bc"] = h.T @ d, d.sum(axis=0)
         dh = d @ w["wc"].T
         grad["wh"], grad["bh"] = np.zeros_like(w["wh"]), np.zeros_like(w["bh"])
-    order = np.argsort(kind, kind="stable")
-    borders = np.searchsorted(kind[order], np.arange(HEAD_CLASSES + 1))
     for c in range(HEAD_CLASSES):
-        some = order[borders[c] : borders[c + 1]]
-        if not len(some):
+        some = slice(borders[c], borders[c + 1])
+        if some.start == some.stop:
             continue
         block = slice(c * PER_CLASS, (c + 1) * PER_CLASS)
-        inner = _log_softmax(h[some] @ w["wh"][block].T + w["bh"][block])
-        member = ids[some] - c * PER_CLASS
-        at = np.arange(len(some))
-        out[some] += inner[at, member]
+        d = h[some] @ w["wh"][block].T
+        d += w["bh"][block]
+        found[some] += _picked(d, ids[some] - c * PER_CLASS, slope)
         if slope:
-            d = np.exp(inner)
-            d[at, member] -= 1
             grad["wh"][block], grad["bh"][block] = d.T @ h[some], d.sum(axis=0)
             dh[some] += d @ w["wh"][block]
-    return (out, grad, dh) if slope else out
+    out = np.empty_like(found)
+    out[order] = found
+    if not slope:
+        return out
+    back = np.empty_like(dh)
+    back[order] = dh
+    return out, grad, back
 
 
 def _window_slopes(w: Weights, h: np.ndarray, ids: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, Weights]:
     """State after the window, and gradients; ``ids`` and ``begin`` are (steps, streams)."""
     states, kept = [], []
+    go_on = (~begin).astype(h.dtype)[:, :, None]
     for t in range(len(ids)):
-        h = h * ~begin[t][:, None]
+        h = h * go_on[t]
         states.append(h)
         h, memory = step(w, h, ids[t])
         kept.append(memory)
-    _, grad, dstates = log_probability(w, np.concatenate(states), ids.ravel(), slope=True)
+    joined = np.concatenate(states)
+    _, grad, dstates = log_probability(w, joined, ids.ravel(), slope=True)
     dstates = dstates.reshape(len(ids), ids.shape[1], HIDDEN)
-    du, dx = np.zeros_like(w["u"]), []
-    dh = np.zeros_like(h)
+    k = HIDDEN
+    dgs = np.empty((*ids.shape, 3 * k), h.dtype)  # by the recurrent sums
+    dns = np.empty((*ids.shape, k), h.dtype)  # by the candidate's input
+    dh, back = np.zeros_like(h), w["u"].T.copy()
     for t in range(len(ids) - 1, -1, -1):
         before, z, r, hn, n = kept[t]
-        dn = dh * (1 - z) * (1 - n * n)
-        dz = dh * (before - n) * z * (1 - z)
-        dr = dn * hn * r * (1 - r)
-        dg = np.concatenate([dz, dr, dn * r], axis=1)
-        dx.append(np.concatenate([dz, dr, dn], axis=1))
-        du += before.T @ dg
-        dh = dh * z + dg @ w["u"].T + dstates[t]
-        dh *= ~begin[t][:, None]
-    flat_ids = ids[::-1].ravel()
-    order = np.argsort(flat_ids, kind="stable")
-    found, first = np.unique(flat_ids[order], return_index=True)
+        dg, dn = dgs[t], dns[t]
+        np.multiply(dh * (1 - z), 1 - n * n, out=dn)
+        np.multiply(dh * (before - n), z * (1 - z), out=dg[:, :k])
+        np.multiply(dn * hn, r * (1 - r), out=dg[:, k : 2 * k])
+        np.multiply(dn, r, out=dg[:, 2 * k :])
+        dh = dh * z
+        dh += dg @ back
+        dh += dstates[t]
+        dh *= go_on[t]
+    dgs = dgs.reshape(-1, 3 * k)
+    grad["u"] = joined.T @ dgs
+    dgs[:, 2 * k :] = dns.reshape(-1, k)
+    flat_ids = ids.ravel()
+    order = np.argsort(flat_ids.astype(np.int16), kind="stable")
+    sorted_ids = flat_ids[order]
+    first = np.flatnonzero(np.concatenate([[True], sorted_ids[1:] != sorted_ids[:-1]]))
     grad["x"] = np.zeros_like(w["x"])
-    grad["x"][found] = np.add.reduceat(np.concatenate(dx)[order], first, axis=0)
-    grad["u"] = du
+    grad["x"][sorted_ids[first]] = np.add.reduceat(dgs[order], first, axis=0)
     return h, grad
 
 
 def train(w: Weights, ids: np.ndarray, begin: np.ndarray, passes: int) -> Weights:
-    """Adam over windows of ``STREAMS`` parallel streams that cut the tokens in equal runs."""
+    """Adam over windows of parallel streams that cut the tokens in equal runs.
+
+    There are ``STREAMS`` of them, more on a shard that would otherwise take over ``STEPS`` steps.
+    """
     w = {k: v.copy() for k, v in w.items()}
-    streams = max(1, min(STREAMS, len(ids) // (4 * WINDOW)))
+    streams = max(1, min(max(STREAMS, len(ids) // (STEPS * WINDOW)), len(ids) // (4 * WINDOW)))
     length = -(-len(ids) // streams)
     fill = lambda a: np.resize(a, streams * length).reshape(streams, length).T.copy()
     ids, begin = fill(ids), fill(begin)
@@ -302,11 +343,16 @@ def train(w: Weights, ids: np.ndarray, begin: np.ndarray, passes: int) -> Weight
             steps += 1
             rate = RATE * (1 - 0.9 * steps / total)
             for k, g in grad.items():
-                g = np.clip(g / n * STREAMS, -1, 1).astype(np.float32)
-                mean[k] += 0.1 * (g - mean[k])
-                square[k] += 0.01 * (g * g - square[k])
-                up = mean[k] / (1 - 0.9**steps) / (np.sqrt(square[k] / (1 - 0.99**steps)) + 1e-4)
-                w[k] -= np.float32(rate) * up
+                g *= np.float32(STREAMS / n)
+                np.clip(g, -1, 1, out=g)
+                mean[k] += np.float32(0.1) * (g - mean[k])
+                g *= g
+                square[k] += np.float32(0.01) * (g - square[k])
+                down = np.sqrt(square[k] * np.float32(1 / (1 - 0.99**steps)))
+                down += np.float32(1e-4)
+                np.divide(mean[k], down, out=down)
+                down *= np.float32(rate / (1 - 0.9**steps))
+                w[k] -= down
     return w
 
 
@@ -322,51 +368,55 @@ def _unpack(values: np.ndarray, like: Weights) -> Weights:
     return out
 
 
-def _train_shard(w: Weights, passes: int):
+def _train_shards(w: Weights, passes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, begins = [], []
-        for part in batches:
-            lists = part.column("ids")
-            flat_ids = np.asarray(lists.values, np.int64)
-            first = np.zeros(len(flat_ids), bool)
-            first[np.asarray(lists.offsets)[:-1]] = True
-            parts.append(flat_ids)
-            begins.append(first)
-        if not parts:
-            return
-        ids = np.concatenate(parts)
-        trained = _pack(train(w, ids, np.concatenate(begins), passes))
-        yield pa.RecordBatch.from_arrays([pa.array([len(ids)]), pa.array([trained.tolist()], pa.list_(pa.float32()))], names=["n", "w"])
-
-    return run
-
-
-def _token_ids(vocab: Vocabulary):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", SLICE):
-            hashes, tail, offsets = tokens(part.column("text"))
-            ids = vocab.ids(hashes, tail).astype(np.int16)
-            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(np.diff(offsets)), lists], names=["doc_id", "n", "ids"]
-            )
+        """Rows come sorted by shard."""
+        shard, parts, begins = None, [], []
+
+        def trained() -> pa.RecordBatch:
+            ids = np.concatenate(parts)
+            out = _pack(train(w, ids, np.concatenate(begins), passes))
+            lists = pa.ListArray.from_arrays(pa.array([0, len(out)], pa.int32()), pa.array(out))
+            return pa.RecordBatch.from_arrays([pa.array([len(ids)]), lists], names=["n", "w"])
+
+        for batch in batches:
+            shards = batch.column("shard").to_numpy()
+            edges = np.flatnonzero(np.diff(shards)) + 1
+            for a, b in zip([0, *edges], [*edges, len(shards)], strict=True):
+                if a == b:
+                    continue
+                if shards[a] != shard:
+                    if parts:
+                        yield trained()
+                    shard, parts, begins = shards[a], [], []
+                raw, offsets = flat(batch.column("ids").slice(a, b - a))
+                ids = raw.view(ID)
+                first = np.zeros(len(ids), bool)
+                first[offsets[:-1] // ID.itemsize] = True  # every document has its end token
+                parts.append(ids.copy())
+                begins.append(first)
+        if parts:
+            yield trained()
 
     return run
 
 
-def fit(docs: DataFrame, vocab: Vocabulary, one_in: int = ONE_IN) -> Weights:
-    """Network trained on every ``one_in``-th training document, by the hash of its id."""
+def fit(encoded: DataFrame, vocab: Vocabulary) -> Weights:
+    """Network trained on every document of :func:`encoded_documents` that is to be learned from."""
     w = first_weights(vocab)
-    chosen = docs.filter(F.col("learn") & (F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(one_in)) == 0))
-    sample = stored(chosen.select("doc_id", "text").mapInArrow(_token_ids(vocab), "doc_id bigint, n bigint, ids array<smallint>"), "sample")
-    total = sample.agg(F.sum("n")).first()[0] or 0
+    learned = encoded.filter("learn")
+    total = learned.agg(F.sum("n_tokens")).first()[0] or 0
     if not total:
         return w
-    shards = -(-total // SHARD_TOKENS)
-    passes = int(min(MOST_PASSES, max(1, LEAST_TOKENS // max(1, total))))
-    rows = sample.repartition(shards, F.xxhash64("doc_id")).sortWithinPartitions(F.xxhash64("doc_id", F.lit(1)))
-    for _ in range(ROUNDS):
-        trained = rows.select("ids").mapInArrow(_train_shard(w, passes), "n bigint, w array<float>")
+    again = total < ROUNDS * LEAST_TOKENS  # every round reads all documents
+    shards = -(-total // (SHARD_TOKENS if again else ROUNDS * SHARD_TOKENS))
+    passes = int(min(MOST_PASSES, max(1, LEAST_TOKENS // total)))
+    drawn = lambda n, seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(n))
+    for turn in range(ROUNDS):
+        part = learned if again else learned.filter(drawn(ROUNDS, "round") == turn)
+        rows = part.select(drawn(shards, "shard").alias("shard"), F.xxhash64("doc_id", F.lit(1)).alias("place"), "ids")
+        dealt = rows.repartition(int(shards), "shard").sortWithinPartitions("shard", "place")
+        trained = dealt.select("shard", "ids").mapInArrow(_train_shards(w, passes), "n bigint, w array<float>")
         each = trained.select("n", F.posexplode("w").alias("at", "value"))
         mean = each.groupBy("at").agg((F.sum(F.col("value").cast("double") * F.col("n")) / F.sum("n")).alias("value"))
         found = mean.toArrow()  # one row per weight
@@ -382,63 +432,81 @@ def fit(docs: DataFrame, vocab: Vocabulary, one_in: int = ONE_IN) -> Weights:
 def sequence_scores(w: Weights, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Natural log probability of classes and head members, summed per document.
 
-    Documents run side by side, longest first; the state is carried from window to window.
+    Documents run side by side, longest first, with their states; states are held until
+    ``TOGETHER`` of them can be looked at.
     """
     sizes = np.diff(offsets)
     order = np.argsort(-sizes, kind="stable")
     sizes, starts = sizes[order], offsets[:-1][order]
     out = np.zeros(len(order))
     h = np.zeros((len(order), HIDDEN), np.float32)
-    for lo in range(0, int(sizes[0]) if len(sizes) else 0, WINDOW):
-        states, targets, owners = [], [], []
-        for t in range(lo, lo + WINDOW):
-            live = int(np.searchsorted(-sizes, -t, side="left"))  # documents longer than t
-            if not live:
-                break
-            now = ids[starts[:live] + t]
-            states.append(h[:live])
-            targets.append(now)
-            owners.append(np.arange(live))
-            h = step(w, h[:live], now)[0]
-        value = log_probability(w, np.concatenate(states), np.concatenate(targets))
-        out += np.bincount(np.concatenate(owners), value, minlength=len(out))
+    longest = int(sizes[0]) if len(sizes) else 0
+    lives = np.searchsorted(-sizes, -np.arange(longest), side="left")  # documents longer than t
+    states, targets, held = [], [], 0
+    for t, live in enumerate(lives.tolist()):
+        now = ids[starts[:live] + t]
+        states.append(h[:live])
+        targets.append(now)
+        held += live
+        if held >= TOGETHER or t + 1 == longest:
+            value = log_probability(w, np.concatenate(states), np.concatenate(targets))
+            at = 0
+            for part in targets:
+                out[: len(part)] += value[at : at + len(part)]
+                at += len(part)
+            states, targets, held = [], [], 0
+        h = step(w, h[:live], now)[0]
     back = np.zeros(len(out))
     back[order] = out
     return back
 
 
-SCHEMA = (
-    "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+ENCODED = (
+    "doc_id bigint, held_out boolean, learn boolean, n_tokens bigint, n_known bigint, base_score double, "
+    "inside double, ids binary"
 )
 
 
-def _score_task(w: Weights, vocab: Vocabulary):
-    ten = np.log(10)
+def _encode_task(vocab: Vocabulary):
     most = vocab.n + vocab.v + 1
 
-    def flush(ready: list) -> pa.RecordBatch:
-        ids = np.concatenate([x["ids"] for x in ready])
-        sizes = np.concatenate([x["sizes"] for x in ready])
-        model = sequence_scores(w, ids, np.concatenate([[0], np.cumsum(sizes)])) / ten
-        col = lambda k: np.concatenate([x[k] for x in ready])
+    def encode(docs: pa.RecordBatch, table: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        hashes, tail, offsets = tokens(docs.column("text"))
+        c = np.zeros(len(hashes), np.int64)
+        if len(table):
+            at = np.searchsorted(table, hashes)
+            at[at == len(table)] = 0
+            c = np.where(table[at] == hashes, counts[at], 0)
+        ids = vocab.ids(hashes, tail)
+        inside = np.zeros(len(ids))
+        rare = np.flatnonzero(ids >= HEAD)
+        t = ids[rare] - HEAD
+        unknown = vocab.unknown[t]
+        share = np.where(c[rare] > 0, (1 - unknown) * c[rare] / np.maximum(vocab.tail_total[t], 1), unknown)
+        inside[rare] = np.log10(np.maximum(share, 1e-300))
+        first = offsets[:-1]
+        packed = pa.py_buffer(ids.astype(ID).tobytes())
+        lists = pa.Array.from_buffers(
+            pa.binary(), len(first), [None, pa.py_buffer((offsets * ID.itemsize).astype(np.int32)), packed]
+        )
         return pa.RecordBatch.from_arrays(
             [
-                pa.concat_arrays([x["doc_id"] for x in ready]),
-                pa.concat_arrays([x["held_out"] for x in ready]),
-                pa.array(sizes),
-                pa.array(col("known")),
-                pa.array(np.full(len(sizes), vocab.n, np.int64)),
-                pa.array(col("base")),
-                pa.array(model + col("inside")),
+                docs.column("doc_id"),
+                docs.column("held_out"),
+                docs.column("learn"),
+                pa.array(np.diff(offsets)),
+                pa.array(np.add.reduceat((c > 0).astype(np.int64), first)),
+                pa.array(np.add.reduceat(np.log10((c + 1) / most), first)),
+                pa.array(np.add.reduceat(inside, first)),
+                lists,
             ],
-            names=[c.split()[0] for c in SCHEMA.split(", ")],
+            names=[c.split()[0] for c in ENCODED.split(", ")],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by (block, kind): the block's words, then its documents."""
         block, words, counts = None, [], []
         table = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        ready, waiting = [], 0
         for part in slices(batches, "text", SLICE):
             blocks = part.column("block").to_numpy()
             kinds = part.column("kind").to_numpy()
@@ -456,40 +524,57 @@ def _score_task(w: Weights, vocab: Vocabulary):
                     order = np.argsort(joined)
                     table = joined[order], np.concatenate([np.zeros(0, np.int64), *counts])[order]
                     words, counts = [], []
-                hashes, tail, offsets = tokens(some.column("text"))
-                at = np.searchsorted(table[0], hashes)
-                at[at == len(table[0])] = 0
-                c = np.where(table[0][at] == hashes, table[1][at], 0) if len(table[0]) else np.zeros(len(hashes), np.int64)
-                ids = vocab.ids(hashes, tail)
-                inside = np.zeros(len(ids))
-                rare = np.flatnonzero(ids >= HEAD)
-                t = ids[rare] - HEAD
-                unknown = vocab.unknown[t]
-                share = np.where(c[rare] > 0, (1 - unknown) * c[rare] / np.maximum(vocab.tail_total[t], 1), unknown)
-                inside[rare] = np.log10(np.maximum(share, 1e-300))
-                first = offsets[:-1]
-                ready.append(
-                    {
-                        "ids": ids.astype(np.int16),
-                        "sizes": np.diff(offsets),
-                        "known": np.add.reduceat((c > 0).astype(np.int64), first),
-                        "base": np.add.reduceat(np.log10((c + 1) / most), first),
-                        "inside": np.add.reduceat(inside, first),
-                        "doc_id": some.column("doc_id"),
-                        "held_out": some.column("held_out"),
-                    }
-                )
-                waiting += len(ids)
-                if waiting > SCORE_TOKENS:
-                    yield flush(ready)
-                    ready, waiting = [], 0
+                yield encode(some, *table)
+
+    return run
+
+
+def encoded_documents(rows: DataFrame, words: DataFrame, borders: list[int], vocab: Vocabulary) -> DataFrame:
+    """Every document as ids of two bytes, with its base score and what its tail tokens add."""
+    none = lambda kind: F.lit(None).cast(kind)
+    zero = F.lit(0).cast("bigint")
+    lexicon = words.select(
+        "block", F.lit(0).alias("kind"), none("bigint").alias("doc_id"), none("boolean").alias("held_out"),
+        none("boolean").alias("learn"), F.lit("").alias("text"), "word", "c",
+    )
+    texts = deal_rows(rows, borders).select(
+        "block", F.lit(1).alias("kind"), "doc_id", "held_out", "learn", "text", zero.alias("word"), zero.alias("c")
+    )
+    joined = lexicon.unionByName(texts).repartition("block").sortWithinPartitions("block", "kind")
+    return joined.mapInArrow(_encode_task(vocab), ENCODED)
+
+
+SCHEMA = (
+    "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+)
+
+
+def _score_task(w: Weights, train_tokens: int):
+    def scored(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        docs = pa.Table.from_batches(batches).combine_chunks()
+        raw, offsets = flat(docs.column("ids"))
+        model = sequence_scores(w, raw.view(ID), offsets // ID.itemsize) / np.log(10)
+        kept = {c: docs.column(c).combine_chunks() for c in ("doc_id", "held_out", "n_tokens", "n_known", "base_score")}
+        kept["train_tokens"] = pa.array(np.full(len(docs), train_tokens, np.int64))
+        kept["score"] = pa.array(model + docs.column("inside").to_numpy())
+        names = [c.split()[0] for c in SCHEMA.split(", ")]
+        return pa.RecordBatch.from_arrays([kept[c] for c in names], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready, waiting = [], 0
+        for part in slices(batches, "ids", SCORE_TOKENS * ID.itemsize):
+            ready.append(part)
+            waiting += pc.sum(part.column("n_tokens")).as_py()
+            if waiting > SCORE_TOKENS:
+                yield scored(ready)
+                ready, waiting = [], 0
         if ready:
-            yield flush(ready)
+            yield scored(ready)
 
     return run
 
 
-def score(docs: DataFrame, held_out, one_in: int = ONE_IN) -> DataFrame:
+def score(docs: DataFrame, held_out) -> DataFrame:
     """Scores of all rows of ``docs``, learning from those where ``held_out`` is false."""
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
@@ -500,12 +585,6 @@ def score(docs: DataFrame, held_out, one_in: int = ONE_IN) -> DataFrame:
     borders = block_borders(rows, BLOCK_BYTES)
     words = stored(counted(rows, borders), "words")
     vocab = vocabulary(words)
-    w = fit(rows, vocab, one_in)
-    none = lambda kind: F.lit(None).cast(kind)
-    lexicon = words.select(
-        "block", F.lit(0).alias("kind"), none("bigint").alias("doc_id"), none("boolean").alias("held_out"),
-        F.lit("").alias("text"), "word", "c",
-    )
-    texts = deal_rows(rows.drop("learn"), borders).select("block", F.lit(1).alias("kind"), "doc_id", "held_out", "text", F.lit(0).cast("bigint").alias("word"), F.lit(0).cast("bigint").alias("c"))
-    joined = lexicon.unionByName(texts).repartition("block").sortWithinPartitions("block", "kind")
-    return joined.mapInArrow(_score_task(w, vocab), SCHEMA)
+    encoded = stored(encoded_documents(rows, words, borders, vocab), "encoded")
+    w = fit(encoded, vocab)
+    return encoded.drop("learn").mapInArrow(_score_task(w, vocab.n), SCHEMA)
