@@ -13,7 +13,7 @@ Scale: a map task first removes repeats inside its own slice, so a passage sent
 document is sent once per slice; a row carries all windows of one anchor, about one row
 per eight words, and only factors travel on. Blocks are read as a sorted stream, so
 what a block holds is one entry per distinct window of the current anchor. Texts are
-shuffled once, to meet their factors.
+shuffled once, packed one by one, to meet their factors.
 
 Windows are compared by an independent 64-bit window hash besides their anchor, of which 64
 bits are compared inside a slice and 32 between slices. Removal needs the copied windows only,
@@ -36,11 +36,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .words import hash_words, mix, slices, split_words, window_hash
+from .words import flat, hash_words, mix, slices, split_words, window_hash
 
 WINDOW = 20  # words
 GRAM = 6  # words of an anchor gram
 FIRST = -(2**63)  # stands for a null doc_id
+_CODEC = pa.Codec("zstd")
 
 INDEX_SCHEMA = "key int, doc bigint, at bigint, local boolean, load binary"
 FACTOR_SCHEMA = "doc bigint, crc bigint, start int, n int, src_doc bigint, src_crc bigint, src_start int"
@@ -268,17 +269,31 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(FIRST)).alias("doc"),
         F.shiftright(F.crc32(F.col("text").cast("binary")), 1).alias("crc"),  # 31 bits
-        F.col("doc_id"),
+        F.col("doc_id").cast("bigint").alias("doc_id"),
         F.col("text").cast("string").alias("text"),
     )
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed each on its own; a null has size 0 like the empty text."""
+    for part in slices(batches, "text"):
+        data, offsets = flat(part.column("text"))
+        texts = [data[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        packed = pa.array([_CODEC.compress(x, asbytes=True) if x else b"" for x in texts], pa.binary())
+        columns = [part.column("doc"), part.column("crc"), part.column("doc_id"), pa.array(np.diff(offsets)), packed]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc", "crc", "doc_id", "size", "packed"])
+
+
+def _unpacked(packed: bytes, size: int) -> bytes:
+    return _CODEC.decompress(packed, int(size), asbytes=True) if size else b""
+
+
 def _keep(window: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             kept, n_words, n_removed = [], [], []
-            for text, spans in zip(pdf["text"], pdf["spans"], strict=True):
-                words = text.encode().split() if text is not None else []
+            for text, size, spans in zip(pdf["packed"], pdf["size"], pdf["spans"], strict=True):
+                words = _unpacked(text, size).split()
                 n_words.append(len(words))
                 if spans is None or not len(spans):
                     kept.append(b" ".join(words).decode())
@@ -303,5 +318,6 @@ def remove_copies(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
     spans = _copied(docs, window, gram).groupBy("doc", "crc").agg(
         F.collect_list(F.struct("start", "n")).alias("spans")  # at most one per word of the document
     )
-    joined = _keyed(docs).join(spans, ["doc", "crc"], "left").select("doc_id", "text", "spans")
+    texts = _keyed(docs).mapInArrow(_packed, "doc bigint, crc bigint, doc_id bigint, size bigint, packed binary")
+    joined = texts.join(spans, ["doc", "crc"], "left").select("doc_id", "size", "packed", "spans")
     return joined.mapInPandas(_keep(window), "doc_id bigint, n_words bigint, n_removed bigint, kept string")
