@@ -53,15 +53,17 @@ def confusion(
     return with_ratios(df.groupBy(*by).agg(*confusion_aggs(pred, gold), *extra))
 
 
-def hard_label_metrics(runs: DataFrame, by: Sequence[str], pred: str = "pred", gold: str = "label"):
-    """Metrics of "1"/"0"/other strings; others count as negative and are reported."""
+def hard_label_metrics(
+    runs: DataFrame, by: Sequence[str], pred: str = "pred", gold: str = "label", more: Sequence[Column] = ()
+):
+    """Metrics of "1"/"0"/other strings; others count as negative and are reported. ``more`` aggregates may follow."""
     p, g = F.col(pred) == "1", F.col(gold).cast("int") == 1
     known = F.coalesce(F.col(pred).isin("1", "0"), F.lit(False))
     extra = [
         F.count_if(~known).alias("n_unknown"),
         F.avg(F.coalesce(p, F.lit(False)).cast("double")).alias("pred_pos_rate"),
     ]
-    return confusion(runs, p, g, by, extra)
+    return confusion(runs, p, g, by, [*extra, *more])
 
 
 def metrics_at_threshold(

@@ -8,7 +8,7 @@ from ..functions.answers import normalise_prediction
 from ..functions.text import clean, word_count
 from ..operators import ensemble as G
 from ..operators import joins as J
-from .fixtures import CONFIG_NAMES, Tables
+from .fixtures import CONFIG_NAMES, FORMS, SHOTS, Tables
 from .registry import F1_SQL, METRIC_COLUMNS, RATIOS_SQL, check, sql_confusion
 from .text_checks import CLEAN_V3, words
 
@@ -447,13 +447,9 @@ def _(t: Tables):
         SELECT setting, n_voters, tp, fp, fn, tn, n_unknown, {RATIOS_SQL} FROM c""",
 )
 def _(t: Tables):
-    from ..operators.metrics import hard_label_metrics
-
     runs = t.runs.withColumn("setting", F.concat_ws("_", "form", F.col("shot").cast("string")))
-    votes = G.long_majority(runs, ["setting", "row_id", "label"])
-    m = hard_label_metrics(votes, ["setting"], "majority")
-    n = runs.select("setting", "model").distinct().groupBy("setting").agg(F.count(F.lit(1)).alias("n_voters"))
-    return m.join(n, "setting")
+    settings = [f"{form}_{shot}" for form in FORMS for shot in SHOTS]
+    return G.setting_majority(runs, "setting", settings, "row_id", "label")
 
 
 @check(
