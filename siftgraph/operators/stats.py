@@ -366,7 +366,8 @@ def baseline_table(df: DataFrame, score: str, gold: str, by: Sequence[str], pred
     keyed = sweep.withColumn("__key", F.round("f1", 12))
     tuned = best_threshold(keyed, by, "__key").drop("__key").withColumn("mode", F.lit("best-threshold"))
     rows = fixed.unionByName(tuned)
-    labelled = null_safe_join(df, rows.select(*by, "mode", "threshold"), by)
+    # two rows a group: the table itself is not dealt by group
+    labelled = null_safe_join(df, F.broadcast(rows.select(*by, "mode", "threshold")), by)
     p, g = F.col(score) > F.col("threshold"), F.col(gold) == 1
     macro = predicate_macro_f1(labelled, p, g, [*by, "mode"], predicate, min_n)
     ci = bootstrap_f1(labelled, p, g, [*by, "mode"]).select(*by, "mode", "ci_lo", "ci_hi")
