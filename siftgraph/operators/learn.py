@@ -65,8 +65,12 @@ def remaining_rows(df: DataFrame, scored: DataFrame, row_id: str) -> DataFrame:
 
 
 def predicate_features(df: DataFrame, vocabulary: DataFrame, row_id: str, text: str = "text"):
-    """(row_id, predicate, label, words) for rows whose predicate is in the vocabulary."""
-    v = vocabulary.select("predicate", F.col("id").cast("double").alias("label"))
+    """(row_id, predicate, label, words) for rows whose predicate is in the vocabulary.
+
+    The vocabulary holds the classes of a classifier, one row each, and is broadcast: texts
+    are never dealt by predicate.
+    """
+    v = F.broadcast(vocabulary.select("predicate", F.col("id").cast("double").alias("label")))
     body = F.concat_ws(" ", typed_pair(), F.col(text))
     rows = df.select(row_id, "predicate", body.alias("body"))
     return rows.join(v, "predicate").select(row_id, "predicate", "label", "body")

@@ -214,8 +214,8 @@ def label_set(frame: DataFrame, evaluated: DataFrame, min_count: int, predicate=
 def capped_sample(
     pool: DataFrame, labels: DataFrame, n: int, ids: Sequence[str], seed: int = SEED, predicate="predicate"
 ) -> DataFrame:
-    """min(n, pool) rows of the pool restricted to a label set."""
-    return exact_sample(pool.join(labels.select(predicate), predicate, "left_semi"), n, ids, seed)
+    """min(n, pool) rows of the pool restricted to a label set, which is broadcast."""
+    return exact_sample(pool.join(F.broadcast(labels.select(predicate)), predicate, "left_semi"), n, ids, seed)
 
 
 def drop_triples(graph: DataFrame, test: DataFrame, keys=("h", "r", "t")) -> DataFrame:
