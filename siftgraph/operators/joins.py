@@ -13,9 +13,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scanned_bytes
 from .ranking import first_per_key
 
 NATURAL_KEY = ("docid", "subject", "predicate", "object")
+KEY_BYTES = 16 << 20  # scanned for one part of a set of keys
 GLUE = "||"
 
 
@@ -98,12 +100,21 @@ def one_to_one_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> D
 
 
 def key_set_difference(a: DataFrame, b: DataFrame, keys: Sequence[str] = NATURAL_KEY) -> DataFrame:
-    """One row with the number of keys only in ``a`` and only in ``b`` (0, 0 = equal sets)."""
-    side = lambda d, c: d.select(*keys).distinct().withColumn(c, F.lit(1))
-    both = side(a, "__a").join(side(b, "__b"), list(keys), "full")
-    return both.agg(
-        F.count(F.when(F.col("__b").isNull(), 1)).alias("only_left"),
-        F.count(F.when(F.col("__a").isNull(), 1)).alias("only_right"),
+    """One row with the number of keys only in ``a`` and only in ``b`` (0, 0 = equal sets).
+
+    Both sides are grouped together once, in as many parts as the scanned tables ask for, so that
+    a part keeps its size. A key with a null equals no other side's key, as in a join.
+    """
+    side = lambda d, c: d.select(*keys, F.lit(c).alias("__side"))
+    rows = side(a, 1).unionByName(side(b, 2))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(n, -(-scanned_bytes(rows) // KEY_BYTES))
+    lone = reduce(lambda x, y: x | y, [F.col(c).isNull() for c in keys])
+    has = lambda c: F.max(F.col("__side") == c)
+    seen = rows.repartition(parts, *keys).groupBy(*keys).agg(has(1).alias("__a"), has(2).alias("__b"))
+    return seen.agg(
+        F.count_if(F.col("__a") & (~F.col("__b") | lone)).alias("only_left"),
+        F.count_if(F.col("__b") & (~F.col("__a") | lone)).alias("only_right"),
     )
 
 

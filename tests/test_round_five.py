@@ -40,3 +40,19 @@ def test_tables_are_not_dealt_by_predicate_or_model(spark, small):
     table = S.baseline_table(scored, "pe", "label", ["model"], "predicate")
     joins = [x for x in plan_of(table).splitlines() if "SortMergeJoin" in x and "__r_model" in x and "__r_mode," not in x and "__r_mode#" not in x]
     assert not joins, joins
+
+
+def test_key_sets_are_grouped_in_parts_by_size(spark, tmp_path, monkeypatch):
+    from siftgraph.operators import joins as J
+
+    monkeypatch.setattr(J, "KEY_BYTES", 64, raising=False)
+    rows = [(i % 40, "s", f"p{i % 3}", None if i % 20 == 7 else "o") for i in range(120)]
+    spark.createDataFrame(rows, "docid long, subject string, predicate string, object string").write.parquet(f"{tmp_path}/a")
+    a = spark.read.parquet(f"{tmp_path}/a")
+    b = a.filter("docid < 10 OR docid = 27").unionByName(a.limit(1).selectExpr("docid + 1000 AS docid", "subject", "predicate", "object"))
+    out = J.key_set_difference(a, b)
+    left, right = {tuple(x) for x in a.collect()}, {tuple(x) for x in b.collect()}
+    lone = lambda k: None in k
+    want = (sum(k not in right or lone(k) for k in left), sum(k not in left or lone(k) for k in right))
+    assert tuple(out.first()) == want
+    assert " Join" not in plan_of(out) and "SortMergeJoin" not in plan_of(out)
