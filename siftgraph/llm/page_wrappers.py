@@ -17,8 +17,9 @@ the container that holds most of the host's non-template words outside links.
 Scale: streams with one structure are added up per task before they move; a host's structures
 are merged in ``SALTS`` parts first, so a hot host is spread and its last merge reads at most
 ``SALTS`` rows. Pages meet the wrappers in a join by host, which Spark broadcasts when the
-wrappers are small and deals by host with skew splitting otherwise. Memory: a wrapper of at
-most ``MOST_NODES`` nodes (what does not fit is judged by its place alone) and the longest page.
+wrappers are small and deals by host with skew splitting otherwise. Memory: one host's whole
+wrapper, ``CELLS`` scores of an alignment (larger ones are done in halves) and the longest page.
+A wrapper takes in every part of every page; it grows with a host's distinct structures, not pages.
 
 Defined cases: a null or empty html has the empty text; a null url or one without a host forms
 the host ''; a null page_id is kept; repeated rows give repeated results; malformed markup is
@@ -46,9 +47,9 @@ from .tables import stored
 from .words import slices
 
 SALTS = 64  # parts of one host that are merged apart
-MOST_NODES = 4096  # nodes of a wrapper
+MOST_NODES = 4096  # nodes that are aligned at once; more are aligned in halves
 LONGEST_GROUP = 64  # nodes of a repeated group, counted at its own level
-CELLS = 20_000_000  # of one alignment; a larger page is judged by the places of its texts
+CELLS = 20_000_000  # scores of an alignment in memory at once
 HELD = 2000  # structures a task adds up before it hands them on
 
 # Element names and the words that mark parts of a page.
@@ -321,8 +322,11 @@ def _wrapped(nodes: list[Node], other: list[Node]) -> list[Node]:
     return nodes
 
 
-def align(a: list[Node], b: list[Node]) -> list[tuple[int, int]] | None:
-    """Pairs of places with equal glue, ascending on both sides, most tokens matched; None if too large."""
+def align(a: list[Node], b: list[Node], most: int = MOST_NODES) -> list[tuple[int, int]]:
+    """Pairs of places with equal glue, ascending on both sides, most tokens matched.
+
+    Scores of more than ``most`` rows or ``CELLS`` cells are kept in halves, with the same result.
+    """
     number: dict[str, int] = {}
     x, y = ([number.setdefault(node.glue(), len(number)) for node in side] for side in (a, b))
     head = 0
@@ -332,17 +336,37 @@ def align(a: list[Node], b: list[Node]) -> list[tuple[int, int]] | None:
     while tail < min(len(x), len(y)) - head and x[-1 - tail] == y[-1 - tail]:
         tail += 1
     pairs = [(i, i) for i in range(head)]
-    rows, columns = len(x) - head - tail, len(y) - head - tail
-    if rows and columns:
-        if rows * columns > CELLS:
-            return None
-        there = np.array(y[head : head + columns])
-        score = np.zeros((rows + 1, columns + 1), np.int32)
-        for i in range(rows):
-            weight = 1 if a[head + i].items is None else 2 + len(a[head + i].items)
-            best = np.maximum(score[i, 1:], np.where(there == x[head + i], score[i, :-1] + weight, 0))
-            np.maximum.accumulate(best, out=score[i + 1, 1:])
-        i, j, middle = rows, columns, []
+    # what only one side has is matched with nothing
+    ours, theirs = set(x[head : len(x) - tail]), set(y[head : len(y) - tail])
+    rows = [i for i in range(head, len(x) - tail) if x[i] in theirs]
+    columns = [j for j in range(head, len(y) - tail) if y[j] in ours]
+    there = np.array([y[j] for j in columns], np.int64)
+
+    def below(score: np.ndarray, i: int, out: np.ndarray) -> None:
+        """Scores of the next row, the i-th of ``rows``, over as many columns as ``score`` has."""
+        node = a[rows[i]]
+        weight = 1 if node.items is None else 2 + len(node.items)
+        same = there[: len(score) - 1] == x[rows[i]]
+        best = np.maximum(score[1:], np.where(same, score[:-1] + weight, 0))
+        np.maximum.accumulate(best, out=out[1:])
+
+    def back(top: np.ndarray, low: int, high: int, j: int) -> int:
+        """Matches of rows low to high with the first j columns, last first; the columns that are left."""
+        if not j or low == high:
+            return j
+        top = top[: j + 1]
+        if high - low > 1 and (high - low > most or (high - low) * j > CELLS):
+            middle, at = (low + high) // 2, top.copy()
+            for i in range(low, middle):
+                row = np.zeros_like(at)
+                below(at, i, row)
+                at = row
+            return back(top, low, middle, back(at, middle, high, j))
+        score = np.zeros((high - low + 1, j + 1), np.int32)
+        score[0] = top
+        for i in range(low, high):
+            below(score[i - low], i, score[i - low + 1])
+        i = high - low
         while i and j:
             if score[i, j] == score[i - 1, j]:
                 i -= 1
@@ -350,39 +374,29 @@ def align(a: list[Node], b: list[Node]) -> list[tuple[int, int]] | None:
                 j -= 1
             else:
                 i, j = i - 1, j - 1
-                middle.append((head + i, head + j))
-        pairs += middle[::-1]
-    return pairs + [(len(x) - k, len(y) - k) for k in range(tail, 0, -1)]
+                matched.append((rows[low + i], columns[j]))
+        return j
 
-
-def size_of(nodes: list[Node]) -> int:
-    return sum(1 if x.items is None else 1 + size_of(x.items) for x in nodes)
+    matched: list[tuple[int, int]] = []
+    back(np.zeros(len(columns) + 1, np.int32), 0, len(rows), len(columns))
+    pairs += matched[::-1]
+    return pairs + [(len(x) - k, len(y) - k) for k in range(tail, 0, -1)]
 
 
-def unify(wrapper: list[Node], stream: list[Node], room: int = MOST_NODES) -> list[Node]:
-    """The wrapper that also describes ``stream`` (another folded page, or another wrapper)."""
+def unify(wrapper: list[Node], stream: list[Node], most: int = MOST_NODES) -> list[Node]:
+    """The wrapper that also describes ``stream`` (another folded page, or another wrapper), all of it."""
     wrapper, stream = _wrapped(wrapper, stream), _wrapped(stream, wrapper)
-    pairs = align(wrapper, stream)
-    if pairs is None:
-        return wrapper
     out, i, j = [], 0, 0
-    room -= size_of(wrapper)
-    for to, of in [*pairs, (len(wrapper), len(stream))]:
+    for to, of in [*align(wrapper, stream, most), (len(wrapper), len(stream))]:
         out += wrapper[i:to]
-        new = stream[j:of]
-        need = size_of(new)
-        if need <= room:
-            out += new
-            room -= need
+        out += stream[j:of]
         if to < len(wrapper):
             w, s = wrapper[to], stream[of]
             if w.items is None or w.sym == s.sym:
                 add_in(w, s, True)
                 out.append(w)
             else:
-                merged = unify(w.items, s.items, size_of(w.items) + max(room, 0))
-                room -= size_of(merged) - size_of(w.items)
-                out.append(group(merged, w.n + s.n))
+                out.append(group(unify(w.items, s.items, most), w.n + s.n))
         i, j = to + 1, of + 1
     return out
 
@@ -445,7 +459,7 @@ def judge(wrapper: list[Node]) -> Callable[[Node], int]:
 def _ranks(wrapper: list[Node], stream: list[Node], rank: Callable[[Node], int]) -> list[int]:
     """Rank of every text of a folded page, by the slots it falls into."""
     stream, wrapper = _wrapped(stream, wrapper), _wrapped(wrapper, stream)
-    to = dict((j, i) for i, j in align(wrapper, stream) or ())
+    to = dict((j, i) for i, j in align(wrapper, stream))
     out: list[int] = []
     for j, x in enumerate(stream):
         slot = wrapper[to[j]] if j in to else None
