@@ -45,6 +45,11 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
+def _met(offsets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Bucket offsets as the side of a join; without keys there are only as many as buckets."""
+    return offsets if keys else F.broadcast(offsets)
+
+
 def ordered_rank(
     df: DataFrame,
     hash_col: str,
@@ -63,7 +68,7 @@ def ordered_rank(
     )
     inside = Window.partitionBy(*keys, "__b").orderBy(hash_col, *ties)
     return (
-        null_safe_join(d, offsets, [*keys, "__b"])
+        null_safe_join(d, _met(offsets, keys), [*keys, "__b"])
         .withColumn(name, F.col("__off") + F.row_number().over(inside) - 1)
         .drop("__b", "__off")
     )
@@ -77,11 +82,13 @@ def prefix_sums(
     keys: Sequence[str] = (),
     descending: bool = False,
     prefix: str = "cum_",
+    late: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Inclusive running sums of ``measures`` along ``order`` inside ``keys``.
 
     ``df`` holds one row per (keys, order) value, i.e. it is already aggregated;
-    ``bucket`` must be monotone in ``order``.
+    ``bucket`` must be monotone in ``order``. Columns of ``late`` do not move with the rows but are
+    computed again from the others.
     """
     keys = list(keys)
     d = df.withColumn("__b", bucket)
@@ -99,7 +106,9 @@ def prefix_sums(
         .orderBy(v_order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    out = null_safe_join(d, offsets, [*keys, "__b"])
+    if late:
+        d = d.drop(*late).repartition(*keys, "__b").withColumns(late)
+    out = null_safe_join(d, _met(offsets, keys), [*keys, "__b"])
     for m in measures:
         out = out.withColumn(f"{prefix}{m}", F.col(f"__o_{m}") + F.sum(m).over(inside))
     return out.drop("__b", *[f"__o_{m}" for m in measures])

@@ -115,11 +115,12 @@ def weighted_draws(
     one holds about ``PER_SEGMENT`` of them.
     """
     parts = parts or max(1, -(-n // PER_SEGMENT))
-    d = df.filter(F.col(weight) > 0).withColumn("__h", hash_key(seed, *ids))
-    d = with_totals(d, d.agg(F.max(F.col(weight).cast("double")).alias("__max")))
-    d = d.withColumn("__w", fixed_point(F.col(weight).cast("double") / F.col("__max"))).drop("__max")
-    cum = prefix_sums(d, "__h", ["__w"], F.substring("__h", 1, 3), prefix="__cum")
-    cum = cum.withColumn("__lo", F.col("__cum__w") - F.col("__w"))
+    d = df.filter(F.col(weight) > 0)
+    top = d.agg(F.max(F.col(weight).cast("double"))).scalar()
+    late = {"__h": hash_key(seed, *ids), "__w": fixed_point(F.col(weight).cast("double") / top)}
+    d = d.withColumns(late)
+    cum = prefix_sums(d, "__h", ["__w"], F.substring("__h", 1, 3), prefix="__cum", late=late)
+    cum = cum.withColumn("__lo", F.col("__cum__w") - F.col("__w")).drop("__h", "__w")
     total = d.agg(F.sum("__w").alias("__total"))
     rows = null_safe_join(cum, total, [])
     segment = lambda c: F.floor(c.cast("double") / F.col("__total") * parts).cast("int")

@@ -184,14 +184,26 @@ SQL["runs"] = f"""
       g(model, form, shot, config, cut)"""
 
 
-def _expand(body: str) -> list[str]:
+# the same rows as Spark reads them: customers are joined to orders, not to their many line items
+SPARK_SQL = SQL | {
+    "candidates": SQL["candidates"][: SQL["candidates"].index("FROM {lineitem}")]
+    + """FROM {lineitem}
+        JOIN (SELECT o_orderkey, c_name, n_name FROM {orders} JOIN {customer} ON o_custkey = c_custkey
+              JOIN {nation} ON c_nationkey = n_nationkey) cn ON l_orderkey = o_orderkey
+        JOIN {part} ON l_partkey = p_partkey
+        JOIN {supplier} ON l_suppkey = s_suppkey
+        JOIN {nation} sn ON s_nationkey = sn.n_nationkey"""
+}
+
+
+def _expand(body: str, sql: dict[str, str]) -> list[str]:
     """Fixtures a SQL text names, dependencies first."""
     order: list[str] = []
 
     def visit(text: str) -> None:
-        for name in SQL:
+        for name in sql:
             if name not in order and re.search(rf"\b{name}\b", text):
-                visit(SQL[name])
+                visit(sql[name])
                 if name not in order:
                     order.append(name)
 
@@ -199,12 +211,12 @@ def _expand(body: str) -> list[str]:
     return order
 
 
-def with_fixtures(body: str, table) -> str:
+def with_fixtures(body: str, table, sql: dict[str, str] = SQL) -> str:
     """Prefix ``body`` with the fixtures it uses; ``table`` maps base table names."""
-    order = _expand(body)
+    order = _expand(body, sql)
     text = body
     if order:
-        ctes = ",\n".join(f"{n} AS ({SQL[n]})" for n in order)
+        ctes = ",\n".join(f"{n} AS ({sql[n]})" for n in order)
         head = re.match(r"\s*WITH\s+(RECURSIVE\s+)?", body)
         if head:
             rec = head.group(1) or ""
@@ -245,7 +257,7 @@ class Tables:
         return view
 
     def fixture(self, name: str) -> DataFrame:
-        return self.spark.sql(with_fixtures(f"SELECT * FROM {name}", self.view))
+        return self.spark.sql(with_fixtures(f"SELECT * FROM {name}", self.view, SPARK_SQL))
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in SQL:

@@ -9,7 +9,7 @@ from ..operators import linkpred as L
 from ..operators import sampling as K
 from ..operators.ensemble import published_label
 from ..operators.ranking import hash_key, ordered_rank
-from ..session import cut_lineage
+from ..session import cut_lineage, stored
 from .fixtures import Tables
 from .join_checks import LABEL_SQL, PREDS, SCORES
 from .registry import check
@@ -114,8 +114,8 @@ def _(t: Tables):
         SELECT draw, row_id FROM d JOIN c ON u < hi AND u >= hi - w""",
 )
 def _(t: Tables):
-    n = t.candidates.count()
-    return K.weighted_draws(t.candidates.select("row_id", "a_score"), "a_score", n, ["row_id"])
+    rows = stored(t.candidates.select("row_id", "a_score"), "weights")
+    return K.weighted_draws(rows, "a_score", rows.count(), ["row_id"])
 
 
 @check(
