@@ -35,8 +35,14 @@ def evidence_edges(
 
     ``n_signals_pos`` counts all ``signals`` that say 1.
     """
-    kept = withhold_evaluation(df, gold).filter(published_label(consensus) == 1)
-    return kept.select(
+    return accepted_edges(withhold_evaluation(df, gold), consensus, scores, signals)
+
+
+def accepted_edges(
+    kept: DataFrame, consensus: Sequence[str], scores: Sequence[str], signals: Sequence[str] | None = None
+) -> DataFrame:
+    """Edges of rows every consensus signal accepts, of rows without evaluation rows."""
+    return kept.filter(published_label(consensus) == 1).select(
         "subject",
         "predicate",
         "object",

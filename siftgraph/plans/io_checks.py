@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import DEFAULT, clean
 from ..functions.verbalize import chat_messages
+from ..operators import graph as GR
 from ..operators.learn import hypothesis_overlap
 from ..session import checkpoint_root, scanned_bytes
 from ..sources import tables as T
@@ -15,7 +16,7 @@ from ..sources.csv_split import read_csv_split
 from ..streaming import incremental as N
 from .fixtures import Tables
 from .graph_checks import EDGES_SQL, VOCAB_SQL, edges, vocabulary
-from .join_checks import KEPT_SQL, LABEL_SQL, PREDS, plain_gold
+from .join_checks import KEPT_SQL, LABEL_SQL, PREDS, SCORES, plain_gold
 from .registry import check
 from .text_checks import CLEAN_V3
 
@@ -180,7 +181,7 @@ WITHHELD = "NOT EXISTS (SELECT 1 FROM gold g WHERE g.docid = s.docid AND g.silve
 )
 def _(t: Tables):
     out = scratch(t, "release")
-    T.write_release(t.signals.drop("label"), t.gold, edges(t), PREDS, out)
+    T.write_release(t.signals.drop("label"), t.gold, lambda kept: GR.accepted_edges(kept, PREDS, SCORES), PREDS, out)
     full = t.spark.read.parquet(f"{out}/silver/all_signals").withColumnRenamed("agree3_label", "label")
     pub = t.spark.read.parquet(f"{out}/silver/published")
     return full.withColumn("part", F.lit("all")).unionByName(pub.withColumn("part", F.lit("published")))

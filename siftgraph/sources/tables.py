@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -254,12 +254,21 @@ def gold_release(gold: DataFrame, label: str, annotator: str, second: str) -> Da
     )
 
 
-def write_release(signals: DataFrame, gold: DataFrame, edges: DataFrame, consensus, out: str) -> None:
-    """Write the all-signals, published and edge tables below ``out``."""
-    tables = release_tables(signals, gold, consensus)
-    tables["all_signals"].write.mode("overwrite").parquet(f"{out}/silver/all_signals")
-    tables["published"].write.mode("overwrite").parquet(f"{out}/silver/published")
-    write_edges(edges, f"{out}/kg/edges")
+def write_release(
+    signals: DataFrame, gold: DataFrame, edges: DataFrame | Callable[[DataFrame], DataFrame], consensus, out: str
+) -> None:
+    """Write the all-signals, published and edge tables below ``out``.
+
+    The signals are joined and withheld once: published rows, and edges given as a function of the
+    kept rows, are read from the written all-signals table.
+    """
+    kept = release_tables(signals, gold, consensus)["all_signals"]
+    path = f"{out}/silver/all_signals"
+    kept.write.mode("overwrite").parquet(path)
+    written = signals.sparkSession.read.schema(kept.schema).parquet(path)
+    published = published_rows(written, "agree3_label").withColumnRenamed("agree3_label", "label")
+    published.write.mode("overwrite").parquet(f"{out}/silver/published")
+    write_edges(edges(written) if callable(edges) else edges, f"{out}/kg/edges")
 
 
 def write_vocabulary(vocabulary: DataFrame, path: str) -> None:

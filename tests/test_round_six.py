@@ -3,6 +3,7 @@
 import pytest
 from test_round_five import large, plan_of  # noqa: F401
 
+from siftgraph.operators import graph as GR
 from siftgraph.operators import sampling as K
 from siftgraph.plans.catalog import REGISTRY
 from siftgraph.plans.fixtures import Tables
@@ -26,3 +27,25 @@ def test_weights_meet_their_buckets_by_broadcast(spark, large):  # noqa: F811
     weights = dict(rows.collect())
     got = [(r.draw, r.w, weights[r.row_id]) for r in out.collect()]
     assert sorted(d for d, _, _ in got) == list(range(500)) and all(a == b > 0 for _, a, b in got)
+
+
+def test_release_reads_what_it_wrote(spark, tmp_path):
+    from siftgraph.sources import tables as T
+
+    columns = "docid long, subject string, predicate string, object string, a__score double, a__pred int, b__pred int"
+    rows = [(i, f"s{i % 3}", "p", "o", i / 10, int(i > 3), int(i != 5)) for i in range(9)]
+    signals = spark.createDataFrame(rows, columns)
+    gold = signals.filter("docid = 8").select("docid", "subject", "predicate", "object")
+    seen = []
+
+    def edges(kept):
+        seen.extend(kept.inputFiles())
+        return GR.accepted_edges(kept, ["a__pred", "b__pred"], ["a__score"])
+
+    T.write_release(signals, gold, edges, ["a__pred", "b__pred"], str(tmp_path))
+    assert seen and all("all_signals" in f for f in seen)
+    written = spark.read.option("sep", "\t").option("header", True).csv(f"{tmp_path}/kg/edges").collect()
+    want = GR.evidence_edges(signals, gold, ["a__pred", "b__pred"], ["a__score"]).collect()
+    assert {(r.docid, r.mean_score) for r in written} == {(str(r.docid), str(r.mean_score)) for r in want}
+    published = spark.read.parquet(f"{tmp_path}/silver/published")
+    assert {(int(r.docid), r.label) for r in published.collect()} == {(i, int(i > 3)) for i in range(8) if (i > 3) == (i != 5)}
