@@ -8,6 +8,7 @@ from ..functions.answers import normalise_prediction
 from ..functions.text import clean, word_count
 from ..operators import ensemble as G
 from ..operators import joins as J
+from ..session import stored
 from .fixtures import CONFIG_NAMES, FORMS, SHOTS, Tables
 from .registry import F1_SQL, METRIC_COLUMNS, RATIOS_SQL, check, sql_confusion
 from .text_checks import CLEAN_V3, words
@@ -237,8 +238,10 @@ def _(t: Tables):
     "SELECT row_id, label, alpha__score, 'merged' AS resume_status FROM signals",
 )
 def _(t: Tables):
-    earlier = t.signals.select("row_id", F.lit(9).alias("label"), "alpha__score")
-    return J.resume_columns(t.candidates.select("row_id", "label"), earlier)
+    # both tables are projections of one stored run, so the rows are joined from the base tables once
+    rows = stored(t.signals.select("row_id", "label", "alpha__score"), "resumed")
+    earlier = rows.select("row_id", F.lit(9).alias("label"), "alpha__score")
+    return J.resume_columns(rows.select("row_id", "label"), earlier)
 
 
 @check(
