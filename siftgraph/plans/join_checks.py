@@ -125,8 +125,8 @@ def _(t: Tables):
               coalesce(CAST(gamma__pred AS VARCHAR), '') AS gamma, '' AS absent FROM signals""",
 )
 def _(t: Tables):
-    s = t.signals
     key = ["row_id", *J.NATURAL_KEY]
+    s = stored(t.signals.select(*key, "alpha__pred", "gamma__pred"), "sources")
     gamma = s.filter("gamma__pred is not null").select(*key, F.col("gamma__pred").alias("gamma"))
     sources = {"alpha": s.select(*key, F.col("alpha__pred").alias("alpha")), "gamma": gamma}
     return J.merge_sources(
