@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .ensemble import mean_score, positive_signals, published_label
-from .joins import withhold_evaluation
+from .joins import in_key_parts, withhold_evaluation
 from .ranking import (
     exact_quantiles,
     first_per_key,
@@ -97,14 +97,15 @@ def connected_components(
     neighbours, then its smaller ones, to the smallest node it knows. Both need one
     pre-aggregated minimum per node and one equi-join, never a node's neighbour list,
     and the number of rounds grows with the logarithm of the graph. State is
-    checkpointed each round.
+    checkpointed each round; the edges are read once, into parts that keep their size.
     """
-    raw = edges.select(F.col(head).alias("u"), F.col(tail).alias("v"))
-    nodes = node_names(edges, head, tail).withColumnRenamed("name", "node")
-    pairs = raw.filter("u <> v").select(
-        F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
-    )
-    pairs = cut_lineage(pairs.distinct())
+    up = F.col(head) >= F.col(tail)  # null stays where it is
+    one, other = (F.when(up, F.col(a)).otherwise(F.col(b)) for a, b in ((head, tail), (tail, head)))
+    cores = edges.sparkSession.sparkContext.defaultParallelism
+    linked = in_key_parts(edges.select(one.alias("u"), other.alias("v")), ["u", "v"], cores)
+    linked = cut_lineage(linked.distinct())
+    nodes = node_names(linked, "u", "v").withColumnRenamed("name", "node")
+    pairs = linked.filter("u <> v")
     before = None
     for _ in range(max_rounds):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -99,6 +99,14 @@ def one_to_one_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> D
     return left.join(right, list(keys), "left")
 
 
+def in_key_parts(rows: DataFrame, keys: Sequence[str], least: int | None = None) -> DataFrame:
+    """Rows dealt by key into as many parts as the scanned tables ask for, so that a part keeps its size."""
+    size = scanned_bytes(rows)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few = least if least and size else n
+    return rows.repartition(max(few, -(-size // KEY_BYTES)), *keys)
+
+
 def key_set_difference(a: DataFrame, b: DataFrame, keys: Sequence[str] = NATURAL_KEY) -> DataFrame:
     """One row with the number of keys only in ``a`` and only in ``b`` (0, 0 = equal sets).
 
@@ -107,11 +115,9 @@ def key_set_difference(a: DataFrame, b: DataFrame, keys: Sequence[str] = NATURAL
     """
     side = lambda d, c: d.select(*keys, F.lit(c).alias("__side"))
     rows = side(a, 1).unionByName(side(b, 2))
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(n, -(-scanned_bytes(rows) // KEY_BYTES))
     lone = reduce(lambda x, y: x | y, [F.col(c).isNull() for c in keys])
     has = lambda c: F.max(F.col("__side") == c)
-    seen = rows.repartition(parts, *keys).groupBy(*keys).agg(has(1).alias("__a"), has(2).alias("__b"))
+    seen = in_key_parts(rows, keys).groupBy(*keys).agg(has(1).alias("__a"), has(2).alias("__b"))
     return seen.agg(
         F.count_if(F.col("__a") & (~F.col("__b") | lone)).alias("only_left"),
         F.count_if(F.col("__b") & (~F.col("__a") | lone)).alias("only_right"),

@@ -49,3 +49,12 @@ def test_release_reads_what_it_wrote(spark, tmp_path):
     assert {(r.docid, r.mean_score) for r in written} == {(str(r.docid), str(r.mean_score)) for r in want}
     published = spark.read.parquet(f"{tmp_path}/silver/published")
     assert {(int(r.docid), r.label) for r in published.collect()} == {(i, int(i > 3)) for i in range(8) if (i > 3) == (i != 5)}
+
+
+def test_components_read_the_edges_once_and_keep_lone_nodes(spark):
+    rows = [("a", "b"), ("b", "c"), ("d", "d"), ("f", "e"), (None, "g"), ("e", "f"), ("h", None)]
+    edges = spark.createDataFrame(rows, "subject string, object string")
+    out = GR.connected_components(edges)
+    want = {"a": "a", "b": "a", "c": "a", "d": "d", "e": "e", "f": "e", "g": "g", "h": "h", None: None}
+    assert {r.node: r.component for r in out.collect()} == want and out.count() == len(want)
+    assert "LocalTableScan" not in plan_of(out)
