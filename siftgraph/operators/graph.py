@@ -145,8 +145,12 @@ def component_summary(components: DataFrame) -> DataFrame:
 
 
 def graph_summary(edges: DataFrame, frequent: int = 100) -> DataFrame:
-    """One row: edges, unique triples, duplicates, relations (all, frequent), documents."""
-    triples = edges.groupBy("subject", "predicate", "object").agg(F.count(F.lit(1)).alias("n"))
+    """One row: edges, unique triples, duplicates, relations (all, frequent), documents.
+
+    Triples and documents are grouped in parts that keep their size as the tables grow.
+    """
+    keys, cores = ["subject", "predicate", "object"], edges.sparkSession.sparkContext.defaultParallelism
+    triples = in_key_parts(edges.select(*keys), keys, cores).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     per_relation = triples.groupBy("predicate").agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("unique_triples")
     )
@@ -156,7 +160,7 @@ def graph_summary(edges: DataFrame, frequent: int = 100) -> DataFrame:
         F.count(F.lit(1)).alias("n_relations"),
         F.count_if(F.col("n") >= frequent).alias("frequent_relations"),
     )
-    docs = edges.agg(F.count_distinct("docid").alias("source_docs"))
+    docs = in_key_parts(edges.select("docid"), ["docid"], cores).distinct().agg(F.count("docid").alias("source_docs"))
     out = null_safe_join(a, docs, [])
     return out.withColumn("n_duplicates", F.col("n_edges") - F.col("unique_triples"))
 

@@ -4,6 +4,7 @@ import pytest
 from test_round_five import large, plan_of  # noqa: F401
 
 from siftgraph.operators import graph as GR
+from siftgraph.operators import joins as J
 from siftgraph.operators import sampling as K
 from siftgraph.plans.catalog import REGISTRY
 from siftgraph.plans.fixtures import Tables
@@ -51,6 +52,14 @@ def test_release_reads_what_it_wrote(spark, tmp_path):
     assert {(int(r.docid), r.label) for r in published.collect()} == {(i, int(i > 3)) for i in range(8) if (i > 3) == (i != 5)}
 
 
+def test_groups_are_made_in_parts_by_size(spark, small, monkeypatch):
+    monkeypatch.setattr(J, "KEY_BYTES", 4096)
+    edges = Tables(spark, small).repeated
+    plan = plan_of(GR.graph_summary(edges))
+    wanted = -(-J.scanned_bytes(edges.select("subject", "predicate", "object")) // 4096)
+    assert wanted > 8 and f", {wanted}), REPARTITION_BY_NUM" in plan
+
+
 def test_components_read_the_edges_once_and_keep_lone_nodes(spark):
     rows = [("a", "b"), ("b", "c"), ("d", "d"), ("f", "e"), (None, "g"), ("e", "f"), ("h", None)]
     edges = spark.createDataFrame(rows, "subject string, object string")
