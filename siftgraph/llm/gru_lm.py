@@ -26,6 +26,7 @@ columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import block_borders, block_numbers, deal_rows, stored
-from .words import flat, hash_words, mix, slices, split_words
+from .words import flat, hash_words, slices, split_words
 
 HEAD = 1024  # tokens with a softmax of their own
 PER_CLASS = 32
@@ -44,6 +45,7 @@ CLASSES = HEAD_CLASSES + TAILS
 HIDDEN = 32
 WINDOW = 16  # steps of truncated backpropagation
 TOGETHER = 16_384  # states whose probabilities are taken at once
+SAFE = 80  # exp of less neither overflows nor vanishes in four bytes
 STREAMS = 64
 STEPS = 1000  # of training in a large shard
 SHARD_TOKENS = 4_000_000
@@ -78,47 +80,46 @@ def _count_task(borders: list[int]):
     return lambda batches: _counts(batches, cuts)
 
 
+def _summed(word: np.ndarray, block: np.ndarray, tail: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The columns with one row per word and block, ``n`` summed."""
+    if not len(word):
+        return word, block, tail, n
+    order = np.argsort(word ^ (block.astype(np.uint64) << np.uint64(40)))
+    word, block = word.take(order), block.take(order)
+    new = np.ones(len(word), bool)
+    new[1:] = (word[1:] != word[:-1]) | (block[1:] != block[:-1])
+    at = np.flatnonzero(new)
+    return word[at], block[at], tail[order[at]], np.add.reduceat(n.take(order), at)
+
+
 def _counts(batches: Iterator[pa.RecordBatch], cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
     """One row per word and block of a task: its training count there (0 if only held out)."""
-    held: list[np.ndarray] = []
+    held: list[tuple[np.ndarray, ...]] = []
     size = 0
 
-    def merged(parts: list[np.ndarray]) -> np.ndarray:
-        rows = np.concatenate(parts)
-        if not len(rows):
-            return rows
-        order = np.argsort(mix(rows["word"] ^ (rows["block"].astype(np.uint64) << np.uint64(40))))
-        rows = rows[order]
-        new = np.ones(len(rows), bool)
-        new[1:] = (rows["word"][1:] != rows["word"][:-1]) | (rows["block"][1:] != rows["block"][:-1])
-        at = np.flatnonzero(new)
-        out = rows[at]
-        out["n"] = np.add.reduceat(rows["n"], at)
-        return out
+    def merged() -> tuple[np.ndarray, ...]:
+        return _summed(*map(np.concatenate, zip(*held, strict=True)))
 
-    def batch(rows: np.ndarray) -> pa.RecordBatch:
+    def batch(word: np.ndarray, *rest: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array(rows["word"].view(np.int64)), pa.array(rows["block"]), pa.array(rows["tail"]), pa.array(rows["n"])],
-            names=["word", "block", "tail", "n"],
+            [pa.array(word.view(np.int64)), *map(pa.array, rest)], names=["word", "block", "tail", "n"]
         )
 
     for part in slices(batches, "text", SLICE):
         hashes, tail, offsets = tokens(part.column("text"))
-        rows = np.zeros(len(hashes), [("word", "<u8"), ("block", "<i4"), ("tail", "<i2"), ("n", "<i8")])
         sizes = np.diff(offsets)
-        rows["word"], rows["tail"] = hashes, tail
-        rows["block"] = np.repeat(block_numbers(part.column("doc_id"), cuts), sizes)
-        rows["n"] = np.repeat(part.column("learn").to_numpy(zero_copy_only=False).astype(np.int64), sizes)
-        held.append(merged([rows]))
-        size += len(held[-1])
+        block = np.repeat(block_numbers(part.column("doc_id"), cuts), sizes)
+        n = np.repeat(part.column("learn").to_numpy(zero_copy_only=False).astype(np.int64), sizes)
+        held.append(_summed(hashes, block, tail, n))
+        size += len(held[-1][0])
         if size > DISTINCT:
-            held = [merged(held)]
-            size = len(held[0])
+            held = [merged()]
+            size = len(held[0][0])
             if 2 * size > DISTINCT:
-                yield batch(held[0])
+                yield batch(*held[0])
                 held, size = [], 0
     if held:
-        yield batch(merged(held))
+        yield batch(*merged())
 
 
 def counted(docs: DataFrame, borders: list[int]) -> DataFrame:
@@ -135,7 +136,7 @@ def counted(docs: DataFrame, borders: list[int]) -> DataFrame:
         "block",
         "tail",
         F.sum("n").over(by_word).alias("c"),
-        (F.row_number().over(by_word.orderBy("block")) == 1).alias("first"),
+        (F.col("block") == F.min("block").over(by_word)).alias("first"),  # no order, so one sort serves both
     )
 
 
@@ -210,37 +211,54 @@ def first_weights(vocab: Vocabulary) -> Weights:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    x = np.exp(-x)
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
     x += 1
     return np.divide(1, x, out=x)
 
 
-def step(w: Weights, h: np.ndarray, ids: np.ndarray):
-    """Next state, and what backpropagation needs."""
-    gx, gh = w["x"][ids], h @ w["u"]
-    k = HIDDEN
-    zr = _sigmoid(gx[:, : 2 * k] + gh[:, : 2 * k])
-    z, r, hn = zr[:, :k], zr[:, k:], gh[:, 2 * k :]
-    n = r * hn
-    n += gx[:, 2 * k :]
+def gate_planes(w: Weights) -> tuple[np.ndarray, np.ndarray]:
+    """``x`` and ``u`` with one plane a gate, so that the parts of a gate lie side by side."""
+    x, u = (np.ascontiguousarray(w[k].reshape(-1, 3, HIDDEN).swapaxes(0, 1)) for k in "xu")
+    return x, u
+
+
+def _advance(h: np.ndarray, gates: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Next state, and the candidate's recurrent sum; ``gates`` hold input sums and become z, r and n."""
+    sums = h @ u
+    zr, n = gates[:2], gates[2]
+    zr += sums[:2]
+    z, r = _sigmoid(zr)
+    n += r * sums[2]
     np.tanh(n, out=n)
     out = h - n
     out *= z
     out += n
-    return out, (h, z, r, hn, n)
+    return out, sums[2]
+
+
+def step(w: Weights, h: np.ndarray, ids: np.ndarray):
+    """Next state, and what backpropagation needs."""
+    x, u = gate_planes(w)
+    gates = x.take(ids, axis=1)
+    out, hn = _advance(h, gates, u)
+    return out, (h, *gates[:2], hn, gates[2])
 
 
 def _picked(x: np.ndarray, at: np.ndarray, slope: bool) -> np.ndarray:
     """Log softmax of ``x`` at one column a row; with ``slope`` ``x`` becomes softmax minus that column."""
-    rows = np.arange(len(x))
-    x -= x.max(axis=1, keepdims=True)
-    out = x[rows, at]
+    if not -SAFE < x.min(initial=0) <= x.max(initial=0) < SAFE:
+        x -= x.max(axis=1, keepdims=True)
+    cells = x.reshape(-1)
+    at = at + np.arange(0, x.size, x.shape[1])
+    out = cells[at]
     np.exp(x, out=x)
-    total = x.sum(axis=1, keepdims=True)
-    out -= np.log(total[:, 0])
+    total = x @ np.ones(x.shape[1], x.dtype)
+    out -= np.log(total)
     if slope:
-        x /= total
-        x[rows, at] -= 1
+        x *= (1 / total)[:, None]
+        cells[at] -= 1
     return out
 
 
@@ -250,74 +268,78 @@ def log_probability(w: Weights, h: np.ndarray, ids: np.ndarray, slope: bool = Fa
     With ``slope``: also the gradients of the summed negative log probability.
     """
     kind = classes(ids)
-    order = np.argsort(kind.astype(np.int8), kind="stable")
-    borders = np.searchsorted(kind[order], np.arange(HEAD_CLASSES + 1))
-    h, ids, kind = h[order], ids[order], kind[order]
     d = h @ w["wc"]
     d += w["bc"]
-    found = _picked(d, kind, slope)
-    grad: Weights = {}
-    dh = None
-    if slope:
-        grad["wc"], grad["bc"] = h.T @ d, d.sum(axis=0)
-        dh = d @ w["wc"].T
-        grad["wh"], grad["bh"] = np.zeros_like(w["wh"]), np.zeros_like(w["bh"])
-    for c in range(HEAD_CLASSES):
-        some = slice(borders[c], borders[c + 1])
-        if some.start == some.stop:
-            continue
-        block = slice(c * PER_CLASS, (c + 1) * PER_CLASS)
-        d = h[some] @ w["wh"][block].T
-        d += w["bh"][block]
-        found[some] += _picked(d, ids[some] - c * PER_CLASS, slope)
-        if slope:
-            grad["wh"][block], grad["bh"][block] = d.T @ h[some], d.sum(axis=0)
-            dh[some] += d @ w["wh"][block]
-    out = np.empty_like(found)
-    out[order] = found
+    out = _picked(d, kind, slope)
+    # rows of head tokens, sorted by class
+    order = np.argsort(kind.astype(np.int8), kind="stable")
+    borders = np.searchsorted(kind, np.arange(HEAD_CLASSES + 1), sorter=order).tolist()
+    heads = order[: borders[-1]]
+    member = ids[heads] % PER_CLASS
+    lifted = np.ones((len(heads), HIDDEN + 1), h.dtype)  # a column of ones stands for the biases
+    lifted[:, :HIDDEN] = h.take(heads, axis=0)
+    weights = np.hstack([w["wh"], w["bh"][:, None]])
+    filled = [
+        (slice(a, b), slice(c * PER_CLASS, (c + 1) * PER_CLASS)) for c, (a, b) in enumerate(pairwise(borders)) if a < b
+    ]
+    e = np.empty((len(heads), PER_CLASS), h.dtype)
+    for rows, members in filled:
+        np.matmul(lifted[rows], weights[members].T, out=e[rows])
+    out[heads] += _picked(e, member, slope)
     if not slope:
         return out
-    back = np.empty_like(dh)
-    back[order] = dh
-    return out, grad, back
+    by_member, back = np.zeros_like(weights), np.empty((len(heads), HIDDEN), h.dtype)
+    for rows, members in filled:
+        np.matmul(e[rows].T, lifted[rows], out=by_member[members])
+        np.matmul(e[rows], w["wh"][members], out=back[rows])
+    dh = d @ w["wc"].T
+    dh[heads] += back
+    by_bias = np.ones(len(d), d.dtype) @ d
+    return out, {"wc": h.T @ d, "bc": by_bias, "wh": by_member[:, :-1].copy(), "bh": by_member[:, -1].copy()}, dh
 
 
 def _window_slopes(w: Weights, h: np.ndarray, ids: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, Weights]:
     """State after the window, and gradients; ``ids`` and ``begin`` are (steps, streams)."""
-    states, kept = [], []
+    x, u = gate_planes(w)
+    flat_ids = ids.ravel()
+    gates = x.take(flat_ids, axis=1).reshape(3, *ids.shape, HIDDEN)
+    states = np.empty(gates.shape[1:], h.dtype)
+    hn = np.empty_like(states)
     go_on = (~begin).astype(h.dtype)[:, :, None]
     for t in range(len(ids)):
-        h = h * go_on[t]
-        states.append(h)
-        h, memory = step(w, h, ids[t])
-        kept.append(memory)
-    joined = np.concatenate(states)
-    _, grad, dstates = log_probability(w, joined, ids.ravel(), slope=True)
-    dstates = dstates.reshape(len(ids), ids.shape[1], HIDDEN)
-    k = HIDDEN
-    dgs = np.empty((*ids.shape, 3 * k), h.dtype)  # by the recurrent sums
-    dns = np.empty((*ids.shape, k), h.dtype)  # by the candidate's input
-    dh, back = np.zeros_like(h), w["u"].T.copy()
+        np.multiply(h, go_on[t], out=states[t])
+        h, hn[t] = _advance(states[t], gates[:, t], u)
+    joined = states.reshape(-1, HIDDEN)
+    _, grad, dstates = log_probability(w, joined, flat_ids, slope=True)
+    dstates = dstates.reshape(states.shape)
+    z, r, n = gates
+    by_state = np.empty((2, *states.shape), h.dtype)  # slopes of the sums of n and z
+    np.multiply(1 - z, 1 - n * n, out=by_state[0])
+    np.multiply((states - n) * z, 1 - z, out=by_state[1])
+    by_candidate = np.empty_like(by_state)  # of the sum of r and of the recurrent sum of n
+    np.multiply(hn * r, 1 - r, out=by_candidate[0])
+    by_candidate[1] = r
+    sums = np.empty((4, *states.shape), h.dtype)  # n, z, r and the recurrent sum of n
+    dh, back = np.zeros_like(h), u.swapaxes(1, 2).copy()
     for t in range(len(ids) - 1, -1, -1):
-        before, z, r, hn, n = kept[t]
-        dg, dn = dgs[t], dns[t]
-        np.multiply(dh * (1 - z), 1 - n * n, out=dn)
-        np.multiply(dh * (before - n), z * (1 - z), out=dg[:, :k])
-        np.multiply(dn * hn, r * (1 - r), out=dg[:, k : 2 * k])
-        np.multiply(dn, r, out=dg[:, 2 * k :])
-        dh = dh * z
-        dh += dg @ back
+        np.multiply(dh, by_state[:, t], out=sums[:2, t])
+        np.multiply(sums[0, t], by_candidate[:, t], out=sums[2:, t])
+        dh *= z[t]
+        for part in sums[1:, t] @ back:
+            dh += part
         dh += dstates[t]
         dh *= go_on[t]
-    dgs = dgs.reshape(-1, 3 * k)
-    grad["u"] = joined.T @ dgs
-    dgs[:, 2 * k :] = dns.reshape(-1, k)
-    flat_ids = ids.ravel()
+    sums = sums.reshape(4, -1, HIDDEN)
+    grad["u"] = np.hstack(joined.T @ sums[1:])
     order = np.argsort(flat_ids.astype(np.int16), kind="stable")
     sorted_ids = flat_ids[order]
     first = np.flatnonzero(np.concatenate([[True], sorted_ids[1:] != sorted_ids[:-1]]))
+    by_input = np.empty((len(order), 3 * HIDDEN), h.dtype)
+    for k, gate in enumerate((1, 2, 0)):
+        by_input[:, k * HIDDEN : (k + 1) * HIDDEN] = sums[gate].take(order, axis=0)
+    twos = by_input.view(np.result_type(by_input, np.complex64))  # a sum over rows costs by the column
     grad["x"] = np.zeros_like(w["x"])
-    grad["x"][sorted_ids[first]] = np.add.reduceat(dgs[order], first, axis=0)
+    grad["x"][sorted_ids[first]] = np.add.reduceat(twos, first, axis=0).view(by_input.dtype)
     return h, grad
 
 
@@ -325,6 +347,7 @@ def train(w: Weights, ids: np.ndarray, begin: np.ndarray, passes: int) -> Weight
     """Adam over windows of parallel streams that cut the tokens in equal runs.
 
     There are ``STREAMS`` of them, more on a shard that would otherwise take over ``STEPS`` steps.
+    Both moments are held without their factors of 0.1 and 0.01.
     """
     w = {k: v.copy() for k, v in w.items()}
     streams = max(1, min(max(STREAMS, len(ids) // (STEPS * WINDOW)), len(ids) // (4 * WINDOW)))
@@ -341,18 +364,21 @@ def train(w: Weights, ids: np.ndarray, begin: np.ndarray, passes: int) -> Weight
             h, grad = _window_slopes(w, h, ids[lo : lo + WINDOW], begin[lo : lo + WINDOW])
             n = ids[lo : lo + WINDOW].size
             steps += 1
-            rate = RATE * (1 - 0.9 * steps / total)
+            rate = RATE * (1 - 0.9 * steps / total) * 0.1 / (1 - 0.9**steps)
+            spread = np.sqrt(0.01 / (1 - 0.99**steps))
             for k, g in grad.items():
                 g *= np.float32(STREAMS / n)
                 np.clip(g, -1, 1, out=g)
-                mean[k] += np.float32(0.1) * (g - mean[k])
+                mean[k] *= np.float32(0.9)
+                mean[k] += g
                 g *= g
-                square[k] += np.float32(0.01) * (g - square[k])
-                down = np.sqrt(square[k] * np.float32(1 / (1 - 0.99**steps)))
-                down += np.float32(1e-4)
-                np.divide(mean[k], down, out=down)
-                down *= np.float32(rate / (1 - 0.9**steps))
-                w[k] -= down
+                square[k] *= np.float32(0.99)
+                square[k] += g
+                np.sqrt(square[k], out=g)
+                g += np.float32(1e-4 / spread)
+                np.divide(mean[k], g, out=g)
+                g *= np.float32(rate / spread)
+                w[k] -= g
     return w
 
 
@@ -439,6 +465,7 @@ def sequence_scores(w: Weights, ids: np.ndarray, offsets: np.ndarray) -> np.ndar
     order = np.argsort(-sizes, kind="stable")
     sizes, starts = sizes[order], offsets[:-1][order]
     out = np.zeros(len(order))
+    x, u = gate_planes(w)
     h = np.zeros((len(order), HIDDEN), np.float32)
     longest = int(sizes[0]) if len(sizes) else 0
     lives = np.searchsorted(-sizes, -np.arange(longest), side="left")  # documents longer than t
@@ -455,7 +482,7 @@ def sequence_scores(w: Weights, ids: np.ndarray, offsets: np.ndarray) -> np.ndar
                 out[: len(part)] += value[at : at + len(part)]
                 at += len(part)
             states, targets, held = [], [], 0
-        h = step(w, h[:live], now)[0]
+        h = _advance(h[:live], x.take(now, axis=1), u)[0]
     back = np.zeros(len(out))
     back[order] = out
     return back
@@ -472,6 +499,14 @@ def _encode_task(vocab: Vocabulary):
 
     def encode(docs: pa.RecordBatch, table: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         hashes, tail, offsets = tokens(docs.column("text"))
+        # every word of the slice is looked up once, in the order of the table
+        order = np.argsort(hashes)
+        ranked = hashes.take(order)
+        new = np.ones(len(ranked), bool)
+        new[1:] = ranked[1:] != ranked[:-1]
+        of_word = np.empty(len(order), np.int64)
+        of_word[order] = np.cumsum(new) - 1
+        hashes, tail = ranked[new], tail[order[new]]
         c = np.zeros(len(hashes), np.int64)
         if len(table):
             at = np.searchsorted(table, hashes)
@@ -484,10 +519,10 @@ def _encode_task(vocab: Vocabulary):
         unknown = vocab.unknown[t]
         share = np.where(c[rare] > 0, (1 - unknown) * c[rare] / np.maximum(vocab.tail_total[t], 1), unknown)
         inside[rare] = np.log10(np.maximum(share, 1e-300))
-        first = offsets[:-1]
-        packed = pa.py_buffer(ids.astype(ID).tobytes())
+        each = lambda values: np.add.reduceat(values.take(of_word), offsets[:-1])
+        packed = pa.py_buffer(ids.astype(ID).take(of_word).tobytes())
         lists = pa.Array.from_buffers(
-            pa.binary(), len(first), [None, pa.py_buffer((offsets * ID.itemsize).astype(np.int32)), packed]
+            pa.binary(), len(docs), [None, pa.py_buffer((offsets * ID.itemsize).astype(np.int32)), packed]
         )
         return pa.RecordBatch.from_arrays(
             [
@@ -495,9 +530,9 @@ def _encode_task(vocab: Vocabulary):
                 docs.column("held_out"),
                 docs.column("learn"),
                 pa.array(np.diff(offsets)),
-                pa.array(np.add.reduceat((c > 0).astype(np.int64), first)),
-                pa.array(np.add.reduceat(np.log10((c + 1) / most), first)),
-                pa.array(np.add.reduceat(inside, first)),
+                pa.array(each((c > 0).astype(np.int64))),
+                pa.array(each(np.log10((c + 1) / most))),
+                pa.array(each(inside)),
                 lists,
             ],
             names=[c.split()[0] for c in ENCODED.split(", ")],
