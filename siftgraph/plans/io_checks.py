@@ -43,7 +43,7 @@ def _(t: Tables):
         }
     )
     T.write_csv(d, path, DOC_COLUMNS)
-    return T.read_csv(t.spark, path, DOC_COLUMNS)
+    return T.read_csv(t.spark, path, DOC_COLUMNS, nulls=True)
 
 
 @check(

@@ -20,16 +20,18 @@ PREPARED_COLUMNS = (
 RELEASE_FRONT = ("docid", "title", "text", "subject", "predicate", "object")
 CODECS = ("snappy", "gzip", "zstd", "none")
 BOM = "\ufeff"
+NULL_MARK = "\x00null\x00"  # what Spark's reader takes a cell of nothing for; no cell says it
 
 
 def string_schema(columns: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
-def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None, nulls: bool = False) -> DataFrame:
     """All-string CSV: header, doubled quotes, multi-line cells; empty cells are "".
 
-    A byte order mark in front of the first header name is removed. A malformed record
+    With ``nulls`` a cell of nothing is null, as :func:`write_csv` writes it, and only ``""`` is
+    empty. A byte order mark in front of the first header name is removed. A malformed record
     fails the read. Cells may span lines, so a file is one task: keep large tables in many
     files.
     """
@@ -39,14 +41,15 @@ def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = Non
         .option("mode", "FAILFAST")
         .option("quote", '"')
         .option("escape", '"')
+        .option("charToEscapeQuoteEscaping", '"')  # else a NUL in a quoted cell is lost
         .option("encoding", "UTF-8")
-        .option("nullValue", "\x00")
+        .option("nullValue", NULL_MARK)
         .option("emptyValue", "")
         .option("enforceSchema", columns is None)
     )
     df = reader.csv(path)
     df = df.toDF(*[c.removeprefix(BOM) for c in df.columns])
-    df = df.fillna("")
+    df = df if nulls else df.fillna("")
     return df if columns is None else select_present(df, columns)
 
 
@@ -133,10 +136,13 @@ def write_tsv(df: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str, columns: Sequence[str]) -> None:
-    """CSV with the listed columns in that order; other columns are ignored."""
-    select_present(df, columns).write.mode("overwrite").option("header", True).option(
-        "escape", '"'
-    ).csv(path)
+    """CSV with the listed columns in that order; other columns are ignored.
+
+    Cells keep the white space at their ends; a null is a cell of nothing, an empty string is ``""``.
+    """
+    select_present(df, columns).write.mode("overwrite").option("header", True).option("escape", '"').option(
+        "ignoreLeadingWhiteSpace", False
+    ).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def convert_csv_to_parquet(spark: SparkSession, source: str, target: str, codec: str = "snappy") -> int:
