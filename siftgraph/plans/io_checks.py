@@ -58,7 +58,7 @@ def _(t: Tables):
     lines = F.concat(F.replace("text", F.lit(". "), F.lit(".\n")), F.lit(' "q"'))
     lang = F.when(F.col("lang") == "de", "").otherwise(F.col("lang"))
     T.write_csv(t.documents.withColumns({"text": lines, "lang": lang}), path, DOC_COLUMNS)
-    return read_csv_split(t.spark, path, DOC_COLUMNS)
+    return read_csv_split(t.spark, path, DOC_COLUMNS, nulls=True)
 
 
 @check("a02_csv_to_parquet", "doc_id:i text:s rows:i", "SELECT doc_id, text, (SELECT count(*) FROM {documents}) AS rows FROM {documents}")

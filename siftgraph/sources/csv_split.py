@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tables import BOM, select_present
+from .tables import BOM, NULL_MARK, select_present
 
 WHOLE, TAIL, HEAD, TITLE = 0, 1, 2, 3  # a record; the end of an earlier one; the start of one that goes on; the header
 _OUT = "file string, start long, kind int, record string"
@@ -110,7 +110,9 @@ def split_records(spark: SparkSession, path: str) -> DataFrame:
     return whole.unionByName(joined)
 
 
-def read_csv_split(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
+def read_csv_split(
+    spark: SparkSession, path: str, columns: Sequence[str] | None = None, nulls: bool = False
+) -> DataFrame:
     """:func:`.tables.read_csv` for files of any size: all strings, many tasks a file.
 
     Every file has the same header line, without a line break in it. A record with another
@@ -119,7 +121,8 @@ def read_csv_split(spark: SparkSession, path: str, columns: Sequence[str] | None
     header = spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path).columns
     names = [c.removeprefix(BOM) for c in header]
     rows = split_records(spark, path).select(F.regexp_replace("record", "\r$", "").alias("record")).filter("record <> ''")
-    options = {"quote": '"', "escape": '"', "mode": "FAILFAST", "nullValue": "\x00", "emptyValue": "", "multiLine": "true", "maxCharsPerColumn": "-1"}
+    options = {"quote": '"', "escape": '"', "charToEscapeQuoteEscaping": '"', "mode": "FAILFAST", "nullValue": NULL_MARK, "emptyValue": "", "multiLine": "true", "maxCharsPerColumn": "-1"}
     ddl = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
-    cells = rows.select(F.from_csv("record", ddl, options).alias("__r")).select("__r.*").fillna("")
+    cells = rows.select(F.from_csv("record", ddl, options).alias("__r")).select("__r.*")
+    cells = cells if nulls else cells.fillna("")
     return cells if columns is None else select_present(cells, columns)

@@ -7,7 +7,7 @@ from siftgraph.sources import tables as T
 ODD_CELLS = [None, "", " lead", "trail\t", "\n", "a\r\nb\r", "\x00", "a\x00b\"", '""', '" ,', "plain"]
 
 
-@pytest.mark.parametrize("name", ["a01_csv_scan"])
+@pytest.mark.parametrize("name", ["a01_csv_scan", "a01_csv_split_scan"])
 def test_csv_keeps_white_space_and_nulls(spark, tmp_path, monkeypatch, name):
     """Empty texts become ' "q"': the blank in front was lost, and nulls came back as empty cells."""
     from siftgraph.plans import io_checks
