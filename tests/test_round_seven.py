@@ -56,3 +56,55 @@ def test_last_round_of_training_returns_no_optimiser_state():
     full, bare = (pa.Table.from_batches(rows.rows(0, E.ENTITY, *x)) for x in ((), (True,)))
     assert bare.schema == full.schema and bare.column("vec") == full.column("vec")
     assert bare.column("m").null_count == bare.column("v").null_count == 5 and full.column("m").null_count == 0
+
+
+def test_large_arrivals_are_written_by_the_tasks_of_their_plan(spark, small, tmp_path, monkeypatch):
+    from siftgraph.plans import io_checks
+    from siftgraph.plans.fixtures import Tables
+
+    t = Tables(spark, small)
+    monkeypatch.setattr(io_checks, "scratch", lambda t, name: str(tmp_path / name))
+    monkeypatch.setattr(io_checks, "DEALT_BYTES", 0, raising=False)
+    path, files = io_checks.arriving(t, t.documents.repartition(5), "in")
+    assert len(spark.read.parquet(path).inputFiles()) == 5 and files == 3
+    assert spark.read.parquet(path).count() == t.documents.count()
+
+
+@pytest.mark.parametrize("name, wanted", [("n02_streaming_dedupe", 4), ("n02_streaming_first_wins", 7)])
+def test_streams_hold_what_their_result_needs(spark, small, monkeypatch, name, wanted):
+    """Rows arrive with the columns of the result (and a time), and one query takes them, so state is held once."""
+    from siftgraph.plans import io_checks
+    from siftgraph.plans.catalog import REGISTRY
+
+    seen, arriving, write = [], io_checks.arriving, io_checks.N.write_available
+    monkeypatch.setattr(io_checks, "arriving", lambda t, df, *x: (seen.append(len(df.columns)), arriving(t, df, *x))[1])
+    monkeypatch.setattr(io_checks.N, "write_available", lambda *x: (seen.append("run"), write(*x))[1])
+    assert REGISTRY[name].run(spark, small).count() > 0
+    assert seen == [wanted, "run"]
+
+
+def test_first_wins_with_the_watermark_of_the_stream(spark, tmp_path):
+    """A stream that has its watermark gives the same rows, and its rows are shuffled once."""
+    from siftgraph.streaming.incremental import first_wins_stream, read_arriving, write_available
+
+    rows = [(f"r{i:02}", i % 4, f"2024-01-01 00:{i:02}:00") for i in range(20, 0, -1)] + [("z", 9, "2024-01-03 00:00:00")]
+    d = spark.createDataFrame(rows, "n string, k int, at string").selectExpr("n", "k", "timestamp(at) AS at")
+    d.filter("k < 9").repartition(3).write.parquet(str(tmp_path / "in"))
+    d.filter("k = 9").write.mode("append").parquet(str(tmp_path / "in"))
+    gold, got = spark.createDataFrame([(3,)], "k int"), []
+    before = {x: spark.conf.get(x) for x in ("spark.sql.autoBroadcastJoinThreshold",)}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for own in (False, True):
+            stream = read_arriving(spark, str(tmp_path / "in"), d.schema)
+            stream = stream.withWatermark("at", "2 hours") if own else stream
+            kept = first_wins_stream(stream, gold, ["n"], "at", "2 hours", ["k"], **({"watermarked": True} if own else {}))
+            query = write_available(kept, str(tmp_path / f"out{own}"), str(tmp_path / f"state{own}"))
+            query.awaitTermination()
+            plan = query._jsq.explainInternal(False)
+            got.append((sorted(tuple(r)[:2] for r in spark.read.parquet(str(tmp_path / f"out{own}")).collect()), plan.count("Exchange hashpartitioning(k")))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got[0][0] == got[1][0] == [("r01", 1), ("r02", 2), ("r04", 0)]
+    assert got[1][1] < got[0][1]
