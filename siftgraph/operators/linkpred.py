@@ -22,6 +22,10 @@ PAIRS = 1 << 21  # bounds held at once
 DISTANCES = 1 << 13  # distances measured at once
 SCREENED = 1 << 16  # distances in single precision at once
 DENSE = 0.25  # share of open pairs from which all pairs of a cell are screened
+LOOSE = 0.5  # share of open pairs from which cells are left and all pairs are compared by codes
+TRIAL = 64  # queries that tell that share
+CODE_BITS, CODE_DIMS = 12, 16  # so many codes add up in 16 bits
+CODE_ROWS, CODE_COLUMNS = 64, 1024  # pairs compared at once
 SINGLE = 1e30  # larger components are not screened in single precision
 ATTEMPTS = 16
 QUANTILE_STEPS = 199
@@ -96,6 +100,8 @@ class EntityBlock:
     is skipped, one whose farthest point is near enough is counted whole, and in the others
     only entities that the bounds leave open are measured. Where they leave many open, single
     precision decides first, and double precision what lies within its error of the limit.
+    Where they leave most open on a trial, as with vectors that form no clusters, all pairs are
+    compared by codes of 12 bits a component, and only what lies within their error is measured.
     """
 
     def __init__(self, vectors: np.ndarray):
@@ -117,9 +123,65 @@ class EntityBlock:
         most = np.abs(vectors).max(initial=0.0)
         self.single = np.ascontiguousarray(self.vectors.T, np.float32) if most < SINGLE else None
         self.reach = np.abs(vectors).sum(axis=1).max(initial=0.0)
+        self.codes = None
 
     def closer(self, queries: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Per query: entities strictly closer than its limit, and how many were measured."""
+        plain = self.single is not None and np.abs(queries).max(initial=0.0) < SINGLE and np.isfinite(limits).all()
+        if plain and len(queries) >= 4 * TRIAL:
+            trial = np.arange(0, len(queries), len(queries) // TRIAL)
+            if self._by_cells(queries[trial], limits[trial])[1].mean() >= LOOSE * len(self.vectors):
+                return self._by_codes(queries, limits)
+        return self._by_cells(queries, limits)
+
+    def _coded(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes by component, their sums by vector, and how far a vector is from its codes."""
+        top = (1 << CODE_BITS) - 1
+        codes = np.clip(np.rint((vectors - self.low) / self.step), 0, top)
+        off = np.abs(vectors - (self.low + codes * self.step)).sum(axis=1)
+        return np.ascontiguousarray(codes.T.astype(np.uint16)), codes.sum(axis=1).astype(np.int32), off
+
+    def _by_codes(self, queries: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """:meth:`closer` over all pairs: |a - b| is 2 max(a, b) - a - b, so codes take a maximum and a sum."""
+        n = len(self.vectors)
+        if self.codes is None:
+            self.low = min(self.vectors.min(), queries.min())
+            self.step = max(max(self.vectors.max(), queries.max()) - self.low, 1e-30) / ((1 << CODE_BITS) - 1)
+            self.codes = self._coded(self.vectors)
+        (codes, sums, off), (asking, asked_sums, asked_off) = self.codes, self._coded(queries)
+        error = asked_off + off.max() + 1e-9 * (1.0 + limits + np.abs(queries).sum(axis=1) + self.reach)  # rounding never decides
+        most = queries.shape[1] << CODE_BITS
+        sure = np.clip(np.floor((limits - error) / self.step), -1, most).astype(np.int32) + asked_sums
+        last = np.clip(np.ceil((limits + error) / self.step), -1, most).astype(np.int32) + asked_sums
+        count = np.zeros(len(queries), np.int64)
+        held = [np.empty(CODE_ROWS * CODE_COLUMNS, kind) for kind in (np.int32, np.uint16, np.uint16)]
+        for i in range(0, len(queries), CODE_ROWS):
+            q = np.arange(i, min(i + CODE_ROWS, len(queries)))
+            ask = asking[:, q, None]
+            for j in range(0, n, CODE_COLUMNS):
+                to = slice(j, min(j + CODE_COLUMNS, n))
+                shape = len(q), to.stop - j
+                dist, some, part = (x[: shape[0] * shape[1]].reshape(shape) for x in held)
+                for d in range(0, len(codes), CODE_DIMS):
+                    for k in range(d, min(d + CODE_DIMS, len(codes))):
+                        out = some if k == d else part
+                        np.copyto(out, ask[k])  # written out first: a maximum with a repeated value is slow
+                        np.maximum(out, codes[k, to], out=out)
+                        if k > d:
+                            np.add(some, part, out=some)
+                    np.add(dist, some, out=dist) if d else np.copyto(dist, some)
+                dist *= 2
+                dist -= sums[to]
+                inside = dist < sure[q, None]
+                count[q] += [np.count_nonzero(x) for x in inside]
+                asked, of = divmod(np.flatnonzero((dist <= last[q, None]) ^ inside), shape[1])
+                for k in range(0, len(asked), DISTANCES):
+                    a, e = q[asked[k : k + DISTANCES]], of[k : k + DISTANCES] + j
+                    hit = np.abs(self.vectors[e] - queries[a]).sum(axis=1) < limits[a]
+                    np.add.at(count, a[hit], 1)
+        return count, np.full(len(queries), n)
+
+    def _by_cells(self, queries: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         count, measured = np.zeros(len(queries), np.int64), np.zeros(len(queries), np.int64)
         dim = queries.shape[1]
         single = self.single is not None and np.abs(queries).max(initial=0.0) < SINGLE
@@ -216,7 +278,8 @@ def filtered_tail_ranks(
     left = limits.select(
         every(n_e).alias("eb"), F.lit(True).alias("query"), F.col("q").cast("long").alias("id"), F.col("qvec").alias("vec"), "dist"
     ).withColumn("tile", dealt("id", tiles))
-    cells = right.unionByName(left).repartition(n_e * tiles, "eb", "tile").sortWithinPartitions("eb", "tile", "query", "id")
+    # more partitions than cells, so that few cells meet in one
+    cells = right.unionByName(left).repartition(4 * n_e * tiles, "eb", "tile").sortWithinPartitions("eb", "tile", "query", "id")
     counts = cells.mapInArrow(_closer, "q long, closer long, measured long, candidates long")
     sums = ["closer", "measured", "candidates"] if work else ["closer"]
     closer = counts.groupBy("q").agg(*[F.sum(c).alias(c) for c in sums])

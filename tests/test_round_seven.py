@@ -108,3 +108,26 @@ def test_first_wins_with_the_watermark_of_the_stream(spark, tmp_path):
             spark.conf.set(k, v)
     assert got[0][0] == got[1][0] == [("r01", 1), ("r02", 2), ("r04", 0)]
     assert got[1][1] < got[0][1]
+
+
+@pytest.mark.parametrize("dim, far", [(64, 1.0), (5, 1e6), (33, 1e-12)])
+def test_vectors_without_clusters_are_compared_by_codes(monkeypatch, dim, far):
+    """Exact counts, ties and outliers included, without single-precision passes over every pair."""
+    rng = np.random.default_rng(dim)
+    unit = lambda n: (x := rng.normal(size=(n, dim))) / np.linalg.norm(x, axis=1)[:, None]
+    vectors, queries = unit(2500), unit(300) * 2.0
+    vectors[7] *= far
+    vectors[40:60] = vectors[39]  # equal distances
+    gold = rng.integers(0, 60, size=300)
+    limits = np.abs(queries - vectors[gold]).sum(axis=1)
+    limits[:5] = 0.0
+    want = np.array([(np.abs(vectors - q).sum(axis=1) < x).sum() for q, x in zip(queries, limits, strict=True)])
+    block = L.EntityBlock(vectors)
+    count, _ = block._by_codes(queries, limits)
+    assert (count == want).all()
+    assert (block._by_codes(queries * 40, limits * 40)[0] == [(np.abs(vectors - q * 40).sum(axis=1) < x * 40).sum() for q, x in zip(queries, limits, strict=True)]).all()
+    if dim == 64:
+        monkeypatch.setattr(L.EntityBlock, "_by_codes", lambda self, q, x: ("codes", len(q)))
+        assert block.closer(queries, limits) == ("codes", 300)
+        near = vectors[rng.integers(0, 2500, size=300)] + 1e-6  # next to an entity: bounds settle nearly all
+        assert L.EntityBlock(vectors).closer(near, np.full(300, 1e-3))[0].sum() >= 300
